@@ -27,6 +27,11 @@ def _grams(tokens_col: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.slice(tokens_col, i, n))
 
 
+def _sized_grams(tokens_col: Column, n: int) -> Column:
+    """All n-grams as structs (n, g)."""
+    return F.transform(_grams(tokens_col, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+
 def _following(words: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     """(by, row_no, tail): the next ``n - 1`` tokens behind each sentence.
 
@@ -96,10 +101,7 @@ def self_bleu(df: DataFrame, by: Sequence[str], order: str, text: str, max_n: in
     )
     lengths = lengths.withColumn("_ref", nearest).select(*by, "_len", "_ref")
 
-    all_grams = F.flatten(F.array(*[
-        F.transform(_grams(F.col("_t"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g")))
-        for n in range(1, max_n + 1)
-    ]))
+    all_grams = F.flatten(F.array(*[_sized_grams(F.col("_t"), n) for n in range(1, max_n + 1)]))
     counts = (
         words.select(*by, order, F.explode(all_grams).alias("_x"))
         .select(*by, order, "_x.n", "_x.g")

@@ -139,7 +139,7 @@ def cap_document(ids: Column, prefix_len: int, target_len: int, slack: int = 64)
 def encoder_decoder_examples(
     df: DataFrame, ids: str, seed: int, keys: Sequence[str],
     prefix_len: int = 16, target_len: int = 64, gap_mean: float | None = None,
-    drop_prob: float = 0.1, lengths: PrefixLengths | None = None,
+    drop_prob: float = 0.1, lengths: PrefixLengths | None = None, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Prefix for the encoder, continuation for the decoder, both with masks.
 
@@ -162,7 +162,7 @@ def encoder_decoder_examples(
     prefix = cut(F.col(ids), F.col("c") - F.col("k"), F.col("k"))
     target = cut(F.col(ids), F.col("start"), target_len)
     return out.select(
-        *keys, "k", "c", "start",
+        *keys, *carry, "k", "c", "start",
         fit(prefix, prefix_len, PAD).alias("encoder_input_ids"),
         mask(F.size(prefix), prefix_len).alias("encoder_attention_mask"),
         fit(target, target_len, PAD).alias("decoder_input_ids"),

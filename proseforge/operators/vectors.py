@@ -72,12 +72,13 @@ def align_vectors(target: DataFrame, source: DataFrame, vectors: DataFrame, dims
     deviation of all source values.  ``vectors`` is (id, vec) of the source.
     """
     known = source.join(vectors, "id").select("token", F.col("vec").alias("_vec"))
-    sums = vectors.agg(*[
-        F.sum(F.aggregate(
-            F.transform("vec", lambda x, p=power: F.pow(x.cast("double"), F.lit(p))), F.lit(0.0), lambda a, x: a + x
-        )).alias(name)
-        for name, power in (("n", 0), ("s", 1), ("q", 2))
-    ])
+    values = F.transform("vec", lambda x: x.cast("double"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    sums = vectors.agg(
+        F.sum(F.size("vec")).alias("n"),
+        F.sum(total(values)).alias("s"),
+        F.sum(total(F.transform(values, lambda x: x * x))).alias("q"),
+    )
     std = sums.select(F.sqrt((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)))
     row = F.col("id")
     noise = F.transform(
