@@ -59,6 +59,14 @@ def context_totals(bigrams: DataFrame) -> DataFrame:
     return bigrams.groupBy("ctx").agg(F.sum("n").alias("ctx_n"))
 
 
+def id_pairs(df: DataFrame, keys: Sequence[str], text: str, vocab: DataFrame) -> DataFrame:
+    """(keys, pos, ctx, token_id): adjacent id pairs of every text."""
+    pairs = df.select(*keys, tokens(F.col(text)).alias("_t")).select(
+        *keys, F.posexplode(token_pairs(F.col("_t"))).alias("pos", "_p")
+    )
+    return _to_ids(pairs.select(*keys, "pos", "_p.*"), vocab)
+
+
 def sentence_perplexity(
     df: DataFrame, keys: Sequence[str], text: str, bigrams: DataFrame, vocab: DataFrame, k: float = 0.1
 ) -> DataFrame:
@@ -67,11 +75,8 @@ def sentence_perplexity(
     The first token has no context and is not scored, so texts of fewer than
     two tokens have no value and are dropped, like blank ones.
     """
-    pairs = df.select(*keys, tokens(F.col(text)).alias("_t")).select(
-        *keys, F.posexplode(token_pairs(F.col("_t"))).alias("_pos", "_p")
-    ).select(*keys, "_pos", "_p.*")
-    coded = _to_ids(pairs, vocab)
-    scored = lookup(coded, bigrams, ["ctx", "token_id"], ["n"], [*keys, "_pos"])
+    coded = id_pairs(df, keys, text, vocab)
+    scored = lookup(coded, bigrams, ["ctx", "token_id"], ["n"], [*keys, "pos"])
     totals = F.broadcast(context_totals(bigrams))  # at most one row per vocabulary id
     size = vocab.agg(F.count(F.lit(1)))
     p = (F.coalesce("n", F.lit(0)) + F.lit(k)) / (
