@@ -15,6 +15,7 @@ from proseforge.functions import prompts as P
 from proseforge.functions.text import tokens
 from proseforge.operators.sampling import balanced
 from proseforge.operators.tokens import MAX_VOCAB, most_frequent
+from proseforge.session import cut_lineage
 
 
 def train_naive_bayes(df: DataFrame, text: str, label: str, features: int = MAX_VOCAB) -> DataFrame:
@@ -125,7 +126,7 @@ def tag(df: DataFrame, keys: Sequence[str], text: str, label: str, model: DataFr
 
 def tag_and_balance(df: DataFrame, keys: Sequence[str], text: str, label: str, model: DataFrame, seed: int) -> DataFrame:
     """Tag the rows, prefix their control prompt and balance the four classes."""
-    tagged = tag(df, keys, text, label, model)
+    tagged = cut_lineage(tag(df, keys, text, label, model), "tagged")
     return balanced(tagged, ["sentiment", "formality"], seed, keys)
 
 

@@ -16,30 +16,43 @@ from proseforge.operators.ngram_lm import successors
 from proseforge.operators.tokens import EOS, broadcast_vocab
 from proseforge.session import cut_lineage
 
+BROADCAST_CHOICES = 10_000_000
 CUT_EVERY = 8  # sampling steps between two writes to the shared folder
 
 
 def work_list(prompts: DataFrame, models: Sequence[str], done: DataFrame | None, iterations: int) -> DataFrame:
     """(prompt, model_type, iter) still to generate.
 
-    Models and iterations are parameters, so the product is an explode of
-    literals; finished (prompt, model) pairs leave by an anti join.
+    ``done`` holds earlier sentences, one per row.  Models and iterations are
+    parameters, so the product is an explode of literals; finished
+    (prompt, model) pairs leave by an anti join.
     """
     pairs = prompts.select("prompt").distinct().withColumn(
         "model_type", F.explode(F.array(*[F.lit(m) for m in models]))
     )
     if done is not None:
-        pairs = pending(pairs, done, ["prompt", "model_type"], "generated_sentences", iterations)
+        pairs = pending(pairs, done, ["prompt", "model_type"], iterations)
     return pairs.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
 
 
-def generate(tasks: DataFrame, generators: dict[str, Callable[[list[str]], list[str]]], batch: int = 64) -> DataFrame:
+def generate(
+    tasks: DataFrame,
+    generators: dict[str, Callable[[list[str]], list[str]]],
+    batch: int = 64,
+    partitions: int | None = None,
+) -> DataFrame:
     """Run a generator per model over the work list, timing every call.
 
     A generator maps a list of prompts to as many texts.  The time of a call
     is shared evenly by its rows.  Generators must be picklable; state such as
     a loaded model belongs in the callable, created on first use.
+
+    The list is small in bytes but costly per row, so it is spread over a
+    stated number of tasks, by default all cores; adaptive coalescing would
+    otherwise merge it into one.
     """
+    partitions = partitions or tasks.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks.repartition(partitions, "prompt", "model_type", "iter")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -96,12 +109,16 @@ def sample_texts(
 ) -> DataFrame:
     """(keys, new_ids): tokens sampled one after another from the bigram table.
 
-    Every step is a broadcast lookup of the current token, so sampling never
-    shuffles.  The table has one row per vocabulary id, which bounds the
-    broadcast.  Every few steps the state is written to the shared folder to
+    Every step looks up the current token.  The table has a row per vocabulary
+    id, but ties at the cut-off can lengthen its rows; its entries are counted
+    first, and only a small table is broadcast, so that sampling never
+    shuffles.  Every few steps the state is written to the shared folder to
     keep the plan short and recovery cheap.
     """
-    table = F.broadcast(cut_lineage(table, "next-token"))
+    table = cut_lineage(table, "next-token")
+    entries = F.sum(F.coalesce(F.size("open"), F.lit(0)) + F.coalesce(F.size("free"), F.lit(0)))
+    if (table.agg(entries).first()[0] or 0) <= BROADCAST_CHOICES:
+        table = F.broadcast(table)
     state = prompts.select(
         *keys, F.col(last_id).cast("int").alias("cur"),
         F.array().cast("array<int>").alias("new_ids"), F.lit(False).alias("over"),

@@ -29,10 +29,10 @@ def first_match(left: DataFrame, right: DataFrame, keys: Sequence[str], order: S
     return left.join(first_wins(right, key, order), list(keys), "left")
 
 
-def pending(wanted: DataFrame, records: DataFrame, keys: Sequence[str], sentences: str, n: int) -> DataFrame:
-    """Keys of ``wanted`` that do not have ``n`` sentences yet."""
-    done = records.filter(F.size(sentences) >= n).select(*keys).distinct()
-    return wanted.join(done, list(keys), "left_anti")
+def pending(wanted: DataFrame, sentences: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Rows of ``wanted`` whose key has fewer than ``n`` sentence rows."""
+    done = sentences.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
+    return wanted.join(done.drop("_n"), list(keys), "left_anti")
 
 
 def lookup(
@@ -50,7 +50,8 @@ def lookup(
         big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .orderBy(F.desc("_n"), *keys).limit(hot_keys).select(*keys)
     )
-    hot_rows = hot.join(table.select(*keys, *values), list(keys), "left").select(
+    found = table.select(*keys, *values).join(F.broadcast(hot), list(keys))
+    hot_rows = hot.join(found, list(keys), "left").select(
         *keys, F.struct(*values).alias("_hot"), F.lit(True).alias("_is_hot")
     )
     out = big.join(F.broadcast(hot_rows), list(keys), "left")

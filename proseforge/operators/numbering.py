@@ -77,49 +77,72 @@ def number_rows(
     return running_sum(df, F.lit(1), order, bucket, by, out).withColumn(out, F.col(out).cast("long"))
 
 
-def smallest_k(
-    df: DataFrame,
-    k: Column | int,
-    draw: Column,
-    ties: Sequence[str],
-    by: Sequence[str] = (),
-    buckets: int = UNIFORM_BUCKETS,
-) -> DataFrame:
-    """Per ``by`` group, the ``k`` rows with the smallest uniform ``draw``.
+def _draw_key(draw: Column, ties: Sequence[str]) -> Column:
+    return F.struct(draw.alias("draw"), *[F.col(t) for t in ties])
 
-    A histogram of draws finds the bucket in which the k-th row lies, a sort
-    of that bucket alone finds the k-th row, and one filter then keeps all
-    rows up to it.  Wide rows are never shuffled, and a group that holds most
-    of the table costs no more than any other.
-    """
-    k = F.lit(k) if isinstance(k, int) else k
-    key = F.struct(draw.alias("draw"), *[F.col(t) for t in ties])
-    narrow = df.select(*by, key.alias("_key")).withColumn(
+
+def _kth_keys(
+    df: DataFrame, k: int, draw: Column, ties: Sequence[str], by: Sequence[str], buckets: int
+) -> DataFrame:
+    """(by, _cut): the k-th smallest key of each group with at least ``k`` rows."""
+    narrow = df.select(*by, _draw_key(draw, ties).alias("_key")).withColumn(
         "_bucket", F.floor(F.col("_key.draw") * buckets)
     )
     totals = narrow.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     edge = (
         _starts(totals, by, "_n")
         .filter((F.col("_start") < k) & (F.col("_start") + F.col("_n") >= k))
-        .withColumn("_need", k - F.col("_start"))
+        .withColumn("_need", F.lit(k) - F.col("_start"))
         .select(*by, "_bucket", "_need")
     )
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("_key"))
-    cut = (
+    return (
         narrow.join(bounded(edge), [*by, "_bucket"])
         .withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("_need"))
         .select(*by, F.col("_key").alias("_cut"))
     )
-    # A group with fewer than k rows has no cut and is kept whole.
-    if by:
-        kept = df.join(bounded(cut), list(by), "left")
-        return kept.filter(F.col("_cut").isNull() | (key <= F.col("_cut"))).drop("_cut")
-    last = cut.select("_cut").first()
+
+
+def among_smallest(
+    df: DataFrame, k: int, draw: Column, ties: Sequence[str], buckets: int = UNIFORM_BUCKETS
+) -> Column:
+    """A condition on ``df`` that holds for the ``k`` rows with the smallest ``draw``.
+
+    The k-th key is one row; it comes to the driver and becomes a literal.
+    """
+    if k <= 0:
+        return F.lit(False)
+    last = _kth_keys(df, k, draw, ties, (), buckets).select("_cut").first()
     if last is None:
-        return df
+        return F.lit(True)
     limit = F.struct(
         F.lit(last[0]["draw"]).alias("draw"),
         *[F.lit(last[0][t]).cast(df.schema[t].dataType).alias(t) for t in ties],
     )
-    return df.filter(key <= limit)
+    return _draw_key(draw, ties) <= limit
+
+
+def smallest_k(
+    df: DataFrame,
+    k: int,
+    draw: Column,
+    ties: Sequence[str],
+    by: Sequence[str] = (),
+    buckets: int = UNIFORM_BUCKETS,
+) -> DataFrame:
+    """Per ``by`` group, the ``k`` rows with the smallest uniform ``draw``.
+
+    A histogram of draws finds the bucket in which the k-th row lies, a sort
+    of that bucket alone finds the k-th row, and one filter then keeps all
+    rows up to it.  Wide rows are never shuffled, and a group that holds most
+    of the table costs no more than any other.  ``df`` is scanned three times,
+    twice for its key columns only; write it out first if it is costly.
+    """
+    if not by:
+        return df.filter(among_smallest(df, k, draw, ties, buckets))
+    if k <= 0:
+        return df.limit(0)
+    # A group with fewer than k rows has no cut and is kept whole.
+    kept = df.join(bounded(_kth_keys(df, k, draw, ties, by, buckets)), list(by), "left")
+    return kept.filter(F.col("_cut").isNull() | (_draw_key(draw, ties) <= F.col("_cut"))).drop("_cut")

@@ -10,18 +10,33 @@ from pyspark.sql import functions as F
 
 from proseforge.functions import text as T
 from proseforge.functions.draws import randint, uniform
-from proseforge.operators.numbering import id_bucket, running_sum, smallest_k
+from proseforge.operators.numbering import (
+    among_smallest,
+    id_bucket,
+    number_rows,
+    running_sum,
+    smallest_k,
+)
+
+
+SMALL_LIMIT = 100_000  # an ordered limit up to here fits one task
 
 
 def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in a stated order."""
-    return df.orderBy(*order).limit(n)
+    return window_slice(df, 0, n, order)
 
 
 def window_slice(df: DataFrame, start: int, n: int | None, order: Sequence[str]) -> DataFrame:
-    """Skip ``start`` rows, then take ``n`` (or all)."""
-    out = df.orderBy(*order).offset(start)
-    return out if n is None else out.limit(n)
+    """Skip ``start`` rows, then take ``n`` (or all).
+
+    A long slice does not fit the single task of an ordered limit; it is cut
+    by row number instead, for which the first order column must be an integer.
+    """
+    if n is not None and start + n <= SMALL_LIMIT:
+        return df.orderBy(*order).offset(start).limit(n)
+    rows = number_rows(df, order, id_bucket(df, order[0]), out="_row").filter(F.col("_row") > start)
+    return (rows if n is None else rows.filter(F.col("_row") <= start + n)).drop("_row")
 
 
 def shuffled(df: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
@@ -46,10 +61,8 @@ def train_test_split(
     if not exact:
         return df.withColumn("split", F.when(draw < test_size, "test").otherwise("train"))
     n_test = math.ceil(test_size * df.count())
-    test = smallest_k(df.select(*keys), n_test, draw, keys).withColumn("split", F.lit("test"))
-    return df.join(test, list(keys), "left").withColumn(
-        "split", F.coalesce(F.col("split"), F.lit("train"))
-    )
+    is_test = among_smallest(df, n_test, draw, keys)
+    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
 def class_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:

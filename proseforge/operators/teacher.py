@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proseforge.functions.text import valid_pair
-from proseforge.operators.dedup import not_seen
+from proseforge.operators.dedup import dedup_text, not_seen
 from proseforge.operators.sampling import head, sample_rows
 from proseforge.session import cut_lineage
 
@@ -34,19 +34,21 @@ def curate(
 
     ``generate(prompts, round)`` returns (key, prompt, text).  Round 0 covers
     all prompts; later rounds draw as many prompts as pairs are missing, with
-    a new seed each time.  Each round is one job whose result is kept in the
-    shared folder, so only counts come to the driver.
+    a new seed each time.  The new pairs of each round are written to the
+    shared folder, so only counts come to the driver.  ``key`` is an integer.
     """
     kept = None
     have = 0
     for round_no in range(max_rounds + 1):
         asked = prompts if kept is None else sample_rows(prompts, n - have, seed + round_no, [key], "topup")
         found = valid_pairs(generate(asked, round_no)).withColumn("round", F.lit(round_no))
-        if kept is None:
-            kept = found.limit(0)
-        fresh = not_seen(found, kept, "text", [key]).select(found.columns)
-        kept = cut_lineage(kept.unionByName(fresh), f"teacher-{round_no}")
-        have = kept.count()
+        fresh = dedup_text(found, "text", [key]) if kept is None else not_seen(found, kept, "text", [key])
+        fresh = cut_lineage(fresh.select(found.columns), f"teacher-{round_no}")
+        n_fresh = fresh.count()
+        if have + n_fresh > n:
+            fresh = head(fresh, n - have, [key])
+        kept = fresh if kept is None else kept.unionByName(fresh)
+        have += n_fresh
         if have >= n:
             break
-    return head(kept, n, ["round", key])
+    return kept

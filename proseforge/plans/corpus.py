@@ -93,12 +93,12 @@ def clean_pages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", F.length("html").cast("long").alias("n_chars"), T.text_key(F.col("html")).alias("key"))
 
 
-_REVIEW_SQL = r"regexp_replace(text, '\\n\*|\n\*', ' ', 'g')"
+REVIEW_SQL = r"regexp_replace(text, '\\n\*|\n\*', ' ', 'g')"
 for _old, _new in ((r"'\n'", "' '"), ("chr(10)", "' '"), (r"""'\""'""", """'"'"""), (r"""'\"'""", """'"'"""), (r"'\'", "''")):
-    _REVIEW_SQL = f"replace({_REVIEW_SQL}, {_old}, {_new})"
+    REVIEW_SQL = f"replace({REVIEW_SQL}, {_old}, {_new})"
 
 
-@query(f"SELECT doc_id, {S.squeeze(_REVIEW_SQL)} AS text FROM documents")
+@query(f"SELECT doc_id, {S.squeeze(REVIEW_SQL)} AS text FROM documents")
 def clean_reviews(spark: SparkSession, d: str) -> DataFrame:
     """Escapes, stray quotes and backslashes removed from whole texts."""
     return table(spark, d, "documents").select("doc_id", T.clean_review(F.col("text")).alias("text"))

@@ -11,7 +11,7 @@ from proseforge.operators import candidates as K
 from proseforge.operators import ngram_lm as L
 from proseforge.operators import vectors as X
 from proseforge.operators.joins import lookup
-from proseforge.operators.tokens import UNK, build_vocab
+from proseforge.operators.tokens import MAX_VOCAB, SPECIAL_TOKENS, UNK, build_vocab
 from proseforge.plans import sqlparts as S
 from proseforge.plans.examples import doc_vocab
 from proseforge.plans.registry import query
@@ -150,14 +150,14 @@ def argmax_next(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CAND_SQL}, {_topk_sql('cand', 20)}, {_probs_sql('topk')},
-    vecs AS (SELECT vec_id AS token_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings)
+    vecs AS (SELECT vec_id AS token_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings),
     cells AS (SELECT ctx, dim, greatest(-10, least(10, sum(p * x))) AS value FROM probs JOIN vecs USING (token_id) GROUP BY ctx, dim)
     SELECT ctx, round(sqrt(sum(value * value)), 6) AS norm, round(sum(value), 6) AS total FROM cells GROUP BY ctx""")
 def expected_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Length and sum of the probability-weighted embedding of each context's best candidates."""
     probs = K.softmax(K.top_k(candidates(spark, d), CTX, 20), CTX)
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
-    return _sizes(K.expected_vectors(probs, vecs, CTX, 64), "ctx")
+    return _sizes(K.expected_vectors(probs, vecs, CTX, 64, MAX_VOCAB + len(SPECIAL_TOKENS)), "ctx")
 
 
 _PRED_SQL = f"""{CAND_SQL}, {_probs_sql('cand')},
@@ -230,7 +230,7 @@ _SCHEDULES_SQL = f"""
 def _noisy_sql(schedule: str) -> str:
     n = f"sqrt(-2 * ln(1 - {S.u(SEED, 'n1', 'vec_id', 'dim')})) * cos(2 * pi() * {S.u(SEED, 'n2', 'vec_id', 'dim')})"
     return f"""WITH {_SCHEDULES_SQL},
-    v AS (SELECT vec_id, floor({S.u(SEED, 'step', 'vec_id')} * {STEPS})::INT AS t, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings)
+    v AS (SELECT vec_id, floor({S.u(SEED, 'step', 'vec_id')} * {STEPS})::INT AS t, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings),
     SELECT vec_id, t, dim::INT AS dim, round(sqrt(a) * x + sqrt(1 - a) * {n}, 6) AS value FROM v JOIN {schedule} USING (t)"""
 
 

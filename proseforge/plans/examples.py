@@ -278,7 +278,7 @@ def draw_documents(docs: DataFrame) -> DataFrame:
 @query(f"WITH {_WEIGHTS_SQL} SELECT doc_id, n::INT AS n, lo::BIGINT AS lo, hi::BIGINT AS hi, {S.joined('ids')} AS ids FROM spans")
 def capped_document_weights(spark: SparkSession, d: str) -> DataFrame:
     """Capped documents and their stretch of the sampling line."""
-    docs = capped_docs(spark, d).withColumn("n", F.size("ids"))
+    docs = cut_lineage(capped_docs(spark, d), "capped").withColumn("n", F.size("ids"))
     return as_text(sampling.document_weights(docs, "doc_id", "n"), "ids").select("doc_id", "n", "lo", "hi", "ids")
 
 

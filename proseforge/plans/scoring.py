@@ -64,7 +64,7 @@ def nb_predict(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HELD = S.u(SEED, "held", "doc_id")
-_EVAL_SQL = f"""WITH {LABELLED_SQL},
+EVAL_SQL = f"""WITH {LABELLED_SQL},
     trained AS (SELECT * FROM lab WHERE {_HELD} >= 0.3), held AS (SELECT * FROM lab WHERE {_HELD} < 0.3),
     {nb_sql('m', 'trained', 'quality')}, {nb_score_sql('sc', 'm', 'held', 'doc_id')},
     pairs AS (SELECT doc_id, quality AS y, CASE WHEN score > 0 THEN 1 ELSE 0 END AS p FROM held JOIN sc USING (doc_id))"""
@@ -82,14 +82,14 @@ def held_out_predictions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"{_EVAL_SQL} SELECT round(avg((y = p)::INT::DOUBLE), 6) AS accuracy FROM pairs")
+@query(f"{EVAL_SQL} SELECT round(avg((y = p)::INT::DOUBLE), 6) AS accuracy FROM pairs")
 def nb_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy on the held-out documents."""
     out = C.accuracy(held_out_predictions(spark, d), "label", "pred")
     return out.select(F.round("accuracy", 6).alias("accuracy"))
 
 
-@query(f"""{_EVAL_SQL},
+@query(f"""{EVAL_SQL},
     cls AS (SELECT * FROM (VALUES (0, 'Negative'), (1, 'Positive')) c(c, class)),
     cnt AS (SELECT class, (SELECT count(*) FROM pairs WHERE y = c AND p = c)::DOUBLE AS hit,
               (SELECT count(*) FROM pairs WHERE y = c) AS support, (SELECT count(*) FROM pairs WHERE p = c) AS said FROM cls),
@@ -150,7 +150,8 @@ _BUFFER = 128  # two scoring batches of 64
 def tag_and_balance_buffers(spark: SparkSession, d: str) -> DataFrame:
     """Balancing per buffer of consecutive rows, the last partial buffer kept whole."""
     tagged = tagged_documents(spark, d)
-    return balance_buffers(tagged, ["doc_id"], id_bucket(tagged, "doc_id"), SEED, write_every=100, batch=64)
+    bucket = id_bucket(table(spark, d, "labels"), "doc_id")
+    return balance_buffers(tagged, ["doc_id"], bucket, SEED, write_every=100, batch=64)
 
 
 LM_SQL = f"""{VOCAB_SQL},
@@ -220,25 +221,25 @@ RECORDS_SQL = f"""
 KEYS = ["prompt", "model_type"]
 
 
-def _base_summary(spark: SparkSession, d: str, records: DataFrame, text: str) -> DataFrame:
+def base_summary(spark: SparkSession, d: str, records: DataFrame, text: str) -> DataFrame:
     v, lm = language_model(spark, d)
     details = L.sentence_perplexity(records, [*KEYS, "iter"], text, lm, v)
     return V.perplexity_summary(records, details, KEYS, "iter", text, "elapsed_s")
 
 
-_SUMMARY_SQL = f"""{LM_SQL}, {RECORDS_SQL}, {ppl_sql('pp', 'rec', 'rk')},
+SUMMARY_SQL = f"""{LM_SQL}, {RECORDS_SQL}, {ppl_sql('pp', 'rec', 'rk')},
     base AS (
       SELECT prompt, model_type, avg(elapsed_s) AS t, arg_min(text, iter) AS example_output,
              avg(ppl) AS ppl, count(ppl) AS n_valid
       FROM rec LEFT JOIN pp USING (rk) GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {_SUMMARY_SQL}
+@query(f"""WITH {SUMMARY_SQL}
     SELECT prompt, model_type, coalesce(printf('%.4f', ppl), 'N/A') AS avg_perplexity, n_valid,
            printf('%.4f', t) AS avg_inference_time, example_output FROM base""")
 def perplexity_summary(spark: SparkSession, d: str) -> DataFrame:
     """Mean perplexity, valid count, mean time and an example per prompt and model."""
-    base = _base_summary(spark, d, turn_records(spark, d), "sentence")
+    base = base_summary(spark, d, turn_records(spark, d), "sentence")
     return V.display_summary(base, {"avg_perplexity": 4, "avg_inference_time": 4})
 
 
@@ -311,7 +312,7 @@ def self_bleu(spark: SparkSession, d: str) -> DataFrame:
     return V.self_bleu(docs, ["source"], "doc_id", "text").withColumn("self_bleu", F.round("self_bleu", 6))
 
 
-_OPEN_SQL = f"""{_SUMMARY_SQL},
+_OPEN_SQL = f"""{SUMMARY_SQL},
     grp AS (SELECT *, prompt || '|' || model_type AS gk FROM rec),
     {_distinct_sql('d1', 'grp', 'gk', 'iter', 1)}, {_distinct_sql('d2', 'grp', 'gk', 'iter', 2)}, {_bleu_sql('sb', 'grp', 'gk', 'iter')}"""
 
@@ -323,7 +324,7 @@ _OPEN_SQL = f"""{_SUMMARY_SQL},
 def open_ended_summary(spark: SparkSession, d: str) -> DataFrame:
     """The open-ended evaluation table: diversity beside perplexity and time."""
     records = turn_records(spark, d)
-    base = V.display_summary(_base_summary(spark, d, records, "sentence"), {"avg_perplexity": 4, "avg_inference_time": 4})
+    base = V.display_summary(base_summary(spark, d, records, "sentence"), {"avg_perplexity": 4, "avg_inference_time": 4})
     bucket = id_bucket(records, "iter", 64)
     metrics = (
         V.distinct_n(records, KEYS, "iter", "sentence", 1, bucket, "d1")
@@ -381,7 +382,7 @@ def match_confusion(spark: SparkSession, d: str) -> DataFrame:
 def controllable_summary(spark: SparkSession, d: str) -> DataFrame:
     """The controllable evaluation table: match accuracies beside perplexity and time."""
     records = control_records(spark, d)
-    base = V.display_summary(_base_summary(spark, d, records, "text"), {"avg_perplexity": 4, "avg_inference_time": 4})
+    base = V.display_summary(base_summary(spark, d, records, "text"), {"avg_perplexity": 4, "avg_inference_time": 4})
     confusion = V.prompt_confusion(records, KEYS, "prompt", "said_sentiment", "said_formality")
     metrics = confusion.select(*KEYS, *[
         T.fixed_decimals(V.match_accuracy(confusion, tag), 2).alias(f"{tag}_accuracy") for tag in ("sentiment", "formality")

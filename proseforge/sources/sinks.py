@@ -35,10 +35,14 @@ def summary_csv(df: DataFrame, columns: Sequence[str], path: str) -> None:
 
 
 def detail_csv(df: DataFrame, path: str) -> None:
-    """Perplexity details, one folder per prompt and model."""
+    """Perplexity details, one folder per prompt and model.
+
+    Rebalancing gives small folders one file each and splits large ones.
+    """
     (
         df.withColumn("prompt_key", file_key(F.col("prompt")))
         .select("prompt_key", "model_type", "sentence", "perplexity")
+        .hint("rebalance", "prompt_key", "model_type")
         .write.mode("overwrite").partitionBy("prompt_key", "model_type")
         .option("header", True).option("escape", '"').csv(path)
     )
