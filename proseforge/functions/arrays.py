@@ -25,7 +25,7 @@ def cut(ids: Column, start: Column, length: Column | int) -> Column:
     return F.slice(ids, start + 1, F.greatest(length, F.lit(0)))
 
 
-def last(ids: Column, n: Column | int) -> Column:
+def last(ids: Column | str, n: Column | int) -> Column:
     """The last ``n`` elements, or all when there are fewer."""
     n = F.lit(n) if isinstance(n, int) else n
     keep = F.least(n, F.size(ids))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proseforge.functions.arrays import last
 from proseforge.functions.prompts import parse_formality, parse_sentiment
 from proseforge.functions.text import fixed_decimals, tokens
 from proseforge.operators.joins import first_match
@@ -19,74 +20,101 @@ from proseforge.operators.numbering import number_rows
 
 
 def _grams(tokens_col: Column, n: int) -> Column:
-    """All n-grams of a token array, as arrays."""
+    """All n-grams of a token array, as space-joined text.
+
+    Tokens hold no white space, so the text names its tokens exactly.
+    """
+    if n == 1:
+        return tokens_col
     count = F.size(tokens_col) - (n - 1)
     starts = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(
         F.array().cast("array<int>")
     )
-    return F.transform(starts, lambda i: F.slice(tokens_col, i, n))
+    return F.transform(starts, lambda i: F.array_join(F.slice(tokens_col, i, n), " "))
+
 
+def _sized_grams(tokens_col: Column, sizes: Sequence[int]) -> Column:
+    """N-grams of several sizes as structs (n, g)."""
 
-def _sized_grams(tokens_col: Column, n: int) -> Column:
-    """All n-grams as structs (n, g)."""
-    return F.transform(_grams(tokens_col, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    def of_size(n: int) -> Column:
+        return F.transform(_grams(tokens_col, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
 
+    return F.flatten(F.array(*[of_size(n) for n in sizes]))
 
-def _following(words: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    """(by, row_no, tail): the next ``n - 1`` tokens behind each sentence.
 
-    Every non-blank sentence offers its first tokens to the ``n - 1`` sentences
+def _border_grams(ends: DataFrame, by: Sequence[str], sizes: Sequence[int]) -> DataFrame:
+    """(by, n, g): n-grams that start in one sentence and end in a later one.
+
+    ``ends`` is (by, row_no, _first, _last) with the outermost tokens of each
+    non-blank sentence.  A sentence offers its first tokens to the sentences
     before it; the key is the sentence number, so no group is gathered.
     """
-    offers = words.select(
-        *by, "row_no", F.slice("_t", 1, n - 1).alias("_head"),
-        F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("_back"),
-    ).select(*by, (F.col("row_no") - F.col("_back")).alias("row_no"), "_back", "_head")
-    ordered = F.array_sort(F.collect_list(F.struct("_back", "_head")))
-    tail = F.slice(F.flatten(F.transform(ordered, lambda x: x["_head"])), 1, n - 1)
-    return offers.groupBy(*by, "row_no").agg(tail.alias("_tail"))
+    reach = max(sizes) - 1
+    offers = ends.select(
+        *by, "row_no", "_first", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_back")
+    ).select(*by, (F.col("row_no") - F.col("_back")).alias("row_no"), "_back", "_first")
+    ordered = F.array_sort(F.collect_list(F.struct("_back", "_first")))
+    tails = offers.groupBy(*by, "row_no").agg(
+        F.flatten(F.transform(ordered, lambda x: x["_first"])).alias("_tail")
+    )
+    joined = ends.select(*by, "row_no", "_last").join(tails, [*by, "row_no"])
+
+    def of_size(n: int) -> Column:
+        size = F.size("_last")
+        start = F.greatest(size - (n - 1), F.lit(0))
+        across = F.concat(F.slice("_last", start + 1, F.lit(n - 1)), F.slice("_tail", 1, n - 1))
+        return F.transform(_grams(across, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+    grams = F.flatten(F.array(*[of_size(n) for n in sizes if n > 1]))
+    return joined.select(*by, F.inline(grams))
 
 
 def distinct_n(
-    df: DataFrame, by: Sequence[str], order: str, text: str, n: int, bucket: Column, out: str = "distinct_n"
+    df: DataFrame, by: Sequence[str], order: str, text: str, sizes: Sequence[int], bucket: Column
 ) -> DataFrame:
-    """Share of distinct n-grams among all n-grams of a group.
+    """Columns ``d{n}``: share of distinct n-grams among all n-grams of a group.
 
     The sentences of a group are read as one token sequence in ``order``, so
     n-grams cross sentence borders.  Groups with fewer than ``n`` tokens score
     0.  ``bucket`` is an order-preserving bucket of ``order``.
+
+    Texts are not shuffled: n-grams inside a sentence are counted where it is
+    read, and only its outermost tokens travel for the n-grams across borders.
     """
+    by = list(by)
     words = df.select(*by, order, tokens(F.col(text)).alias("_t"))
-    groups = words.select(*by).distinct()
-    words = words.filter(F.size("_t") > 0)
-    if n == 1:
-        grams = words.select(*by, F.explode(_grams(F.col("_t"), 1)).alias("_g"))
-    else:
-        words = number_rows(words, [order], bucket, by)
-        tail = F.coalesce(F.col("_tail"), F.array().cast("array<string>"))
-        grams = (
-            words.join(_following(words, by, n), [*by, "row_no"], "left")
-            .select(*by, F.explode(_grams(F.concat("_t", tail), n)).alias("_g"))
+    grams = words.select(*by, F.inline(_sized_grams(F.col("_t"), sizes)))
+    reach = max(sizes) - 1
+    if reach:
+        ends = words.filter(F.size("_t") > 0).select(
+            *by, order, F.slice("_t", 1, reach).alias("_first"), last("_t", reach).alias("_last")
         )
-    counts = grams.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("_n"))
-    share = counts.groupBy(*by).agg((F.count(F.lit(1)) / F.sum("_n")).alias(out))
-    return groups.join(share, list(by), "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+        grams = grams.unionByName(_border_grams(number_rows(ends, [order], bucket, by), by, sizes))
+    counts = grams.groupBy(*by, "n", "g").agg(F.count(F.lit(1)).alias("_c"))
+    shares = counts.groupBy(*by).agg(*[
+        F.try_divide(F.count_if(F.col("n") == n), F.sum(F.when(F.col("n") == n, F.col("_c")))).alias(f"d{n}")
+        for n in sizes
+    ])
+    groups = df.select(*by).distinct()
+    return groups.join(shares, by, "left").fillna(0.0, [f"d{n}" for n in sizes])
 
 
 def self_bleu(df: DataFrame, by: Sequence[str], order: str, text: str, max_n: int = 4, out: str = "self_bleu") -> DataFrame:
     """Mean BLEU of each sentence against the others of its group.
 
     A sentence's n-gram count is clipped by the largest count among the
-    others.  That differs from the count itself only where the sentence alone
-    holds the group's maximum; there the excess over the runner-up is lost.
-    So the matches are the n-gram total less such excesses, and the two
-    largest counts per n-gram are all that is needed: no pairs of sentences,
-    and no join of n-grams back to sentences.
+    others.  Numbering the occurrences of an n-gram inside its sentence turns
+    that into set membership: the r-th occurrence matches when some other
+    sentence has an r-th one too.  So the matches are all n-grams less those
+    (n-gram, r) that only one sentence of the group holds.  One count per
+    (n-gram, r) decides that: no pairs of sentences, no group in one task.
+
+    (by, order) identifies a sentence.
     """
     by = list(by)
-    words = df.select(*by, order, tokens(F.col(text)).alias("_t"))
-    groups = words.select(*by).distinct()
-    words = words.filter(F.size("_t") > 0).withColumn("_len", F.size("_t"))
+    sizes = range(1, max_n + 1)
+    words = df.select(*by, order, tokens(F.col(text)).alias("_t")).filter(F.size("_t") > 0)
+    words = words.withColumn("_len", F.size("_t"))
 
     lengths = words.groupBy(*by, "_len").agg(F.count(F.lit(1)).alias("_same"))
     # One row per distinct length: bounded by the longest sentence.
@@ -101,42 +129,30 @@ def self_bleu(df: DataFrame, by: Sequence[str], order: str, text: str, max_n: in
     )
     lengths = lengths.withColumn("_ref", nearest).select(*by, "_len", "_ref")
 
-    all_grams = F.flatten(F.array(*[_sized_grams(F.col("_t"), n) for n in range(1, max_n + 1)]))
+    # Texts are placed by sentence, so counting n-grams within one needs no further shuffle.
+    placed = words.select(*by, order, "_t").repartition(*by, order)
     counts = (
-        words.select(*by, order, F.explode(all_grams).alias("_x"))
-        .select(*by, order, "_x.n", "_x.g")
-        .groupBy(*by, order, "n", "g").agg(F.count(F.lit(1)).alias("c"))
-    )
-    levels = counts.groupBy(*by, "n", "g", "c").agg(
-        F.count(F.lit(1)).alias("holders"), F.max(order).alias("holder")
-    )
-    # Distinct counts of one n-gram: again bounded by sentence length.
-    ranked = levels.groupBy(*by, "n", "g").agg(
-        F.sort_array(F.collect_list(F.struct("c", "holders", "holder")), asc=False).alias("_top")
+        placed.select(*by, order, F.inline(_sized_grams(F.col("_t"), sizes)))
+        .groupBy(*by, order, "n", "g").agg(F.count(F.lit(1)).alias("_c"))
     )
-    second = F.coalesce(F.get(F.col("_top"), F.lit(1))["c"], F.lit(0))
-    lost = (
-        ranked.filter(F.col("_top")[0]["holders"] == 1)
-        .select(*by, F.col("_top")[0]["holder"].alias(order), "n", (F.col("_top")[0]["c"] - second).alias("_lost"))
-        .groupBy(*by, order)
-        .agg(*[
-            F.coalesce(F.sum(F.when(F.col("n") == n, F.col("_lost"))), F.lit(0)).alias(f"_lost{n}")
-            for n in range(1, max_n + 1)
-        ])
+    alone = (
+        counts.select(*by, order, "n", "g", F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_r"))
+        .groupBy(*by, "n", "g", "_r").agg(F.count(F.lit(1)).alias("_holders"), F.max(order).alias(order))
+        .filter(F.col("_holders") == 1)
     )
+    lost = alone.groupBy(*by, order).agg(*[F.count_if(F.col("n") == n).alias(f"_lost{n}") for n in sizes])
     scored = words.select(*by, order, "_len").join(lengths, [*by, "_len"]).join(lost, [*by, order], "left")
     log_sum = F.lit(0.0)
-    for n in range(1, max_n + 1):
+    for n in sizes:
         total = F.greatest(F.col("_len") - (n - 1), F.lit(0))
-        hits = total - F.coalesce(F.col(f"_lost{n}"), F.lit(0))
-        scored = scored.withColumn(f"_hits{n}", hits)
+        scored = scored.withColumn(f"_hits{n}", total - F.coalesce(F.col(f"_lost{n}"), F.lit(0)))
         smooth = F.when(F.col(f"_hits{n}") == 0, F.lit(0.1)).otherwise(F.col(f"_hits{n}").cast("double"))
         log_sum = log_sum + F.log(smooth / F.greatest(total, F.lit(1))) / max_n
     brevity = F.when(F.col("_len") > F.col("_ref"), F.lit(1.0)).otherwise(F.exp(1 - F.col("_ref") / F.col("_len")))
     score = F.when(F.col("_hits1") == 0, F.lit(0.0)).otherwise(brevity * F.exp(log_sum))
     # A sentence without any other to compare with has no reference length.
     mean = scored.filter(F.col("_ref").isNotNull()).groupBy(*by).agg(F.avg(score).alias(out))
-    return groups.join(mean, by, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    return df.select(*by).distinct().join(mean, by, "left").fillna(0.0, [out])
 
 
 def prompt_confusion(df: DataFrame, by: Sequence[str], prompt: str, sentiment: str, formality: str) -> DataFrame:

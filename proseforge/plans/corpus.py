@@ -12,7 +12,7 @@ from proseforge.operators import dedup, joins, sampling
 from proseforge.operators.numbering import id_bucket
 from proseforge.plans import sqlparts as S
 from proseforge.plans.registry import query
-from proseforge.sources.readers import lines, parallel_rows, table
+from proseforge.sources.readers import lines, parallel_rows, table, text_table
 
 SPLIT_SEED = 7
 SPLIT_SQL = f"CASE WHEN {S.u(SPLIT_SEED, 'part', 'doc_id')} < 0.8 THEN 'train' WHEN {S.u(SPLIT_SEED, 'part', 'doc_id')} < 0.9 THEN 'validation' ELSE 'test' END"
@@ -25,14 +25,14 @@ def _part():
 
 def cleaned_lines(spark: SparkSession, d: str) -> DataFrame:
     """Document lines after cleaning and the length filter, with their split."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text").withColumn("split", _part())
+    docs = text_table(spark, d, "documents").select("doc_id", "lang", "text").withColumn("split", _part())
     rows = lines(docs, "text", ["doc_id", "lang", "split"])
     return T.clean_lines(rows, "line").filter(T.long_enough(F.col("line")))
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Documents with both attributes."""
-    return table(spark, d, "documents").select("doc_id", "text", "source").join(
+    return text_table(spark, d, "documents").select("doc_id", "text", "source").join(
         table(spark, d, "labels"), "doc_id"
     ).select(
         "doc_id", "text", "source", "quality", "toxic",
@@ -89,7 +89,7 @@ _ENTITIES = {"&middot;": "·", "&copy;": "©", "&quot;": '"', "&amp;?": "&"}
     FROM (SELECT page_id, {S.clean('html', _ENTITIES)} AS c FROM pages)""")
 def clean_pages(spark: SparkSession, d: str) -> DataFrame:
     """The line cleaner over entity-heavy text."""
-    rows = T.clean_lines(table(spark, d, "pages").select("page_id", "html"), "html")
+    rows = T.clean_lines(text_table(spark, d, "pages").select("page_id", "html"), "html")
     return rows.select("page_id", F.length("html").cast("long").alias("n_chars"), T.text_key(F.col("html")).alias("key"))
 
 
@@ -101,7 +101,7 @@ for _old, _new in ((r"'\n'", "' '"), ("chr(10)", "' '"), (r"""'\""'""", """'"'""
 @query(f"SELECT doc_id, {S.squeeze(REVIEW_SQL)} AS text FROM documents")
 def clean_reviews(spark: SparkSession, d: str) -> DataFrame:
     """Escapes, stray quotes and backslashes removed from whole texts."""
-    return table(spark, d, "documents").select("doc_id", T.clean_review(F.col("text")).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", T.clean_review(F.col("text")).alias("text"))
 
 
 @query(f"""WITH src AS (
@@ -111,8 +111,8 @@ def clean_reviews(spark: SparkSession, d: str) -> DataFrame:
     SELECT source, id, pos::INT AS pos FROM rows WHERE {S.header_or_markup('line')}""")
 def heading_markup_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines that are blank, short, headings, lists, templates or table rows."""
-    docs = table(spark, d, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
-    pages = table(spark, d, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    docs = text_table(spark, d, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
+    pages = text_table(spark, d, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     rows = lines(docs.unionByName(pages), "text", ["source", "id"])
     return rows.filter(T.is_header_or_markup(F.col("line"))).select("source", "id", "pos")
 
@@ -143,7 +143,7 @@ def control_prompts(spark: SparkSession, d: str) -> DataFrame:
     FROM p""")
 def parse_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Prompts of all documents, unlabelled ones unspecified, parsed back into attributes."""
-    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    rows = text_table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     sentiment = F.when(F.col("quality").isNotNull(), P.sentiment_name(F.col("quality")))
     formality = F.when(F.col("toxic").isNotNull(), P.formality_name(F.col("toxic")))
     prompt = P.control_prompt_or_unspecified(sentiment, formality)
@@ -187,13 +187,13 @@ def balanced_capped(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT doc_id, row_number() OVER (ORDER BY {S.u(42, 'split', 'doc_id')}, doc_id) AS rn, count(*) OVER () AS n FROM documents)""")
 def train_test_split(spark: SparkSession, d: str) -> DataFrame:
     """Exact ten-percent test split."""
-    return sampling.train_test_split(table(spark, d, "documents").select("doc_id"), ["doc_id"])
+    return sampling.train_test_split(text_table(spark, d, "documents").select("doc_id"), ["doc_id"])
 
 
 @query(f"""SELECT doc_id, CASE WHEN {S.u(42, 'split', 'doc_id')} < 0.1 THEN 'test' ELSE 'train' END AS split FROM documents""")
 def threshold_split(spark: SparkSession, d: str) -> DataFrame:
     """The one-pass split, exact in expectation."""
-    return sampling.train_test_split(table(spark, d, "documents").select("doc_id"), ["doc_id"], exact=False)
+    return sampling.train_test_split(text_table(spark, d, "documents").select("doc_id"), ["doc_id"], exact=False)
 
 
 @query(f"""SELECT doc_id, pos::INT AS pos, line FROM (
@@ -203,20 +203,20 @@ def threshold_split(spark: SparkSession, d: str) -> DataFrame:
     ORDER BY {S.u(42, 'sample', 'doc_id', 'pos')}, doc_id, pos LIMIT 10000""")
 def sample_train_rows(spark: SparkSession, d: str) -> DataFrame:
     """Ten thousand random lines, the reference's training sample size."""
-    rows = lines(table(spark, d, "documents"), "text", ["doc_id"]).filter(~T.blank(F.col("line")))
+    rows = lines(text_table(spark, d, "documents"), "text", ["doc_id"]).filter(~T.blank(F.col("line")))
     return sampling.sample_rows(rows, 10_000, 42, ["doc_id", "pos"])
 
 
 @query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 500")
 def head_slice(spark: SparkSession, d: str) -> DataFrame:
     """The first rows of a corpus in key order."""
-    return sampling.head(table(spark, d, "documents").select("doc_id", "text"), 500, ["doc_id"])
+    return sampling.head(text_table(spark, d, "documents").select("doc_id", "text"), 500, ["doc_id"])
 
 
 @query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 300 OFFSET 150")
 def offset_slice(spark: SparkSession, d: str) -> DataFrame:
     """A start index and a record limit on a scan."""
-    return sampling.window_slice(table(spark, d, "documents").select("doc_id", "text"), 150, 300, ["doc_id"])
+    return sampling.window_slice(text_table(spark, d, "documents").select("doc_id", "text"), 150, 300, ["doc_id"])
 
 
 @query("""WITH a AS (SELECT text, row_number() OVER (ORDER BY conv_id, turn) AS row_no FROM conversations WHERE role = 'user'),
@@ -227,7 +227,7 @@ def offset_slice(spark: SparkSession, d: str) -> DataFrame:
     SELECT row_no, informal, 'unspecified', 'Informal', '[SENT_UNSPEC][FORM_INFORMAL] ' || informal FROM z""")
 def parallel_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Two columns aligned by position, unpivoted into labelled rows."""
-    turns = table(spark, d, "conversations")
+    turns = text_table(spark, d, "conversations")
     sides = [turns.filter(F.col("role") == role) for role in ("user", "assistant")]
     order = ["conv_id", "turn"]
     zipped = joins.zip_rows(
@@ -265,7 +265,7 @@ _HARVEST_SQL = f"""WITH held AS (
 @query(_HARVEST_SQL)
 def prompt_harvest(spark: SparkSession, d: str) -> DataFrame:
     """Short prompts from a random pool of plain held-out lines."""
-    docs = lines(table(spark, d, "documents"), "text", ["doc_id"]).select(
+    docs = lines(text_table(spark, d, "documents"), "text", ["doc_id"]).select(
         F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "pos", "line"
     )
     held = docs.unionByName(table(spark, d, "benchmark").select(
@@ -279,8 +279,8 @@ def prompt_harvest(spark: SparkSession, d: str) -> DataFrame:
       UNION ALL SELECT text, 'conversations', conv_id * 1000 + turn FROM conversations)""")
 def concatenated_corpora(spark: SparkSession, d: str) -> DataFrame:
     """Two corpora as one, matched by column name."""
-    docs = table(spark, d, "documents").select("text", F.lit("documents").alias("source"), F.col("doc_id").alias("key"))
-    turns = table(spark, d, "conversations").select(
+    docs = text_table(spark, d, "documents").select("text", F.lit("documents").alias("source"), F.col("doc_id").alias("key"))
+    turns = text_table(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.lit("conversations").alias("source"), "text"
     )
     return docs.unionByName(turns)

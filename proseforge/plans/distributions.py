@@ -17,7 +17,7 @@ from proseforge.plans.examples import doc_vocab
 from proseforge.plans.registry import query
 from proseforge.plans.scoring import LM_SQL, language_model, pairs_sql
 from proseforge.session import cut_lineage
-from proseforge.sources.readers import table
+from proseforge.sources.readers import table, text_table
 
 SEED = 77
 CTX = ["ctx"]
@@ -79,7 +79,7 @@ def suppress_ids(spark: SparkSession, d: str) -> DataFrame:
 def penalise_seen(spark: SparkSession, d: str) -> DataFrame:
     """Temperature, then a penalty on continuations already used in the conversations."""
     v, lm = language_model(spark, d)
-    seen = L.count_bigrams(table(spark, d, "conversations"), "text", v).select("ctx", "token_id")
+    seen = L.count_bigrams(text_table(spark, d, "conversations"), "text", v).select("ctx", "token_id")
     cand = L.successors(lm).withColumn("logit", K.temperature(F.col("logit"), 0.8))
     return _rounded(K.penalise_seen(cand, seen, CTX, 1.5), "logit")
 
@@ -173,7 +173,7 @@ def masked_predictions(spark: SparkSession, d: str) -> DataFrame:
     best = cut_lineage(
         K.argmax(probs, CTX).join(probs.select("ctx", "token_id", "p"), ["ctx", "token_id"]).select("ctx", "token_id", "p"), "best"
     )
-    turns = table(spark, d, "conversations").withColumn("sk", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = text_table(spark, d, "conversations").withColumn("sk", F.col("conv_id") * 1000 + F.col("turn"))
     pairs = L.id_pairs(turns, ["sk"], "text", v).drop("token_id")
     masked = pairs.filter(uniform(SEED, "mask", F.col("sk"), F.col("pos")) < 0.3)
     # One row per vocabulary id.
@@ -280,7 +280,7 @@ _ALIGN_SQL = f"""WITH {S.vocab_cte()}, {S.vocab_cte('conversations', name='tv')}
 @query(_ALIGN_SQL)
 def align_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of one vocabulary started from another's where tokens agree."""
-    turns = table(spark, d, "conversations")
+    turns = text_table(spark, d, "conversations")
     target = build_vocab(turns.select(tokens(F.col("text")).alias("t")), "t")
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     out = X.align_vectors(target, doc_vocab(spark, d), vecs, 64, SEED)

@@ -16,20 +16,20 @@ from proseforge.plans import sqlparts as S
 from proseforge.plans.corpus import LABELLED_SQL, labelled
 from proseforge.plans.registry import query
 from proseforge.session import cut_lineage
-from proseforge.sources.readers import table
+from proseforge.sources.readers import table, text_table
 
 SEED = 1234
 SEQ = 256
 
 
 def doc_vocab(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(T.tokens(F.col("text")).alias("t"))
+    docs = text_table(spark, d, "documents").select(T.tokens(F.col("text")).alias("t"))
     return tokens.build_vocab(docs, "t")
 
 
 def encoded(spark: SparkSession, d: str, name: str, keys: list[str], vocab: DataFrame | None = None) -> DataFrame:
     """(keys, ids) of a table's text column."""
-    rows = table(spark, d, name).select(*keys, T.tokens(F.col("text")).alias("t"))
+    rows = text_table(spark, d, name).select(*keys, T.tokens(F.col("text")).alias("t"))
     return tokens.encode(rows, keys, "t", vocab if vocab is not None else doc_vocab(spark, d))
 
 
@@ -146,7 +146,7 @@ def prefix_shares(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, array_to_string(ids[c - k + 1 : c], ' ') AS prompt FROM with_c""")
 def prefix_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Open-ended prompts: a sampled prefix as text, empty for texts too short to cut."""
-    rows = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    rows = text_table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
     drawn = E.sample_prefix(rows, "t", SEED, ["doc_id"])
     return drawn.select("doc_id", F.array_join("prefix", " ").alias("prompt"))
 
@@ -156,7 +156,7 @@ EPOCHS = 5
 
 def teacher_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(conv_id, turn, prompt, text): user turns and the assistant turn after each."""
-    turns = table(spark, d, "conversations")
+    turns = text_table(spark, d, "conversations")
     asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
     said = turns.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
     return asked.join(said, ["conv_id", "turn"], "left")
@@ -348,7 +348,7 @@ def decode_ids(spark: SparkSession, d: str) -> DataFrame:
 def generation_inputs(spark: SparkSession, d: str) -> DataFrame:
     """Prompts made ready: seeded when blank, cut from the left, and as a masked canvas."""
     blank = uniform(SEED, "blank", F.col("conv_id"), F.col("turn")) < 0.1
-    turns = table(spark, d, "conversations")
+    turns = text_table(spark, d, "conversations")
     prompts = turns.select(
         "conv_id", "turn",
         T.seed_if_blank(F.when(blank, "  ").otherwise(F.col("text")), SPECIAL_TOKENS[EOS]).alias("prompt"),

@@ -32,7 +32,7 @@ from proseforge.plans.scoring import (
 )
 from proseforge.session import cut_lineage, work_dir
 from proseforge.sources import readers, sinks
-from proseforge.sources.readers import table
+from proseforge.sources.readers import table, text_table
 from proseforge.streaming import tag_balance as B
 
 SEED = 1234
@@ -59,7 +59,7 @@ def clean_outputs(spark: SparkSession, d: str) -> DataFrame:
         .when(draw < 0.9, prompt)
         .otherwise(F.concat(F.lit("  "), text))
     )
-    rows = table(spark, d, "conversations").select("conv_id", "turn", prompt.alias("prompt"), raw.alias("raw"))
+    rows = text_table(spark, d, "conversations").select("conv_id", "turn", prompt.alias("prompt"), raw.alias("raw"))
     out = rows.select("conv_id", "turn", T.clean_output(F.col("raw"), F.col("prompt")).alias("sentence"))
     return out.filter(F.col("sentence") != "")
 
@@ -74,7 +74,7 @@ ITERATIONS = 3
     SELECT prompt, model_type, iter FROM prompts, models, its WHERE (prompt, model_type) NOT IN (SELECT (prompt, model_type) FROM done)""")
 def resume_pending(spark: SparkSession, d: str) -> DataFrame:
     """Prompt, model and iteration still to run, given what is already recorded."""
-    prompts = table(spark, d, "conversations").select(F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("prompt"))
+    prompts = text_table(spark, d, "conversations").select(F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("prompt"))
     return G.work_list(prompts, MODELS, turn_records(spark, d), ITERATIONS)
 
 
@@ -103,7 +103,7 @@ def _repeat(prompts: list[str]) -> list[str]:
     UNION ALL SELECT prompt, 'repeat', iter, prompt || ' ' || prompt, TRUE FROM p, its""")
 def pluggable_generation(spark: SparkSession, d: str) -> DataFrame:
     """Generators per model run in batches over a work list, each call timed."""
-    prompts = table(spark, d, "conversations").filter(F.col("role") == "user").select(F.col("text").alias("prompt"))
+    prompts = text_table(spark, d, "conversations").filter(F.col("role") == "user").select(F.col("text").alias("prompt"))
     tasks = G.work_list(prompts, ["reverse", "repeat"], None, 2)
     out = G.generate(tasks, {"reverse": _reverse_words, "repeat": _repeat})
     return out.select("prompt", "model_type", "iter", "sentence", (F.col("elapsed_s") >= 0).alias("timed"))
@@ -113,9 +113,9 @@ def pluggable_generation(spark: SparkSession, d: str) -> DataFrame:
 def sampled_texts(spark: SparkSession, d: str) -> DataFrame:
     """Texts continued from every user turn by the bigram sampler, 32 to 64 tokens."""
     v = cut_lineage(doc_vocab(spark, d), "vocab")
-    lm = L.count_bigrams(table(spark, d, "documents"), "text", v, end="</s>")
+    lm = L.count_bigrams(text_table(spark, d, "documents"), "text", v, end="</s>")
     keys = ["conv_id", "turn"]
-    asked = table(spark, d, "conversations").filter(F.col("role") == "user")
+    asked = text_table(spark, d, "conversations").filter(F.col("role") == "user")
     start = G.last_known_id(asked, keys, T.tokens(F.col("text")), v, UNK)
     out = G.sample_texts(start, keys, "last_id", G.next_token_table(lm.filter(F.col("token_id") != UNK)), SEED)
     words = out.select(*keys, F.posexplode("new_ids").alias("pos", "id")).join(F.broadcast(v), "id")
@@ -149,8 +149,8 @@ def teacher_pairs_valid(spark: SparkSession, d: str) -> DataFrame:
 def unseen_texts(spark: SparkSession, d: str) -> DataFrame:
     """Texts new against two seen sets and among themselves."""
     rows = teacher_pairs(spark, d).filter(F.length("text") >= 40).select("conv_id", "turn", "text")
-    early = table(spark, d, "conversations").filter(F.col("turn") < 2).select("text")
-    seen = table(spark, d, "documents").select("text").unionByName(early)
+    early = text_table(spark, d, "conversations").filter(F.col("turn") < 2).select("text")
+    seen = text_table(spark, d, "documents").select("text").unionByName(early)
     return dedup.not_seen(rows, seen, "text", ["conv_id", "turn"])
 
 
@@ -181,7 +181,7 @@ def _teacher_sql() -> str:
 @query(_teacher_sql())
 def teacher_topup(spark: SparkSession, d: str) -> DataFrame:
     """Curation with top-up rounds; round r answers with the turn r places after the reply."""
-    turns = table(spark, d, "conversations")
+    turns = text_table(spark, d, "conversations")
     prompts = turns.filter(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), "conv_id", "turn", F.col("text").alias("prompt")
     )
@@ -204,7 +204,7 @@ _DOC = Y.StructType([Y.StructField("doc_id", Y.LongType()), Y.StructField("text"
 def jsonl_rewrite(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as JSON lines, cleaned file to file, and read back."""
     source, target = work_dir(spark, "raw-jsonl"), work_dir(spark, "clean-jsonl")
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = text_table(spark, d, "documents").select("doc_id", "text")
     sinks.append_json(docs.filter(F.col("doc_id") % 2 == 0), source)
     sinks.append_json(docs.filter(F.col("doc_id") % 2 == 1), source)
     sinks.rewrite_json(spark, source, target, _DOC)
@@ -325,7 +325,7 @@ def pair_cache(spark: SparkSession, d: str) -> DataFrame:
 def stream_tag_balance(spark: SparkSession, d: str) -> DataFrame:
     """Documents streamed, tagged and balanced per micro-batch, appended as JSON lines."""
     model = cut_lineage(C.train_naive_bayes(labelled(spark, d), "text", "toxic"), "model")
-    docs = table(spark, d, "documents")
+    docs = text_table(spark, d, "documents")
     stream = readers.stream_table(spark, d, "documents", docs.schema)
     label = F.when(F.col("lang").isin("en", "de"), 1).otherwise(0)
     tagger = B.naive_bayes_tagger(model, ["doc_id"], "text", "label")

@@ -18,7 +18,7 @@ from proseforge.plans.corpus import LABELLED_SQL, labelled
 from proseforge.plans.examples import VOCAB_SQL, doc_vocab
 from proseforge.plans.registry import query
 from proseforge.session import cut_lineage
-from proseforge.sources.readers import table
+from proseforge.sources.readers import table, text_table
 from proseforge.streaming.tag_balance import balance_buffers
 
 SEED = 99
@@ -59,7 +59,7 @@ def nb_train(spark: SparkSession, d: str) -> DataFrame:
 def nb_predict(spark: SparkSession, d: str) -> DataFrame:
     """Every document scored by the model of the labelled ones."""
     model = C.train_naive_bayes(labelled(spark, d), "text", "quality")
-    scores = C.score_naive_bayes(table(spark, d, "documents"), ["doc_id"], "text", model)
+    scores = C.score_naive_bayes(text_table(spark, d, "documents"), ["doc_id"], "text", model)
     return scores.withColumn("pred", C.predicted(F.col("score")))
 
 
@@ -167,7 +167,7 @@ LM_SQL = f"""{VOCAB_SQL},
 def language_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, bigram counts) of the documents, written once and read back."""
     v = cut_lineage(doc_vocab(spark, d), "vocab")
-    return v, cut_lineage(L.count_bigrams(table(spark, d, "documents"), "text", v), "bigrams")
+    return v, cut_lineage(L.count_bigrams(text_table(spark, d, "documents"), "text", v), "bigrams")
 
 
 def pairs_sql(name: str, source: str, key: str) -> str:
@@ -190,7 +190,7 @@ def ppl_sql(name: str, source: str, key: str) -> str:
 @query(f"WITH {LM_SQL} SELECT ctx, token_id, n FROM lm")
 def bigram_lm(spark: SparkSession, d: str) -> DataFrame:
     """Bigram counts over the capped vocabulary."""
-    return L.count_bigrams(table(spark, d, "documents"), "text", doc_vocab(spark, d))
+    return L.count_bigrams(text_table(spark, d, "documents"), "text", doc_vocab(spark, d))
 
 
 @query(f"WITH {LM_SQL}, {ppl_sql('b', 'benchmark', 'item_id')} SELECT item_id, round(ppl, 4) AS perplexity FROM b")
@@ -203,7 +203,7 @@ def benchmark_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 def turn_records(spark: SparkSession, d: str) -> DataFrame:
     """Generation records in long form: conversation as prompt, role as model, turn as iteration."""
-    return table(spark, d, "conversations").select(
+    return text_table(spark, d, "conversations").select(
         F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("prompt"),
         F.col("role").alias("model_type"),
         F.col("turn").alias("iter"),
@@ -261,10 +261,9 @@ def _distinct_sql(name: str, source: str, group: str, order: str, n: int) -> str
     FROM d1 JOIN d2 USING (lang) JOIN d3 USING (lang)""")
 def distinct_n(spark: SparkSession, d: str) -> DataFrame:
     """Distinct 1-, 2- and 3-gram shares of each language, as one long token sequence."""
-    docs = table(spark, d, "documents")
+    docs = text_table(spark, d, "documents")
     bucket = id_bucket(docs, "doc_id", 64)
-    parts = [V.distinct_n(docs, ["lang"], "doc_id", "text", n, bucket, f"d{n}") for n in (1, 2, 3)]
-    out = parts[0].join(parts[1], "lang").join(parts[2], "lang")
+    out = V.distinct_n(docs, ["lang"], "doc_id", "text", (1, 2, 3), bucket)
     return out.select("lang", *[F.round(f"d{n}", 6).alias(f"d{n}") for n in (1, 2, 3)])
 
 
@@ -301,14 +300,14 @@ def _bleu_sql(name: str, source: str, group: str, order: str) -> str:
     SELECT role, round(score, 6) AS self_bleu FROM sb""")
 def self_bleu_by_role(spark: SparkSession, d: str) -> DataFrame:
     """Self-BLEU of three large groups."""
-    turns = table(spark, d, "conversations").withColumn("rid", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = text_table(spark, d, "conversations").withColumn("rid", F.col("conv_id") * 1000 + F.col("turn"))
     return V.self_bleu(turns, ["role"], "rid", "text").withColumn("self_bleu", F.round("self_bleu", 6))
 
 
 @query(f"""WITH {_bleu_sql('sb', 'documents', 'source', 'doc_id')} SELECT source, round(score, 6) AS self_bleu FROM sb""")
 def self_bleu(spark: SparkSession, d: str) -> DataFrame:
     """Self-BLEU of the documents of each source."""
-    docs = table(spark, d, "documents")
+    docs = text_table(spark, d, "documents")
     return V.self_bleu(docs, ["source"], "doc_id", "text").withColumn("self_bleu", F.round("self_bleu", 6))
 
 
@@ -327,8 +326,7 @@ def open_ended_summary(spark: SparkSession, d: str) -> DataFrame:
     base = V.display_summary(base_summary(spark, d, records, "sentence"), {"avg_perplexity": 4, "avg_inference_time": 4})
     bucket = id_bucket(records, "iter", 64)
     metrics = (
-        V.distinct_n(records, KEYS, "iter", "sentence", 1, bucket, "d1")
-        .join(V.distinct_n(records, KEYS, "iter", "sentence", 2, bucket, "d2"), KEYS)
+        V.distinct_n(records, KEYS, "iter", "sentence", (1, 2), bucket)
         .join(V.self_bleu(records, KEYS, "iter", "sentence"), KEYS)
     )
     metrics = metrics.withColumns({c: T.fixed_decimals(F.round(c, 12), 4) for c in ("d1", "d2", "self_bleu")})

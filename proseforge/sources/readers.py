@@ -26,6 +26,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts, spread over all cores.
+
+    Text work is costly per byte.  A scan with fewer splits than cores is
+    redistributed once; a large table has splits enough and is read as it is.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
