@@ -44,6 +44,25 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(collapse(c), "^ | $", "")
 
 
+def has_text(c: Column) -> Column:
+    """True when there is any character other than white space (so, any token)."""
+    return F.coalesce(c.rlike(NOT_WS), F.lit(False))
+
+
+def blank(c: Column) -> Column:
+    return ~has_text(c)
+
+
+def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters use without computing it again.
+
+    Catalyst pushes filters below projections and then repeats the projected
+    expression at every mention.  It does not push them below an explode, and
+    exploding a one-element array changes nothing.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def tokens(c: Column) -> Column:
     """White-space tokens, without empty ones."""
     return F.array_remove(F.split(c, rf"{WS}+"), "")
@@ -73,11 +92,11 @@ def clean_lines(df: DataFrame, column: str, out: str | None = None, entities: bo
     line = F.replace(F.coalesce(F.col(column), F.lit("")), F.lit("<unk>"), F.lit(" "))
     if entities:
         line = unescape(line)
-    df = df.withColumn(out, F.regexp_replace(line, CONTROL, " "))
+    df = settle(df, out, F.regexp_replace(line, CONTROL, " "))
     body = F.col(out)
     for pattern in (TEMPLATE, CATEGORY, URL, FILE):
         body = F.regexp_replace(body, pattern, " ")
-    df = df.withColumn(out, F.when(F.col(out).rlike(HEADING), "").otherwise(collapse(body)))
+    df = settle(df, out, F.when(F.col(out).rlike(HEADING), "").otherwise(collapse(body)))
     return df.withColumn(out, F.when(F.col(out).rlike(ONLY_PUNCT), "").otherwise(F.col(out)))
 
 
@@ -145,10 +164,6 @@ def valid_pair(prompt: Column, text: Column, min_extra: int = 40) -> Column:
     )
 
 
-def blank(c: Column) -> Column:
-    return F.coalesce(strip(c), F.lit("")) == ""
-
-
 def file_key(c: Column) -> Column:
     """A prompt as a file-name part."""
     return F.regexp_replace(strip(c), "[^a-zA-Z0-9]", "_")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from proseforge.functions.arrays import last
 from proseforge.functions.prompts import parse_formality, parse_sentiment
-from proseforge.functions.text import fixed_decimals, tokens
+from proseforge.functions.text import fixed_decimals, has_text, tokens
 from proseforge.operators.joins import first_match
 from proseforge.operators.numbering import number_rows
 
@@ -82,11 +82,11 @@ def distinct_n(
     read, and only its outermost tokens travel for the n-grams across borders.
     """
     by = list(by)
-    words = df.select(*by, order, tokens(F.col(text)).alias("_t"))
+    words = df.filter(has_text(F.col(text))).select(*by, order, tokens(F.col(text)).alias("_t"))
     grams = words.select(*by, F.inline(_sized_grams(F.col("_t"), sizes)))
     reach = max(sizes) - 1
     if reach:
-        ends = words.filter(F.size("_t") > 0).select(
+        ends = words.select(
             *by, order, F.slice("_t", 1, reach).alias("_first"), last("_t", reach).alias("_last")
         )
         grams = grams.unionByName(_border_grams(number_rows(ends, [order], bucket, by), by, sizes))
@@ -113,7 +113,7 @@ def self_bleu(df: DataFrame, by: Sequence[str], order: str, text: str, max_n: in
     """
     by = list(by)
     sizes = range(1, max_n + 1)
-    words = df.select(*by, order, tokens(F.col(text)).alias("_t")).filter(F.size("_t") > 0)
+    words = df.filter(has_text(F.col(text))).select(*by, order, tokens(F.col(text)).alias("_t"))
     words = words.withColumn("_len", F.size("_t"))
 
     lengths = words.groupBy(*by, "_len").agg(F.count(F.lit(1)).alias("_same"))

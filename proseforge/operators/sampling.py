@@ -168,7 +168,7 @@ def harvest_prompts(
     words_col = F.col("_words")
     top = F.greatest(F.lit(1), F.least(F.lit(10), F.size(words_col) - words - 1))
     picked = (
-        pool.withColumn("_words", T.tokens(F.col(column)))
+        T.settle(pool, "_words", T.tokens(F.col(column)))
         .filter(F.size(words_col) >= words + 3)
         .withColumn("_start", randint(uniform(seed, "start", *key_cols), 0, top))
         .withColumn("prompt", F.array_join(F.slice(words_col, F.col("_start") + 1, words), " "))

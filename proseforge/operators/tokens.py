@@ -45,7 +45,8 @@ def most_frequent(counts: DataFrame, n: str, size: int) -> DataFrame:
 
 def build_vocab(df: DataFrame, tokens: str, size: int = MAX_VOCAB) -> DataFrame:
     """(token, id): special tokens, then the ``size`` most frequent ones."""
-    words = df.select(F.explode(tokens).alias("token")).filter(~F.col("token").isin(SPECIAL_TOKENS))
+    # An outer explode: for a plain one, Catalyst infers a filter that tokenises twice.
+    words = df.select(F.explode_outer(tokens).alias("token")).filter(~F.col("token").isin(SPECIAL_TOKENS))
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))  # at most ``size`` rows
     words = most_frequent(counts, "n", size).select(

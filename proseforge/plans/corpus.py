@@ -61,7 +61,7 @@ LABELLED_SQL = """
 
 @query(f"""WITH {LINES_SQL}
     SELECT split, lang, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars,
-           min(sha1(line)) AS low_key, max(sha1(line)) AS high_key
+           sum(('0x' || substr(sha1(line), 1, 8))::BIGINT)::BIGINT AS checksum
     FROM firsts GROUP BY split, lang""")
 def clean_lines_by_lang(spark: SparkSession, d: str) -> DataFrame:
     """Distinct clean lines per split and language (the flagship pipeline)."""
@@ -71,7 +71,7 @@ def clean_lines_by_lang(spark: SparkSession, d: str) -> DataFrame:
     first = dedup.first_wins(rows, F.col("key"), ["doc_id", "pos"], ["split"])
     return first.groupBy("split", "lang").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("chars").alias("n_chars"),
-        F.min("key").alias("low_key"), F.max("key").alias("high_key"),
+        F.sum(F.conv(F.substring("key", 1, 8), 16, 10).cast("long")).alias("checksum"),
     )
 
 

@@ -60,8 +60,8 @@ def clean_outputs(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(F.lit("  "), text))
     )
     rows = text_table(spark, d, "conversations").select("conv_id", "turn", prompt.alias("prompt"), raw.alias("raw"))
-    out = rows.select("conv_id", "turn", T.clean_output(F.col("raw"), F.col("prompt")).alias("sentence"))
-    return out.filter(F.col("sentence") != "")
+    out = T.settle(rows, "sentence", T.clean_output(F.col("raw"), F.col("prompt")))
+    return out.filter(F.col("sentence") != "").select("conv_id", "turn", "sentence")
 
 
 MODELS = ["assistant", "user", "system"]

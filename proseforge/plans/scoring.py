@@ -203,13 +203,15 @@ def benchmark_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 def turn_records(spark: SparkSession, d: str) -> DataFrame:
     """Generation records in long form: conversation as prompt, role as model, turn as iteration."""
-    return text_table(spark, d, "conversations").select(
+    turns = text_table(spark, d, "conversations")
+    cleaned = T.settle(turns, "sentence", T.clean_output(F.col("text"), None, remove_prompt=False))
+    return cleaned.filter(F.col("sentence") != "").select(
         F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("prompt"),
         F.col("role").alias("model_type"),
         F.col("turn").alias("iter"),
-        T.clean_output(F.col("text"), None, remove_prompt=False).alias("sentence"),
+        "sentence",
         (F.length("text") / F.lit(1024.0)).alias("elapsed_s"),
-    ).filter(~T.blank(F.col("sentence")))
+    )
 
 
 _SENTENCE = f"""{S.strip("replace(replace(" + S.strip('text') + ", '<|endoftext|>', ''), '\\n', ' ')")}"""
