@@ -174,9 +174,15 @@ def fixed_decimals(c: Column, digits: int) -> Column:
 
     ``format_number`` rounds the exact binary value half to even, as C and
     Python do; ``format_string`` would round the shortest decimal half up.
+    Exactly half of the last digit is the one value the JVM gets wrong.
     """
     shown = F.call_function("format_number", c, F.lit("0." + "0" * digits))
-    return F.when(c.isNull() | F.isnan(c), "N/A").otherwise(shown)
+    half = 5 / 10 ** (digits + 1)
+    return (
+        F.when(c.isNull() | F.isnan(c), "N/A")
+        .when(F.abs(c) == half, F.format_string(f"%s{half:.{digits}f}", F.when(c < 0, "-").otherwise("")))
+        .otherwise(shown)
+    )
 
 
 def seed_if_blank(prompt: Column, seed_token: str) -> Column:

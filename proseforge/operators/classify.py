@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from proseforge.functions import prompts as P
 from proseforge.functions.text import tokens
+from proseforge.operators.numbering import bounded
 from proseforge.operators.sampling import balanced
 from proseforge.operators.tokens import MAX_VOCAB, most_frequent
 from proseforge.session import cut_lineage
@@ -74,7 +75,8 @@ def report(df: DataFrame, label: str, pred: str, names: dict[int, str]) -> DataF
 
     Undefined ratios count as 0, and a class missing from the data is listed.
     """
-    pairs = df.groupBy(F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    # The confusion table has a row per pair of classes; three results are read from it.
+    pairs = bounded(df.groupBy(F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n")))
     classes = list(names)
     sums = pairs.agg(*[
         F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(f"{kind}{c}")

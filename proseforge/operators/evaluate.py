@@ -34,16 +34,16 @@ def _grams(tokens_col: Column, n: int) -> Column:
 
 
 def _sized_grams(tokens_col: Column, sizes: Sequence[int]) -> Column:
-    """N-grams of several sizes as structs (n, g)."""
+    """N-grams of several sizes as structs (_n, _g)."""
 
     def of_size(n: int) -> Column:
-        return F.transform(_grams(tokens_col, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+        return F.transform(_grams(tokens_col, n), lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_g")))
 
     return F.flatten(F.array(*[of_size(n) for n in sizes]))
 
 
 def _border_grams(ends: DataFrame, by: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """(by, n, g): n-grams that start in one sentence and end in a later one.
+    """(by, _n, _g): n-grams that start in one sentence and end in a later one.
 
     ``ends`` is (by, row_no, _first, _last) with the outermost tokens of each
     non-blank sentence.  A sentence offers its first tokens to the sentences
@@ -63,7 +63,7 @@ def _border_grams(ends: DataFrame, by: Sequence[str], sizes: Sequence[int]) -> D
         size = F.size("_last")
         start = F.greatest(size - (n - 1), F.lit(0))
         across = F.concat(F.slice("_last", start + 1, F.lit(n - 1)), F.slice("_tail", 1, n - 1))
-        return F.transform(_grams(across, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+        return F.transform(_grams(across, n), lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_g")))
 
     grams = F.flatten(F.array(*[of_size(n) for n in sizes if n > 1]))
     return joined.select(*by, F.inline(grams))
@@ -90,9 +90,9 @@ def distinct_n(
             *by, order, F.slice("_t", 1, reach).alias("_first"), last("_t", reach).alias("_last")
         )
         grams = grams.unionByName(_border_grams(number_rows(ends, [order], bucket, by), by, sizes))
-    counts = grams.groupBy(*by, "n", "g").agg(F.count(F.lit(1)).alias("_c"))
+    counts = grams.groupBy(*by, "_n", "_g").agg(F.count(F.lit(1)).alias("_c"))
     shares = counts.groupBy(*by).agg(*[
-        F.try_divide(F.count_if(F.col("n") == n), F.sum(F.when(F.col("n") == n, F.col("_c")))).alias(f"d{n}")
+        F.try_divide(F.count_if(F.col("_n") == n), F.sum(F.when(F.col("_n") == n, F.col("_c")))).alias(f"d{n}")
         for n in sizes
     ])
     groups = df.select(*by).distinct()
@@ -133,14 +133,14 @@ def self_bleu(df: DataFrame, by: Sequence[str], order: str, text: str, max_n: in
     placed = words.select(*by, order, "_t").repartition(*by, order)
     counts = (
         placed.select(*by, order, F.inline(_sized_grams(F.col("_t"), sizes)))
-        .groupBy(*by, order, "n", "g").agg(F.count(F.lit(1)).alias("_c"))
+        .groupBy(*by, order, "_n", "_g").agg(F.count(F.lit(1)).alias("_c"))
     )
     alone = (
-        counts.select(*by, order, "n", "g", F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_r"))
-        .groupBy(*by, "n", "g", "_r").agg(F.count(F.lit(1)).alias("_holders"), F.max(order).alias(order))
+        counts.select(*by, order, "_n", "_g", F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_r"))
+        .groupBy(*by, "_n", "_g", "_r").agg(F.count(F.lit(1)).alias("_holders"), F.max(order).alias(order))
         .filter(F.col("_holders") == 1)
     )
-    lost = alone.groupBy(*by, order).agg(*[F.count_if(F.col("n") == n).alias(f"_lost{n}") for n in sizes])
+    lost = alone.groupBy(*by, order).agg(*[F.count_if(F.col("_n") == n).alias(f"_lost{n}") for n in sizes])
     scored = words.select(*by, order, "_len").join(lengths, [*by, "_len"]).join(lost, [*by, order], "left")
     log_sum = F.lit(0.0)
     for n in sizes:

@@ -145,8 +145,8 @@ def sample_texts(
 
 def last_known_id(df: DataFrame, keys: Sequence[str], tokens_col: Column, vocab: DataFrame, unk: int) -> DataFrame:
     """(keys, last_id): id of each prompt's last token; an empty prompt starts at the end token."""
-    words = df.select(*keys, F.try_element_at(tokens_col, F.lit(-1)).alias("token"))
-    coded = words.join(broadcast_vocab(vocab), "token", "left")
+    words = df.select(*keys, F.try_element_at(tokens_col, F.lit(-1)).alias("_token"))
+    coded = words.join(broadcast_vocab(vocab), "_token", "left")
     return coded.select(
-        *keys, F.when(F.col("token").isNull(), EOS).otherwise(F.coalesce("id", F.lit(unk))).alias("last_id")
+        *keys, F.when(F.col("_token").isNull(), EOS).otherwise(F.coalesce("_id", F.lit(unk))).alias("last_id")
     )

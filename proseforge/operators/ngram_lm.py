@@ -29,8 +29,8 @@ def token_pairs(tokens_col: Column) -> Column:
 def _to_ids(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
     """Replace the token columns ``left`` and ``right`` by ids ``ctx`` and ``token_id``."""
     words = broadcast_vocab(vocab)
-    left = words.select(F.col("token").alias("left"), F.col("id").alias("ctx"))
-    right = words.select(F.col("token").alias("right"), F.col("id").alias("token_id"))
+    left = words.select(F.col("_token").alias("left"), F.col("_id").alias("ctx"))
+    right = words.select(F.col("_token").alias("right"), F.col("_id").alias("token_id"))
     return (
         pairs.join(F.broadcast(left), "left", "left")
         .join(F.broadcast(right), "right", "left")

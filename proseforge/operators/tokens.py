@@ -68,14 +68,14 @@ def add_control_tokens(vocab: DataFrame, extra: Sequence[str] = tuple(CONTROL_TO
 
 
 def broadcast_vocab(vocab: DataFrame) -> DataFrame:
-    """Broadcast a vocabulary.
+    """(_token, _id) of a vocabulary, to be broadcast.
 
     Ids are dense, so an id below the bound for every row proves the size; a
     larger vocabulary fails instead of flooding the executors.
     """
     too_big = F.raise_error(F.lit("vocabulary exceeds the broadcast bound")).cast("int")
     checked = F.when(F.col("id") < MAX_BROADCAST_IDS, F.col("id")).otherwise(too_big)
-    return F.broadcast(vocab.select("token", checked.alias("id")))
+    return F.broadcast(vocab.select(F.col("token").alias("_token"), checked.alias("_id")))
 
 
 def encode(df: DataFrame, keys: Sequence[str], tokens: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
@@ -84,24 +84,27 @@ def encode(df: DataFrame, keys: Sequence[str], tokens: str, vocab: DataFrame, ou
     The vocabulary is broadcast, so tokens are not shuffled; each task already
     holds whole rows, and the partial ``collect_list`` ships one id array per row.
     """
-    exploded = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "token"))
-    coded = exploded.join(broadcast_vocab(vocab), "token", "left")
+    exploded = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "_token"))
+    coded = exploded.join(broadcast_vocab(vocab), "_token", "left")
     item = F.when(
         F.col("_pos").isNotNull(),
-        F.struct("_pos", F.coalesce("id", F.lit(UNK)).alias("id")),
+        F.struct("_pos", F.coalesce("_id", F.lit(UNK)).alias("_id")),
     )
     ordered = F.array_sort(F.collect_list(item))
-    return coded.groupBy(*keys).agg(F.transform(ordered, lambda x: x["id"]).alias(out))
+    return coded.groupBy(*keys).agg(F.transform(ordered, lambda x: x["_id"]).alias(out))
 
 
-def decode(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame, blocked: DataFrame, out: str = "text") -> DataFrame:
+def decode(
+    df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame, blocked: DataFrame, out: str = "text"
+) -> DataFrame:
     """(keys, out): tokens joined by spaces, without blocked ids."""
-    exploded = df.select(*keys, F.posexplode_outer(ids).alias("_pos", "id"))
+    exploded = df.select(*keys, F.posexplode_outer(ids).alias("_pos", "_id"))
     words = vocab.join(blocked.select("id").distinct(), "id", "left_anti")
-    named = exploded.join(broadcast_vocab(words), "id", "left")
-    item = F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))
+    named = exploded.join(broadcast_vocab(words), "_id", "left")
+    item = F.when(F.col("_token").isNotNull(), F.struct("_pos", "_token"))
     ordered = F.array_sort(F.collect_list(item))
-    return named.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["token"]), " ").alias(out))
+    text = F.array_join(F.transform(ordered, lambda x: x["_token"]), " ")
+    return named.groupBy(*keys).agg(text.alias(out))
 
 
 def blocked_ids(vocab: DataFrame, keep_control: bool = False) -> DataFrame:

@@ -23,8 +23,9 @@ SEQ = 256
 
 
 def doc_vocab(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary of the documents, written once so that no later stage recounts it."""
     docs = text_table(spark, d, "documents").select(T.tokens(F.col("text")).alias("t"))
-    return tokens.build_vocab(docs, "t")
+    return cut_lineage(tokens.build_vocab(docs, "t"), "vocab")
 
 
 def encoded(spark: SparkSession, d: str, name: str, keys: list[str], vocab: DataFrame | None = None) -> DataFrame:

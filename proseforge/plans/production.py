@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
@@ -10,7 +11,7 @@ from proseforge.functions import prompts as P
 from proseforge.functions import text as T
 from proseforge.functions.draws import uniform
 from proseforge.operators import classify as C
-from proseforge.operators import dedup, teacher
+from proseforge.operators import callbacks, dedup, teacher
 from proseforge.operators import evaluate as V
 from proseforge.operators import generate as G
 from proseforge.operators import ngram_lm as L
@@ -26,11 +27,12 @@ from proseforge.plans.scoring import (
     base_summary,
     held_out_predictions,
     language_model,
+    nb_model,
     nb_score_sql,
     nb_sql,
     turn_records,
 )
-from proseforge.session import cut_lineage, work_dir
+from proseforge.session import work_dir
 from proseforge.sources import readers, sinks
 from proseforge.sources.readers import table, text_table
 from proseforge.streaming import tag_balance as B
@@ -109,10 +111,37 @@ def pluggable_generation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("prompt", "model_type", "iter", "sentence", (F.col("elapsed_s") >= 0).alias("timed"))
 
 
+def _first_words(batch: pd.DataFrame) -> pd.DataFrame:
+    words = batch["text"].str.split()
+    return pd.DataFrame({"doc_id": batch["doc_id"], "n_words": words.str.len(), "initials": words.map(lambda w: "".join(x[0] for x in w))})
+
+
+@query(f"""SELECT doc_id, len({S.tokens('text')}) AS n_words, array_to_string(list_transform({S.tokens('text')}, lambda x: left(x, 1)), '') AS initials
+    FROM documents WHERE length(text) % 2 = 0""")
+def python_callbacks(spark: SparkSession, d: str) -> DataFrame:
+    """A Python predicate and a Python batch function over whole texts."""
+    docs = text_table(spark, d, "documents").select("doc_id", "text")
+    even = callbacks.keep_where(docs, "text", lambda t: len(t) % 2 == 0)
+    return callbacks.map_batches(even, _first_words, "doc_id long, n_words long, initials string")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT unnest({S.tokens('text')}) AS token FROM documents),
+    c AS (SELECT DISTINCT unnest({S.tokens('text')}) AS token FROM conversations)
+    SELECT token, token IN (FROM d) AS in_documents FROM (SELECT token FROM d UNION SELECT token FROM c)
+    WHERE token NOT IN (SELECT unnest({S.tokens('text')}) FROM benchmark)""")
+def token_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Union of two token sets less a third, with membership in the first."""
+    words = lambda name: text_table(spark, d, name).select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    docs = words("documents").distinct()
+    kept = dedup.difference(dedup.union_distinct(docs, words("conversations")), words("benchmark"), ["token"])
+    marked = kept.join(docs.withColumn("in_documents", F.lit(True)), "token", "left")
+    return marked.withColumn("in_documents", F.coalesce("in_documents", F.lit(False)))
+
+
 @query()
 def sampled_texts(spark: SparkSession, d: str) -> DataFrame:
     """Texts continued from every user turn by the bigram sampler, 32 to 64 tokens."""
-    v = cut_lineage(doc_vocab(spark, d), "vocab")
+    v = doc_vocab(spark, d)
     lm = L.count_bigrams(text_table(spark, d, "documents"), "text", v, end="</s>")
     keys = ["conv_id", "turn"]
     asked = text_table(spark, d, "conversations").filter(F.col("role") == "user")
@@ -300,14 +329,14 @@ def records_checkpoint(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS_SQL}, j AS (SELECT conv_id, turn, prompt, prompt || ' ' || coalesce(text, '') AS text FROM pairs)
-    SELECT * FROM j WHERE length(text) - length(prompt) >= 40 ORDER BY conv_id, turn LIMIT 100""")
+    SELECT * FROM j WHERE length(text) - length(prompt) >= 40 ORDER BY conv_id, turn LIMIT 25""")
 def pair_cache(spark: SparkSession, d: str) -> DataFrame:
     """A pair cache validated again into a new folder, then its guarded head."""
     old, new = work_dir(spark, "pairs"), work_dir(spark, "pairs-valid")
     pairs = teacher_pairs(spark, d)
     pairs.withColumn("text", F.concat("prompt", F.lit(" "), F.coalesce("text", F.lit("")))).write.parquet(old)
     readers.revalidate_cache(spark, old, new)
-    return readers.cached_pairs(spark, new, 100, ["conv_id", "turn"])
+    return readers.cached_pairs(spark, new, 25, ["conv_id", "turn"])
 
 
 # --- streaming ---
@@ -324,7 +353,7 @@ def pair_cache(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, text, sentiment, formality FROM lowest WHERE rn <= m""")
 def stream_tag_balance(spark: SparkSession, d: str) -> DataFrame:
     """Documents streamed, tagged and balanced per micro-batch, appended as JSON lines."""
-    model = cut_lineage(C.train_naive_bayes(labelled(spark, d), "text", "toxic"), "model")
+    model = nb_model(labelled(spark, d), "toxic")
     docs = text_table(spark, d, "documents")
     stream = readers.stream_table(spark, d, "documents", docs.schema)
     label = F.when(F.col("lang").isin("en", "de"), 1).otherwise(0)

@@ -47,10 +47,15 @@ def nb_score_sql(name: str, model: str, source: str, key: str) -> str:
         JOIN {model} USING (token) GROUP BY {key}) USING ({key}))"""
 
 
+def nb_model(rows: DataFrame, label: str) -> DataFrame:
+    """A naive Bayes model, written once."""
+    return cut_lineage(C.train_naive_bayes(rows, "text", label), "model")
+
+
 @query(f"WITH {LABELLED_SQL}, {nb_sql('m', 'lab', 'quality')} SELECT token, round(weight, 6) AS weight FROM m")
 def nb_train(spark: SparkSession, d: str) -> DataFrame:
     """Naive Bayes log-odds of the quality label."""
-    model = C.train_naive_bayes(labelled(spark, d), "text", "quality")
+    model = nb_model(labelled(spark, d), "quality")
     return model.withColumn("weight", F.round("weight", 6))
 
 
@@ -58,7 +63,7 @@ def nb_train(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, score, CASE WHEN score > 0 THEN 1 ELSE 0 END AS pred FROM sc""")
 def nb_predict(spark: SparkSession, d: str) -> DataFrame:
     """Every document scored by the model of the labelled ones."""
-    model = C.train_naive_bayes(labelled(spark, d), "text", "quality")
+    model = nb_model(labelled(spark, d), "quality")
     scores = C.score_naive_bayes(text_table(spark, d, "documents"), ["doc_id"], "text", model)
     return scores.withColumn("pred", C.predicted(F.col("score")))
 
@@ -74,7 +79,7 @@ def held_out_predictions(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, label, pred) of a held-out third of the labelled documents."""
     rows = labelled(spark, d)
     draw = uniform(SEED, "held", F.col("doc_id"))
-    model = C.train_naive_bayes(rows.filter(draw >= 0.3), "text", "quality")
+    model = nb_model(rows.filter(draw >= 0.3), "quality")
     held = rows.filter(draw < 0.3)
     scores = C.score_naive_bayes(held, ["doc_id"], "text", model)
     return held.select("doc_id", F.col("quality").alias("label")).join(scores, "doc_id").withColumn(
@@ -121,8 +126,7 @@ _TAG_SQL = f"""{LABELLED_SQL}, {nb_sql('m', 'lab', 'toxic')}, {nb_score_sql('sc'
 
 def tagged_documents(spark: SparkSession, d: str) -> DataFrame:
     rows = labelled(spark, d)
-    model = C.train_naive_bayes(rows, "text", "toxic")
-    return C.tag(rows, ["doc_id"], "text", "quality", model)
+    return C.tag(rows, ["doc_id"], "text", "quality", nb_model(rows, "toxic"))
 
 
 @query(f"""WITH {_TAG_SQL},
@@ -132,8 +136,7 @@ def tagged_documents(spark: SparkSession, d: str) -> DataFrame:
 def tag_and_balance(spark: SparkSession, d: str) -> DataFrame:
     """Formality predicted, sentiment given, classes balanced over the whole corpus."""
     rows = labelled(spark, d)
-    model = C.train_naive_bayes(rows, "text", "toxic")
-    out = C.tag_and_balance(rows, ["doc_id"], "text", "quality", model, SEED)
+    out = C.tag_and_balance(rows, ["doc_id"], "text", "quality", nb_model(rows, "toxic"), SEED)
     return out.withColumn("prompt", P.control_prompt(F.col("sentiment"), F.col("formality")))
 
 
@@ -149,7 +152,7 @@ _BUFFER = 128  # two scoring batches of 64
     SELECT doc_id, text, sentiment, formality, buffer FROM lowest WHERE size < {_BUFFER} OR rn <= m""")
 def tag_and_balance_buffers(spark: SparkSession, d: str) -> DataFrame:
     """Balancing per buffer of consecutive rows, the last partial buffer kept whole."""
-    tagged = tagged_documents(spark, d)
+    tagged = cut_lineage(tagged_documents(spark, d), "tagged")
     bucket = id_bucket(table(spark, d, "labels"), "doc_id")
     return balance_buffers(tagged, ["doc_id"], bucket, SEED, write_every=100, batch=64)
 
@@ -166,7 +169,7 @@ LM_SQL = f"""{VOCAB_SQL},
 
 def language_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, bigram counts) of the documents, written once and read back."""
-    v = cut_lineage(doc_vocab(spark, d), "vocab")
+    v = doc_vocab(spark, d)
     return v, cut_lineage(L.count_bigrams(text_table(spark, d, "documents"), "text", v), "bigrams")
 
 
@@ -346,8 +349,7 @@ def control_records(spark: SparkSession, d: str) -> DataFrame:
     )
     names = {"quality": ("said_sentiment", P.sentiment_name), "toxic": ("said_formality", P.formality_name)}
     for label, (name, named) in names.items():
-        model = C.train_naive_bayes(rows, "text", label)
-        scores = C.score_naive_bayes(rows, ["doc_id"], "text", model)
+        scores = C.score_naive_bayes(rows, ["doc_id"], "text", nb_model(rows, label))
         out = out.join(scores.select(F.col("doc_id").alias("iter"), named(C.predicted(F.col("score"))).alias(name)), "iter")
     return out
 
