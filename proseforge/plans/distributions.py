@@ -31,20 +31,20 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 CAND_SQL = f"{LM_SQL}, cand AS (SELECT ctx, token_id, ln(n::DOUBLE) AS logit FROM lm)"
 
 
-def _probs_sql(source: str, name: str = "probs") -> str:
+def probs_sql(source: str, name: str = "probs") -> str:
     return f"""
     {name}_e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY ctx)) AS e FROM {source}),
     {name} AS (SELECT ctx, token_id, logit, e / sum(e) OVER (PARTITION BY ctx) AS p FROM {name}_e)"""
 
 
-def _topk_sql(source: str, k: int, name: str = "topk") -> str:
+def topk_sql(source: str, k: int, name: str = "topk") -> str:
     return f"""
     {name} AS (SELECT ctx, token_id, logit FROM (
       SELECT *, rank() OVER (PARTITION BY ctx ORDER BY logit DESC) AS r FROM {source}) WHERE r <= {k})"""
 
 
-def _topp_sql(source: str, p: float, name: str = "topp") -> str:
-    return f"""{_probs_sql(source, name + '_q')},
+def topp_sql(source: str, p: float, name: str = "topp") -> str:
+    return f"""{probs_sql(source, name + '_q')},
     {name} AS (SELECT ctx, token_id, logit FROM (
       SELECT *, sum(p) OVER w AS cum, row_number() OVER w AS r FROM {name}_q
       WINDOW w AS (PARTITION BY ctx ORDER BY logit DESC, token_id ROWS UNBOUNDED PRECEDING))
@@ -84,25 +84,25 @@ def penalise_seen(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(K.penalise_seen(cand, seen, CTX, 1.5), "logit")
 
 
-@query(f"WITH {CAND_SQL}, {_topk_sql('cand', 5)} SELECT ctx, token_id, round(logit, 6) AS logit FROM topk")
+@query(f"WITH {CAND_SQL}, {topk_sql('cand', 5)} SELECT ctx, token_id, round(logit, 6) AS logit FROM topk")
 def topk_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The five best candidates per context, ties kept."""
     return _rounded(K.top_k(candidates(spark, d), CTX, 5), "logit")
 
 
-@query(f"WITH {CAND_SQL}, {_topk_sql('cand', 50)}, {_topp_sql('topk', 0.9)} SELECT ctx, token_id, round(logit, 6) AS logit FROM topp")
+@query(f"WITH {CAND_SQL}, {topk_sql('cand', 50)}, {topp_sql('topk', 0.9)} SELECT ctx, token_id, round(logit, 6) AS logit FROM topp")
 def topk_topp_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Top-p on top of top-k."""
     return _rounded(K.top_p(K.top_k(candidates(spark, d), CTX, 50), CTX, 0.9), "logit")
 
 
-@query(f"WITH {CAND_SQL}, {_topp_sql('cand', 0.9)} SELECT ctx, token_id, round(logit, 6) AS logit FROM topp")
+@query(f"WITH {CAND_SQL}, {topp_sql('cand', 0.9)} SELECT ctx, token_id, round(logit, 6) AS logit FROM topp")
 def topp_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Top-p alone, as in the variant that forgets the top-k cut."""
     return _rounded(K.top_p(candidates(spark, d), CTX, 0.9), "logit")
 
 
-@query(f"WITH {CAND_SQL}, {_probs_sql('cand')} SELECT ctx, token_id, round(p, 9) AS p FROM probs")
+@query(f"WITH {CAND_SQL}, {probs_sql('cand')} SELECT ctx, token_id, round(p, 9) AS p FROM probs")
 def softmax_probs(spark: SparkSession, d: str) -> DataFrame:
     """Next-token probabilities."""
     out = K.softmax(candidates(spark, d), CTX)
@@ -119,7 +119,7 @@ _BLOCK = f"({S.u(SEED, 'block', 'ctx')} < 0.1 OR {S.u(SEED, 'block', 'ctx', 'tok
     fixed AS (
       SELECT ctx, token_id, CASE WHEN token_id = 1 AND ctx IN (FROM dead) THEN 0 ELSE logit END AS logit FROM part
       UNION ALL SELECT ctx, 1, 0 FROM dead WHERE ctx NOT IN (SELECT ctx FROM part WHERE token_id = 1)),
-    {_probs_sql('fixed')},
+    {probs_sql('fixed')},
     clamped AS (SELECT ctx, token_id, greatest(least(p, 1), 1e-4::DOUBLE) AS p FROM probs)
     SELECT ctx, token_id, round(p / sum(p) OVER (PARTITION BY ctx), 6) AS p FROM clamped""")
 def safe_probabilities(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ def safe_probabilities(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CAND_SQL}, hot AS (SELECT ctx, token_id, logit / 0.8::DOUBLE AS logit FROM cand),
-    {_topk_sql('hot', 50)}, {_topp_sql('topk', 0.9)}, {_probs_sql('topp')},
+    {topk_sql('hot', 50)}, {topp_sql('topk', 0.9)}, {probs_sql('topp')},
     summed AS (SELECT *, sum(p) OVER w AS cum, row_number() OVER w AS r, {S.u(SEED, 'draw', 'ctx')} AS u FROM probs
       WINDOW w AS (PARTITION BY ctx ORDER BY p DESC, token_id ROWS UNBOUNDED PRECEDING))
     SELECT ctx, coalesce(arg_min(token_id, r) FILTER (cum > u), arg_max(token_id, r)) AS token_id FROM summed GROUP BY ctx""")
@@ -149,7 +149,7 @@ def argmax_next(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(K.argmax(candidates(spark, d), CTX), "logit")
 
 
-@query(f"""WITH {CAND_SQL}, {_topk_sql('cand', 20)}, {_probs_sql('topk')},
+@query(f"""WITH {CAND_SQL}, {topk_sql('cand', 20)}, {probs_sql('topk')},
     vecs AS (SELECT vec_id AS token_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings),
     cells AS (SELECT ctx, dim, greatest(-10, least(10, sum(p * x))) AS value FROM probs JOIN vecs USING (token_id) GROUP BY ctx, dim)
     SELECT ctx, round(sqrt(sum(value * value)), 6) AS norm, round(sum(value), 6) AS total FROM cells GROUP BY ctx""")
@@ -160,7 +160,7 @@ def expected_vectors(spark: SparkSession, d: str) -> DataFrame:
     return _sizes(K.expected_vectors(probs, vecs, CTX, 64, MAX_VOCAB + len(SPECIAL_TOKENS)), "ctx")
 
 
-_PRED_SQL = f"""{CAND_SQL}, {_probs_sql('cand')},
+_PRED_SQL = f"""{CAND_SQL}, {probs_sql('cand')},
     best AS (SELECT ctx, token_id, p FROM (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY logit DESC, token_id) AS r FROM probs) WHERE r = 1),
     turns AS (SELECT *, conv_id * 1000 + turn AS sk FROM conversations), {pairs_sql('tp', 'turns', 'sk')},
     preds AS (SELECT sk, pos::INT AS pos, best.token_id, round(p, 9) AS prob FROM tp JOIN best USING (ctx) WHERE {S.u(SEED, 'mask', 'sk', 'pos')} < 0.3)"""

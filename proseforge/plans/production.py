@@ -18,7 +18,8 @@ from proseforge.operators import ngram_lm as L
 from proseforge.operators.tokens import UNK
 from proseforge.plans import sqlparts as S
 from proseforge.plans.corpus import LABELLED_SQL, REVIEW_SQL, labelled
-from proseforge.plans.examples import PAIRS_SQL, doc_vocab, teacher_pairs
+from proseforge.plans.distributions import probs_sql, topk_sql, topp_sql
+from proseforge.plans.examples import PAIRS_SQL, VOCAB_SQL, doc_vocab, teacher_pairs
 from proseforge.plans.registry import query
 from proseforge.plans.scoring import (
     EVAL_SQL,
@@ -138,7 +139,40 @@ def token_sets(spark: SparkSession, d: str) -> DataFrame:
     return marked.withColumn("in_documents", F.coalesce("in_documents", F.lit(False)))
 
 
-@query()
+def _choices_sql(name: str, source: str) -> str:
+    """``name`` (ctx, r, cum, token_id): the cut and summed choices of each context."""
+    return f"""{topk_sql(source, 50, name + '_k')}, {topp_sql(name + '_k', 0.9, name + '_n')}, {probs_sql(name + '_n', name + '_p')},
+    {name} AS (SELECT ctx, token_id, row_number() OVER w AS r, round(sum(p) OVER w, 9) AS cum FROM {name}_p
+      WINDOW w AS (PARTITION BY ctx ORDER BY p DESC, token_id ROWS UNBOUNDED PRECEDING))"""
+
+
+_STEP_U = f"(('0x' || substr(md5(concat_ws(':', '{SEED}', conv_id, turn, 'step' || (step + 1))), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _pick_sql(choices: str) -> str:
+    return f"""(SELECT coalesce(arg_min(token_id, r) FILTER (cum > u), arg_max(token_id, r)) FROM {choices} WHERE ctx = cur)"""
+
+
+_SAMPLER_SQL = f"""WITH RECURSIVE {VOCAB_SQL},
+    end_t AS (SELECT list_concat({S.tokens('text')}, ['</s>']) AS t FROM documents),
+    end_p AS (SELECT unnest(t[1:len(t) - 1]) AS l, unnest(t[2:]) AS r FROM end_t WHERE len(t) >= 2),
+    cand AS (SELECT coalesce(a.id, 1) AS ctx, coalesce(b.id, 1) AS token_id, ln(count(*)::DOUBLE) AS logit
+      FROM end_p LEFT JOIN vocab a ON a.token = l LEFT JOIN vocab b ON b.token = r WHERE b.id IS NOT NULL GROUP BY 1, 2),
+    closed AS (SELECT * FROM cand WHERE token_id <> 5),
+    {_choices_sql('open', 'closed')}, {_choices_sql('free', 'cand')},
+    begun AS (SELECT conv_id, turn, CASE WHEN len(t) = 0 THEN 5 ELSE coalesce((SELECT id FROM vocab WHERE token = t[-1]), 1) END AS cur
+      FROM (SELECT conv_id, turn, {S.tokens('text')} AS t FROM conversations WHERE role = 'user')),
+    st AS (
+      SELECT conv_id, turn, 0 AS step, cur, FALSE AS over FROM begun
+      UNION ALL
+      SELECT conv_id, turn, step + 1, coalesce(t, cur), t IS NULL OR t = 5 FROM (
+        SELECT *, CASE WHEN step < 32 THEN {_pick_sql('open')} ELSE {_pick_sql('free')} END AS t
+        FROM (SELECT *, {_STEP_U} AS u FROM st WHERE NOT over AND step < 64)))
+    SELECT conv_id, turn, string_agg(token, ' ' ORDER BY step) AS text, count(*) AS n_tokens
+    FROM st JOIN vocab ON id = cur WHERE step > 0 AND NOT over GROUP BY conv_id, turn"""
+
+
+@query(_SAMPLER_SQL)
 def sampled_texts(spark: SparkSession, d: str) -> DataFrame:
     """Texts continued from every user turn by the bigram sampler, 32 to 64 tokens."""
     v = doc_vocab(spark, d)
