@@ -19,6 +19,9 @@ from proseforge.operators.joins import first_match
 from proseforge.operators.numbering import number_rows
 
 
+SALTS = 32
+
+
 def _grams(tokens_col: Column, n: int) -> Column:
     """All n-grams of a token array, as space-joined text.
 
@@ -141,7 +144,14 @@ def self_bleu(df: DataFrame, by: Sequence[str], order: str, text: str, max_n: in
         .filter(F.col("_holders") == 1)
     )
     lost = alone.groupBy(*by, order).agg(*[F.count_if(F.col("_n") == n).alias(f"_lost{n}") for n in sizes])
-    scored = words.select(*by, order, "_len").join(lengths, [*by, "_len"]).join(lost, [*by, order], "left")
+    # Many sentences of one group may share a length; salting spreads them.
+    salt = F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")
+    salted = lengths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scored = (
+        words.select(*by, order, "_len", salt.alias("_salt"))
+        .join(salted, [*by, "_len", "_salt"]).drop("_salt")
+        .join(lost, [*by, order], "left")
+    )
     log_sum = F.lit(0.0)
     for n in sizes:
         total = F.greatest(F.col("_len") - (n - 1), F.lit(0))

@@ -69,17 +69,19 @@ def generate(
     )
 
 
-def to_records(sentences: DataFrame) -> DataFrame:
-    """One generation record per prompt and model, for export.
+def to_records(sentences: DataFrame, per_record: int = 1000) -> DataFrame:
+    """Generation records for export: the sentences of a prompt and model as an array.
 
-    The sentence array holds one prompt's iterations, a parameter of the run;
-    the engine itself works on the long form.
+    A record holds the iterations of one stretch of ``per_record``, so that
+    its array is bounded; runs of up to that many give one record per prompt
+    and model.  The engine itself works on the long form.
     """
     ordered = F.array_sort(F.collect_list(F.struct("iter", "sentence")))
-    return sentences.groupBy("prompt", "model_type").agg(
+    part = F.floor(F.col("iter") / per_record).alias("_part")
+    return sentences.groupBy("prompt", "model_type", part).agg(
         F.transform(ordered, lambda x: x["sentence"]).alias("generated_sentences"),
         F.avg("elapsed_s").alias("avg_inference_time"),
-    )
+    ).drop("_part")
 
 
 def next_token_table(bigrams: DataFrame, k: int = 50, p: float = 0.9, temperature: float = 1.0) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 UNIFORM_BUCKETS = 65536
 ID_BUCKETS = 65536
+QUANTILES = 4096
+STRETCH = 65536
 BROADCAST_ROWS = 50_000
 
 
@@ -31,12 +33,32 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def id_bucket(df: DataFrame, column: str, buckets: int = ID_BUCKETS) -> Column:
-    """An order-preserving bucket of an integer column, cut from its value range."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
+    """An order-preserving bucket of an integer column.
+
+    Dense ids are cut into equal ranges.  Where ids are sparse, clusters or
+    outliers could put most rows into one range, so quantiles are cut instead.
+    """
+    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
     if low is None:
         return F.lit(0).cast("long")
-    width = (int(high) - int(low)) // buckets + 1
-    return F.floor((F.col(column) - F.lit(int(low))) / F.lit(width)).cast("long")
+    if int(high) - int(low) < 4 * n:
+        width = (int(high) - int(low)) // buckets + 1
+        return F.floor((F.col(column) - F.lit(int(low))) / F.lit(width)).cast("long")
+    return _quantile_bucket(df, column, min(buckets, QUANTILES))
+
+
+def _quantile_bucket(df: DataFrame, column: str, buckets: int) -> Column:
+    """Number of quantile bounds at or below the value, found in two short steps."""
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    bounds = sorted(set(df.agg(F.percentile_approx(column, shares, 10 * buckets)).first()[0]))
+    step = max(1, int(len(bounds) ** 0.5))
+    value = F.col(column)
+    count = lambda values: F.size(F.filter(values, lambda b: b <= value))
+    literal = lambda values: F.array(*[F.lit(int(b)).cast("long") for b in values])
+    # Coarse bounds close a block of ``step`` bounds each.
+    whole = count(literal(bounds[step - 1 :: step])) if len(bounds) >= step else F.lit(0)
+    rest = count(F.slice(literal(bounds), whole * step + 1, F.lit(step)))
+    return (whole * step + rest).cast("long")
 
 
 def _starts(totals: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -53,7 +75,30 @@ def running_sum(
     by: Sequence[str] = (),
     out: str = "running",
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` up to and including this row."""
+    """Add ``out``: the sum of ``value`` up to and including this row.
+
+    ``bucket`` is an order-preserving bucket of the first ``order`` column.
+    With a second order column, one value of the first may hold most rows; its
+    rows are then cut into stretches of the last column, and the stretch
+    totals, far fewer, are summed by bucket.
+    """
+    if len(order) > 1:
+        *first, last = order
+        stretch = F.floor(F.col(last) / F.lit(STRETCH)).cast("long")
+        df = df.withColumn("_stretch", stretch).withColumn("_part", value)
+        keys = [*by, *first, "_stretch"]
+        totals = df.groupBy(*keys).agg(F.sum("_part").alias("_sum")).withColumn(
+            "_order", F.struct(*first, "_stretch")
+        )
+        ends = running_sum(totals, F.col("_sum"), ["_order"], bucket, by, "_end")
+        before = ends.select(*keys, (F.col("_end") - F.col("_sum")).alias("_before"))
+        inside = Window.partitionBy(*keys).orderBy(last).rowsBetween(Window.unboundedPreceding, 0)
+        return (
+            df.withColumn("_within", F.sum("_part").over(inside))
+            .join(before, keys)
+            .withColumn(out, F.col("_before") + F.col("_within"))
+            .drop("_stretch", "_part", "_within", "_before")
+        )
     df = df.withColumn("_bucket", bucket).withColumn("_value", value)
     keys = [*by, "_bucket"]
     starts = _starts(df.groupBy(*keys).agg(F.sum("_value").alias("_total")), by, "_total")

@@ -267,7 +267,7 @@ def _distinct_sql(name: str, source: str, group: str, order: str, n: int) -> str
 def distinct_n(spark: SparkSession, d: str) -> DataFrame:
     """Distinct 1-, 2- and 3-gram shares of each language, as one long token sequence."""
     docs = text_table(spark, d, "documents")
-    bucket = id_bucket(docs, "doc_id", 64)
+    bucket = id_bucket(docs, "doc_id")
     out = V.distinct_n(docs, ["lang"], "doc_id", "text", (1, 2, 3), bucket)
     return out.select("lang", *[F.round(f"d{n}", 6).alias(f"d{n}") for n in (1, 2, 3)])
 
@@ -329,7 +329,7 @@ def open_ended_summary(spark: SparkSession, d: str) -> DataFrame:
     """The open-ended evaluation table: diversity beside perplexity and time."""
     records = turn_records(spark, d)
     base = V.display_summary(base_summary(spark, d, records, "sentence"), {"avg_perplexity": 4, "avg_inference_time": 4})
-    bucket = id_bucket(records, "iter", 64)
+    bucket = id_bucket(records, "iter")
     metrics = (
         V.distinct_n(records, KEYS, "iter", "sentence", (1, 2), bucket)
         .join(V.self_bleu(records, KEYS, "iter", "sentence"), KEYS)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proseforge.functions.draws import randint, uniform
+from proseforge.operators import numbering as N
 from proseforge.operators import sampling as S
 from proseforge.operators.numbering import bounded, id_bucket, number_rows, running_sum, smallest_k
 
@@ -32,6 +33,26 @@ def test_number_rows_by_group(skewed):
         assert {r.id: r.row_no for r in rows if r.cls == cls} == {i: n + 1 for n, i in enumerate(mine)}
 
 
+def test_number_rows_with_one_value_holding_most(spark, monkeypatch):
+    monkeypatch.setattr(N, "STRETCH", 7)
+    rows = [(5, t) for t in range(200)] + [(a, t) for a in (1, 9, 2**40) for t in range(0, 30, 3)]
+    df = spark.createDataFrame(rows, "a long, t long").repartition(3)
+    got = {(r.a, r.t): r.row_no for r in number_rows(df, ["a", "t"], id_bucket(df, "a", 4)).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(rows))}
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 10, 100])
+def test_sparse_ids_fall_into_even_buckets(spark, buckets):
+    ids = [*range(1000), 10**15, 2**62]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    rows = sorted((r.id, r.b) for r in df.withColumn("b", id_bucket(df, "id", buckets)).collect())
+    assert all(x[1] <= y[1] for x, y in zip(rows, rows[1:]))
+    largest = max(sum(b == c for _, c in rows) for b in {b for _, b in rows})
+    assert largest <= 2.5 * len(ids) / buckets + 1
+    got = {r.id: r.row_no for r in number_rows(df, ["id"], id_bucket(df, "id", buckets)).collect()}
+    assert got == {i: n + 1 for n, i in enumerate(ids)}
+
+
 def test_running_sum(skewed):
     got = {r.id: r.s for r in running_sum(skewed, F.col("w"), ["id"], id_bucket(skewed, "id", 40), out="s").collect()}
     total = 0
