@@ -30,8 +30,12 @@ MIN_LINE_CHARS = 20
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    """Remove leading and trailing white space of any kind.
+
+    The pattern keeps what lies between; one that removed a trailing run would
+    try again at every position of every inner run.
+    """
+    return F.regexp_extract(c, rf"(?s)^{WS}*((?:.*{NOT_WS})?)", 1)
 
 
 def collapse(c: Column) -> Column:
@@ -41,7 +45,7 @@ def collapse(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Collapse runs of white space and strip both ends."""
-    return F.regexp_replace(collapse(c), "^ | $", "")
+    return F.trim(collapse(c))
 
 
 def has_text(c: Column) -> Column:
@@ -125,11 +129,10 @@ def clean_review(c: Column, legacy_decode: bool = False) -> Column:
 
 def is_header_or_markup(c: Column) -> Column:
     """True for blank or short lines, headings, bullets, templates and table rows."""
-    s = strip(c)
     return (
-        (F.length(s) < 30)
-        | F.substring(s, 1, 1).isin("=", "*", "#", "|")
-        | s.rlike(r"^\{\{[^\n]*\}\}\z")
+        (F.length(strip(c)) < 30)
+        | c.rlike(rf"^{WS}*[=*#|]")
+        | c.rlike(rf"^{WS}*\{{\{{[^\n]*\}}\}}{WS}*\z")
     )
 
 

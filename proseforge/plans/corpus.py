@@ -202,7 +202,7 @@ def threshold_split(spark: SparkSession, d: str) -> DataFrame:
     WHERE {S.strip('line')} <> ''
     ORDER BY {S.u(42, 'sample', 'doc_id', 'pos')}, doc_id, pos LIMIT 10000""")
 def sample_train_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Ten thousand random lines, the reference's training sample size."""
+    """A random training sample of ten thousand lines."""
     rows = lines(text_table(spark, d, "documents"), "text", ["doc_id"]).filter(~T.blank(F.col("line")))
     return sampling.sample_rows(rows, 10_000, 42, ["doc_id", "pos"])
 

@@ -35,7 +35,7 @@ from proseforge.plans.scoring import (
 )
 from proseforge.session import work_dir
 from proseforge.sources import readers, sinks
-from proseforge.sources.readers import table, text_table
+from proseforge.sources.readers import text_table
 from proseforge.streaming import tag_balance as B
 
 SEED = 1234

@@ -49,6 +49,12 @@ def test_clean_lines(spark):
     assert got == [b for _, b in LINES]
 
 
+def test_strip_is_linear(spark):
+    long = " " * 300_000
+    got = apply(spark, ["a" + long + "b", long, "\u2003a\n b\x1c", "", None], T.strip)
+    assert got == ["a" + long + "b", "", "a\n b", "", None]
+
+
 def test_clean_review(spark):
     cases = {
         "a\\n*b": "a b", "a\n*b": "a b", "a\\nb\nc": "a b c", 'say \\""hi\\"': 'say "hi"',
