@@ -28,6 +28,10 @@ ONLY_PUNCT = rf"^{NOT_WORD}+\z"
 
 MIN_LINE_CHARS = 20
 
+# What the review cleaner replaces, in this order.
+REVIEW_BULLET = r"\\n\*|\n\*"
+REVIEW_REPLACEMENTS = [("\\n", " "), ("\n", " "), ('\\""', '"'), ('\\"', '"'), ("\\", "")]
+
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind.
@@ -119,8 +123,8 @@ def clean_review(c: Column, legacy_decode: bool = False) -> Column:
     ``legacy_decode`` reproduces a historic fault that reads the UTF-8 bytes
     as Latin-1; it damages non-ASCII text and is off by default.
     """
-    c = F.regexp_replace(c, r"\\n\*|\n\*", " ")
-    for old, new in (("\\n", " "), ("\n", " "), ('\\""', '"'), ('\\"', '"'), ("\\", "")):
+    c = F.regexp_replace(c, REVIEW_BULLET, " ")
+    for old, new in REVIEW_REPLACEMENTS:
         c = F.replace(c, F.lit(old), F.lit(new))
     if legacy_decode:
         c = F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")

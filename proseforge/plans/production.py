@@ -11,7 +11,7 @@ from proseforge.functions import prompts as P
 from proseforge.functions import text as T
 from proseforge.functions.draws import uniform
 from proseforge.operators import classify as C
-from proseforge.operators import callbacks, dedup, teacher
+from proseforge.operators import callbacks, dedup, teacher, tokens
 from proseforge.operators import evaluate as V
 from proseforge.operators import generate as G
 from proseforge.operators import ngram_lm as L
@@ -168,8 +168,9 @@ _SAMPLER_SQL = f"""WITH RECURSIVE {VOCAB_SQL},
       SELECT conv_id, turn, step + 1, coalesce(t, cur), t IS NULL OR t = 5 FROM (
         SELECT *, CASE WHEN step < 32 THEN {_pick_sql('open')} ELSE {_pick_sql('free')} END AS t
         FROM (SELECT *, {_STEP_U} AS u FROM st WHERE NOT over AND step < 64)))
-    SELECT conv_id, turn, string_agg(token, ' ' ORDER BY step) AS text, count(*) AS n_tokens
-    FROM st JOIN vocab ON id = cur WHERE step > 0 AND NOT over GROUP BY conv_id, turn"""
+    SELECT conv_id, turn, coalesce(string_agg(token, ' ' ORDER BY step) FILTER (step > 0 AND NOT over), '') AS text,
+           (count(*) FILTER (step > 0 AND NOT over))::INT AS n_tokens
+    FROM st JOIN vocab ON id = cur GROUP BY conv_id, turn"""
 
 
 @query(_SAMPLER_SQL)
@@ -181,11 +182,8 @@ def sampled_texts(spark: SparkSession, d: str) -> DataFrame:
     asked = text_table(spark, d, "conversations").filter(F.col("role") == "user")
     start = G.last_known_id(asked, keys, T.tokens(F.col("text")), v, UNK)
     out = G.sample_texts(start, keys, "last_id", G.next_token_table(lm.filter(F.col("token_id") != UNK)), SEED)
-    words = out.select(*keys, F.posexplode("new_ids").alias("pos", "id")).join(F.broadcast(v), "id")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    return words.groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda x: x["token"]), " ").alias("text"), F.count(F.lit(1)).alias("n_tokens")
-    )
+    texts = tokens.decode(out, keys, "new_ids", v, tokens.blocked_ids(v))
+    return texts.withColumn("n_tokens", F.size(T.tokens(F.col("text"))))
 
 
 # --- teacher curation ---
