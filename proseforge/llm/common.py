@@ -61,10 +61,12 @@ def map_texts(
                 columns += [pa.array(made[name], kind) for name, kind in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[name for name, _ in arrow]])
 
-    return df.select(F.col(_q(text)).cast("string").alias("_text"), *[F.col(_q(c)) for c in keep]).mapInArrow(run, schema)
+    # Plain names on the way in: Python steps address columns by unquoted names.
+    kept = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)]
+    return df.select(F.col(quoted(text)).cast("string").alias("text"), *kept).mapInArrow(run, schema)
 
 
-def _q(name: str) -> str:
+def quoted(name: str) -> str:
     """A column name quoted, so that dots in it are part of the name."""
     return "`" + name.replace("`", "``") + "`"
 
