@@ -86,3 +86,11 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 def crc(value: object) -> int:
     """crc32 of a value written as text."""
     return zlib.crc32(str(value).encode())
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from proseforge.llm import bpe
+from proseforge.llm import bpe, crf, secret_scan
 from proseforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,40 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: counts and a digest of the base kinds, and all spans."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = secret_scan.find(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
+    spans = F.col("secret_spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter(spans, lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(spans).alias("spans"),
+    )
+
+
+def fold(of: int) -> Column:
+    """crc32 of the document number as text, modulo ``of``; a null number counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
+
+
+@query()
+def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by a conditional random field fitted outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(4) == 2
+    model = crf.train(docs, ~held_out)
+    return crf.label_texts(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
