@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseforge.llm import bpe, crf, secret_scan
+from proseforge.llm import bpe, crf, secret_scan, toxicity
 from proseforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,14 @@ def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.label_texts(docs, model, keep=["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score"
     )
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by a lexicon learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score_texts(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
