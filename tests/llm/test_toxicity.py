@@ -5,7 +5,7 @@ import pytest
 from proseforge.llm import toxicity
 from proseforge.llm.queries import op7_toxicity
 
-HARMLESS = [(0, f"the day is long and the road number {i} is fine") for i in range(40)]
+HARMLESS = [(0, f"the day is long for you and a road number {i} is fine, they are here") for i in range(40)]
 TOXIC = [(1, f"the day {i} you moron and scum are here") for i in range(10)] + [(1, f"a worthless clown {i} moronic scum") for i in range(10)]
 
 
