@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseforge.llm import bpe, crf, secret_scan, toxicity
+from proseforge.llm import bpe, crf, host_rules, secret_scan, sql, toxicity
 from proseforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, model, keep=["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query(sql.HOST_RULES)
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every whole text; a document's host is its source."""
+    return host_rules.judge(table(spark, sf_dir, "documents"))
