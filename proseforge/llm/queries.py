@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseforge.llm import bpe, crf, host_rules, secret_scan, sql, toxicity
+from proseforge.llm import bpe, crf, host_rules, mixing, secret_scan, sql, toxicity
 from proseforge.llm.common import table
+from proseforge.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +89,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of every whole text; a document's host is its source."""
     return host_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query(sql.mixing(mixing.Settings.entropy, mixing.Settings.max_epochs, mixing.Settings.block_tokens, mixing.Settings.seed))
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents by source: which are taken, how often, and in which block order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.tokens_in("text").alias("n_tokens"))
+    return mixing.mix(cut_lineage(docs, "sizes"), tokens="n_tokens")

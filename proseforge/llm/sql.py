@@ -46,3 +46,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT host_rejected AS kept
 FROM based JOIN verdicts USING (host)
 """
+
+
+def mixing(entropy: float, max_epochs: float, block_tokens: int, seed: int, table: str = "documents") -> str:
+    """(doc_id, source, n_tokens, epoch, slot) of the temperature mixture of ``table``."""
+    def order(epoch: str) -> str:
+        return f"md5(concat_ws(':', '{seed}:order', s, block::VARCHAR, ({epoch})::VARCHAR))"
+
+    def at(x: str) -> str:
+        """Entropy and most epochs at an exponent."""
+        z = f"(SELECT sum(exp(({x}) * ln(n))) FROM usable)"
+        return (f"ln({z}) - ({x}) * (SELECT sum(exp(({x}) * ln(n)) * ln(n)) FROM usable) / {z}",
+                f"(SELECT sum(n) FROM usable) * (SELECT max(exp((({x}) - 1) * ln(n))) FROM usable) / {z}")
+
+    middle = "(low + high) / 2"
+    return rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, coalesce('s:' || source, 'none') AS s, len({WORDS})::BIGINT AS n FROM {table}
+), sizes AS (
+  SELECT s, sum(n)::BIGINT AS n, greatest(1, ceil(sum(n) / {block_tokens}.0))::BIGINT AS blocks FROM docs GROUP BY s
+), usable AS (SELECT s, n::DOUBLE AS n FROM sizes WHERE n > 0
+), target AS (SELECT {entropy} * ln(count(*)) AS h FROM usable
+), even(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN h >= (SELECT h FROM target) THEN middle ELSE low END, CASE WHEN h >= (SELECT h FROM target) THEN high ELSE middle END
+  FROM (SELECT step, low, high, {middle} AS middle, {at(middle)[0]} AS h FROM even WHERE step < 30)
+), aimed AS (
+  SELECT CASE WHEN {at("1.0")[0]} >= (SELECT h FROM target) THEN 1.0 ELSE (SELECT low FROM even WHERE step = 30) END AS x
+), rare(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0 - (SELECT x FROM aimed)
+  UNION ALL
+  SELECT step + 1, CASE WHEN e <= {max_epochs} THEN middle ELSE low END, CASE WHEN e <= {max_epochs} THEN high ELSE middle END
+  FROM (SELECT step, low, high, {middle} AS middle, {at("1.0 - " + middle)[1]} AS e FROM rare WHERE step < 30)
+), found AS (
+  SELECT CASE WHEN {at("(SELECT x FROM aimed)")[1]} > {max_epochs} THEN 1.0 - (SELECT low FROM rare WHERE step = 30) ELSE x END AS x FROM aimed
+), quotas AS (
+  SELECT s, n::BIGINT AS n, round(exp(ln(n) * x) / (SELECT sum(exp(ln(n) * x)) FROM usable, found) * (SELECT sum(n) FROM usable))::BIGINT AS quota FROM usable, found
+), shares AS (SELECT s, quota // n AS whole, quota - (quota // n) * n AS rest FROM quotas
+), dealt AS (
+  SELECT docs.*, ('0x' || substr(md5(concat_ws(':', '{seed}:block', coalesce(doc_id::VARCHAR, ''))), 1, 15))::BIGINT % blocks AS block
+  FROM docs JOIN sizes USING (s)
+), block_sizes AS (SELECT s, block, sum(n)::BIGINT AS n FROM dealt GROUP BY s, block
+), fully AS (
+  SELECT s, block, unnest(range(1, whole + 1)) AS epoch FROM block_sizes JOIN shares USING (s)
+), partly AS (
+  SELECT s, block, whole + 1 AS epoch, rest, sum(n) OVER (PARTITION BY s ORDER BY {order("whole + 1")}) AS running
+  FROM block_sizes JOIN shares USING (s) WHERE rest > 0
+), taken AS (
+  SELECT s, block, epoch FROM fully UNION ALL SELECT s, block, epoch FROM partly WHERE running <= rest
+), slots AS (SELECT s, block, epoch, row_number() OVER (ORDER BY {order("epoch")}) AS slot FROM taken)
+SELECT doc_id, source, n AS n_tokens, epoch::BIGINT AS epoch, slot::BIGINT AS slot FROM dealt JOIN slots USING (s, block)
+"""
