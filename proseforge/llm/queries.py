@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseforge.llm import bpe, crf, host_rules, mixing, secret_scan, sql, toxicity
+from proseforge.llm import bpe, crf, host_rules, mixing, secret_scan, sql, toxicity, warc
 from proseforge.llm.common import table
-from proseforge.session import cut_lineage
+from proseforge.session import cut_lineage, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,39 @@ def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents by source: which are taken, how often, and in which block order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.tokens_in("text").alias("n_tokens"))
     return mixing.mix(cut_lineage(docs, "sizes"), tokens="n_tokens")
+
+
+@query(sql.WARC)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, read back, assembled, and revisits resolved."""
+    path = work_dir(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    body = warc.http_body(F.col("block"))
+    about = F.when(F.col("record_type") == "metadata", F.col("block").cast("string"))
+    records = warc.read_archives(spark, path).select(
+        "record_id", "record_type", "concurrent_to", "refers_to",
+        F.octet_length(body).cast("long").alias("n_bytes"),
+        F.sha2(body, 256).alias("digest"),
+        F.nullif(F.regexp_extract(about, r"(?m)^page-id: (-?\d+)", 1), F.lit("")).cast("long").alias("page_id"),
+    )
+    captures = warc.assemble(cut_lineage(records, "records")).filter("main is not null").select(
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
+        F.col("capture"),
+        F.col("main.record_type").alias("record_type"),
+        F.col("main.refers_to").alias("held_by"),
+        F.col("main.n_bytes").alias("n_bytes"),
+        F.col("main.digest").alias("digest"),
+        F.get("metadata", F.lit(0))["page_id"].alias("page_id"),
+    )
+    captures = cut_lineage(captures, "captures")
+    held = captures.filter("record_type = 'response' and copy = 1").select(
+        F.col("capture").alias("held_by"), F.col("page_id").alias("refers_to"),
+        F.col("n_bytes").alias("held_bytes"), F.col("digest").alias("held_digest"),
+    )
+    return captures.join(held, "held_by", "left").select(
+        "page_id",
+        F.coalesce("held_bytes", "n_bytes").alias("payload_bytes"),
+        F.coalesce("held_digest", "digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )

@@ -98,3 +98,16 @@ WITH RECURSIVE docs AS (
 ), slots AS (SELECT s, block, epoch, row_number() OVER (ORDER BY {order("epoch")}) AS slot FROM taken)
 SELECT doc_id, source, n AS n_tokens, epoch::BIGINT AS epoch, slot::BIGINT AS slot FROM dealt JOIN slots USING (s, block)
 """
+
+
+WARC = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
