@@ -41,29 +41,32 @@ def map_texts(
     text: str,
     keep: list[str],
     added: T.StructType,
-    work: Callable[[list[str | None]], dict[str, list]],
+    work: Callable[..., dict[str, list]],
+    also: list[str] | None = None,
 ) -> DataFrame:
     """``keep`` columns of ``df`` and the columns that ``work`` makes of the texts, row by row in order.
 
-    ``work`` gets a bounded stretch of texts and returns one list per added column.  An added column
-    replaces a kept one of the same name.
+    ``work`` gets a bounded stretch of texts, and one list more per column in ``also``, and returns one
+    list per added column.  An added column replaces a kept one of the same name.
     """
-    keep = [c for c in keep if c not in added.names]
+    keep, also = [c for c in keep if c not in added.names], also or []
     schema = T.StructType([df.schema[c] for c in keep] + list(added.fields))
     arrow = [(f.name, _arrow(f.dataType)) for f in added.fields]
+    skip = 1 + len(also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, others = batch.column(0).to_pylist(), [batch.column(i).to_pylist() for i in range(1, skip)]
             for begin, end in steps(texts):
-                made = work(texts[begin:end])
-                columns = [batch.column(i + 1).slice(begin, end - begin) for i in range(len(keep))]
+                made = work(texts[begin:end], *[x[begin:end] for x in others])
+                columns = [batch.column(i + skip).slice(begin, end - begin) for i in range(len(keep))]
                 columns += [pa.array(made[name], kind) for name, kind in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[name for name, _ in arrow]])
 
     # Plain names on the way in: Python steps address columns by unquoted names.
+    read = [F.col(quoted(text)).cast("string").alias("text"), *[F.col(quoted(c)).alias(f"a{i}") for i, c in enumerate(also)]]
     kept = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)]
-    return df.select(F.col(quoted(text)).cast("string").alias("text"), *kept).mapInArrow(run, schema)
+    return df.select(*read, *kept).mapInArrow(run, schema)
 
 
 def quoted(name: str) -> str:
