@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseforge.llm import bpe, crf, host_rules, mixing, secret_scan, sql, templates, toxicity, warc
+from proseforge.llm import bpe, crf, host_rules, mixing, multi_index, secret_scan, sql, templates, toxicity, warc
 from proseforge.llm.common import table
 from proseforge.session import cut_lineage, work_dir
 
@@ -139,3 +139,9 @@ def op5_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = templates.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every twentieth vector among all others."""
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
