@@ -46,28 +46,68 @@ class Settings:
     listed: int = 300
 
 
-def features(word: str, lists: dict[str, int], buckets: int) -> list[int]:
-    """Feature numbers of a word; none for a word without letters."""
+#: Longest word whose n-grams are all looked at; of a longer one the ends count.
+CORE = 100
+_EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\0123456789«»¡¿…“”„’‘–—"
+
+
+def core_of(word: str) -> str:
+    """A word in lower case without what stands before its first and after its last letter."""
     low = word.lower()
+    if low.isalpha():
+        return low
+    low = low.strip(_EDGES)
     begin, end = 0, len(low)
     while begin < end and not low[begin].isalpha():
         begin += 1
     while end > begin and not low[end - 1].isalpha():
         end -= 1
-    if begin == end:
-        return []
-    # The shape of a very long word lies in its ends and in the n-grams of its first hundred letters.
-    low = low[begin:end]
-    core = low[:100]
-    names = [f"w{core}"] if len(low) <= 100 else []
-    names += [f"p{low[:k]}" for k in range(1, min(4, len(low)) + 1)]
-    names += [f"s{low[-k:]}" for k in range(1, min(4, len(low)) + 1)]
-    names += [core[i : i + 2] for i in range(len(core) - 1)]
-    names += [core[i : i + 3] for i in range(len(core) - 2)]
-    found = [zlib.crc32(n.encode()) % buckets for n in names]
-    if low in lists:
-        found.append(buckets + lists[low])
-    return found
+    return low[begin:end]
+
+
+def _hashed(kind: int, buckets: int, *codes: np.ndarray) -> np.ndarray:
+    """Feature numbers from a kind and the characters at some places."""
+    h = np.full(len(codes[0]), kind * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+    for c in codes:
+        h = (h ^ c) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(buckets)).astype(np.int64)
+
+
+def features(words: list[str], lists: dict[str, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(feature numbers, index of the word that each belongs to); a word without letters has none."""
+    cores = [core_of(w) for w in words]
+    short = [c if len(c) <= CORE else c[: CORE - 4] + c[-4:] for c in cores]
+    codes = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(c) for c in short], np.int64)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    flat, owners = [], []
+
+    def add(found: np.ndarray, of: np.ndarray) -> None:
+        flat.append(found)
+        owners.append(of)
+
+    some = np.flatnonzero(sizes)
+    whole = np.array([zlib.crc32(short[i].encode("utf-8", "surrogatepass")) for i in some], np.uint64)
+    add(_hashed(1, buckets, whole), some)
+    for k in range(1, 5):
+        long = np.flatnonzero(sizes >= k)
+        first, last = ends[long] - sizes[long], ends[long] - k
+        add(_hashed(10 + k, buckets, *[codes[first + i] for i in range(k)]), long)
+        add(_hashed(20 + k, buckets, *[codes[last + i] for i in range(k)]), long)
+    for k in (2, 3):
+        places = np.arange(max(0, len(codes) - k + 1))
+        places = places[places + k <= ends[owner[: len(places)]]] if len(places) else places
+        add(_hashed(30 + k, buckets, *[codes[places + i] for i in range(k)]), owner[places])
+    listed = [(lists[c] + buckets, i) for i, c in enumerate(cores) if c in lists]
+    add(np.array([x for x, _ in listed], np.int64), np.array([i for _, i in listed], np.int64))
+    return np.concatenate(flat), np.concatenate(owners)
+
+
+def sum_by_word(weights: np.ndarray, flat: np.ndarray, owner: np.ndarray, words: int) -> np.ndarray:
+    """Sum of the rows of ``weights`` that each word's features name."""
+    return np.stack([np.bincount(owner, weights[flat, z], words) for z in range(weights.shape[1])], axis=1)
 
 
 @dataclass
@@ -95,14 +135,14 @@ class Model:
         """exp(score) of each label, largest 1, for each word, and whether the word has a letter."""
         rows = list(map(self._row.get, words))
         if None in rows:
-            new = [w for w in dict.fromkeys(words) if w not in self._row]
+            new = list(dict.fromkeys(w for w, row in zip(words, rows) if row is None))
             if len(self._row) + len(new) > max(REMEMBERED, len(new)):
                 self._row = {}
                 new = list(dict.fromkeys(words))
             first = len(self._row)
             self._fill(first, new)
             self._row.update(zip(new, range(first, first + len(new))))
-            rows = [self._row[w] for w in words]
+            rows = list(map(self._row.__getitem__, words))
         found = self._table[rows]
         return found, found[:, 0] >= 0
 
@@ -114,11 +154,11 @@ class Model:
             self._table = wider
         for begin in range(0, len(words), 20_000):
             part = words[begin : begin + 20_000]
-            lists = [features(w, self.lists, self.buckets) for w in part]
-            sums = sum_by_word(self.weights, lists)
+            flat, owner = features(part, self.lists, self.buckets)
+            sums = sum_by_word(self.weights, flat, owner, len(part))
             out = np.maximum(np.exp(sums - sums.max(axis=1, keepdims=True)), 1e-30)
             # Minus one marks words without letters.
-            out[[not x for x in lists]] = -1.0
+            out[np.bincount(owner, minlength=len(part)) == 0] = -1.0
             self._table[first + begin : first + begin + len(part)] = out
 
     def marginals(self, words: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -136,17 +176,6 @@ class Model:
         return out
 
 
-def sum_by_word(weights: np.ndarray, lists: list[list[int]]) -> np.ndarray:
-    """Sum of the rows of ``weights`` that each list names."""
-    sizes = np.array([len(x) for x in lists])
-    out = np.zeros((len(lists), weights.shape[1]))
-    some = sizes > 0
-    if some.any():
-        flat = np.concatenate([np.array(x) for x in lists if x])
-        out[some] = np.add.reduceat(weights[flat], np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), axis=0)
-    return out
-
-
 def forward_backward(emitted: np.ndarray, sizes: list[int], change: np.ndarray) -> np.ndarray:
     """Label probabilities at every place of several chains that are laid end to end.
 
@@ -220,7 +249,7 @@ def fit(texts: list[tuple[str, str]], settings: Settings, seed: int = 1) -> Mode
     words = [(y, ws) for y, ws in words if ws]
     counts = [Counter() for _ in labels]
     for y, ws in words:
-        counts[y].update(w.lower().strip(".,;:!?\"'()") for w in ws)
+        counts[y].update(map(core_of, ws))
     totals = [sum(c.values()) or 1 for c in counts]
     lists: dict[str, int] = {}
     for y, c in enumerate(counts):
@@ -250,17 +279,14 @@ def fit(texts: list[tuple[str, str]], settings: Settings, seed: int = 1) -> Mode
     if n < 2 or not sequences:
         return model
     known = {w: i for i, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}
-    lists_of = [features(w, lists, settings.buckets) for w in known]
-    used = np.unique(np.concatenate([np.array(x, int) for x in lists_of if x] or [np.zeros(0, int)]))
-    lists_of = [np.searchsorted(used, x).tolist() for x in lists_of]
-    flat = np.concatenate([np.array(x, int) for x in lists_of if x] or [np.zeros(0, int)])
-    owner = np.repeat(np.arange(len(known)), [len(x) for x in lists_of])
+    flat, owner = features(list(known), lists, settings.buckets)
+    used, flat = np.unique(flat, return_inverse=True)
     ids = np.array([[known[w] for w in s] for s in sequences])
     target = np.eye(n)[np.array(gold)]
     small = np.zeros((len(used), n))
     state = [np.zeros_like(small), np.zeros_like(small), np.zeros_like(change), np.zeros_like(change)]
     for step in range(1, settings.rounds + 1):
-        sums = sum_by_word(small, lists_of)
+        sums = sum_by_word(small, flat, owner, len(known))
         emitted = np.exp(sums - sums.max(axis=1, keepdims=True))[ids]
         moves = np.exp(change)
         size = settings.length
