@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseforge.llm import bpe, crf, host_rules, mixing, multi_index, secret_scan, sql, templates, toxicity, warc
+from proseforge.llm import bpe, crf, host_rules, mixing, multi_index, secret_scan, sql, superminhash, templates, toxicity, warc
 from proseforge.llm.common import table
 from proseforge.session import cut_lineage, work_dir
 
@@ -145,3 +145,13 @@ def op5_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of every twentieth vector among all others."""
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(sql.NEAR_COPIES)
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    found = superminhash.groups(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+        F.col("doc").eqNullSafe(F.col("component")).alias("kept"),
+    )
