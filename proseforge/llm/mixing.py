@@ -144,24 +144,31 @@ def _bucket(order: str) -> Column:
 
 
 def mix(df: DataFrame, settings: Settings = Settings(), source: str = "source", text: str = "text", key: str = "doc_id",
-        tokens: str | None = None, keep: list[str] | None = None) -> DataFrame:
+        tokens: str | None = None, keep: list[str] | None = None, names: tuple[str, str] = ("epoch", "slot")) -> DataFrame:
     """The rows of ``df`` as often as the mixture takes them, with ``epoch`` and ``slot``.
 
     ``slot`` is the place of the row's block in the permutation of all taken blocks; within a block
     the order is free.  Sizes are in words of the text, or those in the column ``tokens`` (null: none).  A null source is a source of its own.  A source without
     words has no share and gives no rows; texts without words go with the blocks of their source.
     Rows that repeat fall into one block and are taken together; a null key counts as empty text.
-    ``keep`` names the columns to return (all); ``epoch`` and ``slot`` replace others of these names.
+    ``keep`` names the columns to return (all); ``epoch`` and ``slot``, or what ``names`` calls them,
+    replace others of these names.
     A block that would exceed what is left of the budget, and those after it, are not taken.
     """
-    kept = [c for c in (df.columns if keep is None else keep) if c not in ("epoch", "slot")]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     size = tokens_in(text) if tokens is None else F.coalesce(F.col(quoted(tokens)).cast("long"), F.lit(0).cast("long"))
     narrow = df.select(source_key(source).alias("_source"), F.col(quoted(key)).alias("_key"), size.alias("_tokens"))
     sources, taken = plan(narrow if tokens is not None else cut_lineage(narrow, "tokens"), settings)
-    names = {c: fresh(df, c) for c in ("_source", "_block", "blocks")}
-    wide = df.withColumn(names["_source"], source_key(source))
-    wide = wide.join(sources.toDF(names["_source"], names["blocks"]), names["_source"])
-    wide = wide.withColumn(names["_block"], block_of(settings.seed, F.col(quoted(key)), F.col(names["blocks"])))
-    wide = wide.select(names["_source"], names["_block"], *[F.col(quoted(c)) for c in kept])
-    out = wide.join(taken.toDF(names["_source"], names["_block"], "epoch", "slot"), [names["_source"], names["_block"]])
-    return out.select(*[F.col(quoted(c)) for c in kept], "epoch", "slot")
+    own = {c: fresh(df, c) for c in ("_source", "_block", "blocks")}
+    wide = df.withColumn(own["_source"], source_key(source))
+    wide = wide.join(sources.toDF(own["_source"], own["blocks"]), own["_source"])
+    wide = wide.withColumn(own["_block"], block_of(settings.seed, F.col(quoted(key)), F.col(own["blocks"])))
+    wide = wide.select(own["_source"], own["_block"], *[F.col(quoted(c)) for c in kept])
+    out = wide.join(taken.toDF(own["_source"], own["_block"], *names), [own["_source"], own["_block"]])
+    return out.select(*[F.col(quoted(c)) for c in kept], *names)
+
+
+def resample(df: DataFrame, settings: Settings = Settings(), source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` as often as the mixture takes them, with the columns of ``df`` only."""
+    names = fresh(df, "epoch"), fresh(df, "slot")
+    return mix(df, settings, source, text, key, names=names).select(*[F.col(quoted(c)) for c in df.columns])

@@ -124,9 +124,9 @@ WITH RECURSIVE words AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
 ), links AS (
   SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
-), both AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach(doc_id, other) AS (
-  SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, both.b FROM reach JOIN both ON both.a = reach.other
+  SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other
 ), parts AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN parts USING (doc_id)
 """

@@ -34,7 +34,7 @@ from proseforge.session import cut_lineage
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 #: Elements whose orders are held at a time.
 ELEMENTS = 50_000
-#: Candidates whose numbers may be broadcast to the scan that reads their texts.
+#: Most document numbers that are broadcast to a scan of texts; eight bytes each.
 BROADCAST_ROWS = 1_000_000
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,13 +151,16 @@ def described(df: DataFrame, key: str, text: str, settings: Settings) -> DataFra
     return map_texts(rows, "text", ["doc"], added, work)
 
 
+def _sent(numbers: DataFrame) -> DataFrame:
+    """Document numbers that go to the texts if they are few enough; else both meet in a shuffle."""
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers
+
+
 def set_table(df: DataFrame, key: str, text: str, wanted: DataFrame, settings: Settings) -> DataFrame:
     """(doc, shingles) of the documents in ``wanted``, read from the texts once more and written out."""
     added = T.StructType([T.StructField("shingles", T.BinaryType())])
     rows = df.select(F.col(quoted(key)).cast("long").alias("doc"), F.col(quoted(text)).alias("text"))
-    # Few enough numbers go to the texts; else texts and numbers meet in a shuffle.
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = rows.join(wanted, "doc", "left_semi")
+    rows = rows.join(_sent(wanted), "doc", "left_semi")
     work = lambda texts: {"shingles": [shingles(t, settings.shingle).tobytes() for t in texts]}
     return cut_lineage(map_texts(rows, "text", ["doc"], added, work).filter(F.length("shingles") > 0), "sets")
 
@@ -369,4 +372,4 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", settings: S
     """
     gone = groups(df, key, text, settings).filter("doc <> component").select(F.col("doc").alias(name := fresh(df, "_gone"))).distinct()
     gone = cut_lineage(gone, "near-copies")
-    return df.join(gone, F.col(quoted(key)).cast("long") == F.col(name), "left_anti")
+    return df.join(_sent(gone), F.col(quoted(key)).cast("long") == F.col(name), "left_anti")
