@@ -3,48 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseforge.functions.arrays import IGNORE, cut, fit, last, mask
 from proseforge.functions.draws import geometric_gap, randint, uniform
-from proseforge.operators.tokens import CLS, EOS, MASK, PAD, SEP
-
-
-@dataclass(frozen=True)
-class PrefixLengths:
-    """How long a sampled prefix is: empty, short or long."""
-
-    longest: int = 16
-    p_empty: float = 0.6
-    p_short: float = 0.35
-    short_low: int = 3
-    short_high: int = 8
-    long_low: int = 9
-
-    def clamped(self) -> PrefixLengths:
-        """Probabilities forced into range, with room left for the empty prefix."""
-        empty = min(max(self.p_empty, 0.0), 1.0)
-        short = min(max(self.p_short, 0.0), 1.0 - empty)
-        return PrefixLengths(self.longest, empty, short, self.short_low, self.short_high, self.long_low)
-
-    def length(self, n: Column, u_kind: Column, u_length: Column) -> Column:
-        """Prefix length for a sequence of ``n`` tokens, leaving one to continue."""
-        top = F.least(F.lit(self.longest), F.greatest(F.lit(1), n - 1))
-        low = F.greatest(F.lit(1), F.least(F.lit(self.short_low), top))
-        high = F.least(F.lit(self.short_high), top)
-        long_low = F.when(top >= self.long_low, F.lit(self.long_low)).otherwise(F.lit(1))
-        return (
-            F.when(u_kind < self.p_empty, F.lit(0))
-            .when(u_kind < self.p_empty + self.p_short, randint(u_length, low, high))
-            .otherwise(randint(u_length, long_low, top))
-        )
+from proseforge.operators.tokens import EOS, MASK, PAD, SPECIAL_TOKENS
+
+
+#: Fixed values: (share of rows, least length, largest length) of the kinds of sampled prefixes; the
+#: last kind takes the other rows and reaches up to the longest prefix.
+PREFIX_KINDS = ((0.60, 0, 0), (0.35, 3, 8), (None, 9, None))
+LONGEST_PREFIX = 16
+
+
+def prefix_length(n: Column, u_kind: Column, u_length: Column, longest: int = LONGEST_PREFIX, kinds=PREFIX_KINDS) -> Column:
+    """Length of a prefix of ``n`` tokens that leaves one to continue.
+
+    The kind follows from ``u_kind`` by the running sum of the shares.  Within a kind the length is
+    uniform, after its bounds are cut to what the row can give; the last kind begins at one where the
+    row cannot give its least length.
+    """
+    room = F.least(F.lit(longest), F.greatest(F.lit(1), n - 1))
+    *early, (_, low, _) = kinds
+    length = randint(u_length, F.when(room >= low, low).otherwise(1), room)
+    for i, (_, low, high) in reversed(list(enumerate(early))):
+        drawn = randint(u_length, F.least(F.lit(low), room), F.least(F.lit(high), room)) if high else F.lit(0)
+        length = F.when(u_kind < sum(share for share, _, _ in early[: i + 1]), drawn).otherwise(length)
+    return length
 
 
 def sample_prefix(
-    df: DataFrame, ids: str, seed: int, keys: Sequence[str], lengths: PrefixLengths = PrefixLengths()
+    df: DataFrame, ids: str, seed: int, keys: Sequence[str], kinds=PREFIX_KINDS
 ) -> DataFrame:
     """Add ``k`` (prefix length), ``c`` (cut position) and ``prefix``.
 
@@ -52,7 +43,7 @@ def sample_prefix(
     """
     n = F.size(ids)
     key_cols = [F.col(k) for k in keys]
-    length = lengths.length(n, uniform(seed, "kind", *key_cols), uniform(seed, "length", *key_cols))
+    length = prefix_length(n, uniform(seed, "kind", *key_cols), uniform(seed, "length", *key_cols), kinds=kinds)
     out = df.withColumn("k", F.when(n >= 2, length).otherwise(0))
     at = randint(uniform(seed, "cut", *key_cols), F.greatest(F.lit(1), F.col("k")), n - 1)
     out = out.withColumn("c", F.when(n >= 2, at).otherwise(0))
@@ -61,13 +52,13 @@ def sample_prefix(
 
 def prefix_examples(
     df: DataFrame, ids: str, seed: int, keys: Sequence[str], seq_len: int = 256,
-    lengths: PrefixLengths = PrefixLengths(),
+    kinds=PREFIX_KINDS,
 ) -> DataFrame:
     """Prefix plus masked continuation, labels only on the continuation.
 
     Sequences of fewer than two ids give no example.
     """
-    drawn = sample_prefix(df.filter(F.size(ids) >= 2), ids, seed, keys, lengths)
+    drawn = sample_prefix(df.filter(F.size(ids) >= 2), ids, seed, keys, kinds)
     rest = cut(F.col(ids), F.col("c"), F.greatest(F.lit(1), seq_len - F.col("k")))
     drawn = drawn.withColumn("_rest", F.slice(rest, 1, F.greatest(seq_len - F.col("k"), F.lit(0))))
     filled = F.col("k") + F.size("_rest")
@@ -104,30 +95,26 @@ def pack_distilled(prompt: Column, masked: Column, target: Column, length: int =
 
 
 def collate_mlm(
-    ids: Column, vocab_size: Column | int, seed: int, keys: Sequence[Column], probability: float = 0.15
+    ids: Column, vocab_size: Column | int, seed: int, keys: Sequence[Column], probability: float = 0.15, control: int = 0
 ) -> list[Column]:
     """Masked-LM batch: of the chosen ids 80% masked, 10% random, 10% kept.
 
-    Special ids are never chosen; ids not chosen carry the ignore label.
+    Special ids, and the last ``control`` ids of the vocabulary, are never chosen; ids not chosen carry
+    the ignore label.
     """
     size = F.lit(vocab_size) if isinstance(vocab_size, int) else vocab_size
 
-    def chosen(x: Column, i: Column) -> Column:
-        return (uniform(seed, "choose", *keys, i) < probability) & ~x.isin(CLS, SEP, PAD, MASK)
-
-    def replaced(x: Column, i: Column) -> Column:
+    def drawn(x: Column, i: Column) -> Column:
+        ordinary = (x >= len(SPECIAL_TOKENS)) & (x < size - control)
+        chosen = (uniform(seed, "choose", *keys, i) < probability) & ordinary
         action = uniform(seed, "action", *keys, i)
         other = F.floor(uniform(seed, "token", *keys, i) * size).cast("int")
-        return (
-            F.when(~chosen(x, i), x)
-            .when(action < 0.8, F.lit(MASK))
-            .when(action < 0.9, other)
-            .otherwise(x)
-        )
+        changed = F.when(action < 0.8, F.lit(MASK)).when(action < 0.9, other).otherwise(x)
+        return F.struct(F.when(chosen, changed).otherwise(x).alias("input"), F.when(chosen, x).otherwise(IGNORE).alias("label"))
 
     return [
-        F.transform(ids, replaced).alias("input_ids"),
-        F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(IGNORE)).alias("labels"),
+        F.transform(ids, lambda x, i: drawn(x, i)["input"]).alias("input_ids"),
+        F.transform(ids, lambda x, i: drawn(x, i)["label"]).alias("labels"),
     ]
 
 
@@ -139,18 +126,17 @@ def cap_document(ids: Column, prefix_len: int, target_len: int, slack: int = 64)
 def encoder_decoder_examples(
     df: DataFrame, ids: str, seed: int, keys: Sequence[str],
     prefix_len: int = 16, target_len: int = 64, gap_mean: float | None = None,
-    drop_prob: float = 0.1, lengths: PrefixLengths | None = None, carry: Sequence[str] = (),
+    drop_prob: float = 0.1, kinds=PREFIX_KINDS, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Prefix for the encoder, continuation for the decoder, both with masks.
 
     The cut lies in [k, max(k + 1, n - 1) - 1], an optional geometric gap
     follows it, and ``keep_condition`` is 0 with probability ``drop_prob``.
     """
-    lengths = (lengths or PrefixLengths(longest=prefix_len)).clamped()
     n = F.size(ids)
     key_cols = [F.col(c) for c in keys]
     draw = lambda name: uniform(seed, name, *key_cols)
-    out = df.filter(n >= 2).withColumn("k", lengths.length(n, draw("kind"), draw("length")))
+    out = df.filter(n >= 2).withColumn("k", prefix_length(n, draw("kind"), draw("length"), prefix_len, kinds))
     out = out.withColumn(
         "c", randint(draw("cut"), F.col("k"), F.greatest(F.col("k") + 1, n - 1) - 1)
     )

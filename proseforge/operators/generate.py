@@ -70,18 +70,23 @@ def generate(
 
 
 def to_records(sentences: DataFrame, per_record: int = 1000) -> DataFrame:
-    """Generation records for export: the sentences of a prompt and model as an array.
+    """Generation records for export: the sentences of a prompt and model as arrays.
 
-    A record holds the iterations of one stretch of ``per_record``, so that
-    its array is bounded; runs of up to that many give one record per prompt
-    and model.  The engine itself works on the long form.
+    The long form, a sentence per row, is what the engine stores and resumes from.  An array holds the
+    iterations of one stretch of ``per_record``, so that it is bounded; every record of a prompt and
+    model carries the mean time over all their sentences.
     """
     ordered = F.array_sort(F.collect_list(F.struct("iter", "sentence")))
     part = F.floor(F.col("iter") / per_record).alias("_part")
-    return sentences.groupBy("prompt", "model_type", part).agg(
+    parts = sentences.groupBy("prompt", "model_type", part).agg(
         F.transform(ordered, lambda x: x["sentence"]).alias("generated_sentences"),
-        F.avg("elapsed_s").alias("avg_inference_time"),
-    ).drop("_part")
+        F.sum("elapsed_s").alias("_time"),
+        F.count("elapsed_s").alias("_n"),
+    )
+    # One row per stretch is left, so the window is small.
+    whole = Window.partitionBy("prompt", "model_type")
+    mean = F.sum("_time").over(whole) / F.sum("_n").over(whole)
+    return parts.withColumn("avg_inference_time", mean).drop("_part", "_time", "_n")
 
 
 def next_token_table(bigrams: DataFrame, k: int = 50, p: float = 0.9, temperature: float = 1.0) -> DataFrame:

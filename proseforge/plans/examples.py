@@ -28,9 +28,12 @@ def doc_vocab(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(tokens.build_vocab(docs, "t"), "vocab")
 
 
-def encoded(spark: SparkSession, d: str, name: str, keys: list[str], vocab: DataFrame | None = None) -> DataFrame:
-    """(keys, ids) of a table's text column."""
-    rows = text_table(spark, d, name).select(*keys, T.tokens(F.col("text")).alias("t"))
+def encoded(
+    spark: SparkSession, d: str, name: str, keys: list[str], vocab: DataFrame | None = None, first: int | None = None
+) -> DataFrame:
+    """(keys, ids) of a table's text column; with ``first``, only so many tokens are encoded."""
+    words = T.tokens(F.col("text"))
+    rows = text_table(spark, d, name).select(*keys, (words if first is None else F.slice(words, 1, first)).alias("t"))
     return tokens.encode(rows, keys, "t", vocab if vocab is not None else doc_vocab(spark, d))
 
 
@@ -77,7 +80,7 @@ def vocab_control_tokens(spark: SparkSession, d: str) -> DataFrame:
            {S.joined(S.fit('ids', SEQ, PAD))} AS labels FROM ids""")
 def encode_pad(spark: SparkSession, d: str) -> DataFrame:
     """Truncated and padded ids with mask; labels copy the ids, padding included."""
-    rows = encoded(spark, d, "documents", ["doc_id"])
+    rows = encoded(spark, d, "documents", ["doc_id"], first=SEQ)
     out = rows.select("doc_id", fit(F.col("ids"), SEQ, PAD).alias("input_ids"), mask(F.size("ids"), SEQ).alias("attention_mask"))
     return as_text(out.withColumn("labels", F.col("input_ids")), "input_ids", "attention_mask", "labels")
 
@@ -89,17 +92,17 @@ def encode_pad(spark: SparkSession, d: str) -> DataFrame:
     FROM wrapped""")
 def mlm_labels(spark: SparkSession, d: str) -> DataFrame:
     """Masked-LM labels ignore the special tokens around and behind the text."""
-    rows = encoded(spark, d, "documents", ["doc_id"])
+    rows = encoded(spark, d, "documents", ["doc_id"], first=SEQ - 2)
     wrapped = F.concat(F.array(F.lit(tokens.CLS)), F.slice("ids", 1, SEQ - 2), F.array(F.lit(tokens.SEP)))
     out = rows.select("doc_id", fit(wrapped, SEQ, PAD).alias("input_ids"))
     return as_text(out.withColumn("labels", tokens.masked_lm_labels(F.col("input_ids"))), "input_ids", "labels")
 
 
 _N_SPECIAL = len(SPECIAL_TOKENS)
-_CHOSEN = f"({_u('choose', 'doc_id', 'i - 1')} < 0.15 AND x NOT IN (0, 2, 3, 4))"
+_CHOSEN = f"({_u('choose', 'doc_id', 'i - 1')} < 0.15 AND x >= {_N_SPECIAL} AND x < v - {len(P.CONTROL_TOKENS)})"
 
 
-@query(f"""WITH {IDS_SQL}, size AS (SELECT count(*) AS v FROM vocab)
+@query(f"""WITH {IDS_SQL}, size AS (SELECT count(*) + {len(P.CONTROL_TOKENS)} AS v FROM vocab)
     SELECT doc_id,
       array_to_string(list_transform(ids, lambda x, i: CASE WHEN NOT {_CHOSEN} THEN x
         WHEN {_u('action', 'doc_id', 'i - 1')} < 0.8 THEN {MASK}
@@ -107,10 +110,10 @@ _CHOSEN = f"({_u('choose', 'doc_id', 'i - 1')} < 0.15 AND x NOT IN (0, 2, 3, 4))
       array_to_string(list_transform(ids, lambda x, i: CASE WHEN {_CHOSEN} THEN x ELSE -100 END), ',') AS labels
     FROM ids, size""")
 def mlm_collate(spark: SparkSession, d: str) -> DataFrame:
-    """Fifteen percent of the ids chosen: mostly masked, some replaced, some kept."""
-    v = doc_vocab(spark, d)
+    """Fifteen percent of the ids chosen: mostly masked, some replaced, some kept; never special or control ids."""
+    v = tokens.add_control_tokens(doc_vocab(spark, d))
     rows = encoded(spark, d, "documents", ["doc_id"], v).withColumn("_v", v.agg(F.count(F.lit(1))).scalar())
-    out = rows.select("doc_id", *E.collate_mlm(F.col("ids"), F.col("_v"), SEED, [F.col("doc_id")]))
+    out = rows.select("doc_id", *E.collate_mlm(F.col("ids"), F.col("_v"), SEED, [F.col("doc_id")], control=len(P.CONTROL_TOKENS)))
     return as_text(out, "input_ids", "labels")
 
 
@@ -170,14 +173,14 @@ PAIRS_SQL = """
       WHERE a.role = 'user')"""
 
 
-def _pair_ids(spark: SparkSession, d: str, v: DataFrame) -> DataFrame:
-    """Prompt and text ids of every complete pair, encoded in one pass."""
+def _pair_ids(spark: SparkSession, d: str, v: DataFrame, first: int = 128) -> DataFrame:
+    """The first prompt and text ids of every complete pair, encoded in one pass."""
     pairs = teacher_pairs(spark, d).filter(F.col("text").isNotNull())
     both = pairs.select(
         "conv_id", "turn",
         F.inline(F.array(
-            F.struct(F.lit("p").alias("side"), T.tokens(F.col("prompt")).alias("t")),
-            F.struct(F.lit("t").alias("side"), T.tokens(F.col("text")).alias("t")),
+            F.struct(F.lit("p").alias("side"), F.slice(T.tokens(F.col("prompt")), 1, first).alias("t")),
+            F.struct(F.lit("t").alias("side"), F.slice(T.tokens(F.col("text")), 1, first).alias("t")),
         )),
     )
     ids = tokens.encode(both, ["conv_id", "turn", "side"], "t", v)
@@ -237,7 +240,7 @@ def conditional_pairs(spark: SparkSession, d: str) -> DataFrame:
     prompt_tokens = F.array(P.control_prompt(sentiment, F.lit("")), P.control_prompt(F.lit(""), formality))
     both = rows.select("doc_id", F.inline(F.array(
         F.struct(F.lit("c").alias("side"), prompt_tokens.alias("t")),
-        F.struct(F.lit("x").alias("side"), T.tokens(F.col("text")).alias("t")),
+        F.struct(F.lit("x").alias("side"), F.slice(T.tokens(F.col("text")), 1, 64).alias("t")),
     )))
     ids = tokens.encode(both, ["doc_id", "side"], "t", v).groupBy("doc_id").agg(
         F.max(F.when(F.col("side") == "c", F.col("ids"))).alias("c"),
@@ -266,7 +269,7 @@ _DRAWS_SQL = f"""{_WEIGHTS_SQL},
 
 
 def capped_docs(spark: SparkSession, d: str) -> DataFrame:
-    rows = encoded(spark, d, "documents", ["doc_id"])
+    rows = encoded(spark, d, "documents", ["doc_id"], first=_CAP)
     capped = rows.select("doc_id", E.cap_document(F.col("ids"), PREFIX_LEN, TARGET_LEN).alias("ids"))
     return capped.filter(F.size("ids") > 0)
 

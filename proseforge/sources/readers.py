@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proseforge.functions.text import blank, strip
+from proseforge.operators.sampling import head
 from proseforge.operators.teacher import valid_pairs
 
 TAGGED = T.StructType([T.StructField(c, T.StringType()) for c in ("text", "sentiment", "formality")])
@@ -86,8 +87,8 @@ def cached_pairs(spark: SparkSession, path: str, n: int, order: Sequence[str]) -
     found = spark.read.parquet(path)
     have = found.count()
     if have < n:
-        raise ValueError(f"Only {have} teacher examples found, but {n} expected.")
-    return found.orderBy(*order).limit(n)
+        raise ValueError(f"the cache at {path} holds {have} pairs; {n} are needed")
+    return head(found, n, order)
 
 
 def revalidate_cache(spark: SparkSession, path: str, new_path: str) -> DataFrame:

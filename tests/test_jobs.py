@@ -174,7 +174,7 @@ def test_cached_pairs_guard(spark, tmp_path):
     path = str(tmp_path / "pairs")
     spark.createDataFrame([(1, "p", "t")], "id long, prompt string, text string").write.parquet(path)
     assert readers.cached_pairs(spark, path, 1, ["id"]).count() == 1
-    with pytest.raises(ValueError, match="Only 1 teacher examples"):
+    with pytest.raises(ValueError, match="holds 1 pairs"):
         readers.cached_pairs(spark, path, 2, ["id"])
 
 
@@ -207,3 +207,13 @@ def test_work_dir_needs_a_shared_folder():
     assert work_dir(_Session("local[2]", None), "x")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         work_dir(_Session("yarn", None), "x")
+
+
+def test_long_runs_keep_one_mean(spark):
+    rows = spark.range(1500).select(
+        F.lit("p").alias("prompt"), F.lit("m").alias("model_type"), F.col("id").cast("int").alias("iter"),
+        F.concat(F.lit("s"), "id").alias("sentence"), F.col("id").cast("double").alias("elapsed_s"),
+    )
+    got = G.to_records(rows).collect()
+    assert sorted(len(r.generated_sentences) for r in got) == [500, 1000]
+    assert {r.avg_inference_time for r in got} == {749.5}
