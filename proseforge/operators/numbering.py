@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 UNIFORM_BUCKETS = 65536
 ID_BUCKETS = 65536
 QUANTILES = 4096
+KEY_BUCKETS = 1024
 STRETCH = 65536
 BROADCAST_ROWS = 50_000
 
@@ -61,6 +62,30 @@ def _quantile_bucket(df: DataFrame, column: str, buckets: int) -> Column:
     return (whole * step + rest).cast("long")
 
 
+def key_bucket(df: DataFrame, order: Sequence[str], buckets: int = KEY_BUCKETS) -> Column:
+    """An order-preserving bucket of one or more columns of any types that can be ordered.
+
+    Bounds are the keys of some rows drawn by a hash of the key, a fixed number of which reaches the
+    driver.  Whatever the bounds, equal keys share a bucket and larger keys have no smaller one.
+    """
+    names = [f"k{i}" for i in range(len(order))]
+    keys = df.select(*[F.col(c).alias(n) for c, n in zip(order, names)])
+    drawn = keys.distinct().orderBy(F.xxhash64(*names), *names).limit(buckets - 1)
+    bounds = drawn.orderBy(*names).collect()
+    if not bounds:
+        return F.lit(0).cast("long")
+    kinds = [keys.schema[n].dataType for n in names]
+    literal = lambda rows: F.array(*[
+        F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(row, kinds, names)]) for row in rows
+    ])
+    key = F.struct(*[F.col(c).alias(n) for c, n in zip(order, names)])
+    at_most = lambda rows: F.size(F.filter(rows, lambda b: b <= key))
+    # Coarse bounds close a block of ``step`` bounds each, so two short searches find the place.
+    step = max(1, int(len(bounds) ** 0.5))
+    whole = at_most(literal(bounds[step - 1 :: step])) if len(bounds) >= step else F.lit(0)
+    return (whole * step + at_most(F.slice(literal(bounds), whole * step + 1, F.lit(step)))).cast("long")
+
+
 def _starts(totals: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Exclusive running sum of bucket totals; at most ``buckets`` rows per group."""
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

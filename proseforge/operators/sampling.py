@@ -13,30 +13,29 @@ from proseforge.functions.draws import randint, uniform
 from proseforge.operators.numbering import (
     among_smallest,
     id_bucket,
+    key_bucket,
     number_rows,
     running_sum,
     smallest_k,
 )
 
 
-SMALL_LIMIT = 100_000  # an ordered limit up to here fits one task
-
-
 def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in a stated order."""
     return window_slice(df, 0, n, order)
 
 
 def window_slice(df: DataFrame, start: int, n: int | None, order: Sequence[str]) -> DataFrame:
-    """Skip ``start`` rows, then take ``n`` (or all).
+    """Skip ``start`` rows, then take ``n`` (or all), in the order of columns of any types.
 
-    A long slice does not fit the single task of an ordered limit; it is cut
-    by row number instead, for which the first order column must be an integer.
+    Rows are numbered in ranges of their keys, so no task holds more than a range, however long the
+    slice.  Rows with equal keys are ordered by a hash of the other columns, which also spreads a
+    frequent key over several ranges.  Nulls come first.
     """
-    if n is not None and start + n <= SMALL_LIMIT:
-        return df.orderBy(*order).offset(start).limit(n)
-    rows = number_rows(df, order, id_bucket(df, order[0]), out="_row").filter(F.col("_row") > start)
-    return (rows if n is None else rows.filter(F.col("_row") <= start + n)).drop("_row")
+    others = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
+    keyed = df.withColumn("_tie", F.xxhash64(*others)).withColumn("_key", F.struct(*order, "_tie"))
+    rows = number_rows(keyed, ["_key"], key_bucket(keyed, [*order, "_tie"]), out="_row").filter(F.col("_row") > start)
+    return (rows if n is None else rows.filter(F.col("_row") <= start + n)).drop("_row", "_key", "_tie")
 
 
 def shuffled(df: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:

@@ -196,15 +196,20 @@ def threshold_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.train_test_split(text_table(spark, d, "documents").select("doc_id"), ["doc_id"], exact=False)
 
 
-@query(f"""SELECT doc_id, pos::INT AS pos, line FROM (
+#: Lines of the training sample.
+TRAIN_LINES = 5_000
+
+
+@query(f"""WITH train AS (
       SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos
-      FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
-    WHERE {S.strip('line')} <> ''
-    ORDER BY {S.u(42, 'sample', 'doc_id', 'pos')}, doc_id, pos LIMIT 10000""")
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE {S.u(42, 'split', 'doc_id')} >= 0.1))
+    SELECT doc_id, pos::INT AS pos, line FROM train WHERE {S.strip('line')} <> ''
+    ORDER BY {S.u(42, 'sample', 'doc_id', 'pos')}, doc_id, pos LIMIT {TRAIN_LINES}""")
 def sample_train_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A random training sample of ten thousand lines."""
-    rows = lines(text_table(spark, d, "documents"), "text", ["doc_id"]).filter(~T.blank(F.col("line")))
-    return sampling.sample_rows(rows, 10_000, 42, ["doc_id", "pos"])
+    """A random sample of the lines of the training split."""
+    docs = sampling.train_test_split(text_table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], exact=False)
+    rows = lines(docs.filter(F.col("split") == "train"), "text", ["doc_id"]).filter(~T.blank(F.col("line")))
+    return sampling.sample_rows(rows, TRAIN_LINES, 42, ["doc_id", "pos"])
 
 
 @query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 500")
@@ -245,7 +250,7 @@ _HARVEST_N = 100
 _HARVEST_SQL = f"""WITH held AS (
       SELECT 'documents' AS origin, doc_id AS id, pos, line FROM (
         SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE {S.u(SPLIT_SEED, 'part', 'doc_id')} >= 0.8))
       UNION ALL SELECT 'benchmark', item_id, 0, text FROM benchmark),
     plain AS (SELECT * FROM held WHERE NOT {S.header_or_markup('line')}),
     pool AS (
@@ -265,7 +270,8 @@ _HARVEST_SQL = f"""WITH held AS (
 @query(_HARVEST_SQL)
 def prompt_harvest(spark: SparkSession, d: str) -> DataFrame:
     """Short prompts from a random pool of plain held-out lines."""
-    docs = lines(text_table(spark, d, "documents"), "text", ["doc_id"]).select(
+    unseen = text_table(spark, d, "documents").filter(_part() != "train")
+    docs = lines(unseen, "text", ["doc_id"]).select(
         F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "pos", "line"
     )
     held = docs.unionByName(table(spark, d, "benchmark").select(

@@ -11,7 +11,7 @@ from proseforge.operators import candidates as K
 from proseforge.operators import ngram_lm as L
 from proseforge.operators import vectors as X
 from proseforge.operators.joins import lookup
-from proseforge.operators.tokens import MAX_VOCAB, SPECIAL_TOKENS, UNK, build_vocab
+from proseforge.operators.tokens import UNK, build_vocab
 from proseforge.plans import sqlparts as S
 from proseforge.plans.examples import doc_vocab
 from proseforge.plans.registry import query
@@ -149,15 +149,17 @@ def argmax_next(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(K.argmax(candidates(spark, d), CTX), "logit")
 
 
-@query(f"""WITH {CAND_SQL}, {topk_sql('cand', 20)}, {probs_sql('topk')},
+@query(f"""WITH {CAND_SQL}, {probs_sql('cand')},
     vecs AS (SELECT vec_id AS token_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings),
-    cells AS (SELECT ctx, dim, greatest(-10, least(10, sum(p * x))) AS value FROM probs JOIN vecs USING (token_id) GROUP BY ctx, dim)
-    SELECT ctx, round(sqrt(sum(value * value)), 6) AS norm, round(sum(value), 6) AS total FROM cells GROUP BY ctx""")
+    cells AS (SELECT ctx, dim, greatest(-10, least(10, sum(p * x))) AS value FROM probs JOIN vecs USING (token_id) GROUP BY ctx, dim),
+    sizes AS (SELECT ctx, sqrt(sum(value * value)) AS norm, sum(value) AS total FROM cells GROUP BY ctx)
+    SELECT ctx, round(coalesce(norm, 0), 6) AS norm, round(coalesce(total, 0), 6) AS total
+    FROM (SELECT DISTINCT ctx FROM probs) LEFT JOIN sizes USING (ctx)""")
 def expected_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Length and sum of the probability-weighted embedding of each context's best candidates."""
-    probs = K.softmax(K.top_k(candidates(spark, d), CTX, 20), CTX)
+    """Length and sum of the probability-weighted embedding of each context's candidates."""
+    probs = K.softmax(candidates(spark, d), CTX)
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
-    return _sizes(K.expected_vectors(probs, vecs, CTX, 64, MAX_VOCAB + len(SPECIAL_TOKENS)), "ctx")
+    return _sizes(K.expected_vectors(probs, vecs, CTX, 64), "ctx")
 
 
 _PRED_SQL = f"""{CAND_SQL}, {probs_sql('cand')},

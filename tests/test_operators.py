@@ -215,8 +215,9 @@ def test_commit_rules(spark):
 def test_expected_vectors(spark):
     probs = spark.createDataFrame([(0, 1, 0.25), (0, 2, 0.75), (1, 9, 1.0)], "ctx int, token_id int, p double")
     vecs = spark.createDataFrame([(1, [4.0, 0.0]), (2, [0.0, 40.0]), (99, [1.0, 1.0])], "token_id int, vec array<double>")
-    out = {r.ctx: r.vec for r in K.expected_vectors(probs, vecs, ["ctx"], 2, 50).collect()}
-    assert out == {0: [1.0, 10.0]}
+    out = {r.ctx: r.vec for r in K.expected_vectors(probs, vecs, ["ctx"], 2).collect()}
+    # The candidate of context 1 has no vector, so its mean is zero.
+    assert out == {0: [1.0, 10.0], 1: [0.0, 0.0]}
 
 
 # --- tokens and examples ---

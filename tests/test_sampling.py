@@ -101,9 +101,7 @@ def test_split_is_exact_and_reproducible(skewed):
     assert sum(s == "test" for s in first.values()) == 300
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_slices(skewed, monkeypatch, limit):
-    monkeypatch.setattr(S, "SMALL_LIMIT", limit)
+def test_slices(skewed):
     assert sorted(r.id for r in S.head(skewed, 12, ["id"]).collect()) == list(range(12))
     assert sorted(r.id for r in S.window_slice(skewed, 100, 5, ["id"]).collect()) == list(range(100, 105))
     assert S.window_slice(skewed, 2990, None, ["id"]).count() == 10
@@ -155,3 +153,22 @@ def test_harvest_has_no_case_twins(spark):
     out = S.harvest_prompts(spark.createDataFrame(rows, "id long, line string"), "line", 20, 1, ["id"], 8).collect()
     folded = [r.prompt.lower() for r in out]
     assert len(folded) == len(set(folded)) and all(len(p.split()) == 8 for p in folded)
+
+
+@pytest.mark.parametrize("kind", ["text", "date", "long"])
+def test_long_slices_by_any_type(spark, kind):
+    rows = spark.range(120_001).select("id", {
+        "text": F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 7, "0")),
+        "date": F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")),
+        "long": F.col("id") * 1_000_003,
+    }[kind].alias("k")).repartition(6)
+    got = S.window_slice(rows, 7, 110_000, ["k"]).agg(F.min("id"), F.max("id"), F.count("id")).first()
+    assert tuple(got) == (7, 110_006, 110_000)
+
+
+def test_slice_through_one_frequent_key(spark):
+    rows = spark.range(5_000).select(F.lit("same").alias("k"), "id").unionByName(spark.createDataFrame([(None, 1), ("a", 2), ("z", 3)], "k string, id long"))
+    got = [r.id for r in S.head(rows, 2, ["k"]).collect()]
+    assert sorted(got) == [1, 2]
+    assert S.window_slice(rows, 2, 5_000, ["k"]).filter("k = 'same'").count() == 5_000
+    assert [r.id for r in S.window_slice(rows, 5_002, None, ["k"]).collect()] == [3]
