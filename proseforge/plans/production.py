@@ -374,26 +374,37 @@ def pair_cache(spark: SparkSession, d: str) -> DataFrame:
 # --- streaming ---
 
 
+_STREAM_BUFFER = 128  # two scoring batches of 64
+
+
 @query(f"""WITH {LABELLED_SQL}, {nb_sql('m', 'lab', 'toxic')},
     texts AS (SELECT doc_id, text, CASE WHEN lang IN ('en', 'de') THEN 1 ELSE 0 END AS label FROM documents),
     {nb_score_sql('sc', 'm', 'texts', 'doc_id')},
     tagged AS (SELECT doc_id, text, CASE WHEN label = 1 THEN 'Positive' ELSE 'Negative' END AS sentiment,
       CASE WHEN score > 0 THEN 'Formal' ELSE 'Informal' END AS formality FROM texts JOIN sc USING (doc_id)),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY sentiment, formality ORDER BY {S.u(SEED, 'balance', 'doc_id')}, doc_id) AS rn,
-      count(*) OVER (PARTITION BY sentiment, formality) AS n FROM tagged),
-    lowest AS (SELECT *, min(n) OVER () AS m FROM ranked)
-    SELECT doc_id, text, sentiment, formality FROM lowest WHERE rn <= m""")
+    buffered AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // {_STREAM_BUFFER} AS buffer FROM tagged),
+    ranked AS (SELECT *, count(*) OVER (PARTITION BY buffer) AS size, count(*) OVER (PARTITION BY buffer, sentiment, formality) AS n,
+      row_number() OVER (PARTITION BY buffer, sentiment, formality ORDER BY {S.u(SEED, 'balance', 'doc_id')}, doc_id) AS rn FROM buffered),
+    lowest AS (SELECT *, min(n) OVER (PARTITION BY buffer) AS m FROM ranked)
+    SELECT doc_id, text, sentiment, formality FROM lowest WHERE size < {_STREAM_BUFFER} OR rn <= m""")
 def stream_tag_balance(spark: SparkSession, d: str) -> DataFrame:
-    """Documents streamed, tagged and balanced per micro-batch, appended as JSON lines."""
-    model = nb_model(labelled(spark, d), "toxic")
-    docs = text_table(spark, d, "documents")
-    stream = readers.stream_table(spark, d, "documents", docs.schema)
-    label = F.when(F.col("lang").isin("en", "de"), 1).otherwise(0)
-    tagger = B.naive_bayes_tagger(model, ["doc_id"], "text", "label")
+    """Documents streamed, tagged, balanced in buffers that span micro-batches, appended as JSON lines."""
     out = work_dir(spark, "stream-out")
-    B.run_stream(
-        stream.select("doc_id", "text", label.alias("label")), tagger, ["doc_id"], out,
-        work_dir(spark, "stream-checkpoint"), SEED, balance_tail=True,
-    )
+    _streamed(spark, d, out)
     schema = Y.StructType([Y.StructField("doc_id", Y.LongType()), *readers.TAGGED.fields])
     return readers.json_lines(spark, out, schema).drop("batch")
+
+
+def _streamed(spark: SparkSession, d: str, out: str) -> DataFrame:
+    model = nb_model(labelled(spark, d), "toxic")
+    stream = readers.stream_table(spark, d, "documents", table(spark, d, "documents").schema)
+    label = F.when(F.col("lang").isin("en", "de"), 1).otherwise(0)
+    tagger = B.naive_bayes_tagger(model, ["doc_id"], "text", "label")
+    rows = stream.select("doc_id", "text", label.alias("label"))
+    return B.run_stream(rows, tagger, ["doc_id"], out, work_dir(spark, "stream-state"), SEED, write_every=100, batch=64)
+
+
+@query(f"SELECT count(*) AS rows_read, (count(*) // {_STREAM_BUFFER})::BIGINT AS buffers FROM documents")
+def stream_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What the streaming job has counted: rows read and full buffers written."""
+    return _streamed(spark, d, work_dir(spark, "stream-out")).drop("batches")

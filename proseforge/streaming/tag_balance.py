@@ -7,13 +7,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proseforge.functions.draws import uniform
 from proseforge.operators.classify import tag
-from proseforge.operators.numbering import number_rows
-from proseforge.operators.sampling import balanced
+from proseforge.operators.numbering import key_bucket, number_rows
 
 CLASSES = ["sentiment", "formality"]
+COUNTERS = T.StructType([T.StructField(n, T.LongType()) for n in ("rows_read", "buffers", "batch")])
 
 
 def buffer_rows(write_every: int, batch: int) -> int:
@@ -34,6 +35,11 @@ def balance_buffers(
     rows = number_rows(tagged, order, bucket).withColumn(
         "buffer", F.floor((F.col("row_no") - 1) / size).cast("long")
     )
+    return _balanced_within(rows.drop("row_no"), size, order, seed)
+
+
+def _balanced_within(rows: DataFrame, size: int, order: Sequence[str], seed: int) -> DataFrame:
+    """Rows with a ``buffer`` number: full buffers balanced, others whole.  Windows hold one buffer."""
     in_class = Window.partitionBy("buffer", *CLASSES)
     draw = uniform(seed, "balance", *[F.col(k) for k in order])
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(in_class)).withColumn(
@@ -44,9 +50,7 @@ def balance_buffers(
         "_rows", F.count(F.lit(1)).over(whole)
     )
     tail = F.col("_rows") < size
-    return rows.filter(tail | (F.col("_rank") <= F.col("_smallest"))).drop(
-        "row_no", "_n", "_rank", "_smallest", "_rows"
-    )
+    return rows.filter(tail | (F.col("_rank") <= F.col("_smallest"))).drop("_n", "_rank", "_smallest", "_rows")
 
 
 def run_stream(
@@ -54,39 +58,57 @@ def run_stream(
     tagger: Callable[[DataFrame], DataFrame],
     keys: Sequence[str],
     out: str,
-    checkpoint: str,
+    state: str,
     seed: int,
     write_every: int = 10_000,
-    balance_tail: bool = False,
-) -> dict[str, int]:
-    """Score, balance and append each micro-batch; return the rows read and batches seen.
-
-    A micro-batch plays the part of a full buffer; one with fewer than
-    ``write_every`` rows is the unbalanced tail unless ``balance_tail`` is
-    set.  Output goes to a folder per batch id in overwrite mode, so a
-    repeated batch replaces its own rows.
+    batch: int = 64,
+) -> DataFrame:
+    """Score a stream, balance it buffer by buffer, and append the result; return the counters.
+
+    Rows fill buffers in the order of their micro-batches, and of ``keys`` within one.  Full buffers
+    are balanced and written; what is left over is carried to the next micro-batch, and what is left
+    at the end is written whole.  All that a micro-batch writes lies in folders named by its number and
+    is overwritten when it is repeated, and it reads only what the one before it carried over; a
+    restart therefore neither adds nor loses rows.  Counters are written beside and outlive the run.
     """
-    totals = {"rows": 0, "batches": 0}
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        tagged = tagger(batch).persist()
-        try:
-            n = tagged.count()
-            kept = tagged if n < write_every and not balance_tail else balanced(tagged, CLASSES, seed, keys)
-            kept.write.mode("overwrite").json(f"{out}/batch={batch_id}")
-        finally:
-            tagged.unpersist()
-        totals["rows"] += n
-        totals["batches"] += 1
+    size = buffer_rows(write_every, batch)
+    spark = stream.sparkSession
+    at = lambda what, number: f"{state}/{what}/batch={number}"
+
+    def write(rows: DataFrame, number: int) -> None:
+        tagger(rows).withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(at("tagged", number))
+        tagged = spark.read.parquet(at("tagged", number))
+        new = tagged.count()
+        if number:
+            tagged = spark.read.parquet(at("carried", number - 1)).unionByName(tagged)
+        held = tagged.count()
+        order = ["_batch", *keys]
+        numbered = number_rows(tagged.withColumn("_order", F.struct(*order)), ["_order"], key_bucket(tagged, order))
+        numbered = numbered.withColumn("buffer", F.floor((F.col("row_no") - 1) / size).cast("long")).drop("_order", "row_no")
+        full = F.col("buffer") < held // size
+        kept = _balanced_within(numbered.filter(full), size, keys, seed).drop("_batch", "buffer")
+        kept.write.mode("overwrite").json(f"{out}/batch={number}")
+        numbered.filter(~full).drop("buffer").write.mode("overwrite").parquet(at("carried", number))
+        counters = spark.range(1).select(F.lit(new).alias("rows_read"), F.lit(held // size).alias("buffers"))
+        counters.write.mode("overwrite").json(at("counters", number))
 
     query = (
         stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", f"{state}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return totals
+    done = spark.read.schema(COUNTERS).json(f"{state}/counters")
+    totals = done.agg(
+        F.sum("rows_read").alias("rows_read"), F.sum("buffers").alias("buffers"),
+        F.count("rows_read").alias("batches"), F.max("batch").alias("_last"),
+    )
+    last = totals.first()["_last"]
+    if last is not None:
+        tail = spark.read.parquet(at("carried", last)).drop("_batch")
+        tail.write.mode("overwrite").json(f"{out}/batch=tail")
+    return totals.drop("_last")
 
 
 def naive_bayes_tagger(model: DataFrame, keys: Sequence[str], text: str, label: str) -> Callable[[DataFrame], DataFrame]:

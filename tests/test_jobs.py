@@ -116,26 +116,40 @@ def test_alignment_copies_shared_tokens(spark):
 TAGGED = Y.StructType([Y.StructField("id", Y.LongType()), *readers.TAGGED.fields])
 
 
-def test_stream_rerun_adds_nothing_and_balances(spark, tmp_path):
-    rows = spark.range(400).select(
+def test_stream_buffers_span_micro_batches_and_restarts(spark, tmp_path):
+    from proseforge.operators.numbering import id_bucket
+
+    rows = spark.range(700).select(
         "id", F.when(F.col("id") % 4 < 3, "good fine nice").otherwise("bad poor").alias("text"), (F.col("id") % 2).cast("int").alias("label")
     )
     source = str(tmp_path / "in")
-    rows.repartitionByRange(4, "id").write.parquet(source)
+    part = lambda a, b: rows.filter(F.col("id").between(a, b - 1)).coalesce(1).write.mode("append").parquet(source)
     model = C.train_naive_bayes(rows.withColumn("y", (F.col("id") % 4 < 3).cast("int")), "text", "y")
     tagger = B.naive_bayes_tagger(model, ["id"], "text", "label")
-    stream = lambda: readers.stream_table(spark, source, "part-", rows.schema)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    totals = B.run_stream(stream(), tagger, ["id"], out, state, 1, balance_tail=True)
-    assert totals == {"rows": 400, "batches": 4}
-    first = sorted(r.id for r in readers.json_lines(spark, out, TAGGED).collect())
-    again = B.run_stream(stream(), tagger, ["id"], out, state, 1, balance_tail=True)
-    assert again["rows"] == 0 and first == sorted(r.id for r in readers.json_lines(spark, out, TAGGED).collect())
-    counts = readers.json_lines(spark, out, TAGGED).groupBy("sentiment", "formality").count().collect()
-    assert len({r["count"] for r in counts}) == 1 and len(first) < 400
-    # Small batches are an unbalanced tail by default and pass whole.
-    B.run_stream(stream(), tagger, ["id"], str(tmp_path / "whole"), str(tmp_path / "state2"), 1)
-    assert readers.json_lines(spark, str(tmp_path / "whole"), TAGGED).count() == 400
+
+    def run():
+        stream = readers.stream_table(spark, source, "part-", rows.schema)
+        return B.run_stream(stream, tagger, ["id"], out, state, 1, write_every=100, batch=64).first().asDict()
+
+    def result():
+        return sorted(tuple(r) for r in readers.json_lines(spark, out, TAGGED).drop("batch").collect())
+
+    def batch_form(n):
+        tagged = tagger(rows.filter(F.col("id") < n))
+        kept = B.balance_buffers(tagged, ["id"], id_bucket(tagged, "id"), 1, write_every=100, batch=64)
+        return sorted(tuple(r) for r in kept.select("id", *readers.TAGGED.fieldNames()).collect())
+
+    # Files are smaller than a buffer of 128 rows.
+    for a in range(0, 400, 50):
+        part(a, a + 50)
+    assert run() == {"rows_read": 400, "buffers": 3, "batches": 8}
+    assert result() == batch_form(400) and len(result()) < 400
+    assert run() == {"rows_read": 400, "buffers": 3, "batches": 8} and result() == batch_form(400)
+    # After a restart the rows that were the tail go on filling their buffer; a file may hold several buffers.
+    part(400, 700)
+    assert run() == {"rows_read": 700, "buffers": 5, "batches": 9}
+    assert result() == batch_form(700)
 
 
 def test_buffers(spark):
