@@ -13,23 +13,19 @@ from pyspark.sql import functions as F
 
 from proseforge.functions import prompts as P
 from proseforge.functions.text import tokens
-from proseforge.operators.numbering import bounded
 from proseforge.operators.sampling import balanced
-from proseforge.operators.tokens import MAX_VOCAB, most_frequent
 from proseforge.session import cut_lineage
 
 
-def train_naive_bayes(df: DataFrame, text: str, label: str, features: int = MAX_VOCAB) -> DataFrame:
+def train_naive_bayes(df: DataFrame, text: str, label: str) -> DataFrame:
     """(token, weight): log-odds of label 1, with Laplace smoothing.
 
-    Features are the most frequent tokens, as many as a tokenizer's
-    vocabulary, so the model can be broadcast.  The row with a null token is
-    the log prior.
+    Every token of the training texts is a feature.  The row with a null
+    token is the log prior.
     """
     words = df.select(F.explode(tokens(F.col(text))).alias("token"), F.col(label).alias("y"))
     n1, n0 = F.sum(F.when(F.col("y") == 1, 1).otherwise(0)), F.sum(F.when(F.col("y") == 1, 0).otherwise(1))
     counts = words.groupBy("token").agg(n1.alias("n1"), n0.alias("n0"))
-    counts = most_frequent(counts.withColumn("n", F.col("n1") + F.col("n0")), "n", features)
     totals = counts.agg(
         F.struct(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.count(F.lit(1)).alias("v")).alias("t")
     ).scalar()
@@ -50,11 +46,12 @@ def train_naive_bayes(df: DataFrame, text: str, label: str, features: int = MAX_
 def score_naive_bayes(df: DataFrame, keys: Sequence[str], text: str, model: DataFrame, out: str = "score") -> DataFrame:
     """(keys, out): summed log-odds of label 1 for each row's whole text.
 
-    Tokens meet the broadcast model where they are; only one partial sum per
-    row is shuffled.  Sums are rounded, as their order is not fixed.
+    Read from a file, a small model is broadcast by the planner, and only one
+    partial sum per row is shuffled; a large one meets the tokens in a join.
+    Sums are rounded, as their order is not fixed.
     """
     words = df.select(*keys, F.explode_outer(tokens(F.col(text))).alias("token"))
-    weights = F.broadcast(model.filter(F.col("token").isNotNull()))
+    weights = model.filter(F.col("token").isNotNull())
     prior = model.filter(F.col("token").isNull()).select("weight")
     summed = words.join(weights, "token", "left").groupBy(*keys).agg(
         F.sum(F.coalesce("weight", F.lit(0.0))).alias("_sum")
@@ -76,7 +73,8 @@ def report(df: DataFrame, label: str, pred: str, names: dict[int, str]) -> DataF
     Undefined ratios count as 0, and a class missing from the data is listed.
     """
     # The confusion table has a row per pair of classes; three results are read from it.
-    pairs = bounded(df.groupBy(F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n")))
+    pairs = df.groupBy(F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut_lineage(pairs, "confusion")
     classes = list(names)
     sums = pairs.agg(*[
         F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(f"{kind}{c}")

@@ -77,7 +77,7 @@ def sentence_perplexity(
     """
     coded = id_pairs(df, keys, text, vocab)
     scored = lookup(coded, bigrams, ["ctx", "token_id"], ["n"], [*keys, "pos"])
-    totals = F.broadcast(context_totals(bigrams))  # at most one row per vocabulary id
+    totals = context_totals(bigrams)
     size = vocab.agg(F.count(F.lit(1)))
     p = (F.coalesce("n", F.lit(0)) + F.lit(k)) / (
         F.coalesce("ctx_n", F.lit(0)) + F.lit(k) * size.scalar()

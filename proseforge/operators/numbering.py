@@ -13,24 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proseforge.session import cut_lineage
+
 UNIFORM_BUCKETS = 65536
 ID_BUCKETS = 65536
 QUANTILES = 4096
 KEY_BUCKETS = 1024
 STRETCH = 65536
-BROADCAST_ROWS = 50_000
-
-
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast-ready copy of ``df`` when it proves small, else ``df`` itself.
-
-    At most ``max_rows + 1`` rows reach the driver, and that count is the size
-    check.  A larger table is returned as it is and gets a shuffle join.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def id_bucket(df: DataFrame, column: str, buckets: int = ID_BUCKETS) -> Column:
@@ -167,7 +156,7 @@ def _kth_keys(
     )
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("_key"))
     return (
-        narrow.join(bounded(edge), [*by, "_bucket"])
+        narrow.join(cut_lineage(edge, "edges"), [*by, "_bucket"])
         .withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("_need"))
         .select(*by, F.col("_key").alias("_cut"))
@@ -214,5 +203,6 @@ def smallest_k(
     if k <= 0:
         return df.limit(0)
     # A group with fewer than k rows has no cut and is kept whole.
-    kept = df.join(bounded(_kth_keys(df, k, draw, ties, by, buckets)), list(by), "left")
+    # Written out, a small table of cuts is broadcast by the planner, and wide rows stay where they are.
+    kept = df.join(cut_lineage(_kth_keys(df, k, draw, ties, by, buckets), "cuts"), list(by), "left")
     return kept.filter(F.col("_cut").isNull() | (_draw_key(draw, ties) <= F.col("_cut"))).drop("_cut")

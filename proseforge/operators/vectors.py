@@ -40,7 +40,7 @@ def random_step(seed: int, steps: int, keys: Sequence[Column]) -> Column:
 def add_noise(df: DataFrame, vec: str, schedule: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
     """Forward noising at step ``t``: sqrt(a) x + sqrt(1 - a) eps."""
     cols = [F.col(k) for k in keys]
-    joined = df.join(F.broadcast(schedule.select("t", "alpha_hat")), "t")
+    joined = df.join(schedule.select("t", "alpha_hat"), "t")
     a = F.col("alpha_hat")
 
     def noisy(x: Column, i: Column) -> Column:

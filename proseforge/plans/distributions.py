@@ -178,8 +178,7 @@ def masked_predictions(spark: SparkSession, d: str) -> DataFrame:
     turns = text_table(spark, d, "conversations").withColumn("sk", F.col("conv_id") * 1000 + F.col("turn"))
     pairs = L.id_pairs(turns, ["sk"], "text", v).drop("token_id")
     masked = pairs.filter(uniform(SEED, "mask", F.col("sk"), F.col("pos")) < 0.3)
-    # One row per vocabulary id.
-    return masked.join(F.broadcast(best), "ctx").select("sk", "pos", "token_id", F.round("p", 9).alias("prob"))
+    return masked.join(best, "ctx").select("sk", "pos", "token_id", F.round("p", 9).alias("prob"))
 
 
 @query(f"""WITH {_PRED_SQL},

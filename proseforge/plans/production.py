@@ -22,7 +22,7 @@ from proseforge.plans.distributions import probs_sql, topk_sql, topp_sql
 from proseforge.plans.examples import PAIRS_SQL, VOCAB_SQL, doc_vocab, teacher_pairs
 from proseforge.plans.registry import query
 from proseforge.plans.scoring import (
-    EVAL_SQL,
+    REPORT_SQL,
     KEYS,
     SUMMARY_SQL,
     base_summary,
@@ -330,22 +330,16 @@ def detail_files(spark: SparkSession, d: str) -> DataFrame:
     return readers.csv_table(spark, path, schema).withColumn("perplexity", F.round("perplexity", 4))
 
 
-@query(f"""{EVAL_SQL},
-    cls AS (SELECT * FROM (VALUES (0, 'Negative'), (1, 'Positive')) c(c, class)),
-    cnt AS (SELECT class, (SELECT count(*) FROM pairs WHERE y = c AND p = c)::DOUBLE AS hit,
-              (SELECT count(*) FROM pairs WHERE y = c) AS support, (SELECT count(*) FROM pairs WHERE p = c) AS said FROM cls)
+@query(f"""{REPORT_SQL}
     SELECT 'Accuracy: ' || printf('%.2f', avg((y = p)::INT::DOUBLE)) AS value FROM pairs
-    UNION ALL SELECT class || ' support ' || support FROM cnt""")
+    UNION ALL SELECT printf('%-14s %.2f %.2f %.2f %d', class, pre::DOUBLE, rec::DOUBLE, f1::DOUBLE, support::BIGINT) FROM every""")
 def report_file(spark: SparkSession, d: str) -> DataFrame:
-    """The classifier report as a text file, read back to its accuracy and supports."""
+    """The classifier report as a text file, read back line by line."""
     pairs = held_out_predictions(spark, d)
     report = C.report(pairs, "label", "pred", {0: "Negative", 1: "Positive"})
     path = work_dir(spark, "report")
     sinks.text_report(report, C.accuracy(pairs, "label", "pred"), path)
-    line = F.col("value")
-    support = F.concat(F.regexp_extract(line, r"^(\S+)", 1), F.lit(" support "), F.regexp_extract(line, r"(\d+)$", 1))
-    rows = spark.read.text(path).filter(~line.contains("avg"))
-    return rows.select(F.when(line.startswith("Accuracy"), line).otherwise(support).alias("value"))
+    return spark.read.text(path)
 
 
 @query(f"""SELECT 'conv ' || conv_id AS prompt, role AS model_type, count(*)::INT AS n
@@ -397,7 +391,7 @@ def stream_tag_balance(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, d: str, out: str) -> DataFrame:
     model = nb_model(labelled(spark, d), "toxic")
-    stream = readers.stream_table(spark, d, "documents", table(spark, d, "documents").schema)
+    stream = readers.stream_table(spark, d, "documents", readers.table(spark, d, "documents").schema)
     label = F.when(F.col("lang").isin("en", "de"), 1).otherwise(0)
     tagger = B.naive_bayes_tagger(model, ["doc_id"], "text", "label")
     rows = stream.select("doc_id", "text", label.alias("label"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proseforge.functions import prompts as P
@@ -12,7 +12,6 @@ from proseforge.operators import classify as C
 from proseforge.operators import evaluate as V
 from proseforge.operators import ngram_lm as L
 from proseforge.operators.numbering import id_bucket
-from proseforge.operators.tokens import MAX_VOCAB
 from proseforge.plans import sqlparts as S
 from proseforge.plans.corpus import LABELLED_SQL, labelled
 from proseforge.plans.examples import VOCAB_SQL, doc_vocab
@@ -28,8 +27,7 @@ def nb_sql(name: str, source: str, label: str) -> str:
     """``name`` (token, weight): the naive Bayes model of a labelled table."""
     return f"""
     {name}_w AS (SELECT unnest({S.tokens('text')}) AS token, {label} AS y FROM {source}),
-    {name}_c AS (SELECT token, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y <> 1) AS n0 FROM {name}_w GROUP BY 1
-      ORDER BY count(*) DESC, token LIMIT {MAX_VOCAB}),
+    {name}_c AS (SELECT token, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y <> 1) AS n0 FROM {name}_w GROUP BY 1),
     {name}_t AS (SELECT sum(n1)::DOUBLE AS t1, sum(n0)::DOUBLE AS t0, count(*)::DOUBLE AS v FROM {name}_c),
     {name} AS (
       SELECT token, ln((n1 + 1.0::DOUBLE) / (t1 + v)) - ln((n0 + 1.0::DOUBLE) / (t0 + v)) AS weight FROM {name}_c, {name}_t
@@ -94,7 +92,7 @@ def nb_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.round("accuracy", 6).alias("accuracy"))
 
 
-@query(f"""{EVAL_SQL},
+REPORT_SQL = f"""{EVAL_SQL},
     cls AS (SELECT * FROM (VALUES (0, 'Negative'), (1, 'Positive')) c(c, class)),
     cnt AS (SELECT class, (SELECT count(*) FROM pairs WHERE y = c AND p = c)::DOUBLE AS hit,
               (SELECT count(*) FROM pairs WHERE y = c) AS support, (SELECT count(*) FROM pairs WHERE p = c) AS said FROM cls),
@@ -102,7 +100,10 @@ def nb_accuracy(spark: SparkSession, d: str) -> DataFrame:
     f AS (SELECT class, pre, rec, CASE WHEN pre + rec = 0 THEN 0 ELSE 2 * pre * rec / (pre + rec) END AS f1, support FROM pr),
     every AS (SELECT * FROM f
       UNION ALL SELECT 'macro avg', avg(pre), avg(rec), avg(f1), sum(support) FROM f
-      UNION ALL SELECT 'weighted avg', sum(pre * support) / sum(support), sum(rec * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM f)
+      UNION ALL SELECT 'weighted avg', sum(pre * support) / sum(support), sum(rec * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM f)"""
+
+
+@query(f"""{REPORT_SQL}
     SELECT class, round(pre::DOUBLE, 6) AS precision, round(rec::DOUBLE, 6) AS recall, round(f1::DOUBLE, 6) AS f1, support::BIGINT AS support FROM every""")
 def nb_report(spark: SparkSession, d: str) -> DataFrame:
     """Precision, recall and F1 per class and averaged."""
@@ -110,23 +111,38 @@ def nb_report(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query()
+@query(f"""WITH {LABELLED_SQL}, held AS (SELECT * FROM lab WHERE {_HELD} < 0.3)
+    SELECT quality AS label, count(*) AS n, TRUE AS as_good_as_majority FROM held GROUP BY quality""")
 def linear_predict(spark: SparkSession, d: str) -> DataFrame:
-    """TF-IDF and logistic regression, fitted on the labelled documents."""
+    """TF-IDF and logistic regression on held-out documents: rows per label, and whether guessing the majority is matched."""
     rows = labelled(spark, d).select("doc_id", "text", F.col("quality").alias("label"))
-    model = C.train_linear(rows, "text", "label")
-    return C.predict_linear(rows, "text", model).select("doc_id", "label", "pred")
+    draw = uniform(SEED, "held", F.col("doc_id"))
+    model = C.train_linear(rows.filter(draw >= 0.3), "text", "label")
+    said = C.predict_linear(rows.filter(draw < 0.3), "text", model).select("label", "pred")
+    counts = said.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == F.col("pred")).cast("long")).alias("hits"))
+    every = Window.partitionBy()  # one row per label
+    good = F.sum("hits").over(every) >= F.max("n").over(every)
+    return counts.select("label", "n", good.alias("as_good_as_majority"))
 
 
-_TAG_SQL = f"""{LABELLED_SQL}, {nb_sql('m', 'lab', 'toxic')}, {nb_score_sql('sc', 'm', 'lab', 'doc_id')},
+# The tagger is fitted to one part of the labelled documents and tags the rest.
+_TAG_SQL = f"""{LABELLED_SQL}, seen AS (SELECT * FROM lab WHERE {_HELD} < 0.3), unseen AS (SELECT * FROM lab WHERE {_HELD} >= 0.3),
+    {nb_sql('m', 'seen', 'toxic')}, {nb_score_sql('sc', 'm', 'unseen', 'doc_id')},
     tagged AS (
       SELECT doc_id, text, sentiment, CASE WHEN score > 0 THEN 'Formal' ELSE 'Informal' END AS formality
-      FROM lab JOIN sc USING (doc_id))"""
+      FROM unseen JOIN sc USING (doc_id))"""
 
 
-def tagged_documents(spark: SparkSession, d: str) -> DataFrame:
+def _tag_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows to tag, and the tagger's model, which has not seen them."""
     rows = labelled(spark, d)
-    return C.tag(rows, ["doc_id"], "text", "quality", nb_model(rows, "toxic"))
+    draw = uniform(SEED, "held", F.col("doc_id"))
+    return rows.filter(draw >= 0.3), nb_model(rows.filter(draw < 0.3), "toxic")
+
+
+def tagged_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows, model = _tag_parts(spark, d)
+    return C.tag(rows, ["doc_id"], "text", "quality", model)
 
 
 @query(f"""WITH {_TAG_SQL},
@@ -135,8 +151,8 @@ def tagged_documents(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, text, sentiment, formality, {S.control_prompt('sentiment', 'formality')} AS prompt FROM ranked, low WHERE rn <= m""")
 def tag_and_balance(spark: SparkSession, d: str) -> DataFrame:
     """Formality predicted, sentiment given, classes balanced over the whole corpus."""
-    rows = labelled(spark, d)
-    out = C.tag_and_balance(rows, ["doc_id"], "text", "quality", nb_model(rows, "toxic"), SEED)
+    rows, model = _tag_parts(spark, d)
+    out = C.tag_and_balance(rows, ["doc_id"], "text", "quality", model, SEED)
     return out.withColumn("prompt", P.control_prompt(F.col("sentiment"), F.col("formality")))
 
 
@@ -327,7 +343,7 @@ _OPEN_SQL = f"""{SUMMARY_SQL},
     FROM (SELECT *, prompt || '|' || model_type AS gk FROM base) JOIN d1 USING (gk) JOIN d2 USING (gk) JOIN sb USING (gk)""")
 def open_ended_summary(spark: SparkSession, d: str) -> DataFrame:
     """The open-ended evaluation table: diversity beside perplexity and time."""
-    records = turn_records(spark, d)
+    records = cut_lineage(turn_records(spark, d), "turn-records")
     base = V.display_summary(base_summary(spark, d, records, "sentence"), {"avg_perplexity": 4, "avg_inference_time": 4})
     bucket = id_bucket(records, "iter")
     metrics = (
@@ -340,25 +356,40 @@ def open_ended_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def control_records(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled documents as generated texts: control prompt, source as model, both attributes predicted."""
+    """Held-out documents as generated texts: control prompt, source as model, both attributes predicted.
+
+    The classifiers have seen the other labelled documents only.  The table is written once, as
+    perplexity, confusion and times are all read from it.
+    """
+    draw = uniform(SEED, "held", F.col("doc_id"))
     rows = labelled(spark, d)
+    trained = rows.filter(draw >= 0.3)
     prompt = P.control_prompt(F.col("sentiment"), F.col("formality"))
-    out = rows.select(
-        prompt.alias("prompt"), F.col("source").alias("model_type"), F.col("doc_id").alias("iter"), "text",
+    cleaned = T.clean_output(F.col("text"), prompt)
+    out = rows.filter(draw < 0.3).select(
+        prompt.alias("prompt"), F.col("source").alias("model_type"), F.col("doc_id").alias("iter"), cleaned.alias("text"),
         (F.length("text") / F.lit(1024.0)).alias("elapsed_s"),
-    )
+    ).filter(F.col("text") != "")
+    out = cut_lineage(out, "control-texts")
     names = {"quality": ("said_sentiment", P.sentiment_name), "toxic": ("said_formality", P.formality_name)}
+    said = out
     for label, (name, named) in names.items():
-        scores = C.score_naive_bayes(rows, ["doc_id"], "text", nb_model(rows, label))
-        out = out.join(scores.select(F.col("doc_id").alias("iter"), named(C.predicted(F.col("score"))).alias(name)), "iter")
-    return out
-
-
-_CONTROL_SQL = f"""{LABELLED_SQL}, {nb_sql('ms', 'lab', 'quality')}, {nb_score_sql('ss', 'ms', 'lab', 'doc_id')},
-    {nb_sql('mf', 'lab', 'toxic')}, {nb_score_sql('sf', 'mf', 'lab', 'doc_id')},
-    crec AS (SELECT {S.control_prompt('sentiment', 'formality')} AS prompt, source AS model_type, doc_id, text, sentiment, formality,
-        ss.score > 0 AS said_pos, sf.score > 0 AS said_formal, length(text) / 1024.0::DOUBLE AS elapsed_s
-      FROM lab JOIN ss USING (doc_id) JOIN sf USING (doc_id)),
+        scores = C.score_naive_bayes(out, ["iter"], "text", nb_model(trained, label))
+        said = said.join(scores.select("iter", named(C.predicted(F.col("score"))).alias(name)), "iter")
+    return cut_lineage(said, "control-records")
+
+
+_CONTROL_SQL = f"""{LABELLED_SQL},
+    trained AS (SELECT * FROM lab WHERE {_HELD} >= 0.3),
+    prompted AS (SELECT *, {S.control_prompt('sentiment', 'formality')} AS prompt, length(text) / 1024.0::DOUBLE AS elapsed_s FROM lab WHERE {_HELD} < 0.3),
+    cutoff AS (SELECT * EXCLUDE (text), CASE WHEN starts_with(text, prompt) THEN substr(text, length(prompt) + 1)
+        WHEN strpos(text, ':') > 0 THEN substr(text, strpos(text, ':') + 1) ELSE text END AS body FROM prompted),
+    held AS (SELECT * FROM (SELECT *, {S.strip("replace(replace(" + S.strip('body') + ", '<|endoftext|>', ''), '\\n', ' ')")} AS text FROM cutoff) WHERE text <> ''),
+    {nb_sql('ms', 'trained', 'quality')}, {nb_score_sql('ss', 'ms', 'held', 'doc_id')},
+    {nb_sql('mf', 'trained', 'toxic')}, {nb_score_sql('sf', 'mf', 'held', 'doc_id')},
+    crec AS (SELECT prompt, source AS model_type, doc_id, text, sentiment, formality,
+        ss.score > 0 AS said_pos, sf.score > 0 AS said_formal, elapsed_s
+      FROM held JOIN ss USING (doc_id) JOIN sf USING (doc_id)),
     conf AS (SELECT prompt, model_type,
         count(*) FILTER (said_pos AND sentiment = 'Positive') AS sentiment_tp, count(*) FILTER (said_pos AND sentiment <> 'Positive') AS sentiment_fp,
         count(*) FILTER (NOT said_pos AND sentiment = 'Negative') AS sentiment_tn, count(*) FILTER (NOT said_pos AND sentiment <> 'Negative') AS sentiment_fn,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from proseforge.functions.draws import randint, uniform
 from proseforge.operators import numbering as N
 from proseforge.operators import sampling as S
-from proseforge.operators.numbering import bounded, id_bucket, number_rows, running_sum, smallest_k
+from proseforge.operators.numbering import id_bucket, number_rows, running_sum, smallest_k
 
 
 @pytest.fixture(scope="module")
@@ -140,13 +140,6 @@ def test_uniform_and_randint_ranges(spark):
     assert 0 <= low and high < 1 and abs(mean - 0.5) < 0.01 and (lo, hi) == (3, 8)
 
 
-def test_bounded_checks_the_size(spark):
-    df = spark.range(100)
-    plan = lambda x: spark.range(10).join(x, "id")._jdf.queryExecution().executedPlan().toString()
-    assert "LocalTableScan" in plan(bounded(df, 100)) or "Scan ExistingRDD" in plan(bounded(df, 100))
-    assert bounded(df, 99) is df
-
-
 def test_harvest_has_no_case_twins(spark):
     base = "one two three four five six seven eight nine ten eleven"
     rows = [(i, (base.upper() if i % 2 else base)) for i in range(40)] + [(99, "short line that is long enough chars")]
