@@ -29,6 +29,7 @@ def curate(
     key: str = "prompt_id",
     seed: int = 1234,
     max_rounds: int = 10,
+    existing: DataFrame | None = None,
 ) -> DataFrame:
     """Up to ``n`` valid pairs with distinct texts.
 
@@ -36,11 +37,22 @@ def curate(
     all prompts; later rounds draw as many prompts as pairs are missing, with
     a new seed each time.  The new pairs of each round are written to the
     shared folder, so only counts come to the driver.  ``key`` is an integer.
+
+    ``existing`` holds pairs of an earlier run (key, prompt, text, round): the valid ones count, and
+    round 0 asks only the prompts that they do not answer.
     """
-    kept = None
-    have = 0
+    kept, have = None, 0
+    if existing is not None:
+        known = valid_pairs(existing).select(key, "prompt", "text", "round")
+        kept = cut_lineage(dedup_text(known, "text", [key]).select(known.columns), "teacher-known")
+        have = kept.count()
+        if have >= n:
+            return head(kept, n, [key])
     for round_no in range(max_rounds + 1):
-        asked = prompts if kept is None else sample_rows(prompts, n - have, seed + round_no, [key], "topup")
+        if round_no:
+            asked = sample_rows(prompts, n - have, seed + round_no, [key], "topup")
+        else:
+            asked = prompts if kept is None else prompts.join(kept.select(key), key, "left_anti")
         found = valid_pairs(generate(asked, round_no)).withColumn("round", F.lit(round_no))
         fresh = dedup_text(found, "text", [key]) if kept is None else not_seen(found, kept, "text", [key])
         fresh = cut_lineage(fresh.select(found.columns), f"teacher-{round_no}")

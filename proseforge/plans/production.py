@@ -239,9 +239,8 @@ def _teacher_sql() -> str:
     return f"WITH {', '.join(parts)} SELECT prompt_id, prompt, text, round FROM kept{_ROUNDS} ORDER BY round, prompt_id LIMIT (SELECT n FROM goal)"
 
 
-@query(_teacher_sql())
-def teacher_topup(spark: SparkSession, d: str) -> DataFrame:
-    """Curation with top-up rounds; round r answers with the turn r places after the reply."""
+def _teacher(spark: SparkSession, d: str):
+    """The prompts, and a generator whose round r answers with the turn r places after the reply."""
     turns = text_table(spark, d, "conversations")
     prompts = turns.filter(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), "conv_id", "turn", F.col("text").alias("prompt")
@@ -253,9 +252,25 @@ def teacher_topup(spark: SparkSession, d: str) -> DataFrame:
             "prompt_id", "prompt", F.concat("prompt", F.lit(" "), "reply").alias("text")
         )
 
+    return prompts, answer
+
+
+@query(_teacher_sql())
+def teacher_topup(spark: SparkSession, d: str) -> DataFrame:
+    """Curation with top-up rounds."""
+    prompts, answer = _teacher(spark, d)
     return teacher.curate(prompts, answer, prompts.count(), max_rounds=_ROUNDS)
 
 
+@query(_teacher_sql())
+def teacher_resume(spark: SparkSession, d: str) -> DataFrame:
+    """A run that stopped after its first round, cached, and taken up again: the result is that of one run."""
+    prompts, answer = _teacher(spark, d)
+    cache = work_dir(spark, "teacher-cache")
+    teacher.curate(prompts, answer, prompts.count(), max_rounds=0).write.parquet(cache)
+    return teacher.curate(prompts, answer, prompts.count(), max_rounds=_ROUNDS, existing=spark.read.parquet(cache))
+
+
 # --- files ---
 
 _DOC = Y.StructType([Y.StructField("doc_id", Y.LongType()), Y.StructField("text", Y.StringType())])

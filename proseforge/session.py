@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,12 @@ def local_session(cpus: str | int = 8, app: str = "proseforge") -> SparkSession:
     )
 
 
+@lru_cache
+def _own_folder(application: str) -> str:
+    """One temporary folder per local session."""
+    return tempfile.mkdtemp(prefix="proseforge-")
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder that every executor can reach.
 
@@ -41,7 +48,7 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="proseforge-")
+        base = _own_folder(spark.sparkContext.applicationId)
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 
 

@@ -4,8 +4,9 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from proseforge import plans
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = plans.QUERIES, plans.SQL
 
 
 @pytest.fixture(scope="module")
