@@ -31,8 +31,8 @@ def local_session(cpus: str | int = 8, app: str = "proseforge") -> SparkSession:
 
 
 @lru_cache
-def _own_folder(application: str) -> str:
-    """One temporary folder per local session."""
+def _own_folder() -> str:
+    """One temporary folder per process."""
     return tempfile.mkdtemp(prefix="proseforge-")
 
 
@@ -48,7 +48,7 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = _own_folder(spark.sparkContext.applicationId)
+        base = _own_folder()
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 
 
