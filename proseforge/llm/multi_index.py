@@ -3,7 +3,8 @@
 Vectors are cut into two halves, and each half has its own centroids; a cell is a pair of them.  For a
 query, cells are visited in falling order of the summed nearness of their two centroids, which a heap
 yields one by one, until enough entries have been seen.  The entries of the visited cells are then
-ranked by their exact nearness.
+ranked by their exact nearness.  The members of the fitting sample that a query visits give it a lowest
+nearness that its neighbours must reach, so shards need not return entries that cannot be among them.
 
 The centroids are fitted to a bounded sample; every vector is indexed.  Cells are packed into shards
 of bounded size (a large cell fills several), queries into blocks, and a query goes only to shards
@@ -71,15 +72,19 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
 
 
-def fit(rows: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray] | None:
-    """Centroids of both halves from a sample drawn by a hash of key and vector; None without vectors."""
+def fit(rows: DataFrame, settings: Settings) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray] | None:
+    """Centroids of both halves, and the sample (ids, vectors) that they are fitted to; None without vectors.
+
+    The sample is drawn by a hash of key and vector, and holds an id once.
+    """
     draw = F.xxhash64(F.lit(settings.seed), "vec_id", "v")
-    sample = rows.orderBy(draw, "vec_id").limit(settings.sample).select("v").toArrow()
+    sample = rows.orderBy(draw, "vec_id").limit(settings.sample).toArrow()
     if not sample.num_rows:
         return None
-    points = np.array(sample.column(0).to_pylist())
+    ids, once = np.unique(sample.column("vec_id").to_numpy(), return_index=True)
+    points = np.array(sample.column("v").to_pylist())[once]
     half = points.shape[1] // 2
-    return fit_half(points[:, :half], settings), fit_half(points[:, half:], settings)
+    return (fit_half(points[:, :half], settings), fit_half(points[:, half:], settings)), ids, points
 
 
 def visited(query: np.ndarray, centres: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, wanted: int) -> list[int]:
@@ -129,9 +134,14 @@ def exact(queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
     return total
 
 
+def cells_in(points: np.ndarray, centres: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    half = centres[0].shape[1]
+    return nearest(points[:, :half], centres[0]) * len(centres[1]) + nearest(points[:, half:], centres[1])
+
+
 def best_of_shard(ids: np.ndarray, cells: np.ndarray, vectors: np.ndarray, own: np.ndarray, points: np.ndarray,
-                  cells_of: list[np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores): the ``k`` nearest in this shard among the cells that each query visits."""
+                  least: np.ndarray, cells_of: list[np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, ids, scores): of the cells that each query visits, the ``k`` nearest in this shard that reach ``least``."""
     order = np.lexsort((ids, cells))
     ids, cells, vectors = ids[order], cells[order], vectors[order]
     step = max(1, 2_000_000 // max(1, len(ids)))
@@ -139,7 +149,7 @@ def best_of_shard(ids: np.ndarray, cells: np.ndarray, vectors: np.ndarray, own:
         rough = points[begin : begin + step] @ vectors.T
         for i, row in enumerate(rough):
             q = begin + i
-            open_ = np.isin(cells, cells_of[q]) & (ids != own[q])
+            open_ = np.isin(cells, cells_of[q]) & (ids != own[q]) & (row >= least[q])
             at = np.flatnonzero(open_)
             if not len(at):
                 continue
@@ -172,24 +182,24 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
     """
     spark = df.sparkSession
     rows = cut_lineage(usable(df, key, vector), "vectors")
-    centres = fit(rows, settings)
-    empty = "query_id long, rank int, vec_id long, score double"
-    if centres is None:
-        return spark.createDataFrame([], empty)
-    width, half = len(centres[1]), centres[0].shape[1]
+    fitted = fit(rows, settings)
+    if fitted is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    centres, sample_ids, sample = fitted
+    # The settings bound both.
     shipped = spark.sparkContext.broadcast(centres)
+    drawn = spark.sparkContext.broadcast((sample_ids, sample, cells_in(sample, centres)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = shipped.value
         for batch in batches:
             points = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            cells = nearest(points[:, :half], one) * width + nearest(points[:, half:], two)
+            cells = cells_in(points, shipped.value)
             packed = pa.array([p.tobytes() for p in points], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.int32()), packed], names=["vec_id", "cell", "v"])
 
     entries = cut_lineage(rows.mapInArrow(assign, "vec_id long, cell int, v binary"), "entries")
     # At most one row per cell, and the number of cells is a setting.
-    sizes = np.zeros(len(centres[0]) * width, np.int64)
+    sizes = np.zeros(len(centres[0]) * len(centres[1]), np.int64)
     for r in entries.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
     wanted = max(int(np.ceil(settings.visit * sizes.sum())), min(int(sizes.sum()), 10 * (k + 1)))
@@ -200,22 +210,29 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, first, many = layout.value
+        known, points, places = drawn.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 part = batch.slice(begin, 64)
-                out: list[tuple[int, int, bytes, list[int]]] = []
+                out: list[tuple[int, int, bytes, float, list[int]]] = []
                 for own, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    cells = np.array(visited(np.frombuffer(raw), shipped.value, sizes, wanted))
+                    query = np.frombuffer(raw)
+                    cells = np.array(visited(query, shipped.value, sizes, wanted))
+                    seen = np.zeros(len(sizes), bool)
+                    seen[cells] = True
+                    score = (points @ query)[seen[places] & (known != own)]
+                    # A margin far above the rounding of the product.
+                    least = np.partition(score, -k)[-k] - 1e-9 * max(1.0, np.abs(score).max()) if len(score) >= k else -np.inf
                     shards: dict[int, list[int]] = {}
                     for cell, begins, n in zip(cells.tolist(), first[cells].tolist(), many[cells].tolist()):
                         for s in range(begins, begins + n):
                             shards.setdefault(s, []).append(cell)
-                    out += [(s, own, raw, cs) for s, cs in shards.items()]
-                columns = zip(*out)
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "query_id", "q", "cells"])
+                    out += [(s, own, raw, float(least), cs) for s, cs in shards.items()]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int32()))
+                names = ["shard", "query_id", "q", "least", "cells"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    routed = queries.mapInArrow(route, "shard long, query_id long, q binary, cells array<int>")
+    routed = queries.mapInArrow(route, "shard long, query_id long, q binary, least double, cells array<int>")
     routed = routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +255,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
             own = right.column("query_id").to_numpy()
             points = np.frombuffer(b"".join(right.column("q").to_pylist())).reshape(len(own), -1)
             cells_of = [np.array(c) for c in right.column("cells").to_pylist()]
-            for q, found, score in best_of_shard(ids, cells, vectors, own, points, cells_of, k):
+            least = right.column("least").to_numpy()
+            for q, found, score in best_of_shard(ids, cells, vectors, own, points, least, cells_of, k):
                 out[0] += [int(own[q])] * len(found)
                 out[1] += found.tolist()
                 out[2] += score.tolist()
