@@ -13,16 +13,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from proseforge.llm.common import map_texts
+from proseforge.llm.common import map_texts, one_per_worker
 
 #: Entries that a worker remembers of pieces (twice as many: recent and older ones) and of pairs.
-PIECES, PAIRS = 200_000, 1_000_000
+PIECES, PAIRS = 200_000, 300_000
 #: Largest vocabulary file that is broadcast, in bytes.
 VOCABULARY_BYTES = 32_000_000
 
@@ -163,19 +162,25 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-@lru_cache(maxsize=2)
-def vocabulary(raw: bytes, pattern: str) -> Vocabulary:
-    """One vocabulary per worker process."""
-    return Vocabulary(read_ranks(raw), pattern)
+class Shipped:
+    """A vocabulary file on its way to the workers: its bytes as a broadcast variable, and their digest."""
 
+    def __init__(self, df: DataFrame, raw: bytes):
+        self.raw = df.sparkSession.sparkContext.broadcast(raw)
+        self.digest = hashlib.sha256(raw).hexdigest()
 
-def shipped(df: DataFrame, path: str):
-    """The vocabulary file as a broadcast variable; its size is checked."""
+
+def vocabulary(sent: Shipped, pattern: str) -> Vocabulary:
+    return one_per_worker(("bpe", sent.digest, pattern), lambda: Vocabulary(read_ranks(sent.raw.value), pattern))
+
+
+def shipped(df: DataFrame, path: str) -> Shipped:
+    """The vocabulary file for the workers; its size is checked."""
     with open(path, "rb") as file:
         raw = file.read(VOCABULARY_BYTES + 1)
     if len(raw) > VOCABULARY_BYTES:
         raise ValueError(f"a vocabulary file may have {VOCABULARY_BYTES} bytes")
-    return df.sparkSession.sparkContext.broadcast(raw)
+    return Shipped(df, raw)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -185,11 +190,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: lis
     as empty and has no ids.  Rows that repeat are encoded each.  Other columns are kept as they are
     (``keep`` names fewer); one called ``ids`` or ``n_tokens`` is replaced.
     """
-    raw = shipped(df, path)
+    sent = shipped(df, path)
     added = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def work(texts: list[str | None]) -> dict[str, list]:
-        ids = [vocabulary(raw.value, pattern).encode(t) for t in texts]
+        words = vocabulary(sent, pattern)
+        ids = [words.encode(t) for t in texts]
         return {"ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
 
     return map_texts(df, text, df.columns if keep is None else keep, added, work)
@@ -201,7 +207,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
     Nulls, empty texts, repeated rows and clashing names: as in ``encode``; the digests of an empty
     text are those of no bytes.
     """
-    raw = shipped(df, path)
+    sent = shipped(df, path)
     added = T.StructType([
         T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()),
@@ -209,7 +215,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
     ])
 
     def work(texts: list[str | None]) -> dict[str, list]:
-        words, made = vocabulary(raw.value, pattern), {name: [] for name in added.names}
+        words, made = vocabulary(sent, pattern), {name: [] for name in added.names}
         for t in texts:
             ids = words.encode(t)
             made["n_tokens"].append(len(ids) // 4)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,13 +15,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 words_of = re.compile(WORD).findall
 
 #: Rows and characters that one step of a text operator holds at a time.
-STEP_ROWS, STEP_CHARS = 2_000, 8_000_000
+STEP_ROWS, STEP_CHARS = 1_000, 2_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+_slot: dict[str, object] = {}
+
+
+def one_per_worker(key: tuple, make: Callable[[], object]):
+    """The object that ``make`` gives for ``key``, made once per worker process.
+
+    A worker serves one stage after another.  It keeps one such object, so what a stage has gathered
+    does not stay in memory during the next.
+    """
+    if _slot.get("key") != key:
+        _slot.clear()
+        _slot["value"] = make()
+        _slot["key"] = key
+    return _slot["value"]
+
+
 def steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Bounds of stretches of ``texts`` that stay small enough to hold; a single text is never cut."""
     begin = chars = 0
@@ -49,7 +64,8 @@ def map_texts(
     ``work`` gets a bounded stretch of texts, and one list more per column in ``also``, and returns one
     list per added column.  An added column replaces a kept one of the same name.
     """
-    keep, also = [c for c in keep if c not in added.names], also or []
+    taken = {n.lower() for n in added.names}
+    keep, also = [c for c in keep if c.lower() not in taken], also or []
     schema = T.StructType([df.schema[c] for c in keep] + list(added.fields))
     arrow = [(f.name, _arrow(f.dataType)) for f in added.fields]
     skip = 1 + len(also)
@@ -86,11 +102,6 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return simple[type(kind)]
 
 
-def crc(value: object) -> int:
-    """crc32 of a value written as text."""
-    return zlib.crc32(str(value).encode())
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -155,7 +155,7 @@ def mix(df: DataFrame, settings: Settings = Settings(), source: str = "source",
     replace others of these names.
     A block that would exceed what is left of the budget, and those after it, are not taken.
     """
-    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     size = tokens_in(text) if tokens is None else F.coalesce(F.col(quoted(tokens)).cast("long"), F.lit(0).cast("long"))
     narrow = df.select(source_key(source).alias("_source"), F.col(quoted(key)).alias("_key"), size.alias("_tokens"))
     sources, taken = plan(narrow if tokens is not None else cut_lineage(narrow, "tokens"), settings)

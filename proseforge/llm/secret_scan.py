@@ -8,14 +8,13 @@ an identifier of a known form.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proseforge.llm import bpe
-from proseforge.llm.common import fresh, map_texts, quoted
+from proseforge.llm.common import fresh, map_texts, one_per_worker, quoted
 
 # The forms of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -41,11 +40,15 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 SPANS = T.StructType([T.StructField("secret_spans", T.ArrayType(SPAN))])
 
 
-@lru_cache(maxsize=2)
-def _counter(raw: bytes, pattern: str):
-    import tiktoken
+def _counter(sent: bpe.Shipped, pattern: str):
+    """What turns a string into tokens."""
 
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(raw), special_tokens={}).encode_ordinary
+    def make():
+        import tiktoken
+
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(sent.raw.value), special_tokens={}).encode_ordinary
+
+    return one_per_worker(("tokens", sent.digest, pattern), make)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,13 +82,13 @@ def find(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[
     has no spans.  Rows that repeat are scanned each; a column called ``secret_spans`` is replaced, and
     all other columns are kept (``keep`` names fewer).
     """
-    raw = bpe.shipped(df, path)
+    sent = bpe.shipped(df, path)
 
     def spans(value: str | None) -> list[dict]:
         if not value:
             return []
         base = base_spans(value)
-        found = sorted(base + random_spans(value, base, _counter(raw.value, pattern)))
+        found = sorted(base + random_spans(value, base, _counter(sent, pattern)))
         return [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found]
 
     def work(texts: list[str | None]) -> dict[str, list]:
@@ -105,7 +108,7 @@ def redact(df: DataFrame, path: str, pattern: str, text: str = "text", n_chars:
     Spans that overlap or touch become one mark.  Texts without spans, nulls among them, stay as they
     are, and so do their counts.
     """
-    raw = bpe.shipped(df, path)
+    sent = bpe.shipped(df, path)
     changed = fresh(df, "_changed")
     added = T.StructType([T.StructField(text, T.StringType()), T.StructField(changed, T.BooleanType())])
 
@@ -113,7 +116,7 @@ def redact(df: DataFrame, path: str, pattern: str, text: str = "text", n_chars:
         if not value:
             return value, False
         base = base_spans(value)
-        found = sorted(base + random_spans(value, base, _counter(raw.value, pattern)))
+        found = sorted(base + random_spans(value, base, _counter(sent, pattern)))
         parts, at = [], 0
         for start, _, end in found:
             if start > at or not parts:

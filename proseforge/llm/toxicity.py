@@ -14,14 +14,13 @@ import math
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proseforge.llm.common import map_texts, quoted
+from proseforge.llm.common import map_texts, one_per_worker, quoted
 
 # Letters that look like Latin ones, and signs put for letters.  The letters i and l
 # stand for each other in disguise (1, |), so folding makes them one.
@@ -74,13 +73,9 @@ class Model:
     phrases: list[str]
     curve: list[float] = field(default_factory=lambda: [-4.0, 0.0, 0.0])
 
-    def __hash__(self):
-        return id(self)
 
-
-@lru_cache(maxsize=2)
 def automaton(weights: tuple[tuple[str, float], ...], phrases: tuple[str, ...]):
-    """One automaton per worker process: word beginnings, and phrases with a mark."""
+    """An automaton of word beginnings, and of phrases with a mark; None if there are none."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -96,7 +91,8 @@ def automaton(weights: tuple[tuple[str, float], ...], phrases: tuple[str, ...]):
 
 def matches(folded: str, model: Model) -> list[tuple[str, float]]:
     """(stem, weight) of all matches outside harmless phrases; of stems at one word the heaviest."""
-    machine = automaton(tuple(sorted(model.weights.items())), tuple(model.phrases))
+    weights, phrases = tuple(sorted(model.weights.items())), tuple(model.phrases)
+    machine = one_per_worker(("lexicon", weights, phrases), lambda: automaton(weights, phrases))
     if machine is None:
         return []
     words: dict[int, tuple[float, str]] = {}
