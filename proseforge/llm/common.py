@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -38,6 +40,13 @@ def one_per_worker(key: tuple, make: Callable[[], object]):
     return _slot["value"]
 
 
+def _hand_back() -> None:
+    """Return memory that is free but still held; idle workers stay beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Bounds of stretches of ``texts`` that stay small enough to hold; a single text is never cut."""
     begin = chars = 0
@@ -78,6 +87,7 @@ def map_texts(
                 columns = [batch.column(i + skip).slice(begin, end - begin) for i in range(len(keep))]
                 columns += [pa.array(made[name], kind) for name, kind in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[name for name, _ in arrow]])
+        _hand_back()
 
     # Plain names on the way in: Python steps address columns by unquoted names.
     read = [F.col(quoted(text)).cast("string").alias("text"), *[F.col(quoted(c)).alias(f"a{i}") for i, c in enumerate(also)]]
