@@ -1,6 +1,7 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
-Every word gets a label, and the label of a text is the one that most of its words carry.  A word's
+Every word gets a label, and the label of a text is the one that most of its words carry.  A word of
+more than 100 characters, as in scripts without spaces, counts as several: its consecutive pieces.  A word's
 score for a label is the sum of learned weights of its prefixes, suffixes, character n-grams, and of
 the word lists in which it stands; a learned matrix scores pairs of neighbouring labels.  The
 forward-backward algorithm turns both into the probability of each label at each word, over the
@@ -46,11 +47,22 @@ class Settings:
     listed: int = 300
 
 
-#: Longest word whose n-grams are all looked at; of a longer one the ends count.
-CORE = 100
+#: Most characters of a place of the chain, and how many of them two pieces of a longer word share.
+PIECE, SHARED = 100, 2
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\0123456789«»¡¿…“”„’‘–—"
 
 
+def places_of(text: str) -> list[str]:
+    """The places of the chain: the words of a text, and of longer words consecutive pieces.
+
+    Pieces of one word overlap, so that each of its runs of three characters is within one of them.
+    """
+    words = words_of(text)
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - SHARED), PIECE - SHARED)]
+
+
 def core_of(word: str) -> str:
     """A word in lower case without what stands before its first and after its last letter."""
     low = word.lower()
@@ -77,9 +89,8 @@ def _hashed(kind: int, buckets: int, *codes: np.ndarray) -> np.ndarray:
 def features(words: list[str], lists: dict[str, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(feature numbers, index of the word that each belongs to); a word without letters has none."""
     cores = [core_of(w) for w in words]
-    short = [c if len(c) <= CORE else c[: CORE - 4] + c[-4:] for c in cores]
-    codes = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(c) for c in short], np.int64)
+    codes = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(c) for c in cores], np.int64)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(words)), sizes)
     flat, owners = [], []
@@ -89,7 +100,7 @@ def features(words: list[str], lists: dict[str, int], buckets: int) -> tuple[np.
         owners.append(of)
 
     some = np.flatnonzero(sizes)
-    whole = np.array([zlib.crc32(short[i].encode("utf-8", "surrogatepass")) for i in some], np.uint64)
+    whole = np.array([zlib.crc32(cores[i].encode("utf-8", "surrogatepass")) for i in some], np.uint64)
     add(_hashed(1, buckets, whole), some)
     for k in range(1, 5):
         long = np.flatnonzero(sizes >= k)
@@ -245,7 +256,7 @@ def fit(texts: list[tuple[str, str]], settings: Settings, seed: int = 1) -> Mode
     """A field fitted to (label, text) pairs; every word of a text is taken to carry its label."""
     draw = random.Random(seed)
     labels = sorted({label for label, _ in texts})
-    words = [(labels.index(label), words_of(text)) for label, text in texts]
+    words = [(labels.index(label), places_of(text)) for label, text in texts]
     words = [(y, ws) for y, ws in words if ws]
     counts = [Counter() for _ in labels]
     for y, ws in words:
@@ -360,7 +371,8 @@ def label_texts(df: DataFrame, model: Model | None, text: str = "text", keep: li
     ``lang_pred`` is the label with the largest share of the words that have letters, each word counted
     by its label probabilities; ``score`` is that share.  A text that is null or has no letter is
     ``und`` with score 0, and so is every text if there was nothing to learn from.  Ties go to the label
-    that sorts first.  A run is (first word, number of words, label).  Repeated rows are labelled each;
+    that sorts first.  A run is (first word, number of words, label).  Pieces of long words
+    (``places_of``) count as words.  Repeated rows are labelled each;
     added columns replace others of the same name.
     """
     shipped = df.sparkSession.sparkContext.broadcast(model)
@@ -373,7 +385,7 @@ def label_texts(df: DataFrame, model: Model | None, text: str = "text", keep: li
     def work(texts: list[str | None]) -> dict[str, list]:
         field = shipped.value
         made: dict[str, list] = {name: [] for name in added.names}
-        words = [words_of(t) if t else [] for t in texts]
+        words = [places_of(t) if t else [] for t in texts]
         found = field.marginals(words) if field else [(None, np.zeros(0, bool)) for _ in texts]
         for probable, letters in found:
             if letters.any():

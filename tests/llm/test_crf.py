@@ -68,6 +68,27 @@ def test_edges(spark, model):
     assert {r.lang_pred for r in crf.label_texts(df, None).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("gap", ["", "\u00a0", "\u3000"])
+def test_language_changes_within_text_without_spaces(spark, model, gap):
+    draw = random.Random(9)
+    text = gap.join(invented(draw, "abcde", 60).split())[:200] + gap.join(invented(draw, "xyzw", 200).split())[:600]
+    row = crf.label_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, runs=True).first()
+    assert row.lang_pred == "bb" and 0.6 < row.score < 0.9
+    assert [r.lang for r in row.runs] == ["aa", "bb"]
+    # The end of a text is no more than the rest of it.
+    back = crf.label_texts(spark.createDataFrame([(1, text[150:] + text[:150])], "doc_id long, text string"), model, runs=True).first()
+    assert back.lang_pred == "bb" and [r.lang for r in back.runs][-2:] == ["bb", "aa"]
+
+
+def test_pieces_hold_every_run_of_three():
+    draw = random.Random(4)
+    for size in (1, 2, 3, 99, 100, 101, 102, 198, 199, 1000):
+        word = "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(size))
+        pieces = crf.places_of(f" a {word}\n")[1:]
+        assert max(map(len, pieces)) <= 100 and pieces[0] + "".join(p[2:] for p in pieces[1:]) == word
+        assert [p[i : i + 3] for p in pieces for i in range(len(p) - 2)] == [word[i : i + 3] for i in range(size - 2)]
+
+
 def test_training_without_labels(spark):
     df = spark.createDataFrame([(1, None, "a b"), (2, "aa", None), (3, "aa", "12")], "doc_id long, lang string, text string")
     assert crf.train(df) is None
