@@ -3,8 +3,10 @@
 Every element of a page is hashed with all that it holds.  Spark counts under how many different
 titles a hash occurs at its host, so that copies of one page count once.  An element that recurs
 under many titles is part of the site's template and is deleted with its subtree, as is anything
-whose tag or class says that it is a menu, a form, an advert and the like.  What is left of the
-article is put out block by block.
+whose tag says that it is a menu, a form, a script and the like.  What is left of the
+article is put out block by block.  Classes such as "sidebar" delete nothing: a wrapper around the
+whole article may carry them.  Only what readers reply to an article, marked as such within it, goes
+with its class.
 
 The paragraphs of an article may recur on a site and still be its text.  Within an article only boxes
 are therefore deleted, and only if they recur on a good part of the host.
@@ -46,12 +48,8 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr fig
 #: Starting one of the first closes an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article main section div ul ol dl table body html td th blockquote".split())
-#: Words in a class, id or role that tell what is no article text.
-CHROME = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ad|ads|advert|advertisement|adsense|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"sidebar|widget|footer|header|masthead|cookies?|consent|notice|newsletter|subscribe|signup|share|sharing|social|related|"
-    r"comments?|disqus|respond|replies|popup|modal|search|login|toolbar|pagination|pager|complementary|contentinfo)(?:$|[\s_-])"
-)
+#: A class, id or role that says that what an element within an article holds are the words of its readers.
+REPLIES = re.compile(r"(?i)(?:^|\s)(?:comments?|disqus|respond|replies)(?:$|\s)")
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
@@ -61,10 +59,14 @@ ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 
 @dataclass
 class Open:
-    """An element that is still open: its hash so far, and where its blocks begin."""
+    """An element that is still open: its hash so far, and where its blocks begin.
+
+    ``hidden`` tells that its blocks are not put out, by the class (1) or by the tag (2) of it or of an
+    element around it.
+    """
 
     tag: str
-    chrome: bool
+    hidden: int
     article: bool
     digest: object
     texts: int = 0
@@ -83,7 +85,7 @@ class Page:
 def parse(page: str, is_template: Callable[[bytes, bool], bool] = lambda digest, within: False) -> Page:
     """Blocks and elements of a page; elements that ``is_template`` names are deleted with all they hold."""
     out = Page()
-    root = Open("", False, False, blake2b(digest_size=8))
+    root = Open("", 0, False, blake2b(digest_size=8))
     stack = [root]
     texts: list[str] = []
 
@@ -92,7 +94,7 @@ def parse(page: str, is_template: Callable[[bytes, bool], bool] = lambda digest,
         if texts:
             block = " ".join(entities.unescape("".join(texts)).split())
             texts.clear()
-            if block and not any(e.chrome for e in stack):
+            if block and not stack[-1].hidden:
                 out.blocks.append((block, stack[-1].article))
 
     def close() -> None:
@@ -162,9 +164,12 @@ def parse(page: str, is_template: Callable[[bytes, bool], bool] = lambda digest,
         attributes = m[3] if m[2] else m[6]
         said = [a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes)] if attributes else []
         article = stack[-1].article or tag in ("article", "main")
-        # A whole page or article may carry a class such as "has-sidebar".
-        chrome = tag in NO_TEXT or tag not in ("html", "body", "article", "main") and any(CHROME.search(v) for v in said)
-        element = Open(tag, chrome, article, blake2b("\0".join([tag, *said]).encode("utf-8", "replace"), digest_size=8), 0, len(out.blocks))
+        hidden = 2 if tag in NO_TEXT else stack[-1].hidden
+        if hidden < 2 and tag in ("article", "main"):
+            hidden = 0
+        elif not hidden and stack[-1].article and any(REPLIES.search(v) for v in said):
+            hidden = 1
+        element = Open(tag, hidden, article, blake2b("\0".join([tag, *said]).encode("utf-8", "replace"), digest_size=8), 0, len(out.blocks))
         stack.append(element)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)

@@ -29,6 +29,21 @@ def test_pages_without_an_article_or_with_broken_marks():
     assert templates.main_text("<p>" * 50_000 + "deep " + "<div>" * 50_000) == "deep"
 
 
+def test_classes_of_wrappers_delete_no_article():
+    assert templates.main_text('<div class="content-sidebar-wrap"><main><p>a</p></main></div>') == "a"
+    assert templates.main_text('<div class="layout has-sidebar"><article><p>a</p><div class="search social"><p>b</p></div></article></div>') == "a\nb"
+    assert templates.main_text('<main><div id="replies"><article><p>a</p></article><p>reply</p></div></main>') == "a"
+    assert templates.main_text('<div class="notice"><p>a</p></div><div role="search"><p>b</p></div>') == "a\nb"
+    # Tags that hold no text keep their mark.
+    assert templates.main_text('<aside><article><p>a</p></article></aside><article><p>b</p></article>') == "b"
+
+
+def test_marked_elements_go_where_they_recur(spark):
+    page = "<title>t{0}</title><div class='has-sidebar'><article><p>Story {0}</p><div class=social>Tell all</div><div class=notice>Only {0}</div></article></div>"
+    df = spark.createDataFrame([(i, "http://e.org/", page.format(i)) for i in range(30)], "page_id long, url string, html string")
+    assert {r.text for r in templates.extract(df).collect()} == {f"Story {i}\nOnly {i}" for i in range(30)}
+
+
 def site(spark, more=()):
     pages = [(i, f"http://a.org/{i}", f"<title>t{i}</title><body><div><p>Our site sells all</p><ul><li>x</li></ul></div><p>Story number {i} here</p><p>The end</p></body>") for i in range(40)]
     # Copies of one page, with an address each, are one title.
