@@ -2,12 +2,14 @@
 
 A vocabulary spends few tokens on language and many on random characters.  A run of key characters
 that yields few characters per token is therefore taken as a random string, unless it is a digest or
-an identifier of a known form.
+an identifier of a known form.  In a run that yields more, such as a path or a slug that ends in a key,
+every stretch of enough characters is held against the same limit.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +28,22 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: A random string has at least so many characters, letters and digits, and fewer characters per token than this.
 LEAST, CHARS_PER_TOKEN = 20, 2.0
+#: Of a stretch within a run, such a share of the characters is in parts that mix letters and digits; words and numbers do not.
+MIXED = 0.5
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+PART, PART_BEFORE, PART_AFTER = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[A-Za-z0-9]*\Z"), re.compile(r"[A-Za-z0-9]*")
+PART_LAST = re.compile(r"([A-Za-z0-9])[^A-Za-z0-9]*\Z")
 HAS_DIGIT, HAS_LETTER = re.compile(r"[0-9]").search, re.compile(r"[A-Za-z]").search
 #: Digests and identifiers that are no secrets: hexadecimal digests, UUIDs, integrity values, dates with times.
 KNOWN = re.compile(
     r"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|(sha256|sha384|sha512)-.*|\d{4}-?\d\d-?\d\dT.*)"
 )
+#: The same within a run.
+KNOWN_WITHIN = re.compile(
+    r"(?i)(?<![a-z0-9])(?:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}"
+    r"|[0-9a-f]{128}|(?:sha256|sha384|sha512)-[a-z0-9+/]+=*|\d{4}-?\d\d-?\d\dT\d\d-?\d\d(?:-?\d\d)?Z?)(?![a-z0-9])"
+)
 KNOWN_BEFORE = re.compile(r"(?i)(md5|sha1|sha224|sha256|sha384|sha512|urn:uuid|isbn|doi)[:=]$")
 MARK = "[secret]"
 
@@ -41,12 +52,13 @@ SPANS = T.StructType([T.StructField("secret_spans", T.ArrayType(SPAN))])
 
 
 def _counter(sent: bpe.Shipped, pattern: str):
-    """What turns a string into tokens."""
+    """What turns a string into the sizes of its tokens in bytes."""
 
     def make():
         import tiktoken
 
-        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(sent.raw.value), special_tokens={}).encode_ordinary
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(sent.raw.value), special_tokens={})
+        return lambda text: list(map(len, library.decode_tokens_bytes(library.encode_ordinary(text))))
 
     return one_per_worker(("tokens", sent.digest, pattern), make)
 
@@ -61,17 +73,72 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _free(begin: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans in ``taken`` leave of begin to end, where it is long enough."""
+    out = []
+    for start, stop in sorted(t for t in taken if t[0] < end and begin < t[1]):
+        out.append((begin, start))
+        begin = max(begin, stop)
+    return [(a, b) for a, b in [*out, (begin, end)] if b - a >= LEAST]
+
+
+def _costly(sizes: list[int]) -> tuple[int, int] | None:
+    """The characters, of at least ``LEAST``, that fall short of the limit by the most; None if none do."""
+    at = [0, *accumulate(sizes)]
+    # Tokens times the limit less characters, up to each border between tokens.
+    spent = [CHARS_PER_TOKEN * i - c for i, c in enumerate(at)]
+    best, low, first, found = 0.0, 0, 0, None
+    for last in range(1, len(at)):
+        while at[last] - at[first] >= LEAST:
+            if spent[first] < spent[low]:
+                low = first
+            first += 1
+        if first and spent[last] - spent[low] > best:
+            best, found = spent[last] - spent[low], (at[low], at[last])
+    return found
+
+
+def _stretches(run: str, tokens) -> list[tuple[int, int]]:
+    """Stretches of a run that are random strings, up to the separators around them where these are, too."""
+    found, left = [], [(0, len(run))]
+
+    def is_random(at: tuple[int, int]) -> bool:
+        string = run[slice(*at)]
+        mixed = sum(len(p) for p in PART.findall(string) if HAS_DIGIT(p) and HAS_LETTER(p))
+        return len(string) >= LEAST and mixed >= MIXED * len(string) and len(string) < CHARS_PER_TOKEN * len(tokens(string))
+
+    while left:
+        begin, end = left.pop()
+        if end - begin < LEAST or (at := _costly(tokens(run[begin:end]))) is None:
+            continue
+        start, stop = begin + at[0], begin + at[1]
+        first, last = PART.search(run, start, stop), PART_LAST.search(run[:stop])
+        wide = (start, stop) if first is None else (
+            first.start() - len(PART_BEFORE.search(run[begin : first.start()])[0]), last.end(1) + len(PART_AFTER.match(run[last.end(1) : end])[0]))
+        whole = next(filter(is_random, (wide, (start, stop))), None)
+        # Short words beside a random string may make up most of the stretch.
+        parts = [(wide[0] + p.start(), wide[0] + p.end()) for p in PART.finditer(run[slice(*wide)]) if p.end() - p.start() >= LEAST]
+        found += [whole] if whole else filter(is_random, parts)
+        start, stop = whole or (start, stop)
+        left += [(begin, start), (stop, end)]
+    return found
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], tokens) -> list[tuple[int, int, int]]:
-    """Runs that cost many tokens and touch no span in ``taken``."""
+    """Runs, and stretches of other runs, that cost many tokens and touch no span in ``taken``; unsorted."""
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if not (HAS_DIGIT(run) and HAS_LETTER(run)) or KNOWN.fullmatch(run) or KNOWN_BEFORE.search(text[max(0, m.start() - 12) : m.start()]):
+        run, begin = m[0], m.start()
+        if not (HAS_DIGIT(run) and HAS_LETTER(run)) or KNOWN.fullmatch(run) or KNOWN_BEFORE.search(text[max(0, begin - 12) : begin]):
             continue
-        if any(start < m.end() and m.start() < end for start, _, end in taken):
+        known = [(k.start() + begin, k.end() + begin) for k in KNOWN_WITHIN.finditer(run)]
+        base = [(start, end) for start, _, end in taken if start < m.end() and begin < end]
+        if not known and not base and len(run) < CHARS_PER_TOKEN * len(tokens(run)):
+            found.append((begin, 3, m.end()))
             continue
-        if len(run) < CHARS_PER_TOKEN * len(tokens(run)):
-            found.append((m.start(), 3, m.end()))
+        for a, b in _free(begin, m.end(), known + base):
+            if not KNOWN_BEFORE.search(text[max(0, a - 12) : a]):
+                found += [(a + s, 3, a + e) for s, e in _stretches(text[a:b], tokens)]
     return found
 
 

@@ -1,7 +1,9 @@
 """Secret scan against a plain reading of its rules."""
 
 import hashlib
+import random
 import re
+import string
 
 import public_tokenizers
 import tiktoken
@@ -13,6 +15,9 @@ PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenize
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
+string_chars = string.ascii_letters + string.digits
+
+
 def plain_base(text):
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -47,6 +52,33 @@ def test_random_strings_but_no_digests_or_names(spark):
     assert scan(spark, texts) == [["random:7:31"], [], [], []]
 
 
+def test_random_strings_within_paths_and_slugs(spark):
+    draw = random.Random(6)
+    around = [
+        ("https://example.com/documents/archive/reports/download/", ""), ("production-database-service-connection-", ""),
+        ("my_service_connection_key_", "_backup_of_the_database"), ("the-de-la-en-und-er-on-an-es-le-il-si-", "-the-de-la-en-und"),
+        ("/a/0641917ea4e9feb9cda83477/documents/archive/", "/reports"),
+    ]
+    texts, want = [], []
+    for before, after in around:
+        for size in (20, 24, 32, 40) * 10:
+            secret = "7" + "".join(draw.choice(string_chars) for _ in range(size - 1))
+            texts.append(f"see {before}{secret}{after} now")
+            want.append((4 + len(before), 4 + len(before) + size))
+    for (start, end), spans in zip(want, scan(spark, texts)):
+        found = [tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("random")]
+        assert any(s <= start and end <= e for s, e in found), spans
+
+
+def test_paths_and_slugs_without_random_strings(spark):
+    texts = [
+        "https://a.org/item/123e4567-e89b-12d3-a456-426614174000/view-of-the-item", "documents/archive/2024-01-15_10-30-00/reports/2024/01/15/17",
+        "/blob/documentation/DA39A3EE5E6B4B0D3255BFEF95601890AFD80709/main", "the-1234567-et-oningea-enge-onlyhe-Anat",
+        "integrity/archive/sha512-z4PhNX7vuL3xVChQ1m2AB9Yg5AULVxXcg/SpIdNs6c5H0NE8XYXysP+DGNKHfuwvY7kxvUdBeoGlODJ6+SfaPg==",
+    ]
+    assert [[s for s in spans if s.startswith("random")] for spans in scan(spark, texts)] == [[]] * len(texts)
+
+
 def test_redaction(spark):
     rows = [(1, "say password=hunter22 now", 25, "en"), (2, None, None, "x"), (3, "clean", 99, None), (3, "clean", 99, None),
             (4, 'token = "0641917ea4e9feb9cda83477b57ac2654884f485"', 1, "")]
