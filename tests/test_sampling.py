@@ -4,8 +4,10 @@ import bisect
 import random
 
 import pytest
+from compare import connect, differences
 from pyspark.sql import functions as F
 
+from proseforge import plans
 from proseforge.functions.draws import randint, uniform
 from proseforge.operators import numbering as N
 from proseforge.operators import sampling as S
@@ -165,3 +167,11 @@ def test_slice_through_one_frequent_key(spark):
     assert sorted(got) == [1, 2]
     assert S.window_slice(rows, 2, 5_000, ["k"]).filter("k = 'same'").count() == 5_000
     assert [r.id for r in S.window_slice(rows, 5_002, None, ["k"]).collect()] == [3]
+
+
+def test_training_sample_has_ten_thousand_lines(spark):
+    folder, name = "/root/testdata/sf0.1", "sample_train_rows"
+    assert plans.QUERIES[name](spark, folder).count() == 10_000
+    # The registered SQL stops at 5,000; with the limit of the query it gives the same rows.
+    wanted = plans.SQL[name].replace("LIMIT 5000", "LIMIT 10000")
+    assert differences(spark, connect(folder), plans.QUERIES[name], wanted, folder) == []
