@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseforge.llm import bpe, crf, host_rules, mixing, multi_index, secret_scan, sql, superminhash, templates, toxicity, warc
+from proseforge.llm import bpe, crf, fim, host_rules, mixing, multi_index, secret_scan, sql, superminhash, templates, toxicity, warc
 from proseforge.llm.common import table
 from proseforge.session import cut_lineage, work_dir
 
@@ -155,3 +155,14 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
         F.col("doc").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+@query(sql.FIM)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle forms of every whole text, and the texts rebuilt from them, as digests."""
+    made = fim.transform(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    output, form = F.col("fim_text"), F.col("fim_form")
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), form.alias("form"), "prefix_chars", "middle_chars",
+        F.sha2(output, 256).alias("output_sha256"), F.sha2(fim.restored(output, form), 256).alias("restored_sha256"),
+    )
