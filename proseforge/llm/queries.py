@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseforge.llm import bpe, crf, fim, host_rules, mixing, multi_index, secret_scan, sql, superminhash, templates, toxicity, warc
+from proseforge.llm import bpe, crf, decontaminate, fim, host_rules, mixing, multi_index, secret_scan, sql, superminhash, templates, toxicity, warc
 from proseforge.llm.common import table
 from proseforge.session import cut_lineage, work_dir
 
@@ -166,3 +166,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("n_units").alias("n"), form.alias("form"), "prefix_chars", "middle_chars",
         F.sha2(output, 256).alias("output_sha256"), F.sha2(fim.restored(output, form), 256).alias("restored_sha256"),
     )
+
+
+@query(sql.LEAKS)
+def op12_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text that stand in windows of benchmark items, and the items."""
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce("longest.n_words", F.lit(0).cast("long")).alias("longest_words"),
+    )

@@ -153,3 +153,30 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS
   sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
 FROM parts
 """
+
+_LETTERS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+LEAKS = rf"""
+WITH texts AS (SELECT doc_id, {_LETTERS} AS w FROM documents
+), items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_LETTERS} AS w FROM benchmark
+), begins AS (
+  SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS j FROM items WHERE len(w) > 0
+), windows AS (SELECT DISTINCT item, m, j, array_to_string(w[j:j + m - 1], ' ') AS g FROM begins
+), sizes AS (SELECT DISTINCT m FROM windows
+), places AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM texts, sizes WHERE len(w) >= m
+), found AS (
+  SELECT doc_id, m, i, item, j FROM (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM places) JOIN windows USING (m, g)
+), hits AS (
+  SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, m, i FROM found)) GROUP BY doc_id
+), held AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+), runs AS (
+  SELECT doc_id, m, count(*) + m - 1 AS n FROM (
+    SELECT DISTINCT doc_id, m, item, i - j AS d, i - row_number() OVER (PARTITION BY doc_id, m, item, i - j ORDER BY i) AS run, i FROM found)
+  GROUP BY doc_id, m, item, d, run
+), longest AS (SELECT doc_id, max(CASE WHEN m < 10 THEN m ELSE n END)::BIGINT AS longest_words FROM runs GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_words, 0) AS longest_words
+FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""
