@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseforge.llm import bpe, crf, decontaminate, fim, host_rules, mixing, multi_index, secret_scan, sql, superminhash, templates, toxicity, warc
+from proseforge.llm import bpe, crf, decontaminate, fim, host_rules, mixing, multi_index, repair, secret_scan, sql, superminhash, templates, toxicity, warc
 from proseforge.llm.common import table
 from proseforge.session import cut_lineage, work_dir
 
@@ -177,3 +177,16 @@ def op12_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
         F.coalesce("longest.n_words", F.lit(0).cast("long")).alias("longest_words"),
     )
+
+
+@query(sql.REPAIR)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by a hash of its rows, then repaired at the least cost."""
+    turns = table(spark, sf_dir, "conversations")
+    report, repaired = repair.repair(repair.damage(turns), "conv")
+    names = turns.select("conv_id", repair.conversation_key("conv_id").alias("key")).distinct()
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return names.join(report, "key", "left").join(repair.digests(repaired), "key", "left").select(
+        "conv_id", *[count(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )

@@ -180,3 +180,58 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
   coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_words, 0) AS longest_words
 FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
+
+REPAIR = r"""
+WITH RECURSIVE plain AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS name
+  FROM conversations
+), coded AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(name, lambda c: ord(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS code
+  FROM plain
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE code <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, left(role, 1) AS r,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS words
+  FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN words = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN right(words, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM judged GROUP BY conv_id
+), leads(q, symbol, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+), inserts(q, q2, k, lines) AS (
+  VALUES (0, 0, 0, []::VARCHAR[]), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []), (0, 2, 1, ['user:']), (1, 2, 1, ['user:']), (3, 2, 1, ['user:']),
+    (2, 3, 1, ['assistant:']), (0, 3, 2, ['user:', 'assistant:']), (1, 3, 2, ['user:', 'assistant:'])
+), edits AS (
+  SELECT conv_id, i, 'D' AS e, 3 AS c, q, q AS q2, []::VARCHAR[] AS line FROM judged, (SELECT DISTINCT q2 AS q FROM inserts)
+  UNION ALL SELECT conv_id, i, 'K', (fault = 't')::INT, q, q2, [role || ':' || text] FROM judged JOIN leads ON symbol = r WHERE fault NOT IN ('b', 'd')
+  UNION ALL SELECT conv_id, i, 'R', 2 + (fault = 't')::INT, q, q2, [CASE symbol WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text]
+    FROM judged, leads WHERE symbol <> 's' AND fault NOT IN ('b', 'd')
+), ways(conv_id, i, q, c, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM counts
+  UNION ALL
+  SELECT conv_id, i, q, w.c, w.audit, w.lines FROM (
+    SELECT w.conv_id, w.i + 1 AS i, e.q2 AS q,
+      min({'c': w.c + 2 * s.k + e.c, 'audit': w.audit || repeat('I', s.k) || e.e, 'lines': w.lines || s.lines || e.line}) AS w
+    FROM ways w JOIN inserts s ON s.q = w.q JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.q = s.q2
+    GROUP BY 1, 2, 3)
+), ended AS (
+  SELECT w.conv_id, min({'c': w.c + 2 * s.k, 'audit': w.audit || repeat('I', s.k), 'lines': w.lines || s.lines}) AS w
+  FROM ways w JOIN counts n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.i JOIN inserts s ON s.q = w.q WHERE s.q2 IN (0, 3) GROUP BY 1
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(w.c, 0)::BIGINT AS cost, coalesce(w.audit, '') AS audit,
+  sha256(coalesce(array_to_string(w.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN ended d ON d.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
