@@ -16,6 +16,8 @@ from proseforge.session import cut_lineage
 
 #: Texts of which a smaller share than this is in one language are rejected.
 LEAST_SHARE = 0.5
+#: Near copies share 80 % of their runs of five words.
+COPIES = superminhash.Settings(shingle=5)
 MIXTURE = mixing.Settings()
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -27,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest number."""
-    return superminhash.keep_one(docs)
+    return superminhash.keep_one(docs, settings=COPIES)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
