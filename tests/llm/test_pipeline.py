@@ -42,10 +42,22 @@ def test_language_keeps_what_is_told(outputs):
 
 def test_near_copies(outputs):
     texts = [(r.doc_id, r.text) for r in outputs[1].collect()]
-    want = {d for d, _, c in brute(texts) if d == c}
+    want = {d for d, _, c in brute(texts, 5) if d == c}
     assert {r.doc_id for r in outputs[2].collect()} == want and outputs[2].count() == len(want) < len(texts)
 
 
+def test_copies_by_five_words_only(spark, tmp_path):
+    """Three single words changed in 130: 79 % of the runs of five words are shared, 83 % of those of four."""
+    words = [f"w{i}" for i in range(130)]
+    other = [f"v{i}" for i in range(130)]
+    rows = list(enumerate(" ".join(w) for w in (
+        words, ["x" if i in (30, 60, 90) else w for i, w in enumerate(words)], other, ["x" if i in (30, 31, 60) else w for i, w in enumerate(other)])))
+    assert [c for _, _, c in brute(rows, 4)] == [0, 0, 2, 2] and [c for _, _, c in brute(rows, 5)] == [0, 1, 2, 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+
+
 def test_secrets_are_gone(outputs):
     after = {r.doc_id: r for r in outputs[3].collect()}
     changed = 0

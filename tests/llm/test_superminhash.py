@@ -43,13 +43,13 @@ def test_estimates_vary_less_than_independent_hashes():
     assert abs(np.mean(found) - true) < 0.01 and np.std(found) < 0.85 * (true * (1 - true) / 252) ** 0.5
 
 
-def shingle_set(text):
+def shingle_set(text, size=4):
     lower = re.sub(r"[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", lower)
-    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def brute(rows):
+def brute(rows, size=4):
     """(doc, set size, smallest reachable doc) of each (doc, text)."""
     parent = {d: d for d, _ in rows if d is not None}
 
@@ -58,7 +58,7 @@ def brute(rows):
             x = parent[x]
         return x
 
-    sets = [(d, shingle_set(t)) for d, t in rows]
+    sets = [(d, shingle_set(t, size)) for d, t in rows]
     for i, (a, s) in enumerate(sets):
         for b, t in sets[:i]:
             if a is not None and b is not None and s and t and 100 * len(s & t) >= 80 * len(s | t):
@@ -86,12 +86,12 @@ def corpus():
     return [(i * 3 + 5, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block", [3, 512])
-def test_groups_against_brute_force(spark, block):
+@pytest.mark.parametrize("block,elements", [(3, 1_000_000), (512, 300), (512, 1_000_000)])
+def test_groups_against_brute_force(spark, block, elements):
     rows = corpus()
     rows += [(rows[3][0], rows[3][1]), (rows[4][0], rows[9][1]), (None, rows[0][1]), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component": F.lit("x"), "doc": F.lit(1), "digest": F.lit(2)})
-    got = smh.groups(df, settings=smh.Settings(block=block)).collect()
+    got = smh.groups(df, settings=smh.Settings(block=block, elements=elements)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
     kept = smh.keep_one(df)
     assert kept.schema == df.schema
