@@ -70,8 +70,8 @@ def lightest(axioms: Iterable[tuple[Weight, Item]], edges, goals: set[Item]) ->
     return chart
 
 
-def block_table(initials: str, faults: list[int]) -> list[Weight | None]:
-    """The lightest edits of a block from each state to each, in order of states; none where there are none."""
+def block_table(initials: str, faults: list[int], begins: Iterable[int] = STATES) -> list[Weight | None]:
+    """The lightest edits of a block from each state in ``begins`` to each, in order of states; none where there are none."""
     n = len(initials)
     edits: list[list[tuple[Weight, Item]]] = []
     for i in range(n + 1):
@@ -94,13 +94,13 @@ def block_table(initials: str, faults: list[int]) -> list[Weight | None]:
         if item[0] == "done":
             pairs = ((item, edit) for _, edit in edits[item[2]])
         else:
-            pairs = ((("done", begin, item[1], state), item) for begin in STATES for state in STATES)
+            pairs = ((("done", begin, item[1], state), item) for begin in begins for state in STATES)
         return (found for pair in pairs if (found := joined(*pair)))
 
-    axioms = [((0, ""), ("done", s, 0, s)) for s in STATES] + [x for here in edits for x in here]
+    axioms = [((0, ""), ("done", s, 0, s)) for s in begins] + [x for here in edits for x in here]
     system = any(c == "s" and f not in (BLANK, DUPLICATE) for c, f in zip(initials, faults))
     ends = {START: [START, USER, ASSISTANT] + [SYSTEM] * system, SYSTEM: [SYSTEM, USER, ASSISTANT], USER: [USER, ASSISTANT], ASSISTANT: [USER, ASSISTANT]}
-    chart = lightest(axioms, edges, {("done", a, n, b) for a in STATES for b in ends[a]})
+    chart = lightest(axioms, edges, {("done", a, n, b) for a in begins for b in ends[a]})
     return [chart.get(("done", a, n, b)) for a in STATES for b in STATES]
 
 
@@ -163,17 +163,24 @@ def block_tables(marked: DataFrame) -> DataFrame:
     """One row per block: what its rows are, how its turns run, and its lightest edits between states.
 
     ``faults`` counts the faults by kind; ``turns`` holds the first, the last and the number of different ones.
+    The first block of a conversation begins in one state only.  Blocks are small in bytes but costly, so they are spread
+    over a stated number of tasks, which adaptive planning does not merge.
     """
-    gathered = marked.groupBy("key", "part", "sub").agg(F.array_sort(F.collect_list(F.struct("seq", "initial", "fault", "turn"))).alias("rows"))
+    keys = ["key", "part", "sub"]
+    spread = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = marked.repartition(spread, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "initial", "fault", "turn"))).alias("rows"))
+    firsts = marked.groupBy("key").agg(F.min("part").alias("first"))
+    first = (F.col("part") == F.col("first")) & (F.col("sub") == 0)
+    gathered = gathered.join(firsts, "key").select(*keys, "rows", first.alias("first")).repartition(spread, *keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: dict[str, list] = {name: [] for name in _TABLE.names[3:]}
-            for rows in batch.column(3):
+            for rows, is_first in zip(batch.column(3), batch.column(4).to_pylist()):
                 rows = rows.as_py()
                 initials, faults = "".join(r["initial"] for r in rows), [r["fault"] for r in rows]
                 turns = [r["turn"] for r in rows if r["turn"] is not None]
-                table = block_table(initials, faults)
+                table = block_table(initials, faults, (START,) if is_first else STATES)
                 made["initials"].append(initials)
                 made["faults"].append([faults.count(k) for k in range(4)])
                 made["turns"].append([turns[0], turns[-1], len(set(turns))] if turns else [])
