@@ -5,7 +5,8 @@ proportion), normalised.  The exponent is found by bisection: the largest at whi
 the shares reaches a target, or, where that would repeat a source more often than allowed, the
 smallest at which no source is repeated more often.  Each source then has a budget of tokens, rounded.  Its
 texts are dealt into blocks by a hash, and every epoch takes the blocks in a new permutation: whole
-epochs while the budget lasts, and of the last one the blocks whose running total stays within it.
+epochs while the budget lasts, and of the last one the blocks whose running total stays within it.  Blocks
+that exceed what is left are passed over, and what the others leave is filled again, a few times.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from proseforge.session import cut_lineage
 
 #: Halvings of the interval, and how many of them one pass over the sources settles.
 HALVINGS, AT_ONCE = 30, 5
+#: How often the rest of a budget is filled from the blocks of its last epoch.
+FILLS = 3
 
 
 @dataclass(frozen=True)
@@ -111,7 +114,7 @@ def _ln(x: float) -> float:
 
 
 def plan(rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Sources with their number of blocks, and the blocks to take: (_source, _block, epoch, slot).
+    """Sources with their number of blocks and their quota, and the blocks to take: (_source, _block, epoch, slot, tokens).
 
     ``rows`` has _source, _key and _tokens.  ``slot`` numbers the taken blocks of all sources in one
     permutation.  Both tables are written to the shared folder.
@@ -123,19 +126,25 @@ def plan(rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     share = F.exp(F.log(F.col("tokens").cast("double")) * power) / powers
     quotas = sources.filter("tokens > 0").withColumn("quota", F.round(share * budget).cast("long"))
     quotas = quotas.withColumn("whole", F.floor(F.col("quota") / F.col("tokens")).cast("long"))
-    quotas = quotas.withColumn("rest", F.col("quota") - F.col("whole") * F.col("tokens")).select("_source", "whole", "rest")
+    quotas = quotas.withColumn("rest", F.col("quota") - F.col("whole") * F.col("tokens")).select("_source", "quota", "whole", "rest")
     placed = rows.join(sources.select("_source", "blocks"), "_source")
     blocks = placed.groupBy("_source", block_of(settings.seed, F.col("_key"), F.col("blocks")).alias("_block")).agg(F.sum("_tokens").alias("tokens"))
     blocks = cut_lineage(blocks.join(quotas, "_source"), "blocks")
     named = lambda epoch: draw(settings.seed, "order", F.col("_source"), F.col("_block"), epoch)
     whole = blocks.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"))))
     last = blocks.filter("rest > 0").withColumn("epoch", F.col("whole") + 1).withColumn("_order", named(F.col("epoch")))
-    last = numbering.running_sum(last, F.col("tokens"), ["_order"], _bucket("_order"), ["_source"], "_running")
-    taken = whole.withColumn("_order", named(F.col("epoch"))).select("_source", "_block", "epoch", "_order").unionByName(
-        last.filter("_running <= rest").select("_source", "_block", "epoch", "_order")
-    )
+    place = ["_source", "_block", "epoch", "_order", "tokens"]
+    taken = whole.withColumn("_order", named(F.col("epoch"))).select(*place)
+    for fill in range(FILLS):
+        last = numbering.running_sum(last.filter("tokens <= rest"), F.col("tokens"), ["_order"], _bucket("_order"), ["_source"], "_running")
+        last = cut_lineage(last, f"fill-{fill}")
+        now = last.filter("_running <= rest")
+        taken = taken.unionByName(now.select(*place))
+        used = now.groupBy("_source").agg(F.sum("tokens").alias("_used"))
+        last = last.filter("_running > rest").join(used, "_source", "left")
+        last = last.withColumn("rest", F.col("rest") - F.coalesce("_used", F.lit(0))).drop("_used", "_running")
     taken = numbering.number_rows(cut_lineage(taken, "taken"), ["_order"], _bucket("_order"), (), "slot").drop("_order")
-    return sources.select("_source", "blocks"), cut_lineage(taken, "plan")
+    return sources.join(quotas.select("_source", "quota"), "_source", "left").select("_source", "tokens", "blocks", "quota"), cut_lineage(taken, "plan")
 
 
 def _bucket(order: str) -> Column:
@@ -153,7 +162,8 @@ def mix(df: DataFrame, settings: Settings = Settings(), source: str = "source",
     Rows that repeat fall into one block and are taken together; a null key counts as empty text.
     ``keep`` names the columns to return (all); ``epoch`` and ``slot``, or what ``names`` calls them,
     replace others of these names.
-    A block that would exceed what is left of the budget, and those after it, are not taken.
+    Of the last epoch of a source a block that exceeds what is left of the budget is passed over for those after
+    it; ``shares`` tells how near each source comes to its target.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     size = tokens_in(text) if tokens is None else F.coalesce(F.col(quoted(tokens)).cast("long"), F.lit(0).cast("long"))
@@ -161,13 +171,26 @@ def mix(df: DataFrame, settings: Settings = Settings(), source: str = "source",
     sources, taken = plan(narrow if tokens is not None else cut_lineage(narrow, "tokens"), settings)
     own = {c: fresh(df, c) for c in ("_source", "_block", "blocks")}
     wide = df.withColumn(own["_source"], source_key(source))
-    wide = wide.join(sources.toDF(own["_source"], own["blocks"]), own["_source"])
+    wide = wide.join(sources.select("_source", "blocks").toDF(own["_source"], own["blocks"]), own["_source"])
     wide = wide.withColumn(own["_block"], block_of(settings.seed, F.col(quoted(key)), F.col(own["blocks"])))
     wide = wide.select(own["_source"], own["_block"], *[F.col(quoted(c)) for c in kept])
-    out = wide.join(taken.toDF(own["_source"], own["_block"], *names), [own["_source"], own["_block"]])
+    out = wide.join(taken.select("_source", "_block", "epoch", "slot").toDF(own["_source"], own["_block"], *names), [own["_source"], own["_block"]])
     return out.select(*[F.col(quoted(c)) for c in kept], *names)
 
 
+def shares(df: DataFrame, settings: Settings = Settings(), source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(source, tokens, quota, taken) of each source as text (null: null): what it has, should give and gives.
+
+    A source without tokens has no quota and gives none.
+    """
+    rows = df.select(source_key(source).alias("_source"), F.col(quoted(key)).alias("_key"), tokens_in(text).alias("_tokens"))
+    sources, taken = plan(cut_lineage(rows, "tokens"), settings)
+    given = taken.groupBy("_source").agg(F.sum("tokens").alias("taken"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    name = F.when(F.col("_source") != "none", F.substring("_source", 3, 2**31 - 1)).alias("source")
+    return sources.join(given, "_source", "left").select(name, "tokens", zero("quota"), zero("taken"))
+
+
 def resample(df: DataFrame, settings: Settings = Settings(), source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` as often as the mixture takes them, with the columns of ``df`` only."""
     names = fresh(df, "epoch"), fresh(df, "slot")

@@ -60,6 +60,12 @@ def mixing(entropy: float, max_epochs: float, block_tokens: int, seed: int, tabl
                 f"(SELECT sum(n) FROM usable) * (SELECT max(exp((({x}) - 1) * ln(n))) FROM usable) / {z}")
 
     middle = "(low + high) / 2"
+    first = "SELECT s, block, whole + 1 AS epoch, n, rest FROM block_sizes JOIN shares USING (s) WHERE rest > 0"
+    again = """SELECT f.s, f.block, f.epoch, f.n, f.rest - coalesce(u.used, 0)::BIGINT AS rest FROM {0} f
+      LEFT JOIN (SELECT s, sum(n) AS used FROM {0} WHERE running <= rest GROUP BY s) u USING (s) WHERE f.running > f.rest"""
+    fills = "".join(f"""), fill{i} AS (
+  SELECT *, sum(n) OVER (PARTITION BY s ORDER BY {order("epoch")}) AS running FROM ({again.format(f"fill{i - 1}") if i else first}) WHERE n <= rest
+""" for i in range(3)).rstrip()
     return rf"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, source, coalesce('s:' || source, 'none') AS s, len({WORDS})::BIGINT AS n FROM {table}
@@ -90,11 +96,9 @@ WITH RECURSIVE docs AS (
 ), block_sizes AS (SELECT s, block, sum(n)::BIGINT AS n FROM dealt GROUP BY s, block
 ), fully AS (
   SELECT s, block, unnest(range(1, whole + 1)) AS epoch FROM block_sizes JOIN shares USING (s)
-), partly AS (
-  SELECT s, block, whole + 1 AS epoch, rest, sum(n) OVER (PARTITION BY s ORDER BY {order("whole + 1")}) AS running
-  FROM block_sizes JOIN shares USING (s) WHERE rest > 0
+{fills}
 ), taken AS (
-  SELECT s, block, epoch FROM fully UNION ALL SELECT s, block, epoch FROM partly WHERE running <= rest
+  SELECT s, block, epoch FROM fully {"".join(f"UNION ALL SELECT s, block, epoch FROM fill{i} WHERE running <= rest " for i in range(3))}
 ), slots AS (SELECT s, block, epoch, row_number() OVER (ORDER BY {order("epoch")}) AS slot FROM taken)
 SELECT doc_id, source, n AS n_tokens, epoch::BIGINT AS epoch, slot::BIGINT AS slot FROM dealt JOIN slots USING (s, block)
 """

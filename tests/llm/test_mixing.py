@@ -73,3 +73,19 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark, corpus):
     plan = mixing.mix(corpus)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_rest_of_a_budget_is_filled_by_blocks_that_fit(spark):
+    """One block that exceeds what is left does not end its source."""
+    draw = __import__("random").Random(5)
+    rows = [(i, "long", "w " * draw.choice([900, 4_000, 30])) for i in range(40)] + [(100 + i, "other", "w " * 2_000) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    settings = mixing.Settings(entropy=1.0, max_epochs=50.0, block_tokens=500)
+    found = {r.source: r for r in mixing.shares(df, settings).collect()}
+    sizes = {i: len(t.split()) for i, _, t in rows}
+    given = {}
+    for r in mixing.mix(df, settings).collect():
+        given[r.source] = given.get(r.source, 0) + sizes[r.doc_id]
+    for name, r in found.items():
+        assert r.taken == given.get(name, 0) <= r.quota and r.taken >= 0.9 * r.quota, name
+    assert mixing.shares(df.limit(0)).count() == 0
