@@ -51,6 +51,10 @@ class _Fold(dict):
     """A translation table that fills as characters are met."""
 
     def __missing__(self, code: int) -> str:
+        # Invisible characters and marks on letters part no word.
+        if unicodedata.category(chr(code)) in ("Cf", "Mn", "Me"):
+            self[code] = ""
+            return ""
         char = unicodedata.normalize("NFKC", chr(code)).lower()
         char = "".join(ONE.get(c, c) for c in (LOOKALIKES.get(c, SIGNS.get(c, c)) for c in char))
         self[code] = char = char if char.isalnum() else " "
@@ -62,7 +66,7 @@ _FOLD = _Fold()
 
 def fold(text: str) -> str:
     """The folded text: words without signs, one space before each word and one at the end."""
-    return " " + " ".join(text.lower().translate(_FOLD).split()) + " "
+    return " " + " ".join(unicodedata.normalize("NFC", text).lower().translate(_FOLD).split()) + " "
 
 
 @dataclass

@@ -63,3 +63,11 @@ def test_held_out_rows(spark):
     assert sum(t for _, t in unseen) >= 100
     assert sum(p != t for p, t in unseen) <= 0.015 * len(unseen)
     assert sum(p and t for p, t in unseen) >= 0.9 * sum(t for _, t in unseen)
+
+
+def test_invisible_characters_part_no_word():
+    plain = toxicity.fold("trash")
+    for odd in ("tr​ash", "tra­sh", "t̶r̶a̶s̶h̶", "t‍rash⃝", "TR﻿ASH"):
+        assert toxicity.fold(odd) == plain
+    assert toxicity.fold("été") == toxicity.fold("été")
+    assert toxicity.fold("tr ash") != plain and toxicity.fold("​") == toxicity.fold("")
