@@ -30,6 +30,9 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST, CHARS_PER_TOKEN = 20, 2.0
 #: Of a stretch within a run, such a share of the characters is in parts that mix letters and digits; words and numbers do not.
 MIXED = 0.5
+#: A part of letters alone must change case so often for its length, and cost more tokens; names in camel case do neither.
+CASE_CHANGES, LETTERS_PER_TOKEN = 0.25, 1.7
+CHANGE = re.compile(r"(?=[a-z][A-Z]|[A-Z][a-z])")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 PART, PART_BEFORE, PART_AFTER = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[A-Za-z0-9]*\Z"), re.compile(r"[A-Za-z0-9]*")
 PART_LAST = re.compile(r"([A-Za-z0-9])[^A-Za-z0-9]*\Z")
@@ -124,11 +127,25 @@ def _stretches(run: str, tokens) -> list[tuple[int, int]]:
     return found
 
 
+def _letters(run: str, tokens) -> list[tuple[int, int]]:
+    """Parts of a run without digits that are random letters in both cases."""
+    found = []
+    for p in PART.finditer(run):
+        part = p[0]
+        if len(part) >= LEAST and sum(1 for _ in CHANGE.finditer(part)) >= CASE_CHANGES * len(part) and len(part) < LETTERS_PER_TOKEN * len(tokens(part)):
+            found.append(p.span())
+    return found
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], tokens) -> list[tuple[int, int, int]]:
     """Runs, and stretches of other runs, that cost many tokens and touch no span in ``taken``; unsorted."""
     found = []
     for m in RUN.finditer(text):
         run, begin = m[0], m.start()
+        if not HAS_DIGIT(run):
+            free = _letters(run, tokens) if not KNOWN_BEFORE.search(text[max(0, begin - 12) : begin]) else []
+            found += [(begin + a, 3, begin + b) for a, b in free if not any(s < begin + b and begin + a < e for s, _, e in taken)]
+            continue
         if not (HAS_DIGIT(run) and HAS_LETTER(run)) or KNOWN.fullmatch(run) or KNOWN_BEFORE.search(text[max(0, begin - 12) : begin]):
             continue
         known = [(k.start() + begin, k.end() + begin) for k in KNOWN_WITHIN.finditer(run)]

@@ -104,3 +104,16 @@ def test_query_against_plain_reading(spark, sf):
         for span in filter(None, row.spans.split(",")):
             kind, start, end = span.split(":")
             assert span in base or len(text[int(start) : int(end)]) < 2 * len(library.encode_ordinary(text[int(start) : int(end)]))
+
+
+def test_random_letters_without_digits(spark):
+    draw = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    secrets = ["".join(draw.choice(letters) for _ in range(size)) for size in (24, 32, 40) * 40]
+    texts = [f"see {before}{s} now" for s in secrets for before in ("", "api/documents/")]
+    places = [(4 + len(b), 4 + len(b) + len(s)) for s in secrets for b in ("", "api/documents/")]
+    found = [[tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("random")] for spans in scan(spark, texts)]
+    assert sum(place in spans for place, spans in zip(places, found)) >= 0.97 * len(texts)
+    clean = ["AbstractSingletonProxyFactoryBeanImplementation", "the-quick-brown-fox-jumps-over-the-lazy-dog", "JavaScriptObjectNotationParserError",
+             "INTERNATIONALIZATION_IS_LONG", "Donaudampfschifffahrtsgesellschaft", "sha256:" + secrets[0]]
+    assert [[s for s in spans if s.startswith("random")] for spans in scan(spark, clean)] == [[]] * len(clean)
