@@ -29,12 +29,18 @@ def id_bucket(df: DataFrame, column: str, buckets: int = ID_BUCKETS) -> Column:
     outliers could put most rows into one range, so quantiles are cut instead.
     """
     low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    found = even_bucket(column, low, high, n, buckets)
+    return _quantile_bucket(df, column, min(buckets, QUANTILES)) if found is None else found
+
+
+def even_bucket(column: str, low: int | None, high: int | None, n: int, buckets: int = ID_BUCKETS) -> Column | None:
+    """Equal ranges of an integer column whose ``n`` values are known to lie between two; None where they are sparse."""
     if low is None:
         return F.lit(0).cast("long")
-    if int(high) - int(low) < 4 * n:
-        width = (int(high) - int(low)) // buckets + 1
-        return F.floor((F.col(column) - F.lit(int(low))) / F.lit(width)).cast("long")
-    return _quantile_bucket(df, column, min(buckets, QUANTILES))
+    if int(high) - int(low) >= 4 * n:
+        return None
+    width = (int(high) - int(low)) // buckets + 1
+    return F.floor((F.col(column) - F.lit(int(low))) / F.lit(width)).cast("long")
 
 
 def _quantile_bucket(df: DataFrame, column: str, buckets: int) -> Column:

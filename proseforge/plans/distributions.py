@@ -84,6 +84,32 @@ def penalise_seen(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(K.penalise_seen(cand, seen, CTX, 1.5), "logit")
 
 
+# Turns are the steps of a conversation; a position's candidates are the best successors of the token there.
+_STEPS_SQL = f"""{CAND_SQL}, {topk_sql('cand', 5)}, {pairs_sql('cp', '(SELECT *, conv_id * 1000 + turn AS ck FROM conversations)', 'ck')},
+    steps AS (SELECT ck // 1000 AS conv_id, ck % 1000 AS turn, cp.pos, t.token_id, round(t.logit, 5) AS logit FROM cp JOIN topk t ON t.ctx = cp.ctx),
+    ordered AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM steps)"""
+
+
+@query(f"""WITH RECURSIVE {_STEPS_SQL},
+    fold(conv_id, k, seen, picks) AS (
+      SELECT DISTINCT conv_id, 0::BIGINT, []::INT[], []::STRUCT(turn BIGINT, pos BIGINT, token_id INT, logit DOUBLE)[] FROM ordered
+      UNION ALL
+      SELECT conv_id, k, list_distinct(seen || list(token_id)), list({{'turn': turn, 'pos': pos, 'token_id': token_id, 'logit': logit}}) FROM (
+        SELECT f.conv_id, o.k, f.seen, o.turn, o.pos, (-max(({{'l': v, 't': -o.token_id}})).t)::INT AS token_id, max(v) AS logit
+        FROM fold f JOIN (SELECT * FROM ordered) o ON o.conv_id = f.conv_id AND o.k = f.k + 1,
+          LATERAL (SELECT CASE WHEN list_contains(f.seen, o.token_id) THEN o.logit / 2.0::DOUBLE ELSE o.logit END AS v)
+        GROUP BY ALL) GROUP BY conv_id, k, seen)
+    SELECT conv_id, p.turn AS turn, p.pos::INT AS pos, p.token_id AS token_id, round(p.logit, 6) AS logit
+    FROM (SELECT conv_id, unnest(picks) AS p FROM fold)""")
+def penalise_growing(spark: SparkSession, d: str) -> DataFrame:
+    """The best continuation at every place of a conversation, each turn penalised for what earlier turns chose."""
+    v, lm = language_model(spark, d)
+    best = cut_lineage(K.top_k(L.successors(lm), CTX, 5), "successors").withColumn("logit", F.round("logit", 5))
+    places = L.id_pairs(text_table(spark, d, "conversations"), ["conv_id", "turn"], "text", v).select("conv_id", "turn", "pos", "ctx")
+    steps = places.join(best, "ctx").select("conv_id", "turn", "pos", "token_id", "logit")
+    return _rounded(K.penalise_growing(steps, ["conv_id"], "turn", 2.0), "logit")
+
+
 @query(f"WITH {CAND_SQL}, {topk_sql('cand', 5)} SELECT ctx, token_id, round(logit, 6) AS logit FROM topk")
 def topk_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The five best candidates per context, ties kept."""

@@ -34,9 +34,11 @@ from proseforge.plans.scoring import (
     turn_records,
 )
 from proseforge.session import work_dir
-from proseforge.sources import readers, sinks
+from proseforge.sources import readers, sinks, versions
 from proseforge.sources.readers import text_table
 from proseforge.streaming import tag_balance as B
+from proseforge.streaming.dedup import first_wins_stream, run_first_wins
+from proseforge.streaming.generation import generate_in_batches
 
 SEED = 1234
 
@@ -186,6 +188,19 @@ def sampled_texts(spark: SparkSession, d: str) -> DataFrame:
     return texts.withColumn("n_tokens", F.size(T.tokens(F.col("text"))))
 
 
+@query(f"""WITH p AS (SELECT DISTINCT text AS prompt FROM conversations WHERE role = 'user'), its AS (SELECT unnest(range(2))::INT AS iter),
+    every AS (SELECT prompt, 'reverse' AS model_type, iter, array_to_string(list_reverse({S.tokens('prompt')}), ' ') AS sentence FROM p, its
+      UNION ALL SELECT prompt, 'repeat', iter, prompt || ' ' || prompt FROM p, its)
+    SELECT * FROM every WHERE NOT (model_type = 'repeat' AND length(prompt) % 2 = 0)""")
+def generation_in_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Generation in committed batches of prompts and models, without those that an earlier run has finished."""
+    prompts = text_table(spark, d, "conversations").filter(F.col("role") == "user").select(F.col("text").alias("prompt"))
+    earlier = prompts.distinct().filter(F.length("prompt") % 2 == 0).select("prompt", F.lit("repeat").alias("model_type"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("iter"))
+    out = generate_in_batches(
+        prompts, {"reverse": _reverse_words, "repeat": _repeat}, 2, work_dir(spark, "generated"), work_dir(spark, "generation-state"), earlier, keys_per_batch=250)
+    return out.select("prompt", "model_type", "iter", "sentence")
+
+
 # --- teacher curation ---
 
 
@@ -264,11 +279,12 @@ def teacher_topup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_teacher_sql())
 def teacher_resume(spark: SparkSession, d: str) -> DataFrame:
-    """A run that stopped after its first round, cached, and taken up again: the result is that of one run."""
+    """A run that stopped after its first round, its cache swapped for a validated one, and taken up again: the result is that of one run."""
     prompts, answer = _teacher(spark, d)
     cache = work_dir(spark, "teacher-cache")
-    teacher.curate(prompts, answer, prompts.count(), max_rounds=0).write.parquet(cache)
-    return teacher.curate(prompts, answer, prompts.count(), max_rounds=_ROUNDS, existing=spark.read.parquet(cache))
+    versions.write(teacher.curate(prompts, answer, prompts.count(), max_rounds=0), cache, "after round 0")
+    known = readers.revalidate_cache(spark, cache)
+    return versions.write(teacher.curate(prompts, answer, prompts.count(), max_rounds=_ROUNDS, existing=known), cache, "complete")
 
 
 # --- files ---
@@ -283,7 +299,7 @@ def jsonl_rewrite(spark: SparkSession, d: str) -> DataFrame:
     docs = text_table(spark, d, "documents").select("doc_id", "text")
     sinks.append_json(docs.filter(F.col("doc_id") % 2 == 0), source)
     sinks.append_json(docs.filter(F.col("doc_id") % 2 == 1), source)
-    sinks.rewrite_json(spark, source, target, _DOC)
+    sinks.rewrite_json(spark, source, target)
     return readers.json_lines(spark, target, _DOC)
 
 
@@ -369,25 +385,92 @@ def records_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     return readers.records(spark, path).select(*KEYS, F.size("generated_sentences").alias("n"))
 
 
-@query(f"""WITH {PAIRS_SQL}, j AS (SELECT conv_id, turn, prompt, prompt || ' ' || coalesce(text, '') AS text FROM pairs)
+_BROKEN_SQL = f"""good AS (SELECT 'conv ' || conv_id AS prompt, role AS model_type, count(*) AS n
+      FROM conversations WHERE {S.strip('text')} <> '' GROUP BY ALL),
+    cut AS (SELECT count(*) AS n FROM conversations WHERE turn = 0), bare AS (SELECT count(DISTINCT conv_id) AS n FROM conversations)"""
+
+
+@query(f"""WITH {_BROKEN_SQL}
+    SELECT (SELECT count(*) FROM good) AS n_good, cut.n + bare.n AS n_broken, cut.n AS unreadable, bare.n AS incomplete,
+      (SELECT sum(n) FROM good)::BIGINT AS sentences FROM cut, bare""")
+def records_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Records among lines cut off in the middle and lines without sentences: the good ones kept, the others set aside and counted."""
+    path, kept, side = work_dir(spark, "records"), work_dir(spark, "records-good"), work_dir(spark, "records-broken")
+    sinks.append_records(G.to_records(turn_records(spark, d)), path)
+    turns = text_table(spark, d, "conversations")
+    whole = F.to_json(F.struct(F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("prompt"), F.array("text").alias("generated_sentences")))
+    cut = turns.filter("turn = 0").select(F.substring(whole, F.lit(1), F.length(whole) - 3).alias("value"))
+    bare = turns.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("prompt"))).alias("value")).distinct()
+    cut.unionByName(bare).write.mode("append").text(path)
+    good, broken = readers.sorted_out(spark, path, readers.RECORDS, ["prompt", "generated_sentences"])
+    counts = sinks.quarantine(good, broken, kept, side)
+    reasons = spark.read.parquet(side).agg(F.count_if(F.col("reason") == "unreadable").alias("unreadable"), F.count_if(F.col("reason") == "incomplete").alias("incomplete"))
+    sentences = spark.read.parquet(kept).agg(F.sum(F.size("generated_sentences")).cast("long").alias("sentences"))
+    return counts.join(reasons).join(sentences)  # one row each
+
+
+@query(f"""SELECT doc_id, lang, CASE WHEN doc_id % 5 <> 0 THEN {S.squeeze(REVIEW_SQL)} END AS text,
+      n_chars, source, 'kept as it is \\n*' AS note, doc_id % 2 = 0 AS even, CASE WHEN doc_id % 5 <> 0 THEN 'doc_id,lang,text,more,even' ELSE 'doc_id,lang,more,even' END AS fields
+    FROM documents""")
+def jsonl_any_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with fields that no schema names, some without a text, cleaned file to file."""
+    source, target = work_dir(spark, "raw-jsonl"), work_dir(spark, "clean-jsonl")
+    more = F.struct("n_chars", F.struct("source", F.lit("kept as it is \\n*").alias("text")).alias("inner"))
+    text = F.when(F.col("doc_id") % 5 != 0, F.col("text"))
+    rows = text_table(spark, d, "documents").select(
+        F.to_json(F.struct("doc_id", "lang", text.alias("text"), more.alias("more"), (F.col("doc_id") % 2 == 0).alias("even"))).alias("value")
+    )
+    rows.write.text(source)
+    sinks.rewrite_json(spark, source, target)
+    line = spark.read.text(target).select("value", F.parse_json("value").alias("v"))
+    get = lambda at, kind: F.variant_get("v", f"$.{at}", kind)
+    return line.select(
+        get("doc_id", "long").alias("doc_id"), get("lang", "string").alias("lang"), get("text", "string").alias("text"), get("more.n_chars", "long").alias("n_chars"),
+        get("more.inner.source", "string").alias("source"), get("more.inner.text", "string").alias("note"), get("even", "boolean").alias("even"),
+        F.array_join(F.json_object_keys("value"), ",").alias("fields"),
+    )
+
+
+_JOINED_SQL = f"{PAIRS_SQL}, j AS (SELECT conv_id, turn, prompt, prompt || ' ' || coalesce(text, '') AS text FROM pairs)"
+
+
+def _joined_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return teacher_pairs(spark, d).withColumn("text", F.concat("prompt", F.lit(" "), F.coalesce("text", F.lit(""))))
+
+
+@query(f"""WITH {_JOINED_SQL}
     SELECT * FROM j WHERE length(text) - length(prompt) >= 40 ORDER BY conv_id, turn LIMIT 25""")
 def pair_cache(spark: SparkSession, d: str) -> DataFrame:
-    """A pair cache validated again into a new folder, then its guarded head."""
-    old, new = work_dir(spark, "pairs"), work_dir(spark, "pairs-valid")
-    pairs = teacher_pairs(spark, d)
-    pairs.withColumn("text", F.concat("prompt", F.lit(" "), F.coalesce("text", F.lit("")))).write.parquet(old)
-    readers.revalidate_cache(spark, old, new)
-    return readers.cached_pairs(spark, new, 25, ["conv_id", "turn"])
+    """A pair cache validated again into its next version, then its guarded head."""
+    path = work_dir(spark, "pairs")
+    versions.write(_joined_pairs(spark, d), path)
+    readers.revalidate_cache(spark, path)
+    return readers.cached_pairs(spark, path, 25, ["conv_id", "turn"])
+
+
+@query(f"""WITH {_JOINED_SQL}, v AS (SELECT * FROM j WHERE length(text) - length(prompt) >= 40)
+    SELECT 'opened before' AS reader, conv_id, turn, text FROM j UNION ALL SELECT 'first version', conv_id, turn, text FROM j
+    UNION ALL SELECT 'opened after', conv_id, turn, text FROM v""")
+def cache_versions(spark: SparkSession, d: str) -> DataFrame:
+    """What readers see that opened a cache before and after it was validated again, and one that asks for the first version."""
+    path = work_dir(spark, "pairs")
+    versions.write(_joined_pairs(spark, d), path)
+    before = versions.read(spark, path)
+    readers.revalidate_cache(spark, path)
+    seen = {"opened before": before, "opened after": versions.read(spark, path), "first version": versions.read(spark, path, 1)}
+    parts = [df.select(F.lit(name).alias("reader"), "conv_id", "turn", "text") for name, df in seen.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # --- streaming ---
 
 
 _STREAM_BUFFER = 128  # two scoring batches of 64
+_STREAM_HELD = S.u(SEED, "held", "doc_id")
 
 
-@query(f"""WITH {LABELLED_SQL}, {nb_sql('m', 'lab', 'toxic')},
-    texts AS (SELECT doc_id, text, CASE WHEN lang IN ('en', 'de') THEN 1 ELSE 0 END AS label FROM documents),
+@query(f"""WITH {LABELLED_SQL}, seen AS (SELECT * FROM lab WHERE {_STREAM_HELD} < 0.3), {nb_sql('m', 'seen', 'toxic')},
+    texts AS (SELECT doc_id, text, CASE WHEN lang IN ('en', 'de') THEN 1 ELSE 0 END AS label FROM documents WHERE {_STREAM_HELD} >= 0.3),
     {nb_score_sql('sc', 'm', 'texts', 'doc_id')},
     tagged AS (SELECT doc_id, text, CASE WHEN label = 1 THEN 'Positive' ELSE 'Negative' END AS sentiment,
       CASE WHEN score > 0 THEN 'Formal' ELSE 'Informal' END AS formality FROM texts JOIN sc USING (doc_id)),
@@ -405,15 +488,33 @@ def stream_tag_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, d: str, out: str) -> DataFrame:
-    model = nb_model(labelled(spark, d), "toxic")
+    """The stream holds the documents that the model was not fitted on."""
+    draw = uniform(SEED, "held", F.col("doc_id"))
+    model = nb_model(labelled(spark, d).filter(draw < 0.3), "toxic")
     stream = readers.stream_table(spark, d, "documents", readers.table(spark, d, "documents").schema)
     label = F.when(F.col("lang").isin("en", "de"), 1).otherwise(0)
     tagger = B.naive_bayes_tagger(model, ["doc_id"], "text", "label")
-    rows = stream.select("doc_id", "text", label.alias("label"))
+    rows = stream.filter(draw >= 0.3).select("doc_id", "text", label.alias("label"))
     return B.run_stream(rows, tagger, ["doc_id"], out, work_dir(spark, "stream-state"), SEED, write_every=100, batch=64)
 
 
-@query(f"SELECT count(*) AS rows_read, (count(*) // {_STREAM_BUFFER})::BIGINT AS buffers FROM documents")
+@query(f"SELECT count(*) AS rows_read, (count(*) // {_STREAM_BUFFER})::BIGINT AS buffers FROM documents WHERE {_STREAM_HELD} >= 0.3")
 def stream_counters(spark: SparkSession, d: str) -> DataFrame:
     """What the streaming job has counted: rows read and full buffers written."""
     return _streamed(spark, d, work_dir(spark, "stream-out")).drop("batches")
+
+
+_ARRIVALS, _FIRST_ARRIVAL = 3, 1_700_000_000
+
+
+@query(f"""SELECT doc_id, lang, text FROM (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id % {_ARRIVALS}, doc_id) AS rn FROM documents)
+    WHERE rn = 1""")
+def stream_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that arrive in three parts, the stream stopped and taken up again between them; of equal texts the first stays."""
+    source, out, state = work_dir(spark, "arrivals"), work_dir(spark, "first-wins"), work_dir(spark, "first-wins-state")
+    docs = text_table(spark, d, "documents").select("doc_id", "lang", "text", F.timestamp_seconds(_FIRST_ARRIVAL + F.col("doc_id") % _ARRIVALS).alias("arrived"))
+    for part in range(_ARRIVALS):
+        docs.filter(F.col("doc_id") % _ARRIVALS == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(docs.schema).parquet(source)
+        run_first_wins(first_wins_stream(stream, "text", ["doc_id"], "arrived", 3600, ["lang"]), out, state)
+    return spark.read.parquet(out).select("doc_id", "lang", "text")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proseforge.functions.text import blank, strip
 from proseforge.operators.sampling import head
 from proseforge.operators.teacher import valid_pairs
+from proseforge.sources import versions
 
 TAGGED = T.StructType([T.StructField(c, T.StringType()) for c in ("text", "sentiment", "formality")])
 PAIRS = T.StructType([T.StructField(c, T.StringType()) for c in ("prompt", "text")])
@@ -48,15 +51,36 @@ def csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def labelled_lines(spark: SparkSession, paths: Sequence[tuple[str, int]]) -> DataFrame:
-    """(text, label): non-blank stripped lines, labelled by the folder or file they come from."""
-    parts = [
-        spark.read.text(path).select(strip(F.col("value")).alias("text"), F.lit(label).alias("label"))
-        for path, label in paths
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.filter(~blank(F.col("text")))
+    """(text, label): non-blank stripped lines, labelled by the folder or file they come from.
+
+    ``paths`` are absolute files or folders, without patterns; of nested ones the nearest counts.  All are one
+    scan of text, whatever their number.  A listing of the files, which reads none, meets the labels by
+    the folders above each file, and each line then meets its file.
+    """
+    names = [path for path, _ in paths]
+    listed = spark.createDataFrame([(_plain_path(path), label) for path, label in paths], "_path string, label int")
+    recursive = lambda reader: reader.option("recursiveFileLookup", True)
+    files = recursive(spark.read.format("binaryFile")).load(names).select(_without_host(F.col("path")).alias("_file")).distinct()
+    steps = F.split("_file", "/")
+    above = F.transform(F.sequence(F.size(steps), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    named = files.select("_file", F.posexplode(above).alias("_up", "_path")).join(listed, "_path")
+    labels = named.groupBy("_file").agg(F.min_by("label", "_up").alias("label"))
+    # The path of a line's file is written as a URL, that of a listing is not.
+    url = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = recursive(spark.read).text(names).select(strip(F.col("value")).alias("text"), _without_host(url).alias("_file"))
+    return rows.filter(~blank(F.col("text"))).join(labels, "_file").select("text", "label")
+
+
+_HOST = r"^[a-zA-Z][\w+.-]*:(//[^/]*)?"
+
+
+def _without_host(path: Column) -> Column:
+    return F.regexp_replace(path, _HOST, "")
+
+
+def _plain_path(path: str) -> str:
+    """A path as it stands in those of the files below it: without scheme, host, doubled or closing slashes."""
+    return "/" + "/".join(filter(None, re.sub(_HOST, "", path).split("/")))
 
 
 def lines(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
@@ -71,30 +95,52 @@ def parallel_rows(pairs: DataFrame, formal: str, informal: str) -> DataFrame:
     return pairs.select(*others, F.inline(F.array(row(formal, "Formal"), row(informal, "Informal"))))
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """Earlier generation records; none when nothing was written, broken ones dropped."""
+def sorted_out(spark: SparkSession, path: str, schema: T.StructType, needed: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """JSON lines as (good rows, broken lines).
+
+    Broken lines are (value, file, reason): ``unreadable`` where a line is no JSON object of the schema, ``incomplete``
+    where one of the ``needed`` fields is missing.  Blank lines are neither.  A path where nothing was written
+    gives two empty tables.  A line is parsed once for both; write them with ``sinks.quarantine`` to keep them apart.
+    """
+    known = {f.name.lower() for f in schema.fields}
+    mark = "_unreadable"
+    while mark in known:
+        mark = "_" + mark
     try:
-        found = spark.read.schema(RECORDS).option("mode", "PERMISSIVE").json(path)
-    except Exception as error:  # the path does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
+        found = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], RECORDS)
-    return found.filter(F.col("prompt").isNotNull() & F.col("generated_sentences").isNotNull())
+        found = spark.createDataFrame([], "value string, file string")
+    wide = T.StructType([*schema.fields, T.StructField(mark, T.StringType())])
+    row = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": mark})
+    parsed = found.filter(~blank(F.col("value"))).select("value", "file", row.alias("row"))
+    missing = F.lit(False)
+    for name in needed:
+        missing = missing | F.col(f"row.{name}").isNull()
+    reason = F.when(F.col("row").isNull() | F.col(f"row.{mark}").isNotNull(), "unreadable").when(missing, "incomplete")
+    parsed = parsed.withColumn("reason", reason)
+    good = parsed.filter("reason is null").select(*[F.col(f"row.{f.name}") for f in schema.fields])
+    return good, parsed.filter("reason is not null").select("value", "file", "reason")
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """Earlier generation records; none when nothing was written.  ``sorted_out`` gives the broken ones, too."""
+    return sorted_out(spark, path, RECORDS, ["prompt", "generated_sentences"])[0]
 
 
 def cached_pairs(spark: SparkSession, path: str, n: int, order: Sequence[str]) -> DataFrame:
-    """The first ``n`` cached teacher pairs; too few are an error."""
-    found = spark.read.parquet(path)
+    """The first ``n`` teacher pairs of a cache, of its current version if it has versions; too few are an error."""
+    found = versions.read(spark, path) if versions.current(spark, path) else spark.read.parquet(path)
     have = found.count()
     if have < n:
         raise ValueError(f"the cache at {path} holds {have} pairs; {n} are needed")
     return head(found, n, order)
 
 
-def revalidate_cache(spark: SparkSession, path: str, new_path: str) -> DataFrame:
-    """Filter a pair cache into a new folder; the old one is never overwritten while read."""
-    valid_pairs(spark.read.parquet(path)).write.parquet(new_path)
-    return spark.read.parquet(new_path)
+def revalidate_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Filter the current version of a pair cache into its next; who reads the old one keeps it whole."""
+    return versions.write(valid_pairs(versions.read(spark, path)), path)
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:

@@ -4,24 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from proseforge.functions.text import clean_review, file_key
-from proseforge.sources.readers import json_lines
+from proseforge.functions.text import blank, clean_review, file_key
 
 
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def rewrite_json(spark: SparkSession, source: str, target: str, schema: T.StructType) -> None:
-    """Read JSON lines, clean ``text`` and write them; text stays unescaped UTF-8."""
-    rows = json_lines(spark, source, schema)
-    if "text" in rows.columns:
-        rows = rows.withColumn("text", clean_review(F.col("text")))
-    rows.write.json(target)
+def rewrite_json(spark: SparkSession, source: str, target: str, broken: str | None = None) -> None:
+    """Rewrite JSON lines of any fields with ``text`` cleaned; text stays unescaped UTF-8.
+
+    A line is read as a map from field names to variants, so fields keep their order, types and values whatever
+    they are, and lines may differ.  A line without ``text``, or with one that is no string, stays as it is.
+    Lines that are no JSON objects go to ``broken`` as they are; without such a folder they are an error.
+    Blank lines are dropped.
+    """
+    lines = spark.read.text(source).filter(~blank(F.col("value")))
+    # An object in braces; others would give a map without fields, too.
+    fields = F.from_json("value", "map<string,variant>", {"mode": "PERMISSIVE"})
+    read = lines.select("value", F.when(F.try_parse_json("value").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")), fields).alias("fields"))
+    text = F.col("fields")["text"]
+    is_text = F.schema_of_variant(text) == "STRING"
+    cleaned = clean_review(F.try_variant_get(text, "$", "string")).cast("variant")
+    changed = F.transform_values("fields", lambda k, v: F.when((k == "text") & is_text, cleaned).otherwise(v))
+    if broken is None:
+        whole = F.when(F.col("fields").isNull(), F.raise_error(F.concat(F.lit("no JSON object: "), F.substring("value", 1, 200)))).otherwise(F.to_json(changed))
+        read.select(whole.alias("value")).write.text(target)
+    else:
+        read.filter("fields is not null").select(F.to_json(changed).alias("value")).write.text(target)
+        read.filter("fields is null").select("value").write.text(broken)
+
+
+def quarantine(good: DataFrame, broken: DataFrame, path: str, side: str) -> DataFrame:
+    """Write good rows and, beside them, broken ones; one row with how many of each (n_good, n_broken).
+
+    The counts are taken while writing, not by jobs of their own.
+    """
+    counted = []
+    for rows, name, where in ((good, "n_good", path), (broken, "n_broken", side)):
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias(name)).write.mode("append").parquet(where)
+        counted.append(seen)
+    return good.sparkSession.createDataFrame([tuple(int(o.get[n]) for o, n in zip(counted, ("n_good", "n_broken")))], "n_good long, n_broken long")
 
 
 def append_records(records: DataFrame, path: str) -> None:

@@ -5,16 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proseforge.functions.draws import uniform
 from proseforge.operators.classify import tag
-from proseforge.operators.numbering import key_bucket, number_rows
+from proseforge.operators.numbering import even_bucket, key_bucket, number_rows
 
 CLASSES = ["sentiment", "formality"]
-COUNTERS = T.StructType([T.StructField(n, T.LongType()) for n in ("rows_read", "buffers", "batch")])
+COUNTERS = T.StructType([T.StructField(n, T.LongType()) for n in ("rows_read", "buffers", "carried", "batch")])
 
 
 def buffer_rows(write_every: int, batch: int) -> int:
@@ -74,22 +74,39 @@ def run_stream(
     size = buffer_rows(write_every, batch)
     spark = stream.sparkSession
     at = lambda what, number: f"{state}/{what}/batch={number}"
+    # Rows that an earlier run wrote as its end are carried into this one.
+    spark.range(0).write.mode("overwrite").json(f"{out}/batch=tail")
+    carried: dict[int, int] = {}
+
+    def rows_before(number: int) -> int:
+        """Rows that the micro-batch before carried over; after a restart they are looked up."""
+        if number == 0:
+            return 0
+        if number - 1 not in carried:
+            carried[number - 1] = spark.read.schema(COUNTERS).json(at("counters", number - 1)).first()["carried"]
+        return carried[number - 1]
 
     def write(rows: DataFrame, number: int) -> None:
-        tagger(rows).withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(at("tagged", number))
-        tagged = spark.read.parquet(at("tagged", number))
-        new = tagged.count()
-        if number:
-            tagged = spark.read.parquet(at("carried", number - 1)).unionByName(tagged)
-        held = tagged.count()
-        order = ["_batch", *keys]
-        numbered = number_rows(tagged.withColumn("_order", F.struct(*order)), ["_order"], key_bucket(tagged, order))
-        numbered = numbered.withColumn("buffer", F.floor((F.col("row_no") - 1) / size).cast("long")).drop("_order", "row_no")
-        full = F.col("buffer") < held // size
-        kept = _balanced_within(numbered.filter(full), size, keys, seed).drop("_batch", "buffer")
-        kept.write.mode("overwrite").json(f"{out}/batch={number}")
-        numbered.filter(~full).drop("buffer").write.mode("overwrite").parquet(at("carried", number))
-        counters = spark.range(1).select(F.lit(new).alias("rows_read"), F.lit(held // size).alias("buffers"))
+        # What is counted is counted while rows are written.
+        seen = Observation()
+        ends = [F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high")]
+        tagged = tagger(rows)
+        tagged.observe(seen, F.count(F.lit(1)).alias("rows"), *ends).write.mode("overwrite").parquet(at("tagged", number))
+        new, held_over = int(seen.get["rows"]), rows_before(number)
+        held = held_over + new
+        numbered = _numbered(spark.read.schema(tagged.schema).parquet(at("tagged", number)), keys, seen.get)
+        numbered = numbered.withColumn("_at", F.col("row_no") - 1 + held_over).drop("row_no")
+        if held_over:
+            numbered = _tail_of(spark, at("balanced", number - 1), numbered).unionByName(numbered)
+        numbered = numbered.withColumn("buffer", F.floor(F.col("_at") / size).cast("long"))
+        tail = F.col("buffer") >= held // size
+        kept = _balanced_within(numbered, size, keys, seed)
+        kept = kept.withColumn("_at", F.col("_at") - held // size * size).withColumn("_tail", tail.cast("int")).drop("buffer")
+        kept.write.mode("overwrite").partitionBy("_tail").parquet(at("balanced", number))
+        full = spark.read.schema(kept.schema).parquet(at("balanced", number)).filter("_tail = 0")
+        full.drop("_tail", "_at").write.mode("overwrite").json(f"{out}/batch={number}")
+        carried[number] = held % size
+        counters = spark.range(1).select(*[F.lit(v).cast("long").alias(n) for n, v in (("rows_read", new), ("buffers", held // size), ("carried", held % size))])
         counters.write.mode("overwrite").json(at("counters", number))
 
     query = (
@@ -106,10 +123,26 @@ def run_stream(
     )
     last = totals.first()["_last"]
     if last is not None:
-        tail = spark.read.parquet(at("carried", last)).drop("_batch")
-        tail.write.mode("overwrite").json(f"{out}/batch=tail")
+        rows = spark.read.parquet(at("balanced", last))
+        rows.filter("_tail = 1").drop("_tail", "_at").write.mode("overwrite").json(f"{out}/batch=tail")
     return totals.drop("_last")
 
 
+def _numbered(tagged: DataFrame, keys: Sequence[str], seen: dict[str, object]) -> DataFrame:
+    """Rows of a micro-batch with ``row_no`` in order of ``keys``, by ranges known from writing them if these are even."""
+    bucket = None
+    if len(keys) == 1 and isinstance(tagged.schema[keys[0]].dataType, T.IntegralType):
+        bucket = even_bucket(keys[0], seen["low"], seen["high"], seen["rows"])
+    if bucket is None:
+        bucket = key_bucket(tagged, keys)
+    return number_rows(tagged.withColumn("_order", F.struct(*keys)), ["_order"], bucket).drop("_order")
+
+
+def _tail_of(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Rows carried over by an earlier micro-batch, with the columns of ``like``."""
+    schema = T.StructType([*like.schema.fields, T.StructField("_tail", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path).filter("_tail = 1").select(*like.columns)
+
+
 def naive_bayes_tagger(model: DataFrame, keys: Sequence[str], text: str, label: str) -> Callable[[DataFrame], DataFrame]:
     return lambda batch: tag(batch, keys, text, label, model)
