@@ -13,7 +13,7 @@ from proseforge.functions.draws import uniform
 from proseforge.operators.candidates import softmax, top_k, top_p
 from proseforge.operators.joins import pending
 from proseforge.operators.ngram_lm import successors
-from proseforge.operators.tokens import EOS, broadcast_vocab
+from proseforge.operators.tokens import EOS, Lookup
 from proseforge.session import cut_lineage
 
 BROADCAST_CHOICES = 10_000_000
@@ -153,7 +153,7 @@ def sample_texts(
 def last_known_id(df: DataFrame, keys: Sequence[str], tokens_col: Column, vocab: DataFrame, unk: int) -> DataFrame:
     """(keys, last_id): id of each prompt's last token; an empty prompt starts at the end token."""
     words = df.select(*keys, F.try_element_at(tokens_col, F.lit(-1)).alias("_token"))
-    coded = words.join(broadcast_vocab(vocab), "_token", "left")
+    coded = Lookup(vocab).ids(words, "_token", "_id", keys)
     return coded.select(
         *keys, F.when(F.col("_token").isNull(), EOS).otherwise(F.coalesce("_id", F.lit(unk))).alias("last_id")
     )

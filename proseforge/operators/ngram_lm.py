@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from proseforge.functions.text import tokens
 from proseforge.operators.joins import lookup
-from proseforge.operators.tokens import UNK, broadcast_vocab
+from proseforge.operators.tokens import UNK, Lookup
 
 
 def token_pairs(tokens_col: Column) -> Column:
@@ -28,13 +28,10 @@ def token_pairs(tokens_col: Column) -> Column:
 
 def _to_ids(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
     """Replace the token columns ``left`` and ``right`` by ids ``ctx`` and ``token_id``."""
-    words = broadcast_vocab(vocab)
-    left = words.select(F.col("_token").alias("left"), F.col("_id").alias("ctx"))
-    right = words.select(F.col("_token").alias("right"), F.col("_id").alias("token_id"))
+    words, keys = Lookup(vocab), [c for c in pairs.columns if c not in ("left", "right", "n")] or ["left", "right"]
+    coded = words.ids(words.ids(pairs, "left", "ctx", keys), "right", "token_id", keys)
     return (
-        pairs.join(F.broadcast(left), "left", "left")
-        .join(F.broadcast(right), "right", "left")
-        .withColumn("ctx", F.coalesce("ctx", F.lit(UNK)))
+        coded.withColumn("ctx", F.coalesce("ctx", F.lit(UNK)))
         .withColumn("token_id", F.coalesce("token_id", F.lit(UNK)))
         .drop("left", "right")
     )

@@ -1,8 +1,9 @@
 """Vocabulary, encoding and decoding.
 
 Subword models need files of their own, so tokens are white-space tokens and
-the vocabulary is counted from the corpus.  Its size is capped like that of
-any tokenizer, which makes it safe to broadcast.
+the vocabulary is counted from the corpus.  Ids are dense and in order of
+frequency, so those below a bound are a table of proven size that is broadcast;
+what lies beyond in a larger vocabulary is rare and met in a shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ PAD, UNK, CLS, SEP, MASK, EOS = range(6)
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "</s>"]
 MAX_VOCAB = 30522
 MAX_BROADCAST_IDS = 1_000_000
+SALTS = 256  # most rows of the dictionary of rare tokens that a token has
 
 
 def special_rows(spark: SparkSession) -> DataFrame:
@@ -67,25 +69,46 @@ def add_control_tokens(vocab: DataFrame, extra: Sequence[str] = tuple(CONTROL_TO
     )
 
 
-def broadcast_vocab(vocab: DataFrame) -> DataFrame:
-    """(_token, _id) of a vocabulary, to be broadcast.
+class Lookup:
+    """A vocabulary (token, id) of any size, to look up ids of tokens or tokens of ids."""
 
-    Ids are dense, so an id below the bound for every row proves the size; a
-    larger vocabulary fails instead of flooding the executors.
-    """
-    too_big = F.raise_error(F.lit("vocabulary exceeds the broadcast bound")).cast("int")
-    checked = F.when(F.col("id") < MAX_BROADCAST_IDS, F.col("id")).otherwise(too_big)
-    return F.broadcast(vocab.select(F.col("token").alias("_token"), checked.alias("_id")))
+    def __init__(self, vocab: DataFrame):
+        pairs = vocab.select("token", "id")
+        self.head = pairs.filter(F.col("id") < MAX_BROADCAST_IDS)
+        rest = pairs.filter(F.col("id") >= MAX_BROADCAST_IDS)
+        self.rest = None if rest.isEmpty() else rest
+
+    def ids(self, rows: DataFrame, token: str, out: str, keys: Sequence[str]) -> DataFrame:
+        """Add ``out``, the id of the token in a column, null where it has none; ``keys`` tell rows apart."""
+        return self._joined(rows, token, "token", "id", out, keys)
+
+    def tokens(self, rows: DataFrame, number: str, out: str, keys: Sequence[str]) -> DataFrame:
+        """Add ``out``, the token of the id in a column, null where it has none."""
+        return self._joined(rows, number, "id", "token", out, keys)
+
+    def _joined(self, rows: DataFrame, column: str, by: str, value: str, out: str, keys: Sequence[str]) -> DataFrame:
+        near = F.broadcast(self.head.select(F.col(by).alias(column), F.col(value).alias(out)))
+        found = rows.join(near, column, "left")
+        if self.rest is None:
+            return found
+        # Each group of rows asks once for what the broadcast did not answer, so a frequent unknown token is no hot key.
+        asked = F.when(F.col(out).isNull(), F.col(column))
+        found = found.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS))).withColumn("_asked", asked)
+        dictionary = found.filter("_asked is not null").select("_salt", "_asked").distinct().join(
+            self.rest.select(F.col(by).alias("_asked"), F.col(value).alias("_answer")), "_asked"
+        )
+        whole = found.join(dictionary, ["_salt", "_asked"], "left")
+        return whole.withColumn(out, F.coalesce(out, "_answer")).drop("_salt", "_asked", "_answer")
 
 
 def encode(df: DataFrame, keys: Sequence[str], tokens: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
     """(keys, out): token ids in order, unknown tokens as [UNK].
 
-    The vocabulary is broadcast, so tokens are not shuffled; each task already
+    The frequent part of the vocabulary is broadcast, so most tokens are not shuffled; each task already
     holds whole rows, and the partial ``collect_list`` ships one id array per row.
     """
     exploded = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "_token"))
-    coded = exploded.join(broadcast_vocab(vocab), "_token", "left")
+    coded = Lookup(vocab).ids(exploded, "_token", "_id", keys)
     item = F.when(
         F.col("_pos").isNotNull(),
         F.struct("_pos", F.coalesce("_id", F.lit(UNK)).alias("_id")),
@@ -100,7 +123,7 @@ def decode(
     """(keys, out): tokens joined by spaces, without blocked ids."""
     exploded = df.select(*keys, F.posexplode_outer(ids).alias("_pos", "_id"))
     words = vocab.join(blocked.select("id").distinct(), "id", "left_anti")
-    named = exploded.join(broadcast_vocab(words), "_id", "left")
+    named = Lookup(words).tokens(exploded, "_id", "_token", keys)
     item = F.when(F.col("_token").isNotNull(), F.struct("_pos", "_token"))
     ordered = F.array_sort(F.collect_list(item))
     text = F.array_join(F.transform(ordered, lambda x: x["_token"]), " ")

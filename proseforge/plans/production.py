@@ -45,28 +45,25 @@ SEED = 1234
 # --- outputs and work lists ---
 
 
-@query(f"""WITH src AS (
-      SELECT conv_id, turn, left(text, 12) AS prompt, text,
-        CASE WHEN {S.u(SEED, 'form', 'conv_id', 'turn')} < 0.4 THEN left(text, 12) || ' a:b ' || text || '<|endoftext|>\\n tail '
-             WHEN {S.u(SEED, 'form', 'conv_id', 'turn')} < 0.8 THEN 'head: ' || text || ' x:y '
-             WHEN {S.u(SEED, 'form', 'conv_id', 'turn')} < 0.9 THEN left(text, 12) ELSE '  ' || text END AS raw FROM conversations),
+@query(f"""WITH {PAIRS_SQL}, said AS (SELECT * FROM pairs WHERE text IS NOT NULL),
+    raw AS (SELECT conv_id, turn, prompt, 'continued' AS kind, prompt || ' ' || text || '<|endoftext|>' AS raw FROM said
+      UNION ALL SELECT conv_id, turn, prompt, 'answered', text FROM said UNION ALL SELECT conv_id, turn, prompt, 'silent', prompt FROM pairs WHERE text IS NULL),
     cut AS (SELECT *, CASE WHEN prompt <> '' AND starts_with(raw, prompt) THEN substr(raw, length(prompt) + 1)
-        WHEN strpos(raw, ':') > 0 THEN substr(raw, strpos(raw, ':') + 1) ELSE raw END AS body FROM src),
-    done AS (SELECT conv_id, turn, {S.strip("replace(replace(" + S.strip('body') + ", '<|endoftext|>', ''), '\\n', ' ')")} AS sentence FROM cut)
+        WHEN strpos(raw, ':') > 0 THEN substr(raw, strpos(raw, ':') + 1) ELSE raw END AS body FROM raw),
+    done AS (SELECT conv_id, turn, kind, {S.strip("replace(replace(" + S.strip('body') + ", '<|endoftext|>', ''), '\\n', ' ')")} AS sentence FROM cut)
     SELECT * FROM done WHERE sentence <> ''""")
 def clean_outputs(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts, separators and artefacts removed from generated texts, empty ones dropped."""
-    draw = uniform(SEED, "form", F.col("conv_id"), F.col("turn"))
-    text, prompt = F.col("text"), F.substring("text", 1, 12)
-    raw = (
-        F.when(draw < 0.4, F.concat(prompt, F.lit(" a:b "), text, F.lit("<|endoftext|>\\n tail ")))
-        .when(draw < 0.8, F.concat(F.lit("head: "), text, F.lit(" x:y ")))
-        .when(draw < 0.9, prompt)
-        .otherwise(F.concat(F.lit("  "), text))
-    )
-    rows = text_table(spark, d, "conversations").select("conv_id", "turn", prompt.alias("prompt"), raw.alias("raw"))
+    """Every reply to a user turn as a generator that repeats its prompt gives it, and as one that does not; cleaned, empty ones dropped.
+
+    Turns without a reply give nothing but their prompt.
+    """
+    pairs = teacher_pairs(spark, d)
+    said = pairs.filter(F.col("text").isNotNull())
+    kind = lambda rows, name, raw: rows.select("conv_id", "turn", "prompt", F.lit(name).alias("kind"), raw.alias("raw"))
+    rows = kind(said, "continued", F.concat("prompt", F.lit(" "), "text", F.lit("<|endoftext|>")))
+    rows = rows.unionByName(kind(said, "answered", F.col("text"))).unionByName(kind(pairs.filter(F.col("text").isNull()), "silent", F.col("prompt")))
     out = T.settle(rows, "sentence", T.clean_output(F.col("raw"), F.col("prompt")))
-    return out.filter(F.col("sentence") != "").select("conv_id", "turn", "sentence")
+    return out.filter(F.col("sentence") != "").select("conv_id", "turn", "kind", "sentence")
 
 
 MODELS = ["assistant", "user", "system"]
@@ -221,12 +218,12 @@ def teacher_pairs_valid(spark: SparkSession, d: str) -> DataFrame:
     v AS (SELECT conv_id, turn, text FROM pairs WHERE text IS NOT NULL AND length(text) >= 40),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS rn FROM v)
     SELECT conv_id, turn, text FROM ranked WHERE rn = 1 AND text NOT IN (SELECT text FROM documents)
-      AND text NOT IN (SELECT text FROM conversations WHERE turn < 2)""")
+      AND text NOT IN (SELECT text FROM conversations WHERE role <> 'assistant')""")
 def unseen_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts new against two seen sets and among themselves."""
+    """Replies that are new among themselves, and neither a document nor a turn that is no reply."""
     rows = teacher_pairs(spark, d).filter(F.length("text") >= 40).select("conv_id", "turn", "text")
-    early = text_table(spark, d, "conversations").filter(F.col("turn") < 2).select("text")
-    seen = text_table(spark, d, "documents").select("text").unionByName(early)
+    asked = text_table(spark, d, "conversations").filter(F.col("role") != "assistant").select("text")
+    seen = text_table(spark, d, "documents").select("text").unionByName(asked)
     return dedup.not_seen(rows, seen, "text", ["conv_id", "turn"])
 
 

@@ -308,3 +308,25 @@ def test_inputs_for_generation(spark):
     rows = df.select(E.keep_context(F.col("x"), 70), E.masked_canvas(F.col("x"), 12), E.masked_canvas(F.col("x"), 3), E.seed_if_empty(F.col("x"))).collect()
     assert rows[0][0] == [2, 3, 4, 5, 6, 7, 8, 9] and rows[0][1] == [*range(10), 4, 4] and rows[0][2] == list(range(10))
     assert rows[1][1] == [4] * 12 and rows[1][3] == [tokens.EOS]
+
+
+def test_vocabularies_beyond_the_broadcast_bound(spark, monkeypatch):
+    """The same ids and texts whatever part of the vocabulary is broadcast; a frequent unknown token does no harm."""
+    from proseforge.functions.text import tokens as words
+    from proseforge.operators import ngram_lm as L
+    from proseforge.operators import tokens as V
+
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 30)) + " zz" * 20) for i in range(80)] + [(900, ""), (901, None), (902, "zz new")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("t", words(F.col("text")))
+    vocab = V.build_vocab(df.filter("id < 50"), "t", size=30).filter("token <> 'zz'").cache()
+
+    def results():
+        ids = V.encode(df, ["id"], "t", vocab)
+        texts = V.decode(ids, ["id"], "ids", vocab, V.blocked_ids(vocab))
+        pairs = L.count_bigrams(df, "text", vocab)
+        return [sorted((tuple(r) for r in x.collect()), key=str) for x in (ids, texts, pairs, L.id_pairs(df, ["id"], "text", vocab))]
+
+    whole = results()
+    for bound in (0, 12):
+        monkeypatch.setattr(V, "MAX_BROADCAST_IDS", bound)
+        assert results() == whole
