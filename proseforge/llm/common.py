@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,10 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 words_of = re.compile(WORD).findall
 
-#: Rows and characters that one step of a text operator holds at a time.
-STEP_ROWS, STEP_CHARS = 1_000, 2_000_000
+#: Rows and bytes of text that one step of a text operator holds at a time.
+STEP_ROWS, STEP_BYTES = 1_000, 1_000_000
+#: Most rows of an Arrow batch with texts or sets; both sides of it hold one.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,17 +50,27 @@ def _hand_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Bounds of stretches of ``texts`` that stay small enough to hold; a single text is never cut."""
-    begin = chars = 0
-    for i, text in enumerate(texts):
-        size = len(text) if text else 0
-        if i > begin and (i - begin >= STEP_ROWS or chars + size > STEP_CHARS):
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have ``BATCH_ROWS`` rows at most; a setting below that stays.
+
+    The default is made for narrow rows.  Ten thousand texts at a time cost an executor, with its Python
+    workers, several hundred megabytes.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def steps(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of texts of these sizes that stay small enough to hold; a single text is never cut."""
+    begin = held = 0
+    for i, size in enumerate(sizes):
+        if i > begin and (i - begin >= STEP_ROWS or held + size > STEP_BYTES):
             yield begin, i
-            begin, chars = i, 0
-        chars += size
-    if begin < len(texts):
-        yield begin, len(texts)
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def map_texts(
@@ -67,12 +80,15 @@ def map_texts(
     added: T.StructType,
     work: Callable[..., dict[str, list]],
     also: list[str] | None = None,
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``keep`` columns of ``df`` and the columns that ``work`` makes of the texts, row by row in order.
 
     ``work`` gets a bounded stretch of texts, and one list more per column in ``also``, and returns one
-    list per added column.  An added column replaces a kept one of the same name.
+    list per added column.  An added column replaces a kept one of the same name.  ``finish`` is called at
+    the end of each task; what ``work`` has gathered need not stay in an idle worker.
     """
+    small_batches(df.sparkSession)
     taken = {n.lower() for n in added.names}
     keep, also = [c for c in keep if c.lower() not in taken], also or []
     schema = T.StructType([df.schema[c] for c in keep] + list(added.fields))
@@ -81,13 +97,17 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, others = batch.column(0).to_pylist(), [batch.column(i).to_pylist() for i in range(1, skip)]
-            for begin, end in steps(texts):
-                made = work(texts[begin:end], *[x[begin:end] for x in others])
-                columns = [batch.column(i + skip).slice(begin, end - begin) for i in range(len(keep))]
+            # Only the texts of one step become Python objects.
+            for begin, end in steps(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()):
+                part = batch.slice(begin, end - begin)
+                made = work(*[part.column(i).to_pylist() for i in range(skip)])
+                columns = [part.column(i + skip) for i in range(len(keep))]
                 columns += [pa.array(made[name], kind) for name, kind in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[name for name, _ in arrow]])
-        _hand_back()
+            _hand_back()
+        if finish:
+            finish()
+            _hand_back()
 
     # Plain names on the way in: Python steps address columns by unquoted names.
     read = [F.col(quoted(text)).cast("string").alias("text"), *[F.col(quoted(c)).alias(f"a{i}") for i, c in enumerate(also)]]

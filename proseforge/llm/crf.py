@@ -142,6 +142,10 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def forget(self) -> None:
+        """Drop the words remembered so far."""
+        self.__post_init__()
+
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """exp(score) of each label, largest 1, for each word, and whether the word has a letter."""
         rows = list(map(self._row.get, words))
@@ -403,7 +407,9 @@ def label_texts(df: DataFrame, model: Model | None, text: str = "text", keep: li
                 made["runs"].append([{"first": int(s), "n_words": int(e - s), "lang": field.labels[best[s]]} for s, e in zip(starts, ends)])
         return made
 
-    return map_texts(df, text, df.columns if keep is None else keep, added, work)
+    # The model stays with the worker, its words go: the next stage has the worker, too.
+    finish = lambda: shipped.value and shipped.value.forget()
+    return map_texts(df, text, df.columns if keep is None else keep, added, work, finish=finish)
 
 
 def known_only(df: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proseforge.llm.common import fresh, map_texts, quoted
+from proseforge.llm.common import fresh, map_texts, quoted, small_batches
 from proseforge.session import cut_lineage
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -47,7 +47,9 @@ class Settings:
     percent: int = 80
     bands: int = 42
     rows: int = 6
+    #: Most documents and, unless a single document has more, shingles of a block.
     block: int = 512
+    elements: int = 1_000_000
 
     @property
     def places(self) -> int:
@@ -157,12 +159,16 @@ def _sent(numbers: DataFrame) -> DataFrame:
 
 
 def set_table(df: DataFrame, key: str, text: str, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """(doc, shingles) of the documents in ``wanted``, read from the texts once more and written out."""
-    added = T.StructType([T.StructField("shingles", T.BinaryType())])
+    """(doc, n, shingles) of the documents in ``wanted``, read from the texts once more and written out."""
+    added = T.StructType([T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
     rows = df.select(F.col(quoted(key)).cast("long").alias("doc"), F.col(quoted(text)).alias("text"))
     rows = rows.join(_sent(wanted), "doc", "left_semi")
-    work = lambda texts: {"shingles": [shingles(t, settings.shingle).tobytes() for t in texts]}
-    return cut_lineage(map_texts(rows, "text", ["doc"], added, work).filter(F.length("shingles") > 0), "sets")
+
+    def work(texts: list[str | None]) -> dict[str, list]:
+        sets = [shingles(t, settings.shingle) for t in texts]
+        return {"n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+
+    return cut_lineage(map_texts(rows, "text", ["doc"], added, work).filter("n > 0"), "sets")
 
 
 class Union:
@@ -224,8 +230,9 @@ def links_of_task(docs: list[int], parts: list[int], left: list[bool], right: li
 
 def link(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): confirmed links from (task, doc, part, is_left, is_right) rows; a task's rows are bounded."""
-    rows = tasks.join(sets, "doc").select("task", "doc", "part", "is_left", "is_right", "shingles")
+    rows = tasks.join(sets.select("doc", "shingles"), "doc").select("task", "doc", "part", "is_left", "is_right", "shingles")
     rows = rows.repartition("task").sortWithinPartitions("task")
+    small_batches(tasks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
@@ -243,7 +250,8 @@ def link(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     now, held = task, [[], [], [], [], []]
                 for place, column in zip(held, columns[1:]):
                     place.append(column[i])
-                held[4].append(np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64))
+                # A copy, so that the batch can go.
+                held[4].append(np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64).copy())
         if now is not None and len(held[0]) > 1:
             yield out(links_of_task(*held, percent))
 
@@ -316,7 +324,11 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Set
     # Each document and the pivot with which it shares most buckets.
     shared = keys.filter("doc <> pivot").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = cut_lineage(shared.groupBy("doc").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot")), "pivots")
-    many = best.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("long").alias("parts"))
+    # A document that stands for several texts counts with all of them.
+    sizes_of = sets.groupBy("doc").agg(F.sum("n").alias("n"))
+    best = best.join(sizes_of, "doc")
+    blocks = lambda docs, n: F.greatest(F.ceil(docs / settings.block), F.ceil(n / settings.elements)).cast("long")
+    many = best.groupBy("pivot").agg(blocks(F.count(F.lit(1)), F.sum("n")).alias("parts"))
     dealt = best.join(many, "pivot").withColumn("task", _task(F.col("pivot"), F.pmod(F.xxhash64("doc"), F.col("parts"))))
     pivots = many.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
     side = lambda left: [F.lit(left).alias("is_left"), F.lit(not left).alias("is_right")]
@@ -337,13 +349,15 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Set
     open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key", "low")
     beside = placed.join(open_, "key").filter("part <> low").select(F.col("part").alias("a"), F.col("low").alias("b")).distinct()
     clusters = components(beside).select(F.col("doc").alias("part"), F.col("component").alias("cluster"))
-    inside = placed.select("doc", "part").distinct().join(clusters, "part")
+    inside = placed.select("doc", "part").distinct().join(clusters, "part").join(sizes_of, "doc")
     inside = cut_lineage(inside, "clusters")
-    sizes = inside.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    blocks = lambda n: F.ceil(n / settings.block).cast("long")
+    sizes = inside.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
     of = sizes.groupBy("cluster").agg(
-        F.max_by("part", F.struct("n", -F.col("part"))).alias("largest"), F.max("n").alias("inner"), F.sum("n").alias("all")
-    ).select("cluster", "largest", blocks(F.col("all") - F.col("inner")).alias("outer_blocks"), blocks(F.col("inner")).alias("inner_blocks"))
+        F.max(F.struct("docs", (-F.col("part")).alias("part"), "n")).alias("inner"), F.sum("docs").alias("docs"), F.sum("n").alias("n")
+    ).select(
+        "cluster", (-F.col("inner.part")).alias("largest"), blocks(F.col("inner.docs"), F.col("inner.n")).alias("inner_blocks"),
+        blocks(F.col("docs") - F.col("inner.docs"), F.col("n") - F.col("inner.n")).alias("outer_blocks"),
+    )
     inside = inside.join(of, "cluster")
     outer = inside.filter("part <> largest").withColumn("o", F.pmod(F.xxhash64("doc"), F.col("outer_blocks")))
     inner = inside.filter("part = largest").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("inner_blocks")))
