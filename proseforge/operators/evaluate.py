@@ -14,39 +14,50 @@ from pyspark.sql import functions as F
 
 from proseforge.functions.arrays import last
 from proseforge.functions.prompts import parse_formality, parse_sentiment
-from proseforge.functions.text import fixed_decimals, has_text, tokens
+from proseforge.functions.text import fixed_decimals, tokens
 from proseforge.operators.joins import first_match
 from proseforge.operators.numbering import number_rows
+from proseforge.session import cut_lineage
 
 
 SALTS = 32
+SECOND = 11  # sets the second code of a token apart from the first
 
 
-def _grams(tokens_col: Column, n: int) -> Column:
-    """All n-grams of a token array, as space-joined text.
+def coded_sentences(df: DataFrame, by: Sequence[str], order: str, text: str) -> DataFrame:
+    """(by, order, _codes): the tokens of each sentence as pairs of 64-bit codes, none for a blank one; written once.
 
-    Tokens hold no white space, so the text names its tokens exactly.
+    Texts are read and cut here only.  An n-gram is named by a pair made of those of its tokens; the second
+    number tells apart n-grams that share the first, so no text of an n-gram is moved.
     """
+    pair = lambda t: F.struct(F.xxhash64(t).alias("_a"), F.xxhash64(F.lit(SECOND), t).alias("_b"))
+    codes = F.transform(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), pair)
+    return cut_lineage(df.select(*by, order, codes.alias("_codes")), "coded-sentences")
+
+
+def _grams(codes: Column, n: int) -> Column:
+    """The codes of all n-grams of an array of token codes."""
     if n == 1:
-        return tokens_col
-    count = F.size(tokens_col) - (n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(
+        return codes
+    count = F.size(codes) - (n - 1)
+    starts = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(
         F.array().cast("array<int>")
     )
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens_col, i, n), " "))
+    part = lambda i, name: [F.get(codes, i + k)[name] for k in range(n)]
+    return F.transform(starts, lambda i: F.struct(F.xxhash64(*part(i, "_a")).alias("_a"), F.xxhash64(F.lit(SECOND), *part(i, "_b")).alias("_b")))
 
 
-def _sized_grams(tokens_col: Column, sizes: Sequence[int]) -> Column:
-    """N-grams of several sizes as structs (_n, _g)."""
+def _sized_grams(codes: Column, sizes: Sequence[int]) -> Column:
+    """N-grams of several sizes as structs (_n, _a, _b)."""
 
     def of_size(n: int) -> Column:
-        return F.transform(_grams(tokens_col, n), lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_g")))
+        return F.transform(_grams(codes, n), lambda g: F.struct(F.lit(n).alias("_n"), g["_a"].alias("_a"), g["_b"].alias("_b")))
 
     return F.flatten(F.array(*[of_size(n) for n in sizes]))
 
 
 def _border_grams(ends: DataFrame, by: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """(by, _n, _g): n-grams that start in one sentence and end in a later one.
+    """(by, _n, _a, _b): n-grams that start in one sentence and end in a later one.
 
     ``ends`` is (by, row_no, _first, _last) with the outermost tokens of each
     non-blank sentence.  A sentence offers its first tokens to the sentences
@@ -66,14 +77,14 @@ def _border_grams(ends: DataFrame, by: Sequence[str], sizes: Sequence[int]) -> D
         size = F.size("_last")
         start = F.greatest(size - (n - 1), F.lit(0))
         across = F.concat(F.slice("_last", start + 1, F.lit(n - 1)), F.slice("_tail", 1, n - 1))
-        return F.transform(_grams(across, n), lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_g")))
+        return _sized_grams(across, [n])
 
     grams = F.flatten(F.array(*[of_size(n) for n in sizes if n > 1]))
     return joined.select(*by, F.inline(grams))
 
 
 def distinct_n(
-    df: DataFrame, by: Sequence[str], order: str, text: str, sizes: Sequence[int], bucket: Column
+    df: DataFrame, by: Sequence[str], order: str, text: str, sizes: Sequence[int], bucket: Column, coded: DataFrame | None = None
 ) -> DataFrame:
     """Columns ``d{n}``: share of distinct n-grams among all n-grams of a group.
 
@@ -81,11 +92,13 @@ def distinct_n(
     n-grams cross sentence borders.  Groups with fewer than ``n`` tokens score
     0.  ``bucket`` is an order-preserving bucket of ``order``.
 
-    Texts are not shuffled: n-grams inside a sentence are counted where it is
-    read, and only its outermost tokens travel for the n-grams across borders.
+    Neither texts nor sentences are shuffled: n-grams inside a sentence are counted where it is
+    read, and only its outermost codes travel for the n-grams across borders.  ``coded`` is the
+    result of ``coded_sentences``, if it is there already.
     """
     by = list(by)
-    words = df.filter(has_text(F.col(text))).select(*by, order, tokens(F.col(text)).alias("_t"))
+    coded = coded_sentences(df, by, order, text) if coded is None else coded
+    words = coded.filter(F.size("_codes") > 0).withColumnRenamed("_codes", "_t")
     grams = words.select(*by, F.inline(_sized_grams(F.col("_t"), sizes)))
     reach = max(sizes) - 1
     if reach:
@@ -93,16 +106,18 @@ def distinct_n(
             *by, order, F.slice("_t", 1, reach).alias("_first"), last("_t", reach).alias("_last")
         )
         grams = grams.unionByName(_border_grams(number_rows(ends, [order], bucket, by), by, sizes))
-    counts = grams.groupBy(*by, "_n", "_g").agg(F.count(F.lit(1)).alias("_c"))
+    counts = grams.groupBy(*by, "_n", "_a", "_b").agg(F.count(F.lit(1)).alias("_c"))
     shares = counts.groupBy(*by).agg(*[
         F.try_divide(F.count_if(F.col("_n") == n), F.sum(F.when(F.col("_n") == n, F.col("_c")))).alias(f"d{n}")
         for n in sizes
     ])
-    groups = df.select(*by).distinct()
+    groups = coded.select(*by).distinct()
     return groups.join(shares, by, "left").fillna(0.0, [f"d{n}" for n in sizes])
 
 
-def self_bleu(df: DataFrame, by: Sequence[str], order: str, text: str, max_n: int = 4, out: str = "self_bleu") -> DataFrame:
+def self_bleu(
+    df: DataFrame, by: Sequence[str], order: str, text: str, max_n: int = 4, out: str = "self_bleu", coded: DataFrame | None = None
+) -> DataFrame:
     """Mean BLEU of each sentence against the others of its group.
 
     A sentence's n-gram count is clipped by the largest count among the
@@ -112,11 +127,12 @@ def self_bleu(df: DataFrame, by: Sequence[str], order: str, text: str, max_n: in
     (n-gram, r) that only one sentence of the group holds.  One count per
     (n-gram, r) decides that: no pairs of sentences, no group in one task.
 
-    (by, order) identifies a sentence.
+    (by, order) identifies a sentence.  ``coded`` is the result of ``coded_sentences``, if it is there already.
     """
     by = list(by)
     sizes = range(1, max_n + 1)
-    words = df.filter(has_text(F.col(text))).select(*by, order, tokens(F.col(text)).alias("_t"))
+    coded = coded_sentences(df, by, order, text) if coded is None else coded
+    words = coded.filter(F.size("_codes") > 0).withColumnRenamed("_codes", "_t")
     words = words.withColumn("_len", F.size("_t"))
 
     lengths = words.groupBy(*by, "_len").agg(F.count(F.lit(1)).alias("_same"))
@@ -132,15 +148,15 @@ def self_bleu(df: DataFrame, by: Sequence[str], order: str, text: str, max_n: in
     )
     lengths = lengths.withColumn("_ref", nearest).select(*by, "_len", "_ref")
 
-    # Texts are placed by sentence, so counting n-grams within one needs no further shuffle.
+    # Codes are placed by sentence, so counting n-grams within one needs no further shuffle.
     placed = words.select(*by, order, "_t").repartition(*by, order)
     counts = (
         placed.select(*by, order, F.inline(_sized_grams(F.col("_t"), sizes)))
-        .groupBy(*by, order, "_n", "_g").agg(F.count(F.lit(1)).alias("_c"))
+        .groupBy(*by, order, "_n", "_a", "_b").agg(F.count(F.lit(1)).alias("_c"))
     )
     alone = (
-        counts.select(*by, order, "_n", "_g", F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_r"))
-        .groupBy(*by, "_n", "_g", "_r").agg(F.count(F.lit(1)).alias("_holders"), F.max(order).alias(order))
+        counts.select(*by, order, "_n", "_a", "_b", F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_r"))
+        .groupBy(*by, "_n", "_a", "_b", "_r").agg(F.count(F.lit(1)).alias("_holders"), F.max(order).alias(order))
         .filter(F.col("_holders") == 1)
     )
     lost = alone.groupBy(*by, order).agg(*[F.count_if(F.col("_n") == n).alias(f"_lost{n}") for n in sizes])
@@ -162,7 +178,7 @@ def self_bleu(df: DataFrame, by: Sequence[str], order: str, text: str, max_n: in
     score = F.when(F.col("_hits1") == 0, F.lit(0.0)).otherwise(brevity * F.exp(log_sum))
     # A sentence without any other to compare with has no reference length.
     mean = scored.filter(F.col("_ref").isNotNull()).groupBy(*by).agg(F.avg(score).alias(out))
-    return df.select(*by).distinct().join(mean, by, "left").fillna(0.0, [out])
+    return coded.select(*by).distinct().join(mean, by, "left").fillna(0.0, [out])
 
 
 def prompt_confusion(df: DataFrame, by: Sequence[str], prompt: str, sentiment: str, formality: str) -> DataFrame:

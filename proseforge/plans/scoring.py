@@ -346,9 +346,10 @@ def open_ended_summary(spark: SparkSession, d: str) -> DataFrame:
     records = cut_lineage(turn_records(spark, d), "turn-records")
     base = V.display_summary(base_summary(spark, d, records, "sentence"), {"avg_perplexity": 4, "avg_inference_time": 4})
     bucket = id_bucket(records, "iter")
+    coded = V.coded_sentences(records, KEYS, "iter", "sentence")
     metrics = (
-        V.distinct_n(records, KEYS, "iter", "sentence", (1, 2), bucket)
-        .join(V.self_bleu(records, KEYS, "iter", "sentence"), KEYS)
+        V.distinct_n(records, KEYS, "iter", "sentence", (1, 2), bucket, coded)
+        .join(V.self_bleu(records, KEYS, "iter", "sentence", coded=coded), KEYS)
     )
     metrics = metrics.withColumns({c: T.fixed_decimals(F.round(c, 12), 4) for c in ("d1", "d2", "self_bleu")})
     out = V.join_summary(metrics, base, KEYS, ["n_valid"])
