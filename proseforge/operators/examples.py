@@ -94,10 +94,10 @@ def pack_distilled(prompt: Column, masked: Column, target: Column, length: int =
     ]
 
 
-def collate_mlm(
+def mlm_draws(
     ids: Column, vocab_size: Column | int, seed: int, keys: Sequence[Column], probability: float = 0.15, control: int = 0
-) -> list[Column]:
-    """Masked-LM batch: of the chosen ids 80% masked, 10% random, 10% kept.
+) -> Column:
+    """(input, label) of every id of a masked-LM batch: of the chosen ids 80% masked, 10% random, 10% kept.
 
     Special ids, and the last ``control`` ids of the vocabulary, are never chosen; ids not chosen carry
     the ignore label.
@@ -110,12 +110,30 @@ def collate_mlm(
         action = uniform(seed, "action", *keys, i)
         other = F.floor(uniform(seed, "token", *keys, i) * size).cast("int")
         changed = F.when(action < 0.8, F.lit(MASK)).when(action < 0.9, other).otherwise(x)
-        return F.struct(F.when(chosen, changed).otherwise(x).alias("input"), F.when(chosen, x).otherwise(IGNORE).alias("label"))
+        both = lambda a, b: F.struct(a.alias("input"), b.alias("label"))
+        return F.when(chosen, both(changed, x)).otherwise(both(x, F.lit(IGNORE)))
 
-    return [
-        F.transform(ids, lambda x, i: drawn(x, i)["input"]).alias("input_ids"),
-        F.transform(ids, lambda x, i: drawn(x, i)["label"]).alias("labels"),
-    ]
+    return F.transform(ids, drawn)
+
+
+def collate_mlm(
+    ids: Column, vocab_size: Column | int, seed: int, keys: Sequence[Column], probability: float = 0.15, control: int = 0
+) -> list[Column]:
+    """``input_ids`` and ``labels`` of the masked-LM batch of ``mlm_draws``, each with draws of its own evaluation."""
+    draws = mlm_draws(ids, vocab_size, seed, keys, probability, control)
+    return [F.transform(draws, lambda x: x["input"]).alias("input_ids"), F.transform(draws, lambda x: x["label"]).alias("labels")]
+
+
+def collate_mlm_rows(
+    df: DataFrame, ids: str, vocab_size: Column | int, seed: int, keys: Sequence[str], probability: float = 0.15, control: int = 0
+) -> DataFrame:
+    """(keys, input_ids, labels): the same, every draw made once."""
+    draws = mlm_draws(F.col(ids), vocab_size, seed, [F.col(k) for k in keys], probability, control)
+    # Used twice, a costly column is not folded into what uses it.
+    drawn = df.select(*keys, draws.alias("_drawn"))
+    return drawn.select(
+        *keys, F.transform("_drawn", lambda x: x["input"]).alias("input_ids"), F.transform("_drawn", lambda x: x["label"]).alias("labels")
+    )
 
 
 def cap_document(ids: Column, prefix_len: int, target_len: int, slack: int = 64) -> Column:

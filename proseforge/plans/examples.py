@@ -113,7 +113,7 @@ def mlm_collate(spark: SparkSession, d: str) -> DataFrame:
     """Fifteen percent of the ids chosen: mostly masked, some replaced, some kept; never special or control ids."""
     v = tokens.add_control_tokens(doc_vocab(spark, d))
     rows = encoded(spark, d, "documents", ["doc_id"], v).withColumn("_v", v.agg(F.count(F.lit(1))).scalar())
-    out = rows.select("doc_id", *E.collate_mlm(F.col("ids"), F.col("_v"), SEED, [F.col("doc_id")], control=len(P.CONTROL_TOKENS)))
+    out = E.collate_mlm_rows(rows, "ids", F.col("_v"), SEED, ["doc_id"], control=len(P.CONTROL_TOKENS))
     return as_text(out, "input_ids", "labels")
 
 

@@ -330,3 +330,30 @@ def test_vocabularies_beyond_the_broadcast_bound(spark, monkeypatch):
     for bound in (0, 12):
         monkeypatch.setattr(V, "MAX_BROADCAST_IDS", bound)
         assert results() == whole
+
+
+def test_first_of_equal_texts_by_any_order(spark):
+    """Ties, nulls and repeated rows in the order columns, whatever their types; one row per text and split."""
+    draw = random.Random(11)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([None, *range(-3, 6)]), draw.choice([None, *range(-2, 4)]), f"s{draw.randrange(5)}", draw.choice(["x", "y", "z", "", None]), i % 7) for i in range(300)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "split string, a long, b int, c string, text string, more int")
+    least = lambda r, at: tuple((r[i] is not None, r[i]) for i in at)
+    for order, at in ((["a", "b"], (1, 2)), (["b"], (2,)), (["c", "a"], (3, 1))):
+        best = {}
+        for r in rows:
+            key = (r[0], r[4])
+            if key not in best or least(r, at) < least(best[key], at):
+                best[key] = r
+        out = dedup_text(df, "text", order, ["split"])
+        assert out.columns == df.columns
+        got = out.collect()
+        assert {(r.split, r.text): least(tuple(r), at) for r in got} == {k: least(r, at) for k, r in best.items()}
+        assert len(got) == len(best) and all(tuple(r) in set(rows) for r in got)
+
+
+def test_dedup_lines_moves_no_text_through_an_aggregate(spark, sf):
+    from proseforge import plans
+
+    plan = plans.QUERIES["dedup_lines"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and all("text" not in line and "line#" not in line for line in plan.splitlines() if "Aggregate" in line)
