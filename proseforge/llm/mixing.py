@@ -144,7 +144,9 @@ def plan(rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
         last = last.filter("_running > rest").join(used, "_source", "left")
         last = last.withColumn("rest", F.col("rest") - F.coalesce("_used", F.lit(0))).drop("_used", "_running")
     taken = numbering.number_rows(cut_lineage(taken, "taken"), ["_order"], _bucket("_order"), (), "slot").drop("_order")
-    return sources.join(quotas.select("_source", "quota"), "_source", "left").select("_source", "tokens", "blocks", "quota"), cut_lineage(taken, "plan")
+    # Read from a file, a small table of sources is broadcast, and texts stay where they are.
+    known = cut_lineage(sources.join(quotas.select("_source", "quota"), "_source", "left").select("_source", "tokens", "blocks", "quota"), "quotas")
+    return known, cut_lineage(taken, "plan")
 
 
 def _bucket(order: str) -> Column:
