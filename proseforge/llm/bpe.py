@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from proseforge.llm.common import map_texts, one_per_worker
 
 #: Entries that a worker remembers of pieces (twice as many: recent and older ones) and of pairs.
-PIECES, PAIRS = 200_000, 300_000
+PIECES, PAIRS = 100_000, 150_000
 #: Largest vocabulary file that is broadcast, in bytes.
 VOCABULARY_BYTES = 32_000_000
 

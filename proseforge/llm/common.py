@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,16 +34,24 @@ _slot: dict[str, object] = {}
 def one_per_worker(key: tuple, make: Callable[[], object]):
     """The object that ``make`` gives for ``key``, made once per worker process.
 
-    A worker serves one stage after another.  It keeps one such object, so what a stage has gathered
-    does not stay in memory during the next.
+    A worker serves one stage after another.  It keeps one such object, and drops it when a text
+    operator of another stage begins, so what a stage has gathered does not stay in memory during the next.
     """
     if _slot.get("key") != key:
-        _slot.clear()
+        _slot.pop("value", None)
         _slot["value"] = make()
         _slot["key"] = key
     return _slot["value"]
 
 
+def _begin(stage: str) -> None:
+    """Drop what a worker keeps of another stage."""
+    if _slot.get("stage") != stage:
+        _slot.clear()
+        _slot["stage"] = stage
+        _hand_back()
+
+
 def _hand_back() -> None:
     """Return memory that is free but still held; idle workers stay beside those of the next stage."""
     pa.default_memory_pool().release_unused()
@@ -93,9 +102,10 @@ def map_texts(
     keep, also = [c for c in keep if c.lower() not in taken], also or []
     schema = T.StructType([df.schema[c] for c in keep] + list(added.fields))
     arrow = [(f.name, _arrow(f.dataType)) for f in added.fields]
-    skip = 1 + len(also)
+    skip, stage = 1 + len(also), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(stage)
         for batch in batches:
             # Only the texts of one step become Python objects.
             for begin, end in steps(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()):
