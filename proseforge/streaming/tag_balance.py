@@ -76,6 +76,8 @@ def run_stream(
     at = lambda what, number: f"{state}/{what}/batch={number}"
     # Rows that an earlier run wrote as its end are carried into this one.
     spark.range(0).write.mode("overwrite").json(f"{out}/batch=tail")
+    # A stream without files has no micro-batch, and counts nothing.
+    spark.range(0).write.mode("overwrite").json(f"{state}/counters/batch=-1")
     carried: dict[int, int] = {}
 
     def rows_before(number: int) -> int:
@@ -117,8 +119,9 @@ def run_stream(
     )
     query.awaitTermination()
     done = spark.read.schema(COUNTERS).json(f"{state}/counters")
+    none = F.lit(0).cast("long")
     totals = done.agg(
-        F.sum("rows_read").alias("rows_read"), F.sum("buffers").alias("buffers"),
+        F.coalesce(F.sum("rows_read"), none).alias("rows_read"), F.coalesce(F.sum("buffers"), none).alias("buffers"),
         F.count("rows_read").alias("batches"), F.max("batch").alias("_last"),
     )
     last = totals.first()["_last"]
