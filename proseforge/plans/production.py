@@ -466,9 +466,12 @@ _STREAM_BUFFER = 128  # two scoring batches of 64
 _STREAM_HELD = S.u(SEED, "held", "doc_id")
 
 
-@query(f"""WITH {LABELLED_SQL}, seen AS (SELECT * FROM lab WHERE {_STREAM_HELD} < 0.3), {nb_sql('m', 'seen', 'toxic')},
-    texts AS (SELECT doc_id, text, CASE WHEN lang IN ('en', 'de') THEN 1 ELSE 0 END AS label FROM documents WHERE {_STREAM_HELD} >= 0.3),
-    {nb_score_sql('sc', 'm', 'texts', 'doc_id')},
+@query(f"""WITH {LABELLED_SQL}, lab_a AS (SELECT * FROM lab WHERE {_STREAM_HELD} < 0.5), lab_b AS (SELECT * FROM lab WHERE {_STREAM_HELD} >= 0.5),
+    {nb_sql('ma', 'lab_a', 'toxic')}, {nb_sql('mb', 'lab_b', 'toxic')},
+    texts AS (SELECT doc_id, text, CASE WHEN lang IN ('en', 'de') THEN 1 ELSE 0 END AS label FROM documents),
+    texts_a AS (SELECT * FROM texts WHERE {_STREAM_HELD} < 0.5), texts_b AS (SELECT * FROM texts WHERE {_STREAM_HELD} >= 0.5),
+    {nb_score_sql('sca', 'mb', 'texts_a', 'doc_id')}, {nb_score_sql('scb', 'ma', 'texts_b', 'doc_id')},
+    sc AS (SELECT * FROM sca UNION ALL SELECT * FROM scb),
     tagged AS (SELECT doc_id, text, CASE WHEN label = 1 THEN 'Positive' ELSE 'Negative' END AS sentiment,
       CASE WHEN score > 0 THEN 'Formal' ELSE 'Informal' END AS formality FROM texts JOIN sc USING (doc_id)),
     buffered AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // {_STREAM_BUFFER} AS buffer FROM tagged),
@@ -485,17 +488,17 @@ def stream_tag_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, d: str, out: str) -> DataFrame:
-    """The stream holds the documents that the model was not fitted on."""
-    draw = uniform(SEED, "held", F.col("doc_id"))
-    model = nb_model(labelled(spark, d).filter(draw < 0.3), "toxic")
+    """The stream holds every document; each half is tagged by the model of the other, which has not seen it."""
+    half = uniform(SEED, "held", F.col("doc_id")) < 0.5
+    first, second = [B.naive_bayes_tagger(nb_model(labelled(spark, d).filter(part), "toxic"), ["doc_id"], "text", "label") for part in (half, ~half)]
+    tagger = lambda rows: second(rows.filter(half)).unionByName(first(rows.filter(~half)))
     stream = readers.stream_table(spark, d, "documents", readers.table(spark, d, "documents").schema)
     label = F.when(F.col("lang").isin("en", "de"), 1).otherwise(0)
-    tagger = B.naive_bayes_tagger(model, ["doc_id"], "text", "label")
-    rows = stream.filter(draw >= 0.3).select("doc_id", "text", label.alias("label"))
+    rows = stream.select("doc_id", "text", label.alias("label"))
     return B.run_stream(rows, tagger, ["doc_id"], out, work_dir(spark, "stream-state"), SEED, write_every=100, batch=64)
 
 
-@query(f"SELECT count(*) AS rows_read, (count(*) // {_STREAM_BUFFER})::BIGINT AS buffers FROM documents WHERE {_STREAM_HELD} >= 0.3")
+@query(f"SELECT count(*) AS rows_read, (count(*) // {_STREAM_BUFFER})::BIGINT AS buffers FROM documents")
 def stream_counters(spark: SparkSession, d: str) -> DataFrame:
     """What the streaming job has counted: rows read and full buffers written."""
     return _streamed(spark, d, work_dir(spark, "stream-out")).drop("batches")

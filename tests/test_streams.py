@@ -8,8 +8,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from proseforge.operators import candidates as K
+from proseforge.plans import QUERIES
+from proseforge.sources import readers
 from proseforge.streaming.dedup import first_wins_stream, run_first_wins
 from proseforge.streaming.generation import generate_in_batches, sentences
+from proseforge.streaming.tag_balance import run_stream
 
 
 def arrive(spark, path, rows):
@@ -136,3 +139,24 @@ def test_seen_set_grows_by_step(spark):
     assert got.columns == ["seq", "step", "pos", "token_id", "logit"]
     assert sorted(tuple(r) for r in got.collect()) == want
     assert K.penalise_growing(df.limit(0), ["seq"], "step", 2.0).count() == 0
+
+
+def test_stream_of_a_table_that_is_a_folder_takes_every_document(spark, sf, tmp_path):
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    n = docs.count()
+    counted = QUERIES["stream_counters"](spark, str(tmp_path)).first()
+    assert (counted.rows_read, counted.buffers) == (n, n // 128)
+    rows = lambda folder: sorted(tuple(r) for r in QUERIES["stream_tag_balance"](spark, folder).select("doc_id", "sentiment", "formality").collect())
+    want = [r[0] for r in rows(sf)]
+    assert n % 128 <= len(want) and set(want) <= {r.doc_id for r in docs.select("doc_id").collect()}
+    # Micro-batches come by file; buffers then hold other rows, but the last ones are always written whole.
+    assert len(rows(str(tmp_path))) >= n % 128
+
+
+def test_stream_without_files_counts_nothing(spark, tmp_path):
+    os.mkdir(tmp_path / "t.parquet")
+    stream = readers.stream_table(spark, str(tmp_path), "t", spark.createDataFrame([], "id long, text string, sentiment string, formality string").schema)
+    counted = run_stream(stream, lambda rows: rows, ["id"], str(tmp_path / "out"), str(tmp_path / "state"), 1).first()
+    assert (counted.rows_read, counted.buffers) == (0, 0)
