@@ -7,8 +7,11 @@ group is resolved over bounded stretches.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,53 +20,107 @@ from proseforge.functions.prompts import parse_formality, parse_sentiment
 from proseforge.functions.text import fixed_decimals, tokens
 from proseforge.operators.joins import first_match
 from proseforge.operators.numbering import number_rows
-from proseforge.session import cut_lineage
+from proseforge.session import cut_lineage, small_batches
 
 
 SALTS = 32
+HELD_TOKENS = 1_000_000  # tokens of sentences that are compared at once
+HELD_ROWS = 2_000_000  # rows of n-grams that a task is to count
 SECOND = 11  # sets the second code of a token apart from the first
 
 
 def coded_sentences(df: DataFrame, by: Sequence[str], order: str, text: str) -> DataFrame:
-    """(by, order, _codes): the tokens of each sentence as pairs of 64-bit codes, none for a blank one; written once.
+    """(by, order, _name, _codes): the tokens of each sentence as pairs of 64-bit codes, none for a blank one; written once.
 
     Texts are read and cut here only.  An n-gram is named by a pair made of those of its tokens; the second
     number tells apart n-grams that share the first, so no text of an n-gram is moved.
     """
     pair = lambda t: F.struct(F.xxhash64(t).alias("_a"), F.xxhash64(F.lit(SECOND), t).alias("_b"))
     codes = F.transform(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), pair)
-    return cut_lineage(df.select(*by, order, codes.alias("_codes")), "coded-sentences")
+    return cut_lineage(df.select(*by, order, F.monotonically_increasing_id().alias("_name"), codes.alias("_codes")), "coded-sentences")
 
 
-def _grams(codes: Column, n: int) -> Column:
-    """The codes of all n-grams of an array of token codes."""
-    if n == 1:
-        return codes
-    count = F.size(codes) - (n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    part = lambda i, name: [F.get(codes, i + k)[name] for k in range(n)]
-    return F.transform(starts, lambda i: F.struct(F.xxhash64(*part(i, "_a")).alias("_a"), F.xxhash64(F.lit(SECOND), *part(i, "_b")).alias("_b")))
-
-
-def _sized_grams(codes: Column, sizes: Sequence[int]) -> Column:
-    """N-grams of several sizes as structs (_n, _a, _b)."""
+def _held_parts(rows: int) -> int:
+    """In how many parts rows of ``_held`` are counted: up to 200, which are written without sorting, while a part can be counted in memory."""
+    return max(1, min(200, -(-rows // HELD_ROWS)), -(-rows // (4 * HELD_ROWS)))
 
-    def of_size(n: int) -> Column:
-        return F.transform(_grams(codes, n), lambda g: F.struct(F.lit(n).alias("_n"), g["_a"].alias("_a"), g["_b"].alias("_b")))
 
-    return F.flatten(F.array(*[of_size(n) for n in sizes]))
+def _held(words: DataFrame, by: Sequence[str], n: int, every: bool = True) -> DataFrame:
+    """(_a, _b, _holder): n-grams of ``n`` tokens and the number r of their occurrence, as 80 bits, in each stretch of sentences.
 
+    The holder is the name of the sentence with an r-th occurrence, null if the stretch has several.
+    Without ``every``, first occurrences alone are given, with the first sentence that has one.
+    """
 
-def _border_grams(ends: DataFrame, by: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """(by, _n, _a, _b): n-grams that start in one sentence and end in a later one.
-
-    ``ends`` is (by, row_no, _first, _last) with the outermost tokens of each
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, flat = batch.column("_t"), batch.column("_t").flatten()
+            tokens = [flat.field(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1)]
+            ends = codes.offsets.to_numpy() - codes.offsets[0].as_py()
+            names, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_name", "_group"))
+            begin = 0
+            while begin < len(names):
+                # A stretch holds a bounded number of tokens, or one sentence.
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + HELD_TOKENS, "right")) - 1)
+                a, b = (t[ends[begin] : ends[end]] for t in tokens)
+                yield _held_within(a, b, np.diff(ends[begin : end + 1]), names[begin:end], groups[begin:end], n, every)
+                begin = end
+
+    small_batches(words.sparkSession)
+    group = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    return words.select("_name", group.alias("_group"), "_t").mapInArrow(run, "_a long, _b short, _holder long")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all 64-bit numbers, one to one (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _held_within(
+    a: np.ndarray, b: np.ndarray, lengths: np.ndarray, names: np.ndarray, groups: np.ndarray, n: int, every: bool
+) -> pa.RecordBatch:
+    """The rows of ``_held`` of one stretch: token codes of its sentences, one after another, and their lengths."""
+    sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(a))
+    # Places too close to the end of their sentence begin no n-gram.
+    at = np.flatnonzero(left >= n)
+    sentence = sentence[at]
+    x, y = (_mixed(groups.view(np.uint64) + np.uint64(seed))[sentence] for seed in (1, SECOND))
+    for k in range(n):
+        x, y = _mixed(x * np.uint64(3) + a[at + k]), _mixed(y * np.uint64(5) + b[at + k])
+    order = np.argsort(x, kind="stable")
+    if np.any((x[order][1:] == x[order][:-1]) & (y[order][1:] != y[order][:-1])):
+        order = np.lexsort((sentence, y, x))
+    x, y, who = x[order], y[order], sentence[order]
+    new = lambda *keys: np.flatnonzero(np.r_[[True] * min(1, len(x)), np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    first = new(x, y)
+    if every:
+        # Equal (n-gram, r) meet, and one stays.
+        pair = new(x, y, who)
+        r = (np.arange(len(x)) - np.repeat(pair, np.diff(np.r_[pair, len(x)]))).astype(np.uint64)
+        gram = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)]))
+        order = np.lexsort((r, gram))
+        x, y, who = _mixed(x + r * np.uint64(0x9E3779B97F4A7C15))[order], _mixed(y ^ r)[order], who[order]
+        gram, r = gram[order], r[order]
+        first = new(gram, r)
+    shared = np.diff(np.r_[first, len(x)]) > 1 if every else np.zeros(len(first), bool)
+    # In the order of sentences, rows beside each other have the same holder and take little room.
+    rank = np.argsort(who[first], kind="stable")
+    first, shared = first[rank], shared[rank]
+    holder = pa.array(names[who[first]], pa.int64(), mask=shared)
+    b16 = y[first].astype(np.uint16).view(np.int16)
+    return pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(b16), holder], names=["_a", "_b", "_holder"])
+
+
+def _borders(ends: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
+    """(by, _name, _last, _tail): the last codes of a sentence and the first ones of those behind it.
+
+    ``ends`` is (by, row_no, _name, _first, _last) with the outermost codes of each
     non-blank sentence.  A sentence offers its first tokens to the sentences
     before it; the key is the sentence number, so no group is gathered.
     """
-    reach = max(sizes) - 1
     offers = ends.select(
         *by, "row_no", "_first", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_back")
     ).select(*by, (F.col("row_no") - F.col("_back")).alias("row_no"), "_back", "_first")
@@ -71,16 +128,14 @@ def _border_grams(ends: DataFrame, by: Sequence[str], sizes: Sequence[int]) -> D
     tails = offers.groupBy(*by, "row_no").agg(
         F.flatten(F.transform(ordered, lambda x: x["_first"])).alias("_tail")
     )
-    joined = ends.select(*by, "row_no", "_last").join(tails, [*by, "row_no"])
+    return cut_lineage(ends.select(*by, "row_no", "_name", "_last").join(tails, [*by, "row_no"]).drop("row_no"), "borders")
 
-    def of_size(n: int) -> Column:
-        size = F.size("_last")
-        start = F.greatest(size - (n - 1), F.lit(0))
-        across = F.concat(F.slice("_last", start + 1, F.lit(n - 1)), F.slice("_tail", 1, n - 1))
-        return _sized_grams(across, [n])
 
-    grams = F.flatten(F.array(*[of_size(n) for n in sizes if n > 1]))
-    return joined.select(*by, F.inline(grams))
+def _across(borders: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """(by, _name, _t): codes whose n-grams are those that start in a sentence and end in a later one."""
+    start = F.greatest(F.size("_last") - (n - 1), F.lit(0))
+    across = F.concat(F.slice("_last", start + 1, F.lit(n - 1)), F.slice("_tail", 1, n - 1))
+    return borders.select(*by, "_name", across.alias("_t"))
 
 
 def distinct_n(
@@ -92,25 +147,32 @@ def distinct_n(
     n-grams cross sentence borders.  Groups with fewer than ``n`` tokens score
     0.  ``bucket`` is an order-preserving bucket of ``order``.
 
-    Neither texts nor sentences are shuffled: n-grams inside a sentence are counted where it is
-    read, and only its outermost codes travel for the n-grams across borders.  ``coded`` is the
+    Neither texts nor sentences are shuffled: of equal n-grams that are read together one leaves the task,
+    named by 80 bits, and only outermost codes travel for the n-grams across borders.  ``coded`` is the
     result of ``coded_sentences``, if it is there already.
     """
     by = list(by)
     coded = coded_sentences(df, by, order, text) if coded is None else coded
     words = coded.filter(F.size("_codes") > 0).withColumnRenamed("_codes", "_t")
-    grams = words.select(*by, F.inline(_sized_grams(F.col("_t"), sizes)))
+    totals = words.groupBy(*by).agg(F.sum(F.size("_t")).cast("long").alias("_len"))
+    parts = _held_parts(words.agg(F.sum(F.size("_t"))).first()[0] or 0)
     reach = max(sizes) - 1
     if reach:
         ends = words.select(
-            *by, order, F.slice("_t", 1, reach).alias("_first"), last("_t", reach).alias("_last")
+            *by, order, "_name", F.slice("_t", 1, reach).alias("_first"), last("_t", reach).alias("_last")
         )
-        grams = grams.unionByName(_border_grams(number_rows(ends, [order], bucket, by), by, sizes))
-    counts = grams.groupBy(*by, "_n", "_a", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    shares = counts.groupBy(*by).agg(*[
-        F.try_divide(F.count_if(F.col("_n") == n), F.sum(F.when(F.col("_n") == n, F.col("_c")))).alias(f"d{n}")
-        for n in sizes
-    ])
+        borders = _borders(number_rows(ends, [order], bucket, by), by, reach)
+    met = []
+    for n in sizes:
+        held = _held(words, by, n, every=False)
+        if n > 1:
+            held = held.unionByName(_held(_across(borders, by, n), by, n, every=False))
+        grams = held.repartition(parts, "_a").groupBy("_a", "_b").agg(F.max("_holder").alias("_name"))
+        met.append(grams.select("_name", F.lit(n).alias("_n")))
+    found = reduce(DataFrame.unionByName, met).groupBy("_name").agg(*[F.count_if(F.col("_n") == n).alias(f"_m{n}") for n in sizes])
+    shares = totals.join(
+        words.select(*by, "_name").join(found, "_name").groupBy(*by).agg(*[F.sum(f"_m{n}").alias(f"_m{n}") for n in sizes]), by
+    ).select(*by, *[F.try_divide(F.col(f"_m{n}"), F.greatest(F.col("_len") - (n - 1), F.lit(0))).alias(f"d{n}") for n in sizes])
     groups = coded.select(*by).distinct()
     return groups.join(shares, by, "left").fillna(0.0, [f"d{n}" for n in sizes])
 
@@ -126,6 +188,8 @@ def self_bleu(
     sentence has an r-th one too.  So the matches are all n-grams less those
     (n-gram, r) that only one sentence of the group holds.  One count per
     (n-gram, r) decides that: no pairs of sentences, no group in one task.
+    Sentences that are read together are compared at once; what leaves their
+    task is a row per (n-gram, r), named by 80 bits, with its only holder if it has one.
 
     (by, order) identifies a sentence.  ``coded`` is the result of ``coded_sentences``, if it is there already.
     """
@@ -148,25 +212,21 @@ def self_bleu(
     )
     lengths = lengths.withColumn("_ref", nearest).select(*by, "_len", "_ref")
 
-    # Codes are placed by sentence, so counting n-grams within one needs no further shuffle.
-    placed = words.select(*by, order, "_t").repartition(*by, order)
-    counts = (
-        placed.select(*by, order, F.inline(_sized_grams(F.col("_t"), sizes)))
-        .groupBy(*by, order, "_n", "_a", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    alone = (
-        counts.select(*by, order, "_n", "_a", "_b", F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_r"))
-        .groupBy(*by, "_n", "_a", "_b", "_r").agg(F.count(F.lit(1)).alias("_holders"), F.max(order).alias(order))
-        .filter(F.col("_holders") == 1)
-    )
-    lost = alone.groupBy(*by, order).agg(*[F.count_if(F.col("_n") == n).alias(f"_lost{n}") for n in sizes])
+    # Each size on its own, so that a task that reads sentences has few rows to hold.  Codes were written, so names stay.
+    parts = _held_parts(words.agg(F.sum("_len")).first()[0] or 0)
+    alone = [
+        _held(words, by, n).repartition(parts, "_a").groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_holders"), F.max("_holder").alias("_name"))
+        .filter((F.col("_holders") == 1) & F.col("_name").isNotNull()).select("_name", F.lit(n).alias("_n"))
+        for n in sizes
+    ]
+    lost = reduce(DataFrame.unionByName, alone).groupBy("_name").agg(*[F.count_if(F.col("_n") == n).alias(f"_lost{n}") for n in sizes])
     # Many sentences of one group may share a length; salting spreads them.
-    salt = F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("_name"), F.lit(SALTS)).cast("int")
     salted = lengths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     scored = (
-        words.select(*by, order, "_len", salt.alias("_salt"))
+        words.select(*by, "_name", "_len", salt.alias("_salt"))
         .join(salted, [*by, "_len", "_salt"]).drop("_salt")
-        .join(lost, [*by, order], "left")
+        .join(lost, "_name", "left")
     )
     log_sum = F.lit(0.0)
     for n in sizes:

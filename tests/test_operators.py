@@ -132,6 +132,27 @@ def test_self_bleu(spark):
         assert out[g] == pytest.approx(brute_bleu(texts), abs=1e-12), g
 
 
+def test_sentences_read_together_leave_one_row_per_occurrence(spark):
+    texts = ["a b a b c", "a b a b c", "b a", "c"] * 3 + ["x x"]
+    rows = [(i % 2, i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "g int, i long, t string").coalesce(1)
+    words = V.coded_sentences(df, ["g"], "i", "t").withColumnRenamed("_codes", "_t")
+    grams = Counter()
+    for g, _, t in rows:
+        ws = t.split()
+        count = Counter((g, n, tuple(ws[k : k + n])) for n in (1, 2, 3, 4) for k in range(len(ws) - n + 1))
+        grams.update((key, r) for key, c in count.items() for r in range(c))
+    for n in (1, 2, 3, 4):
+        mine = {key: c for key, c in grams.items() if key[0][1] == n}
+        held = V._held(words, ["g"], n)
+        assert {f.dataType.typeName() for f in held.schema} == {"long", "short"}
+        rows_of = held.collect()
+        # Copies of a sentence do not add to what is shuffled.
+        assert len(rows_of) == len({(r._a, r._b) for r in rows_of}) == len(mine)
+        assert sum(r._holder is not None for r in rows_of) == sum(c == 1 for c in mine.values())
+        assert V._held(words, ["g"], n, every=False).count() == len({key for key, _ in mine})
+
+
 def test_confusion_counts_unspecified_as_wrong(spark):
     rows = [("[SENT_POS][FORM_FORMAL]", "Positive", "Formal"), ("[SENT_UNSPEC][FORM_UNSPEC]", "Positive", "Informal"),
             ("[SENT_NEG][FORM_INFORMAL]", "Negative", "Informal"), ("[SENT_POS][FORM_INFORMAL]", "Negative", "Formal")]
