@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, StructType
 
+from proseforge.session import small_batches
+
 
 def map_values(column: Column, fn: Callable[[object], object], returns: DataType) -> Column:
     """Apply a Python function to every non-null value of a column."""
@@ -26,6 +28,7 @@ def map_values(column: Column, fn: Callable[[object], object], returns: DataType
 
 def keep_where(df: DataFrame, column: str, test: Callable[[object], bool]) -> DataFrame:
     """Rows whose value passes a Python predicate; nulls do not."""
+    small_batches(df.sparkSession)
     return df.filter(F.coalesce(map_values(F.col(column), test, BooleanType()), F.lit(False)))
 
 
@@ -36,4 +39,5 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
         for part in parts:
             yield fn(part)
 
+    small_batches(df.sparkSession)
     return df.mapInPandas(run, schema)

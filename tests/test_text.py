@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proseforge.functions import prompts as P
 from proseforge.functions import text as T
+from proseforge.operators import callbacks
 
 
 def apply(spark, values, fn):
@@ -113,3 +114,17 @@ def test_unknown_attribute_adds_nothing(spark):
     df = spark.createDataFrame([("odd", "Formal"), (None, "odd")], "s string, f string")
     got = [r[0] for r in df.select(P.control_prompt(F.col("s"), F.col("f"))).collect()]
     assert got == ["[FORM_FORMAL]", ""]
+
+
+def test_python_steps_take_few_texts_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.range(3000, numPartitions=1).select("id", F.lit("a &amp; b").alias("t"))
+    steps = [
+        lambda: T.clean_lines(rows, "t"), lambda: callbacks.keep_where(rows, "t", bool),
+        lambda: callbacks.map_batches(rows, lambda part: part.assign(t=str(len(part))), "id long, t string"),
+    ]
+    for step in steps:
+        spark.conf.unset(name)
+        out = step()
+        assert 0 < int(spark.conf.get(name)) <= 1000
+    assert max(int(r.t) for r in out.select("t").distinct().collect()) <= 1000
