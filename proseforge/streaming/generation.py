@@ -13,12 +13,14 @@ from proseforge.operators.joins import pending
 from proseforge.sources import versions
 
 KEYS = ["prompt", "model_type"]
+MOST_BATCHES = 100  # a list of any length is done in so many
 
 
 def fix_work(prompts: DataFrame, models: list[str], iterations: int, state: str, done: DataFrame | None, keys_per_batch: int) -> str:
     """The folder with the (prompt, model_type) pairs to do, written once per ``state``; a file is a batch of them.
 
-    ``done`` holds sentences of earlier runs, one per row; pairs with enough of them are left out.
+    ``done`` holds sentences of earlier runs, one per row; pairs with enough of them are left out.  A batch has about
+    ``keys_per_batch`` pairs, in a long list a hundredth of it, so that the cost of committing does not grow with the list.
     """
     spark, path = prompts.sparkSession, os.path.join(state, "work")
     found = versions.current(spark, path)
@@ -26,7 +28,7 @@ def fix_work(prompts: DataFrame, models: list[str], iterations: int, state: str,
         pairs = prompts.select("prompt").distinct().withColumn("model_type", F.explode(F.array(*[F.lit(m) for m in models])))
         if done is not None:
             pairs = pending(pairs, done, KEYS, iterations)
-        files = -(-max(1, pairs.count()) // keys_per_batch)
+        files = min(MOST_BATCHES, -(-max(1, pairs.count()) // keys_per_batch))
         versions.write(pairs.repartition(files, *KEYS), path)
         found = versions.current(spark, path)
     return os.path.join(path, found[1])

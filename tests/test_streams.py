@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from proseforge.operators import candidates as K
 from proseforge.plans import QUERIES
 from proseforge.sources import readers
+from proseforge.streaming import generation
 from proseforge.streaming.dedup import first_wins_stream, run_first_wins
 from proseforge.streaming.generation import generate_in_batches, sentences
 from proseforge.streaming.tag_balance import run_stream
@@ -109,6 +110,14 @@ def test_generator_that_fails_once_loses_and_repeats_nothing(spark, tmp_path):
     assert len(again) == 160 and len(os.listdir(log)) == 80
 
 
+def test_a_long_list_is_done_in_a_bounded_number_of_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(generation, "MOST_BATCHES", 3)
+    prompts = spark.range(50).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    out = generate_in_batches(prompts, {"m": lambda ts: [t[::-1] for t in ts]}, 2, str(tmp_path / "o"), str(tmp_path / "s"), keys_per_batch=2)
+    assert sorted((r.prompt, r.iter, r.sentence) for r in out.collect()) == sorted((f"p{i}", k, f"p{i}"[::-1]) for i in range(50) for k in (0, 1))
+    assert len([f for f in os.listdir(tmp_path / "o") if f.startswith("batch=")]) <= 3
+
+
 def test_finished_pairs_are_left_out(spark, tmp_path):
     prompts = spark.createDataFrame([("a",), ("b",), ("b",)], "prompt string")
     done = spark.createDataFrame([("a", "m", 0), ("a", "m", 1), ("b", "m", 0)], "prompt string, model_type string, iter int")
