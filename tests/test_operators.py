@@ -13,6 +13,7 @@ from proseforge.operators import classify as C
 from proseforge.operators import evaluate as V
 from proseforge.operators import examples as E
 from proseforge.operators import joins, tokens
+from proseforge.operators import ngram_lm as L
 from proseforge.operators.dedup import dedup_text, difference, not_seen, union_distinct
 from proseforge.operators.numbering import id_bucket
 
@@ -378,3 +379,12 @@ def test_dedup_lines_moves_no_text_through_an_aggregate(spark, sf):
 
     plan = plans.QUERIES["dedup_lines"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and all("text" not in line and "line#" not in line for line in plan.splitlines() if "Aggregate" in line)
+
+
+def test_bigrams_are_counted_by_ids(spark):
+    df = spark.createDataFrame([("a b a b z y",), ("z a",), ("",)], "t string")
+    vocab = spark.createDataFrame([("a", 6), ("b", 7)], "token string, id int")
+    counts = L.count_bigrams(df, "t", vocab)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(left" not in plan and "hashpartitioning(ctx" in plan
+    assert sorted(tuple(r) for r in counts.collect()) == [(1, 1, 1), (1, 6, 1), (6, 7, 2), (7, 1, 1), (7, 6, 1)]
