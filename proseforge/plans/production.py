@@ -33,7 +33,7 @@ from proseforge.plans.scoring import (
     nb_sql,
     turn_records,
 )
-from proseforge.session import work_dir
+from proseforge.session import cut_lineage, work_dir
 from proseforge.sources import readers, sinks, versions
 from proseforge.sources.readers import text_table
 from proseforge.streaming import tag_balance as B
@@ -176,7 +176,8 @@ _SAMPLER_SQL = f"""WITH RECURSIVE {VOCAB_SQL},
 def sampled_texts(spark: SparkSession, d: str) -> DataFrame:
     """Texts continued from every user turn by the bigram sampler, 32 to 64 tokens."""
     v = doc_vocab(spark, d)
-    lm = L.count_bigrams(text_table(spark, d, "documents"), "text", v, end="</s>")
+    # Two tables of choices are made of the counts.
+    lm = cut_lineage(L.count_bigrams(text_table(spark, d, "documents"), "text", v, end="</s>"), "bigrams")
     keys = ["conv_id", "turn"]
     asked = text_table(spark, d, "conversations").filter(F.col("role") == "user")
     start = G.last_known_id(asked, keys, T.tokens(F.col("text")), v, UNK)

@@ -53,3 +53,14 @@ def test_cleaning_is_not_repeated_by_the_length_filter(spark, sf):
     plan = QUERIES["clean_lines_by_lang"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert plan.count("Category:") == 1
+
+
+def test_sampler_counts_bigrams_once(spark, sf, monkeypatch):
+    from proseforge.plans import production
+
+    seen = []
+    table = production.G.next_token_table
+    monkeypatch.setattr(production.G, "next_token_table", lambda lm, *a, **k: seen.append(lm) or table(lm, *a, **k))
+    QUERIES["sampled_texts"](spark, sf)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Scan parquet" in plan
