@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseforge.functions import prompts as P
@@ -17,45 +17,61 @@ from proseforge.operators.sampling import balanced
 from proseforge.session import cut_lineage
 
 
-def train_naive_bayes(df: DataFrame, text: str, label: str) -> DataFrame:
+MAX_BROADCAST_WEIGHTS = 1_000_000
+
+
+def train_naive_bayes(df: DataFrame, text: str, label: str, counts: bool = False) -> DataFrame:
     """(token, weight): log-odds of label 1, with Laplace smoothing.
 
     Every token of the training texts is a feature.  The row with a null
-    token is the log prior.
+    token is the log prior.  With ``counts``, ``n`` tells how often a token occurs.
     """
+    more = ["n"] if counts else []
     words = df.select(F.explode(tokens(F.col(text))).alias("token"), F.col(label).alias("y"))
     n1, n0 = F.sum(F.when(F.col("y") == 1, 1).otherwise(0)), F.sum(F.when(F.col("y") == 1, 0).otherwise(1))
-    counts = words.groupBy("token").agg(n1.alias("n1"), n0.alias("n0"))
-    totals = counts.agg(
+    seen = words.groupBy("token").agg(n1.alias("n1"), n0.alias("n0")).withColumn("n", F.col("n1") + F.col("n0"))
+    totals = seen.agg(
         F.struct(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.count(F.lit(1)).alias("v")).alias("t")
     ).scalar()
-    weighted = counts.select(
+    weighted = seen.select(
         "token",
         (
             F.log((F.col("n1") + 1.0) / (totals["t1"] + totals["v"]))
             - F.log((F.col("n0") + 1.0) / (totals["t0"] + totals["v"]))
         ).alias("weight"),
+        *more,
     )
     prior = df.agg(
         (F.log(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)) + 1.0)
          - F.log(F.sum(F.when(F.col(label) == 1, 0.0).otherwise(1.0)) + 1.0)).alias("weight")
-    ).select(F.lit(None).cast("string").alias("token"), "weight")
+    ).select(F.lit(None).cast("string").alias("token"), "weight", *[F.lit(None).cast("long").alias(c) for c in more])
     return weighted.unionByName(prior)
 
 
 def score_naive_bayes(df: DataFrame, keys: Sequence[str], text: str, model: DataFrame, out: str = "score") -> DataFrame:
     """(keys, out): summed log-odds of label 1 for each row's whole text.
 
-    Read from a file, a small model is broadcast by the planner, and only one
-    partial sum per row is shuffled; a large one meets the tokens in a join.
-    Sums are rounded, as their order is not fixed.
+    Tokens do not travel: a model of up to ``MAX_BROADCAST_WEIGHTS`` tokens is broadcast.  Of a larger one that
+    has counts, the most frequent ones are, and only tokens that are none of them meet the others in a shuffle; a
+    larger one without counts is left to the planner.  Sums are rounded, as their order is not fixed.
     """
     words = df.select(*keys, F.explode_outer(tokens(F.col(text))).alias("token"))
     weights = model.filter(F.col("token").isNotNull())
     prior = model.filter(F.col("token").isNull()).select("weight")
-    summed = words.join(weights, "token", "left").groupBy(*keys).agg(
-        F.sum(F.coalesce("weight", F.lit(0.0))).alias("_sum")
-    )
+    total = F.sum(F.coalesce("weight", F.lit(0.0))).alias("_sum")
+    if weights.count() <= MAX_BROADCAST_WEIGHTS:
+        summed = words.join(F.broadcast(weights.select("token", "weight")), "token", "left").groupBy(*keys).agg(total)
+    elif "n" not in model.columns:
+        summed = words.join(weights, "token", "left").groupBy(*keys).agg(total)
+    else:
+        # One row per distinct count, so the window is small.
+        reach = weights.groupBy("n").agg(F.count(F.lit(1)).alias("_m")).withColumn("_reach", F.sum("_m").over(Window.orderBy(F.desc("n"))))
+        least = reach.filter(F.col("_reach") <= MAX_BROADCAST_WEIGHTS).agg(F.min("n")).first()[0]
+        often = F.lit(False) if least is None else F.col("n") >= least
+        near, rest = (weights.filter(part).select("token", "weight") for part in (often, ~often))
+        known = words.join(F.broadcast(near), "token", "left").groupBy(*keys).agg(total)
+        others = words.join(F.broadcast(near.select("token")), "token", "left_anti").join(rest, "token").groupBy(*keys).agg(total)
+        summed = known.unionByName(others).groupBy(*keys).agg(F.sum("_sum").alias("_sum"))
     return summed.select(*keys, F.round(F.col("_sum") + prior.scalar(), 6).alias(out))
 
 

@@ -16,6 +16,7 @@ from proseforge.operators import joins, tokens
 from proseforge.operators import ngram_lm as L
 from proseforge.operators.dedup import dedup_text, difference, not_seen, union_distinct
 from proseforge.operators.numbering import id_bucket
+from proseforge.session import cut_lineage
 
 WORDS = "a b c d e f g".split()
 
@@ -388,3 +389,21 @@ def test_bigrams_are_counted_by_ids(spark):
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(left" not in plan and "hashpartitioning(ctx" in plan
     assert sorted(tuple(r) for r in counts.collect()) == [(1, 1, 1), (1, 6, 1), (6, 7, 2), (7, 1, 1), (7, 6, 1)]
+
+
+def test_scores_by_models_of_any_size(spark, monkeypatch):
+    """Rare tokens of a large model meet it in a shuffle; those that are broadcast do not travel."""
+    texts = sentences(5, 60) + [" ".join(f"r{i}" for i in range(k, k + 9)) for k in range(0, 60, 3)] + ["", "never heard"]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "id long, text string, y int")
+    model = cut_lineage(C.train_naive_bayes(df.filter("id < 70"), "text", "y", counts=True), "model")
+    run = lambda m: {r.id: r.score for r in C.score_naive_bayes(df, ["id"], "text", m).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = C.score_naive_bayes(df, ["id"], "text", model)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(token" not in plan
+        whole = run(model)
+        for most in (0, 5, 9):
+            monkeypatch.setattr(C, "MAX_BROADCAST_WEIGHTS", most)
+            assert run(model) == whole == run(model.drop("n"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
