@@ -12,10 +12,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _digest(seed: int, name: str, *keys: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys], F.lit(name)))
+
+
 def uniform(seed: int, name: str, *keys: Column) -> Column:
     """A value in [0, 1) with 32 random bits."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys], F.lit(name))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(_digest(seed, name, *keys), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def reached(p: float) -> int:
+    """How many of the 2**32 values of ``uniform`` lie below ``p``; exact, as scaling by a power of two is."""
+    return min(max(math.ceil(p * 4294967296.0), 0), 1 << 32)
+
+
+def below(seed: int, name: str, p: float, *keys: Column) -> Column:
+    """``uniform(seed, name, *keys) < p``, decided on the digits of the hash without making them a number."""
+    n = reached(p)
+    return F.lit(True) if n == 1 << 32 else _digest(seed, name, *keys) < F.lit(f"{n:08x}")
 
 
 def randint(u: Column, low: Column | int, high: Column | int) -> Column:

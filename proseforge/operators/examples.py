@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proseforge.functions.arrays import IGNORE, cut, fit, last, mask
-from proseforge.functions.draws import geometric_gap, randint, uniform
+from proseforge.functions.draws import geometric_gap, randint, reached, uniform
 from proseforge.operators.tokens import EOS, MASK, PAD, SPECIAL_TOKENS
+from proseforge.session import small_batches
 
 
 #: Fixed values: (share of rows, least length, largest length) of the kinds of sampled prefixes; the
@@ -127,13 +133,39 @@ def collate_mlm(
 def collate_mlm_rows(
     df: DataFrame, ids: str, vocab_size: Column | int, seed: int, keys: Sequence[str], probability: float = 0.15, control: int = 0
 ) -> DataFrame:
-    """(keys, input_ids, labels): the same, every draw made once."""
-    draws = mlm_draws(F.col(ids), vocab_size, seed, [F.col(k) for k in keys], probability, control)
-    # Used twice, a costly column is not folded into what uses it.
-    drawn = df.select(*keys, draws.alias("_drawn"))
-    return drawn.select(
-        *keys, F.transform("_drawn", lambda x: x["input"]).alias("input_ids"), F.transform("_drawn", lambda x: x["label"]).alias("labels")
-    )
+    """(keys, input_ids, labels): the same, every draw made once, beside the ids of its row."""
+    prefix = F.concat(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), F.lit(":"))
+    size = F.lit(vocab_size) if isinstance(vocab_size, int) else vocab_size
+    rows = df.select(*keys, prefix.alias("_prefix"), size.cast("long").alias("_size"), F.col(ids).alias("_ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column("_ids")
+            flat = codes.flatten().to_numpy(zero_copy_only=False)
+            ends = codes.offsets.to_numpy() - codes.offsets[0].as_py()
+            inputs, labels = flat.copy(), np.full(len(flat), IGNORE, np.int32)
+            for start, end, row, size in zip(ends[:-1], ends[1:], batch.column("_prefix").to_pylist(), batch.column("_size").to_pylist()):
+                _mask_row(flat[start:end], inputs[start:end], labels[start:end], row.encode(), size, probability, control)
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()), mask=codes.is_null() if codes.null_count else None) for x in (inputs, labels)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *lists], names=[*keys, "input_ids", "labels"])
+
+    small_batches(df.sparkSession)
+    arrays = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("input_ids", "labels")]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keys)], *arrays]))
+
+
+def _mask_row(ids: np.ndarray, inputs: np.ndarray, labels: np.ndarray, prefix: bytes, size: int, probability: float, control: int) -> None:
+    """The draws of ``mlm_draws`` for the ids of one row, written into ``inputs`` and ``labels``."""
+    limits = [reached(p) for p in (probability, 0.8, 0.9)]
+    value = lambda i, name: int.from_bytes(md5(b"%b%d:%b" % (prefix, i, name), usedforsecurity=False).digest()[:4], "big")
+    for i in np.flatnonzero((ids >= len(SPECIAL_TOKENS)) & (ids < size - control)).tolist():
+        if value(i, b"choose") < limits[0]:
+            labels[i] = ids[i]
+            action = value(i, b"action")
+            if action < limits[1]:
+                inputs[i] = MASK
+            elif action < limits[2]:
+                inputs[i] = math.floor(value(i, b"token") / 4294967296.0 * size)
 
 
 def cap_document(ids: Column, prefix_len: int, target_len: int, slack: int = 64) -> Column:

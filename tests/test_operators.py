@@ -391,6 +391,48 @@ def test_bigrams_are_counted_by_ids(spark):
     assert sorted(tuple(r) for r in counts.collect()) == [(1, 1, 1), (1, 6, 1), (6, 7, 2), (7, 1, 1), (7, 6, 1)]
 
 
+def test_encoding_and_counting_where_texts_are_read(spark, monkeypatch):
+    """Arrow steps give what the joins give, on all kinds of white space, and shuffle no token."""
+    from proseforge.functions.text import tokens as words
+
+    blanks = [" ", "\t", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\n\n"]
+    rows = [(i, blanks[i % 10].join(f"w{(i * j) % 23}" for j in range(i % 7))) for i in range(60)] + [(90, None), (91, ""), (92, "  "), (93, "w1")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    vocab = tokens.build_vocab(df.select(words(F.col("text")).alias("t")), "t", 12).cache()
+    ids = tokens.encode_texts(df, ["id"], "text", vocab)
+    assert "Exchange hash" not in ids._jdf.queryExecution().executedPlan().toString()
+    listed = lambda x: sorted(tuple(r) for r in x.collect())
+    for first in (None, 2):
+        cut = words(F.col("text")) if first is None else F.slice(words(F.col("text")), 1, first)
+        want = tokens.encode(df.select("id", cut.alias("t")), ["id"], "t", vocab)
+        assert listed(tokens.encode_texts(df, ["id"], "text", vocab, first=first)) == listed(want)
+    for held in (2, 2_000_000):
+        monkeypatch.setattr(L, "HELD_PAIRS", held)
+        here = [listed(L.count_bigrams(df, "text", vocab, end)) for end in (None, "</s>")]
+        with monkeypatch.context() as m:
+            m.setattr(tokens, "MAX_HELD_IDS", 3)
+            assert here == [listed(L.count_bigrams(df, "text", vocab, end)) for end in (None, "</s>")]
+
+
+def test_masked_rows_are_those_of_the_columns(spark):
+    rows = [(i, None if i == 7 else f"k{i}", [(i * j) % 40 for j in range(i)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, more string, ids array<int>").repartition(3)
+    keys = ["id", "more"]
+    want = df.select(*keys, *E.collate_mlm(F.col("ids"), 38, 5, [F.col(k) for k in keys], 0.4, control=4))
+    got = E.collate_mlm_rows(df, "ids", 38, 5, keys, 0.4, control=4)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_draws_below_a_limit(spark):
+    from proseforge.functions.draws import below, uniform
+
+    df = spark.range(3000)
+    for p in (0.0, 0.1, 0.15, 0.5, 0.9999, 1.0):
+        assert df.filter(below(7, "x", p, F.col("id")) != (uniform(7, "x", F.col("id")) < p)).count() == 0
+
+
+
 def test_scores_by_models_of_any_size(spark, monkeypatch):
     """Rare tokens of a large model meet it in a shuffle; those that are broadcast do not travel."""
     texts = sentences(5, 60) + [" ".join(f"r{i}" for i in range(k, k + 9)) for k in range(0, 60, 3)] + ["", "never heard"]
