@@ -13,10 +13,12 @@ def fit(ids: Column, length: int, fill: int) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(fill), length)), 1, length)
 
 
-def mask(n: Column, length: int) -> Column:
-    """``n`` ones (at most ``length``) followed by zeros."""
+def mask(n: Column, length: int, marks: tuple = (1, 0)) -> Column:
+    """``n`` ones (at most ``length``) followed by zeros; ``marks`` may be text."""
     n = F.least(n, F.lit(length))
-    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
+    # A slice of a constant, which is cheaper than two arrays of a row's own.
+    whole = F.concat(*[F.array_repeat(F.lit(m), F.lit(length)) for m in marks])
+    return F.slice(whole, F.lit(length + 1) - n, F.lit(length))
 
 
 def cut(ids: Column, start: Column, length: Column | int) -> Column:

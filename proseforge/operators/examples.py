@@ -176,13 +176,15 @@ def cap_document(ids: Column, prefix_len: int, target_len: int, slack: int = 64)
 def encoder_decoder_examples(
     df: DataFrame, ids: str, seed: int, keys: Sequence[str],
     prefix_len: int = 16, target_len: int = 64, gap_mean: float | None = None,
-    drop_prob: float = 0.1, kinds=PREFIX_KINDS, carry: Sequence[str] = (),
+    drop_prob: float = 0.1, kinds=PREFIX_KINDS, carry: Sequence[str] = (), pad: int | str = PAD,
 ) -> DataFrame:
     """Prefix for the encoder, continuation for the decoder, both with masks.
 
     The cut lies in [k, max(k + 1, n - 1) - 1], an optional geometric gap
-    follows it, and ``keep_condition`` is 0 with probability ``drop_prob``.
+    follows it, and ``keep_condition`` is 0 with probability ``drop_prob``.  ``pad`` has the type of the ids,
+    which may be text; all arrays then are.
     """
+    marks = ("1", "0") if isinstance(pad, str) else (1, 0)
     n = F.size(ids)
     key_cols = [F.col(c) for c in keys]
     draw = lambda name: uniform(seed, name, *key_cols)
@@ -199,10 +201,10 @@ def encoder_decoder_examples(
     target = cut(F.col(ids), F.col("start"), target_len)
     return out.select(
         *keys, *carry, "k", "c", "start",
-        fit(prefix, prefix_len, PAD).alias("encoder_input_ids"),
-        mask(F.size(prefix), prefix_len).alias("encoder_attention_mask"),
-        fit(target, target_len, PAD).alias("decoder_input_ids"),
-        mask(F.size(target), target_len).alias("decoder_attention_mask"),
+        fit(prefix, prefix_len, pad).alias("encoder_input_ids"),
+        mask(F.size(prefix), prefix_len, marks).alias("encoder_attention_mask"),
+        fit(target, target_len, pad).alias("decoder_input_ids"),
+        mask(F.size(target), target_len, marks).alias("decoder_attention_mask"),
         F.when(draw("drop") < drop_prob, 0).otherwise(1).alias("keep_condition"),
     )
 

@@ -432,6 +432,15 @@ def test_draws_below_a_limit(spark):
         assert df.filter(below(7, "x", p, F.col("id")) != (uniform(7, "x", F.col("id")) < p)).count() == 0
 
 
+def test_examples_of_ids_as_text(spark):
+    df = spark.createDataFrame([(i, list(range(10, 10 + i))) for i in range(30)], "id long, ids array<int>")
+    arrays = [f"{side}_{what}" for side in ("encoder", "decoder") for what in ("input_ids", "attention_mask")]
+    shown = lambda out: sorted(tuple(r) for r in out.withColumns({c: F.col(c).cast("array<string>") for c in arrays}).collect())
+    text = E.encoder_decoder_examples(df.withColumn("ids", F.col("ids").cast("array<string>")), "ids", 2, ["id"], 8, 10, gap_mean=2.0, pad="0")
+    assert {t for c, t in text.dtypes if c in arrays} == {"array<string>"}
+    assert shown(text) == shown(E.encoder_decoder_examples(df, "ids", 2, ["id"], 8, 10, gap_mean=2.0))
+
+
 
 def test_scores_by_models_of_any_size(spark, monkeypatch):
     """Rare tokens of a large model meet it in a shuffle; those that are broadcast do not travel."""
