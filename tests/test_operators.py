@@ -441,6 +441,14 @@ def test_examples_of_ids_as_text(spark):
     assert shown(text) == shown(E.encoder_decoder_examples(df, "ids", 2, ["id"], 8, 10, gap_mean=2.0))
 
 
+def test_safe_probabilities_read_candidates_once(spark, tmp_path):
+    rows = [(0, 2, 1.0, "a"), (0, 3, K.BLOCKED, "b"), (1, 2, K.BLOCKED, "c"), (1, 3, K.BLOCKED, "d"), (2, 1, K.BLOCKED, "e"), (2, 4, K.BLOCKED, "f")]
+    spark.createDataFrame(rows, "ctx int, token_id int, logit double, more string").write.parquet(str(tmp_path / "c"))
+    out = K.safe_probabilities(spark.read.parquet(str(tmp_path / "c")), ["ctx"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    got = sorted((r.ctx, r.token_id, r.more) for r in out.collect())
+    assert got == [(0, 2, "a"), (0, 3, "b"), (1, 1, None), (1, 2, "c"), (1, 3, "d"), (2, 1, "e"), (2, 4, "f")]
+
 
 def test_scores_by_models_of_any_size(spark, monkeypatch):
     """Rare tokens of a large model meet it in a shuffle; those that are broadcast do not travel."""
