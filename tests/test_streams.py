@@ -150,6 +150,12 @@ def test_seen_set_grows_by_step(spark):
     assert K.penalise_growing(df.limit(0), ["seq"], "step", 2.0).count() == 0
 
 
+def test_sequences_are_shuffled_once(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 0, 2, 1.0)], "seq long, step int, pos int, token_id int, logit double").write.parquet(str(tmp_path / "steps"))
+    plan = K.penalise_growing(spark.read.parquet(str(tmp_path / "steps")), ["seq"], "step", 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_stream_of_a_table_that_is_a_folder_takes_every_document(spark, sf, tmp_path):
     docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
