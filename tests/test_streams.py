@@ -74,6 +74,35 @@ def test_many_texts_in_any_order(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == sorted(want)
 
 
+def test_state_has_groups_of_texts_and_not_a_row_for_each(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "id long, text string, split string, time timestamp"
+    for part in range(2):
+        arrive(spark, source, [(i, f"t{i % 700}", "x", part) for i in range(part * 100, 800 + part * 100)])
+        held = run_first_wins(first_wins_stream(spark.readStream.schema(schema).parquet(source), "text", ["id"], "time", 100, ["split"]), out, state)["most_held"]
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(700))
+    assert held <= 512
+
+
+def test_texts_of_one_group_expire_one_by_one(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "id long, text string, split string, time timestamp"
+
+    def run(rows):
+        arrive(spark, source, rows)
+        stream = spark.readStream.schema(schema).parquet(source)
+        run_first_wins(first_wins_stream(stream, "text", ["id"], "time", 100, groups=1), out, state)
+        return sorted((str(r.id), r.text) for r in spark.read.parquet(out).collect())
+
+    big = (1 << 62) + 1  # no float has this value
+    first = [(str(big), "a"), ("3", "b"), ("None", "c")]
+    assert run([(big, "a", "x", 0), (big + 2, "a", "y", 0), (3, "b", "x", 0), (None, "c", None, 0), (1, "c", "x", 0)]) == sorted(first)
+    # "a" comes until 240; "b" and "c" expire at 100, which the watermark has passed at 240.
+    for second in (90, 170, 240):
+        assert run([(second, "a", "x", second)]) == sorted(first)
+    assert run([(10_000, "d", "x", 300), (5, "a", "x", 300), (6, "b", "x", 300)]) == sorted([*first, ("10000", "d"), ("6", "b")])
+
+
 def test_generator_that_fails_once_loses_and_repeats_nothing(spark, tmp_path):
     prompts = spark.createDataFrame([(f"p{i}",) for i in range(40)], "prompt string")
     out, state, log = (str(tmp_path / n) for n in ("out", "state", "log"))
