@@ -346,17 +346,13 @@ def summary_csv(spark: SparkSession, d: str) -> DataFrame:
     SELECT regexp_replace({S.strip('prompt')}, '[^a-zA-Z0-9]', '_', 'g') AS prompt_key, model_type, text AS sentence, round(ppl, 4) AS perplexity
     FROM rec JOIN pp USING (rk)""")
 def detail_files(spark: SparkSession, d: str) -> DataFrame:
-    """Perplexity details, a folder per prompt and model, read back with the folder keys."""
+    """Perplexity details, a folder per prompt and model (many prompts share folders), read back with their keys."""
     records = turn_records(spark, d)
     v, lm = language_model(spark, d)
-    scores = L.sentence_perplexity(records, [*KEYS, "iter"], "sentence", lm, v)
+    scores = cut_lineage(L.sentence_perplexity(records, [*KEYS, "iter"], "sentence", lm, v), "perplexities")
     path = work_dir(spark, "details")
     sinks.detail_csv(records.join(scores, [*KEYS, "iter"]), path)
-    schema = Y.StructType([
-        Y.StructField("sentence", Y.StringType()), Y.StructField("perplexity", Y.DoubleType()),
-        Y.StructField("prompt_key", Y.StringType()), Y.StructField("model_type", Y.StringType()),
-    ])
-    return readers.csv_table(spark, path, schema).withColumn("perplexity", F.round("perplexity", 4))
+    return readers.details(spark, path).withColumn("perplexity", F.round("perplexity", 4))
 
 
 @query(f"""{REPORT_SQL}

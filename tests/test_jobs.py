@@ -167,6 +167,17 @@ def test_buffers(spark):
     assert sum(r.buffer == 2 for r in out) == 300 - 256
 
 
+@pytest.mark.parametrize("n, shared", [(3, False), (450, True)])
+def test_details_of_many_prompts_share_a_bounded_number_of_folders(spark, tmp_path, n, shared):
+    path = str(tmp_path / "details")
+    rows = [(f"conv {i}", m, f'{m} "said" {i},\nin lines', i / 7) for i in range(n) for m in ("user", "x y")]
+    sinks.detail_csv(spark.createDataFrame(rows, "prompt string, model_type string, sentence string, perplexity double"), path)
+    folders = {p.parent.parent.name for p in (tmp_path / "details").glob("*/*/*.csv")}
+    assert len(folders) <= 200 and (shared or folders == {f"folder=conv_{i}" for i in range(n)})
+    back = sorted(tuple(r) for r in readers.details(spark, path).collect())
+    assert back == sorted((s, p, prompt.replace(" ", "_"), m) for prompt, m, s, p in rows)
+
+
 def test_json_and_csv_round_trips(spark, tmp_path):
     df = spark.createDataFrame([('quote "x", comma\nline', "ü", 1.5), ("", None, None)], "a string, b string, c double")
     sinks.summary_csv(df, ["b", "a", "c"], str(tmp_path / "csv"))
