@@ -41,6 +41,29 @@ def test_perplexity(lm):
         assert value == pytest.approx(math.exp(sum(nll) / len(nll)))
 
 
+@pytest.mark.parametrize("most", [0, 1, 4, 1000])
+def test_perplexity_explodes_no_texts_whatever_part_of_the_model_is_held(spark, lm, monkeypatch, most):
+    df, vocab, _ = lm
+    counts = L.count_bigrams(df, "text", vocab)
+    new = [("x a b", 7), ("zz a zz a zz a", 7), (None, 8), ("c", 9), ("b c c c a", 1 << 60), ("a b", None)]
+    rows = df.select("text", "id").union(spark.createDataFrame(new, "text string, id long"))
+    given = lambda out: {r.id: r.perplexity for r in out.collect()}
+    monkeypatch.setattr(L, "HELD_MODEL", most)
+    out = L.sentence_perplexity(rows, ["id"], "text", counts, vocab)
+    assert "explode" not in out._jdf.queryExecution().analyzed().toString()
+    got = given(out)
+    monkeypatch.setattr(L, "held_ids", lambda vocab: None)
+    assert got == pytest.approx(given(L.sentence_perplexity(rows, ["id"], "text", counts, vocab)))
+    assert set(got) == {0, 1, 2, 7, 1 << 60, None}
+
+
+def test_perplexity_of_no_texts_and_of_no_model(spark, lm):
+    df, vocab, counts = lm
+    assert L.sentence_perplexity(df.limit(0), ["id"], "text", counts, vocab).count() == 0
+    out = {r.id: r.perplexity for r in L.sentence_perplexity(df, ["id"], "text", counts.limit(0), vocab).collect()}
+    assert out == pytest.approx(dict.fromkeys((0, 1, 2), vocab.count()))
+
+
 def test_sampled_texts_stop_only_after_the_minimum(spark, lm):
     df, vocab, counts = lm
     ids = {r.token: r.id for r in vocab.collect()}
