@@ -3,7 +3,9 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,9 +18,10 @@ from proseforge.operators import joins, tokens
 from proseforge.operators import ngram_lm as L
 from proseforge.operators.dedup import dedup_text, difference, not_seen, union_distinct
 from proseforge.operators.numbering import id_bucket
-from proseforge.session import cut_lineage
+from proseforge.session import cut_lineage, drop_shuffles
 
 WORDS = "a b c d e f g".split()
+WIDE = [f"w{i}" for i in range(2_000)]
 
 
 def sentences(seed, n, longest=9):
@@ -155,6 +158,63 @@ def test_sentences_read_together_leave_one_row_per_occurrence(spark):
         assert V._held(words, ["g"], n, every=False).count() == len({key for key, _ in mine})
 
 
+@pytest.mark.parametrize("rows, parts", [(1, 1), (40, 1), (1, 7)])
+def test_passes_and_parts_do_not_change_what_is_counted(spark, monkeypatch, rows, parts):
+    monkeypatch.setattr(V, "PASS_ROWS", rows)
+    monkeypatch.setattr(V, "_held_parts", lambda n: parts)
+    groups = {"hot": sentences(2, 60, 12), "two": ["a b c d e", "a b c d e"], "mixed": ["a a a b", "", "a a c", "b"], "blank": ["", " "]}
+    df = spark.createDataFrame([(g, i, t) for g, ts in groups.items() for i, t in enumerate(ts)], "g string, i long, t string").repartition(3)
+    out = {r.g: r.self_bleu for r in V.self_bleu(df, ["g"], "i", "t").collect()}
+    for g, texts in groups.items():
+        assert out[g] == pytest.approx(brute_bleu(texts), abs=1e-12), g
+    sizes = (1, 2, 3)
+    out = {r.g: r for r in V.distinct_n(df, ["g"], "i", "t", sizes, id_bucket(df, "i", 5)).collect()}
+    for g, texts in groups.items():
+        words = " ".join(texts).split()
+        for n in sizes:
+            grams = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+            assert out[g][f"d{n}"] == pytest.approx(len(set(grams)) / len(grams) if grams else 0.0, abs=1e-12), (g, n)
+
+
+def shuffle_bytes(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*"))
+
+
+@pytest.mark.parametrize("score", [
+    lambda df: V.self_bleu(df, ["g"], "i", "t"),
+])
+def test_disk_holds_the_ngrams_of_one_pass(spark, monkeypatch, score):
+    rng = random.Random(3)
+    per, texts = 2_000, 60
+    df = spark.createDataFrame([("ab"[i % 2], i, " ".join(rng.choices(WIDE, k=per))) for i in range(texts)], "g string, i long, t string")
+    monkeypatch.setattr(V, "PASS_ROWS", 1, raising=False)
+    drop_shuffles(spark)
+    before, seen, write = shuffle_bytes(spark), [], V.cut_lineage
+    monkeypatch.setattr(V, "cut_lineage", lambda *a, **k: (write(*a, **k), seen.append(shuffle_bytes(spark) - before))[0])
+    score(df).collect()
+    # A pass has half of the n-grams of a size; they take some 10 bytes each.
+    assert max(seen) < 13 * per * texts / 2
+
+
+def test_sorted_tells_numbers_apart_that_share_the_highest_bits():
+    x = np.array([7, 4, 5, 2**64 - 1, 7, 5, 7, 2**64 - 2], np.uint64)
+    y = np.array([1, 0, 3, 0, 2, 3, 1, 0], np.uint16)
+    order, equal = V._sorted(x, y)
+    pairs = [(int(x[i]), int(y[i])) for i in order]
+    assert pairs == sorted(zip(x.tolist(), y.tolist()))
+    assert equal.tolist() == [False] + [a == b for a, b in zip(pairs, pairs[1:])]
+    assert order.tolist().index(2) < order.tolist().index(5) and order.tolist().index(0) < order.tolist().index(6)
+
+
+def test_packed_ngrams_come_back():
+    x = np.sort(np.array([2**63 + k * k * 12345 for k in range(500)] + [2**63], np.uint64))
+    y, who = np.arange(len(x), dtype=np.uint16), np.full(len(x), -1, np.int32).astype("<u4")
+    who[::3] = 70_000
+    back = V._unpacked(V._packed(x, y, who, V._low(3, 7)), V._low(3, 7))
+    assert all(np.array_equal(a, b) for a, b in zip(back, (x, y, who)))
+
+
 def test_confusion_counts_unspecified_as_wrong(spark):
     rows = [("[SENT_POS][FORM_FORMAL]", "Positive", "Formal"), ("[SENT_UNSPEC][FORM_UNSPEC]", "Positive", "Informal"),
             ("[SENT_NEG][FORM_INFORMAL]", "Negative", "Informal"), ("[SENT_POS][FORM_INFORMAL]", "Negative", "Formal")]
