@@ -183,6 +183,7 @@ def shuffle_bytes(spark):
 
 @pytest.mark.parametrize("score", [
     lambda df: V.self_bleu(df, ["g"], "i", "t"),
+    lambda df: V.distinct_n(df, ["g"], "i", "t", (1, 2, 3), id_bucket(df, "i", 5)),
 ])
 def test_disk_holds_the_ngrams_of_one_pass(spark, monkeypatch, score):
     rng = random.Random(3)
